@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality_rules
+from . import decontaminate, ngram_join, packing, quality_rules, secret_scan
 from .shared import table
 
 
@@ -15,12 +16,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scanned(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.withColumn("secrets", secret_scan.spans_text(F.col("secrets"))).withColumnRenamed("secrets", "spans")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_ngram_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_decontamination, op6_packing, op7_secret_scan, op8_ngram_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
