@@ -99,7 +99,7 @@ def _heads(k: int, num: int, den: int, rank):
 
 
 def _sets(k: int, wanted):
-    """(id, set as sorted 64-bit words) of the texts whose id's bit is set; ids that only share a bit are joined away."""
+    """(id, set as sorted 64-bit words) of the texts whose id's bit is set."""
 
     def run(batches):
         bits = wanted.value
@@ -188,19 +188,21 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     hits = written(each.join(shared, "token", "left_semi"), "hits")
     dropped(heads)
 
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    place = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    for r in hits.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():  # fixed number of rows
-        bits[r["w"]] = np.uint64(r["b"] & ((1 << 64) - 1))
-    wanted = spark.sparkContext.broadcast(bits)
-    sets = docs.mapInArrow(_sets(k, wanted), "id long, set binary").join(hits.select("id").distinct(), "id", "left_semi")
-    sets = written(sets, "candidates")
-
     def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that are similar. One pass over the texts makes the sets of the ids that are in pairs; a map of
+        2 ** FILTER_BITS bits, the only thing sent out, keeps most others back, the joins the rest."""
+        place = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+        for r in ids.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():  # fixed number of rows
+            bits[r["w"]] = np.uint64(r["b"] & ((1 << 64) - 1))
+        sets = written(docs.mapInArrow(_sets(k, spark.sparkContext.broadcast(bits)), "id long, set binary"), "candidates")
         left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-        return both.mapInArrow(_similar(num, den), "a long, b long").distinct()
+        similar = written(both.mapInArrow(_similar(num, den), "a long, b long").distinct(), "verified")
+        dropped(sets)
+        return similar
 
     columns = ("id", "n", "pos", "sig", "index", "component")
     done = proved = parts = None
@@ -221,8 +223,8 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
             pairs = _pairs(others.join(_named(left, "y_"), "token"), num, den)
         pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.union(pairs)
-        new = written(verified(pairs), "verified")
-        if not new.isEmpty():
+        new = None if pairs.isEmpty() else verified(pairs)
+        if new is not None and not new.isEmpty():
             proved = new if proved is None else proved.union(new)
             parts = written(components(proved), "parts")
     if parts is None:
