@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, quality_rules, secret_scan
+from . import decontaminate, language_id, ngram_join, packing, quality_rules, secret_scan, toxicity
 from .shared import table
 
 
@@ -16,10 +16,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), language_id.held_out(F.col("doc_id"))
+    found = language_id.predicted(docs, language_id.fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), language_id.held_out(F.col("doc_id"))
+    found = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=~out))
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,7 +46,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op6_packing, op7_secret_scan, op8_ngram_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op3_decontamination, op5_toxicity, op6_packing, op7_secret_scan, op8_ngram_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,8 +40,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the ascending, disjoint, non-empty spans of ``data`` (uint8)."""
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value=_BYTE.__getitem__) -> np.ndarray:
+    """A 64-bit hash of each of the ascending, disjoint, non-empty spans of ``data``; ``value`` gives elements' terms."""
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
@@ -49,7 +49,7 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         to = max(at + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
         s, e = starts[at:to] - base, ends[at:to] - base
         up, down = _power(int(e[-1]))
-        terms = _BYTE[data[base : base + int(e[-1])]] * up[: int(e[-1])]
+        terms = value(data[base : base + int(e[-1])]) * up[: int(e[-1])]
         total = np.cumsum(terms, dtype=np.uint64)
         out[at:to] = (total[e - 1] - total[s] + terms[s]) * down[s] + (e - s).astype(np.uint64) * _PLACE[63]
         at = to
@@ -109,3 +109,28 @@ def shingle_sets(texts: pa.Array, k: int, whole_if_short: bool) -> Iterator[np.n
             yield mixed(np.array([own], dtype=np.uint64))
         else:
             yield np.empty(0, dtype=np.uint64)
+
+
+_letters: dict[str, np.ndarray] = {}
+
+
+def is_letter() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if "all" not in _letters:
+        _letters["all"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return _letters["all"]
+
+
+def code_point_value(points: np.ndarray) -> np.ndarray:
+    return mixed(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words as runs of letters, as they are written: the code points of all texts, the words' starts, ends and hashes, and
+    where each text's words begin (one entry more than texts)."""
+    points = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = is_letter()[points]
+    change = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    starts, ends = change[::2], change[1::2]
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    return points, starts, ends, hashed(points, starts, ends, code_point_value), np.searchsorted(starts, begins, "left")
