@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, ngram_join, packing, quality_rules, secret_scan, toxicity
-from .shared import table
+from . import chat_trees, decontaminate, language_id, ngram_join, packing, quality_rules, secret_scan, token_store, toxicity, warc
+from .shared import new_path, table
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,31 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    chats = chat_trees.formatted(chat_trees.chain(rows)).withColumn("turns", chat_trees.turns_of(F.col("formatted")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    masked = chat_trees.under_mask(F.col("formatted"), F.col("loss_spans"))
+    size = lambda c: F.length(c).cast("long")
+    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), size(masked).alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), size("formatted").alias("formatted_chars"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
+    whole = F.col("record_type") == "response"
+    return warc.read(spark, folder).select(
+        page("record_id").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,8 +70,14 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "ids")
+    token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_decontamination, op5_toxicity, op6_packing, op7_secret_scan, op8_ngram_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_decontamination, op4_warc, op5_toxicity, op6_packing, op7_secret_scan, op8_ngram_join, op9_token_store, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
