@@ -50,7 +50,7 @@ ENCODINGS = {
     "mixed": UPPER + LOWER + DIGITS + "+/-_",
 }
 #: Of structured text: the sum of squared character shares, the share of changes of kind, and the serial correlation.
-SQUARES, CHANGES, SERIAL = 0.066, 0.12, 0.5
+SQUARES, CHANGES, SERIAL = 0.066, 0.3, 0.5
 ALPHA, BINS, STEPS = 0.01, 4000, 10  # STEPS bins to a factor of e
 _SETS = {k: (frozenset(v), {c: i for i, c in enumerate(v)}) for k, v in ENCODINGS.items()}
 
