@@ -30,14 +30,15 @@ def held_out(key: Column, folds: int = 5) -> Column:
 
 
 def grams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``n``-grams of the words with an edge on both sides, and each one's word."""
-    sizes = ends - starts + 2
+    """Hashes of the ``n``-grams of the words, which have an edge on both sides if ``n`` > 1, and each one's word."""
+    pad = int(n > 1)
+    sizes = ends - starts + 2 * pad
     per = np.maximum(0, sizes - n + 1)
     word = np.repeat(np.arange(len(starts)), per)
     first = np.arange(len(word)) - np.repeat(np.cumsum(per) - per, per)  # place in the word with its edges
     out = np.zeros(len(word), dtype=np.uint64)
     for i in range(n):
-        at = first + i - 1  # place in the word itself; -1 and its length are edges
+        at = first + i - pad  # place in the word itself; -1 and its length are edges
         inner = (at >= 0) & (at < (ends - starts)[word])
         c = np.where(inner, points[np.where(inner, starts[word] + at, 0)], EDGE)
         out = (out + code_point_value(c)) * _STEP
