@@ -20,8 +20,8 @@ class Estimator(Protocol):
 def masks(conditions: DataFrame, genes: DataFrame) -> DataFrame:
     """(condition, genes): the sorted gene_idx that a condition's name lists, parted by plus signs, blanks around them
     dropped; null where none is known. ``genes``: (gene, gene_idx)."""
-    token = F.trim(F.explode(F.split("condition", r"\+")))
-    listed = conditions.select("condition").distinct().select("condition", token.alias("gene"))
+    token = F.explode(F.split("condition", r"\+")).alias("gene")
+    listed = conditions.select("condition").distinct().select("condition", token).withColumn("gene", F.trim("gene"))
     found = listed.join(genes, "gene", "left").groupBy("condition").agg(F.array_sort(F.collect_set("gene_idx")).alias("genes"))
     return found.withColumn("genes", F.when(F.size("genes") > 0, F.col("genes")))
 
@@ -59,7 +59,7 @@ def run_lopo(tasks: DataFrame, bundle: DataFrame, estimator: Estimator) -> DataF
     A fold is one group: folds train beside each other, and a lost one is trained again by itself, with its own seed.
     """
 
-    def train(key, task: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def train(task: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         rows = {k: own[own["kind"] == k] for k in ("edge", "profile", "mask")}
         n = int(rows["profile"]["b"].max()) + 1 if len(rows["profile"]) else 0
         out = []
@@ -78,7 +78,6 @@ def run_lopo(tasks: DataFrame, bundle: DataFrame, estimator: Estimator) -> DataF
             out.append(pd.DataFrame({"graph_type": t.graph_type, "seed": t.seed, "condition": t.condition, "gene_idx": np.arange(n, dtype=np.int32), "delta_true": matrix[me] - matrix[-1], "delta_pred": predicted - matrix[-1]}))
         return pd.concat(out) if out else pd.DataFrame({"graph_type": [], "seed": [], "condition": [], "gene_idx": [], "delta_true": [], "delta_pred": []})
 
-    keys = tasks.select("graph_type", "seed", "condition")
-    each = bundle.join(F.broadcast(keys), "graph_type").select("graph_type", "seed", "condition", "kind", "a", "b", "x")
-    by = ("graph_type", "seed", "condition")
-    return tasks.groupBy(*by).cogroup(each.groupBy(*by)).applyInPandas(train, "graph_type string, seed int, condition string, gene_idx int, delta_true double, delta_pred double")
+    each = bundle.join(F.broadcast(tasks.select(F.col("graph_type").alias("g"), F.col("seed").alias("s"), F.col("condition").alias("c"))), F.col("graph_type") == F.col("g"))
+    each = each.select("g", "s", "c", "kind", "a", "b", "x")
+    return tasks.groupBy("graph_type", "seed", "condition").cogroup(each.groupBy("g", "s", "c")).applyInPandas(train, "graph_type string, seed int, condition string, gene_idx int, delta_true double, delta_pred double")

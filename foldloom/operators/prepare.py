@@ -6,6 +6,8 @@ in the scan's own stage, so no shuffle comes before the first aggregate, which c
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,8 +96,6 @@ def ranked(scores: DataFrame, n: int) -> DataFrame:
 
 def _smooth(x, y, span: float):
     """Local quadratic regression with tricube weights, at each x."""
-    import numpy as np
-
     k = max(3, int(np.ceil(span * len(x))))
     out = np.empty(len(x))
     for i, x0 in enumerate(x):
@@ -111,11 +111,9 @@ def _smooth(x, y, span: float):
 def most_variable_standardised(cells: DataFrame, n: int, span: float = 0.3) -> DataFrame:
     """(gene_idx, score, rank): variance of values standardised by the spread that a smooth of log variance on log mean
     expects, and clipped at sqrt(cells). Two aggregates over cells; the smooth sees one row a gene."""
-    import numpy as np
-
     moments = cells.groupBy("gene_idx").agg(F.avg("x").alias("mean_x"), F.var_samp("x").alias("var_x"), F.count("*").alias("n"))
 
-    def expected(group):
+    def expected(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("gene_idx")
         ok = (group["var_x"] > 0) & (group["mean_x"] > 0)
         spread = np.zeros(len(group))
@@ -126,7 +124,7 @@ def most_variable_standardised(cells: DataFrame, n: int, span: float = 0.3) -> D
             spread = np.sqrt(group["var_x"].to_numpy())
         return group.assign(spread=spread)[["gene_idx", "mean_x", "spread"]]
 
-    fitted = moments.groupBy(F.lit(0)).applyInPandas(lambda g: expected(g), "gene_idx int, mean_x double, spread double")
+    fitted = moments.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(expected, "gene_idx int, mean_x double, spread double")
     count = cells.select("cell_id").distinct().agg(F.count("*").alias("n_cells"))
     most = F.col("mean_x") + F.sqrt("n_cells") * F.col("spread")
     clipped = cells.join(F.broadcast(fitted), "gene_idx").join(F.broadcast(count)).withColumn("c", F.least("x", most) - F.col("mean_x"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +22,12 @@ def importable(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the one that driver and executors share; a local one only where none is set."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="foldloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
