@@ -25,7 +25,7 @@ WINDOW = 5
 #: Positions take the low bits of a packed window key; no array is longer than 2**31.
 POSITION_BITS = 31
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-ITERATIONS = 15
+ITERATIONS = 12
 PRIOR_KEPT = 0.9
 #: Starting values of P(votes good | good) and P(votes bad | bad), and the range that each stays in: a rule seldom speaks
 #: against a good text, but may miss many bad ones. The ranges keep the two classes from changing places.
@@ -149,23 +149,32 @@ def _within(value: float, bounds: tuple[float, float]) -> float:
 
 
 def fit(patterns: DataFrame, names: list[str], iterations: int = ITERATIONS) -> dict:
-    """EM over counted vote patterns (columns ``names`` and ``count``). Each step is one aggregate over at most
-    3 ** len(names) rows; what comes back is one row of sums."""
+    """EM over counted vote patterns (columns ``names`` and ``count``), of which there are at most 3 ** len(names).
+
+    A step joins the patterns' votes with a table of what each vote is worth, sums by pattern (expectation), then by rule and
+    vote (maximisation); what comes back is a row for each rule and vote. The values being rows, not literals, every step
+    has the same plan and its compiled code is used again.
+    """
+    spark = patterns.sparkSession
+    pattern = F.concat_ws(",", *names)
+    votes = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(x).cast("int").alias("vote")) for i, x in enumerate(names)]))
+    long = written(patterns.select(pattern.alias("pattern"), F.col("count").cast("double").alias("n"), votes.alias("v")).select("pattern", "n", "v.rule", "v.vote").coalesce(1), "quality-votes")
     model = {"prior": PRIOR_KEPT, "good": [START_GOOD] * len(names), "bad": [START_BAD] * len(names)}
-    votes = [F.col(x) for x in names]
     for _ in range(iterations):
-        p, n = _posterior(votes, model), F.col("count")
-        sums = [F.sum(n * p).alias("p"), F.sum(n).alias("n")]
-        for i, v in enumerate(votes):
-            for what, weight, when in (("gg", p, v == 1), ("g", p, v >= 0), ("bb", 1 - p, v == 0), ("b", 1 - p, v >= 0)):
-                sums.append(F.sum(n * F.when(when, weight).otherwise(F.lit(0.0))).alias(f"{what}{i}"))
-        got = patterns.agg(*sums).first()
-        if not got["n"]:
+        odds = math.log(model["prior"] / (1 - model["prior"])) / len(names)  # an equal part with each rule's vote
+        worth = [(i, v, odds + x) for i, (g, b) in enumerate(zip(model["good"], model["bad"], strict=True)) for v, x in ((1, math.log(g / (1 - b))), (0, math.log((1 - g) / b)), (-1, 0.0))]
+        values = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, {v}, {x!r}D)" for i, v, x in worth) + " AS t(rule, vote, worth)"))  # three rows a rule
+        chance = long.join(values, ["rule", "vote"]).groupBy("pattern").agg((1 / (1 + F.exp(-F.sum("worth")))).alias("p"))
+        sums = long.join(chance, "pattern").groupBy("rule", "vote").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum(F.col("n") * (1 - F.col("p"))).alias("bad")).collect()
+        if not sums:
             break
+        got = {(r["rule"], r["vote"]): (r["good"], r["bad"]) for r in sums}
+        of = lambda i, v, k: got.get((i, v), (0.0, 0.0))[k]  # noqa: B023, E731
+        good, bad = (sum(of(0, v, k) for v in (1, 0, -1)) for k in (0, 1))
         model = {
-            "prior": _within((got["p"] + PSEUDO * PRIOR_KEPT) / (got["n"] + PSEUDO), RANGE_PRIOR),
-            "good": [_within((got[f"gg{i}"] + PSEUDO * START_GOOD) / (got[f"g{i}"] + PSEUDO), RANGE_GOOD) for i in range(len(names))],
-            "bad": [_within((got[f"bb{i}"] + PSEUDO * START_BAD) / (got[f"b{i}"] + PSEUDO), RANGE_BAD) for i in range(len(names))],
+            "prior": _within((good + PSEUDO * PRIOR_KEPT) / (good + bad + PSEUDO), RANGE_PRIOR),
+            "good": [_within((of(i, 1, 0) + PSEUDO * START_GOOD) / (of(i, 1, 0) + of(i, 0, 0) + PSEUDO), RANGE_GOOD) for i in range(len(names))],
+            "bad": [_within((of(i, 0, 1) + PSEUDO * START_BAD) / (of(i, 1, 1) + of(i, 0, 1) + PSEUDO), RANGE_BAD) for i in range(len(names))],
         }
     return model
 
