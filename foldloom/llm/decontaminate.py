@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_kernels import pieces, shingle_sets
+from .text_kernels import lean, pieces, shingle_sets
 
 K = 5
 SHARE = (4, 5)
@@ -76,7 +76,7 @@ def blocks(items: DataFrame, key: str, text: str, k: int, share: tuple[int, int]
 
     held, size = [], 0
     slim = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
-    for r in slim.mapInArrow(run, "item long, own binary").where("octet_length(own) > 0").toLocalIterator():
+    for r in slim.mapInArrow(lean(run), "item long, own binary").where("octet_length(own) > 0").toLocalIterator():
         own = np.frombuffer(bytes(r["own"]), dtype=np.uint64)
         if held and size + len(own) > BLOCK_SHINGLES:
             yield Block(held, share)
@@ -106,7 +106,7 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     rows = [(i, *hit) for i, own in zip(ids.to_pylist(), shingle_sets(texts, k, False), strict=True) if len(own) for hit in sent.value.found(own)]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["id", "item", "item_shingles", "shared"])
 
-        hits = source.mapInArrow(run, schema)
+        hits = source.mapInArrow(lean(run), schema)
         out = hits if out is None else out.union(hits)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -125,5 +125,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_k
                 clean = [len(own) == 0 or next(sent.value.found(own), None) is None for _, texts in pieces(rows, batch.column(at)) for own in shingle_sets(texts, k, False)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

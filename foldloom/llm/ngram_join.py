@@ -5,8 +5,9 @@
    fixed size (2 ** SKETCH_BITS counts, the only thing broadcast), which sets the common ones apart.
 3. Each class emits its prefix: two sets as similar as asked share a shingle of the first's probing prefix and the
    second's (smaller) indexing prefix. Shingles of one class only are dropped by an aggregate and a join.
+   A length, a position, a suffix and a whole-set filter then bound the intersection that a pair could have.
 4. Links are wanted for components, so a group of near copies needn't be paired in full: in PIVOT_ROUNDS rounds the
-   members of each prefix shingle's group are paired with one member of it. What then is in one component needs no
+   members of each prefix shingle's group are offered one member of it, and each document is paired with one that it is offered. What then is in one component needs no
    further pairs; the rest, every pair of a shingle's group across components, is paired exactly. A pair passes the
    filters first, is made distinct, and is verified once, by the exact intersection of the two sets.
 
@@ -23,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import dropped, written
-from .text_kernels import pieces, shingle_sets
+from .components import components, extended
+from .shared import dropped, swept, written
+from .text_kernels import lean, pieces, shingle_sets
 
 SKETCH_BITS = 18
 PIVOT_ROUNDS = 2
 CLASSES = 8  # of hashes, in a suffix's signature: CLASSES counters of one byte
+PARITY = 256  # classes of hashes in a whole set's signature: the parity of each class's count, in longs
 FILTER_BITS = 22
+ODD = tuple(f"p{i}" for i in range(PARITY // 64))
+MEMBER = ("id", "n", "pos", "sig", "index", "component", *ODD)
 
 
 def _prefixes(n: int, num: int, den: int) -> tuple[int, int]:
@@ -71,17 +75,19 @@ def _ordered(own: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _heads(k: int, num: int, den: int, rank):
     """Per text whose set can be similar to another one: the prefix in order, and at each of its places the signature of
-    what follows: counters, modulo 256, of the later shingles in each class."""
+    what follows: counters, modulo 256, of the later shingles in each class. Also the whole set's parities by class."""
 
     def run(batches):
         r = rank.value
         for batch in batches:
             for ids, texts in pieces(batch.column(0), batch.column(1)):
-                keep, sizes, heads, tails = [], [], [], []
+                keep, sizes, heads, tails, odd, wide = [], [], [], [], [], []
                 for i, own in enumerate(shingle_sets(texts, k, True)):
                     n = len(own)
                     if n == 0 or n * den < num * (n + 1):  # too small to be similar to any other set than an equal one
                         continue
+                    wide.append(parities(own))
+                    odd.append(np.packbits(np.bincount((own >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).view(np.int64))
                     own = _ordered(own, r)
                     p, _ = _prefixes(n, num, den)
                     kinds = (own % np.uint64(CLASSES)).astype(np.int64)
@@ -93,21 +99,56 @@ def _heads(k: int, num: int, den: int, rank):
                     tails.append(np.ascontiguousarray((after & 255).astype(np.uint8)).view(np.int64).ravel())
                 at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32))
                 flat = lambda xs: pa.ListArray.from_arrays(at, pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), flat(heads), flat(tails)], ["id", "n", "head", "tail"])
+                narrow = np.array(odd, dtype=np.int64).reshape(-1, PARITY // 64)
+                columns = [ids.take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), flat(heads), flat(tails), *[pa.array(np.ascontiguousarray(narrow[:, i])) for i in range(PARITY // 64)], pa.array(wide, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "head", "tail", *ODD, "wide"])
+
+    return run
+
+
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each of about as many classes of hashes as the set has members, a power of two: the parity of its count."""
+    classes = max(PARITY, 1 << int(len(own)).bit_length())
+    return np.packbits(np.bincount((own >> np.uint64(20)).astype(np.int64) & (classes - 1), minlength=classes) & 1).tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """How many members two sets at least don't share, by their parities; the longer are folded to the shorter's length."""
+    x, y = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(num: int, den: int):
+    """Pairs (a, b, n_a, wide_a, n_b, wide_b) that their parities leave possible."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, n, wide_a, m, wide_b = (c.to_pylist() for c in batch.columns)
+            ok = [x + y - least_apart(p, q) >= 2 * -(-num * (x + y) // (num + den)) for x, p, y, q in zip(n, wide_a, m, wide_b, strict=True)]
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     return run
 
 
 def _sets(k: int, wanted):
-    """(id, set as sorted 64-bit words) of the texts whose id's bit is set."""
+    """(id, set as sorted 64-bit words, whether it is a first and whether a second of pairs) of the texts whose id's bit is set
+    in the map of firsts or that of seconds."""
 
     def run(batches):
-        bits = wanted.value
+        maps = wanted.value
         for batch in batches:
-            own_bits = _bit(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            mask = pa.array((bits[own_bits >> 6] >> (own_bits & 63).astype(np.uint64)) & np.uint64(1) == 1)
-            for ids, texts in pieces(batch.column(0).filter(mask), batch.column(1).filter(mask)):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in shingle_sets(texts, k, True)], pa.binary())], ["id", "set"])
+            own = _bit(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            first, second = ((bits[own >> 6] >> (own & 63).astype(np.uint64)) & np.uint64(1) == 1 for bits in maps)
+            mask = first | second
+            kept = pa.array(mask)
+            flags = pa.array(first[mask]), pa.array(second[mask])
+            at = 0
+            for ids, texts in pieces(batch.column(0).filter(kept), batch.column(1).filter(kept)):
+                sets = pa.array([x.tobytes() for x in shingle_sets(texts, k, True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, sets, *[f.slice(at, len(ids)) for f in flags]], ["id", "set", "first", "second"])
+                at += len(ids)
 
     return run
 
@@ -116,6 +157,16 @@ def _bit(ids: np.ndarray) -> np.ndarray:
     return ids & ((1 << FILTER_BITS) - 1)
 
 
+def _map_of(ids: DataFrame) -> np.ndarray:
+    """A map of 2 ** FILTER_BITS bits in 64-bit words, with the bits of ``ids`` set."""
+    place = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = ids.distinct().select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("b"))
+    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():  # fixed number of rows
+        bits[r["w"]] = np.uint64(r["b"] & ((1 << 64) - 1))
+    return bits
+
+
 def _similar(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -147,30 +198,33 @@ def _passes(x: dict[str, Column], y: dict[str, Column], num: int, den: int) -> C
         # the difference modulo 256 that is nearest to zero: never more than the true one
         apart = apart + F.abs(((byte(x["sig"]) - byte(y["sig"]) + 384).bitwiseAND(F.lit(255))) - 128)
     suffixes = (n - x["pos"] - 1) + (m - y["pos"] - 1)
-    return (m * den >= n * num) & (head + left >= need) & (2 * head + suffixes - apart >= 2 * need) & y["index"]
+    odd = F.lit(0)
+    for c in ODD:  # a class of differing parity holds a shingle that the sets don't share
+        odd = odd + F.bit_count(x[c].bitwiseXOR(y[c]))
+    return (m * den >= n * num) & y["index"] & (head + left >= need) & (n + m - odd >= 2 * need) & (2 * head + suffixes - apart >= 2 * need)
 
 
 def _member(p: str) -> dict[str, Column]:
-    return {c: F.col(f"{p}{c}") for c in ("id", "n", "pos", "sig", "index", "component")}
+    return {c: F.col(f"{p}{c}") for c in MEMBER}
 
 
 def _pairs(both: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of a joined frame with the columns of two members, x_ and y_, that the filters let pass."""
+    """(x, y) of a joined frame with the columns of two members, x_ and y_, that the filters let pass."""
     x, y = _member("x_"), _member("y_")
     larger = (x["n"] > y["n"]) | (x["n"] == y["n"]) & (x["id"] > y["id"])
     ok = F.when(larger, _passes(x, y, num, den)).otherwise(_passes(y, x, num, den))
-    return both.where((x["id"] != y["id"]) & (x["component"] != y["component"]) & ok).select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")).distinct()
+    return both.where((x["id"] != y["id"]) & (x["component"] != y["component"]) & ok).select(x["id"].alias("x"), y["id"].alias("y"))
 
 
 def _named(df: DataFrame, p: str) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(f"{p}{c}") for c in ("id", "n", "pos", "sig", "index", "component")])
+    return df.select("token", *[F.col(c).alias(f"{p}{c}") for c in MEMBER])
 
 
 def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows, parts): rows (id, n, digest) of each document; parts (node, component) of the classes that have links.
     ``docs``: (id long not null, text)."""
     spark = docs.sparkSession
-    found = written(docs.mapInArrow(_signatures(k), "id long, n long, digest binary, kind int"), "sets", by="kind")
+    found = written(docs.mapInArrow(lean(_signatures(k)), "id long, n long, digest binary, kind int"), "sets", by="kind")
     rows = found.where("kind = 0").select("id", "n", "digest")
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # fixed number of rows
@@ -180,53 +234,65 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     rank = spark.sparkContext.broadcast(rank)
 
     own = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    heads = docs.mapInArrow(_heads(k, num, den, rank), "id long, n long, head array<long>, tail array<long>")
+    heads = docs.mapInArrow(lean(_heads(k, num, den, rank)), "id long, n long, head array<long>, tail array<long>, " + ", ".join(f"{c} long" for c in ODD) + ", wide binary")
     heads = written(heads.join(own.select("id"), "id", "left_semi"), "heads")
-    index = F.col("n") - F.floor((2 * F.col("n") * num + num + den - 1).cast("double") / (num + den)).cast("long") + 1
-    each = heads.select("id", "n", F.posexplode(F.arrays_zip("head", "tail")).alias("pos", "at")).select(F.col("at.head").alias("token"), "id", "n", F.col("pos").cast("long").alias("pos"), F.col("at.tail").alias("sig"), (F.col("pos") < index).alias("index"))
-    shared = each.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bool_or("index").alias("any")).where("lo <> hi and any").select("token")
-    hits = written(each.join(shared, "token", "left_semi"), "hits")
+    index = F.col("pos") < F.col("n") - F.floor((2 * F.col("n") * num + num + den - 1).cast("double") / (num + den)).cast("long") + 1
+    each = heads.select("id", "n", F.posexplode(F.arrays_zip("head", "tail")).alias("pos", "at")).select(F.col("at.head").alias("token"), "id", "n", "pos", F.col("at.tail").alias("sig"))
+    # in one sum: how many have the shingle in their prefix, and, from bit 32 on, how many in their indexing prefix
+    seen = each.groupBy("token").agg(F.sum(F.when(index, F.lit((1 << 32) + 1)).otherwise(F.lit(1).cast("long"))).alias("c"))
+    shared = seen.where((F.col("c").bitwiseAND(F.lit((1 << 32) - 1)) > 1) & (F.col("c") >= 1 << 32)).select("token")
+    own = heads.select("id", "n", *ODD).distinct()
+    hits = each.drop("n").join(shared, "token", "left_semi").join(own, "id").select("token", "id", "n", F.col("pos").cast("long").alias("pos"), "sig", index.alias("index"), *ODD)
+    left = written(hits, "hits")
+    wide = written(heads.select("id", "n", "wide"), "parities")
     dropped(heads)
+    del own, each, seen, shared, hits, heads
+    swept(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` that are similar. One pass over the texts makes the sets of the ids that are in pairs; a map of
+        """Those of ``pairs`` that are similar. Whole-set parities, a bit a shingle, rule out most of the others. One pass over the texts makes the sets of the ids that are in pairs; a map of
         2 ** FILTER_BITS bits, the only thing sent out, keeps most others back, the joins the rest."""
-        place = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-        for r in ids.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():  # fixed number of rows
-            bits[r["w"]] = np.uint64(r["b"] & ((1 << 64) - 1))
-        sets = written(docs.mapInArrow(_sets(k, spark.sparkContext.broadcast(bits)), "id long, set binary"), "candidates")
-        left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-        right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+        sides = [wide.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b")]
+        near = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
+        pairs = written(near.mapInArrow(lean(_near(num, den)), "a long, b long").distinct(), "near")
+        maps = [_map_of(pairs.select(F.col(c).alias("id"))) for c in ("a", "b")]
+        sets = written(docs.mapInArrow(lean(_sets(k, spark.sparkContext.broadcast(maps))), "id long, set binary, first boolean, second boolean"), "candidates")
+        left = sets.where("first").select(F.col("id").alias("a"), F.col("set").alias("set_a"))
+        right = sets.where("second").select(F.col("id").alias("b"), F.col("set").alias("set_b"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-        similar = written(both.mapInArrow(_similar(num, den), "a long, b long").distinct(), "verified")
+        similar = written(both.mapInArrow(lean(_similar(num, den)), "a long, b long").distinct(), "verified")
         dropped(sets)
         return similar
 
-    columns = ("id", "n", "pos", "sig", "index", "component")
-    done = proved = parts = None
+    done = parts = None
     for round_ in range(PIVOT_ROUNDS + 1):
-        left = hits.withColumn("component", F.col("id"))
         if parts is not None:
-            left = hits.join(parts, hits["id"] == parts["node"], "left").select(hits["*"], F.coalesce("component", "id").alias("component"))
-            open_ = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-            left = written(left.join(open_, "token", "left_semi"), "hits-left")
+            # shingles whose documents are one component by now stay closed; only the others' rows go on
+            inside = left.select("token", "id").join(parts, F.col("id") == F.col("node"), "left").select("token", F.coalesce("component", "id").alias("component"))
+            open_ = inside.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+            before, left = left, written(left.drop("component").join(open_, "token", "left_semi"), "hits")
+            dropped(before)
+            left_now = written(left.join(parts, F.col("id") == F.col("node"), "left").select(left["*"], F.coalesce("component", "id").alias("component")), "hits-labelled")
+        else:
+            left_now = left.withColumn("component", F.col("id"))
         if round_ < PIVOT_ROUNDS:
             one = F.min if round_ == 0 else F.max
-            pivots = left.groupBy("token").agg(one(F.struct(*columns)).alias("y")).select("token", *[F.col(f"y.{c}").alias(f"y_{c}") for c in columns])
-            pairs = _pairs(_named(left, "x_").join(pivots, "token"), num, den)
+            pivots = left_now.groupBy("token").agg(one(F.struct(*MEMBER)).alias("y")).select("token", *[F.col(f"y.{c}").alias(f"y_{c}") for c in MEMBER])
+            # of the members that a document's shingles offer, one is tried in a round
+            pairs = _pairs(_named(left_now, "x_").join(pivots, "token"), num, den).groupBy("x").agg(one("y").alias("y"))
         else:
             # a shingle's largest component isn't paired with itself; the others are, with it and among themselves
-            most = left.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"))
-            others = _named(left.join(most, "token").where("component <> most.component"), "x_")
-            pairs = _pairs(others.join(_named(left, "y_"), "token"), num, den)
+            most = left_now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"))
+            others = _named(left_now.join(most, "token").where("component <> most.component"), "x_")
+            pairs = _pairs(others.join(_named(left_now, "y_"), "token"), num, den)
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.union(pairs)
         new = None if pairs.isEmpty() else verified(pairs)
+        if parts is not None:
+            dropped(left_now)
         if new is not None and not new.isEmpty():
-            proved = new if proved is None else proved.union(new)
-            parts = written(components(proved), "parts")
+            parts = written(components(new) if parts is None else extended(parts, new), "parts")
     if parts is None:
         parts = spark.createDataFrame([], "node long, component long")
     return rows, parts
@@ -242,7 +308,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows, parts = links(source.where("id is not null"), k, num, den)
-    nameless = source.where("id is null").select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(_signatures(k), "id long, n long, digest binary, kind int").where("kind = 0")
+    nameless = source.where("id is null").select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(lean(_signatures(k)), "id long, n long, digest binary, kind int").where("kind = 0")
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n_copies"))
     classes = classes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "n_copies")
     out = rows.join(classes, "digest", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))

@@ -7,6 +7,8 @@ long a text is.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +58,7 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value=_BYTE._
     return mixed(out)
 
 
-def pieces(ids: pa.Array, texts: pa.Array, most: int = 8 * BLOCK) -> Iterator[tuple[pa.Array, pa.Array]]:
+def pieces(ids: pa.Array, texts: pa.Array, most: int = 2 * BLOCK) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Slices of about ``most`` bytes of text; a longer text is a slice of its own."""
     texts = texts.fill_null("") if texts.null_count else texts
     if not len(texts):
@@ -111,6 +113,27 @@ def shingle_sets(texts: pa.Array, k: int, whole_if_short: bool) -> Iterator[np.n
             yield np.empty(0, dtype=np.uint64)
 
 
+def lean(run):
+    """``run`` over a task's batches, handing large arrays straight back to the system, and the rest when the task ends: workers
+    live on, and what idle ones keep counts against their executor."""
+
+    def wrapped(batches):
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, else it grows with what is freed
+        except (OSError, AttributeError):
+            libc = None
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 _letters: dict[str, np.ndarray] = {}
 
 

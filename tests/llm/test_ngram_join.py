@@ -3,7 +3,7 @@ import random
 import pytest
 
 from foldloom.llm import ngram_join
-from foldloom.llm.components import components
+from foldloom.llm.components import components, extended
 
 from . import brute
 
@@ -63,3 +63,21 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+
+
+def test_more_links_extend_components(spark):
+    parts = components(spark.createDataFrame([(1, 2), (3, 4), (10, 11)], "a long, b long"))
+    got = {r["node"]: r["component"] for r in extended(parts, spark.createDataFrame([(4, 11), (2, 1), (20, 21), (0, 3)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, **dict.fromkeys((0, 3, 4, 10, 11), 0), 20: 20, 21: 20}
+
+
+def test_parities_never_overstate(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, m, shared in ((7, 6, 6), (300, 300, 290), (700, 90, 40), (2000, 2100, 1000)):
+        x = rng.integers(0, 1 << 64, n + m, dtype=np.uint64)
+        a, b = x[:n], np.concatenate([x[:shared], x[n : n + m - shared]])
+        bound = ngram_join.least_apart(ngram_join.parities(a), ngram_join.parities(b))
+        assert 0 <= bound <= n + m - 2 * shared
+    assert ngram_join.least_apart(ngram_join.parities(a), ngram_join.parities(b)) > 600
