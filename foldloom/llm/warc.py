@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archive_files import SharedFile, files
+from .text_kernels import lean
 
 DICTIONARY_MAGIC = 0x184D2A5D
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 600, 1 << 16, 1 << 16
@@ -41,8 +42,9 @@ def dictionary(pages: DataFrame, key: str, text: str, sample: int = SAMPLE) -> b
     """A Zstandard dictionary, empty if there is too little to learn from."""
     import zstandard
 
-    some = pages.where(F.col(text).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(F.substring(F.encode(F.col(text), "UTF-8"), 1, SAMPLE_BYTES).alias("part"))
-    parts = [bytes(r["part"]) for r in some.collect()]  # at most ``sample`` rows of SAMPLE_BYTES
+    keys = pages.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(sample)  # the keys first: tasks send no texts but those chosen
+    some = pages.where(F.col(text).isNotNull()).join(F.broadcast(keys.distinct()), key, "left_semi").select(F.substring(F.encode(F.col(text), "UTF-8"), 1, SAMPLE_BYTES).alias("part"))
+    parts = sorted(bytes(r["part"]) for r in some.collect())  # about ``sample`` rows of SAMPLE_BYTES
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [p for p in parts if len(p) >= 8], level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -103,7 +105,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     full = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(text).alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))
     rows = full.join(slim.select("key", "digest", "refers"), ["key", "digest"], "left").select("key", "url", "html", "size", "digest", "refers")
-    n = rows.mapInArrow(_writer(folder, trained, file_bytes), "records long").agg(F.sum("records").alias("n")).first()["n"]
+    n = rows.mapInArrow(lean(_writer(folder, trained, file_bytes)), "records long").agg(F.sum("records").alias("n")).first()["n"]
     return int(n or 0)
 
 
@@ -160,4 +162,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload"])
 
-    return files(spark, folder, "*.warc.zst").select("content").mapInArrow(run, FIELDS)
+    return files(spark, folder, "*.warc.zst").select("content").mapInArrow(lean(run), FIELDS)
