@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
-from .text_kernels import letter_words, pieces
+from .text_kernels import lean, letter_words, pieces
 
-SAMPLE, FEATURES = 40_000, 4096
+SAMPLE, FEATURES = 20_000, 1024
 LEAST_DOCS, LEAST_Z = 5, 4.0
 RIDGE, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 1500
 #: Identity terms and what each is swapped with, in lower case.
@@ -63,17 +64,14 @@ def train(keys: np.ndarray, rows: np.ndarray, features: np.ndarray, labels: np.n
     place = {int(k): i for i, k in enumerate(keys)}
     ha, hb = word_hashes([a for a, _ in IDENTITY]), word_hashes([b for _, b in IDENTITY])
     pairs = [(place[int(a)], place[int(b)]) for a, b in zip(ha, hb, strict=True) if int(a) in place and int(b) in place]
-    held = {}
-    for r, f in zip(rows.tolist(), features.tolist(), strict=True):
-        held.setdefault(f, set()).add(r)
-    swap_rows, swap_a, swap_b, sign = [], [], [], []
+    swap = []
     for a, b in pairs:  # a text that holds just one of the two: the swap moves the score by the weights' difference
-        for r in held.get(a, set()) ^ held.get(b, set()):
-            swap_rows.append(r)
-            swap_a.append(a)
-            swap_b.append(b)
-            sign.append(1.0 if r in held.get(a, set()) else -1.0)
-    sr, sa, sb, ss = np.array(swap_rows, int), np.array(swap_a, int), np.array(swap_b, int), np.array(sign)
+        own_a, own_b = rows[features == a], rows[features == b]
+        for own, other, sign in ((own_a, own_b, 1.0), (own_b, own_a, -1.0)):
+            alone = np.setdiff1d(own, other)
+            swap.append(np.stack([alone, np.full(len(alone), a), np.full(len(alone), b), np.full(len(alone), sign)]))
+    sr, sa, sb, ss = np.concatenate(swap, axis=1) if swap else np.zeros((4, 0))
+    sr, sa, sb = (x.astype(np.int64) for x in (sr, sa, sb))
     per_row = np.bincount(rows, minlength=n).max() if len(rows) else 0
     rate = 4.0 / (per_row + 1 + 1e-9) if not len(sr) else 1.0 / (0.25 * (per_row + 1) + 4 * counterfactual)
     w = v = np.zeros(d)
@@ -105,6 +103,23 @@ def _words(batches):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(repeat)), labels.take(pa.array(repeat)), pa.array(flat.view(np.int64))], ["row", "label", "key"])
 
 
+def _held(keys: np.ndarray):
+    """(row, places of the sorted ``keys`` among its words), for rows of one word each; a row that two batches share comes twice."""
+
+    def run(batches):
+        for batch in batches:
+            own, words = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            at = np.searchsorted(keys, words)
+            at[at == len(keys)] = 0
+            ok = keys[at] == words
+            own, at = own[ok], at[ok].astype(np.int32)
+            cuts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(own)).astype(np.int32)), pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(own[cuts]), lists], ["row", "f"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, sample: int = SAMPLE) -> Model:
     """``learn``: which rows may be learned from, over the key. Rows that repeat a key in ``labels`` count as their greatest
     label; null keys, labels and texts are left out. Without both labels the model knows a bias alone, 0 without any."""
@@ -114,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = written(known.orderBy(F.xxhash64("row"), "row").limit(sample), "sample")
     source = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("row"), F.lower(text).alias("text"))
     texts = source.join(F.broadcast(known), "row").select("row", "label", "text")  # at most ``sample`` keys
-    words = written(texts.mapInArrow(_words, "row long, label int, key long"), "sample-words")
+    words = written(texts.mapInArrow(lean(_words), "row long, label int, key long"), "sample-words")
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     n0, n1 = float(totals.get(0, 0)), float(totals.get(1, 0))
     if not n0 or not n1:
@@ -125,13 +140,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = counts.where(F.col("df") >= LEAST_DOCS).select("key", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "key").limit(FEATURES)
     keys = np.array([r["key"] for r in chosen.collect()], dtype=np.int64).view(np.uint64)
     keys = np.unique(np.concatenate([keys, word_hashes([x for pair in IDENTITY for x in pair])]))
-    wanted = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long")
-    matrix = words.join(F.broadcast(wanted), "key", "left_semi").select("row", "key").toPandas()
-    targets = known.toPandas().sort_values("row")
-    rows = np.searchsorted(targets["row"].to_numpy(), matrix["row"].to_numpy(np.int64))
-    features = np.searchsorted(keys, matrix["key"].to_numpy(np.int64).view(np.uint64))
+    matrix = words.select("row", "key").mapInArrow(lean(_held(keys)), "row long, f array<int>").toArrow()  # about a row for each of the sample
+    targets = known.select("row", "label").toArrow().sort_by("row")
+    held = matrix.column("f").combine_chunks()
+    features = held.flatten().to_numpy().astype(np.int64)
+    rows = np.searchsorted(targets.column("row").to_numpy(), np.repeat(matrix.column("row").to_numpy(), pa.compute.list_value_length(held).to_numpy()))
+    labels_of = targets.column("label").to_numpy()
     dropped(words)
-    return train(keys, rows, features, targets["label"].to_numpy())
+    return train(keys, rows, features, labels_of)
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,5 +161,5 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sent.value.score(texts.to_pylist()))], ["id", "score"])
 
     source = docs.select(F.col(key).cast("long").alias("id"), F.lower(text).alias("text"))
-    out = source.mapInArrow(run, "id long, score double")
+    out = source.mapInArrow(lean(run), "id long, score double")
     return out.select(F.col("id").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
