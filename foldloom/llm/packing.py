@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import written
+from .text_kernels import lean, pieces
 from .token_ids import ids_of
 
 WIDTH = 2048
@@ -123,16 +124,16 @@ def slots(combos: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 def _cut(path: str, eos: int, width: int):
     def run(batches):
         ids = ids_of(path, True)
-        end = np.array([eos], dtype=np.uint32)
+        end = np.array([eos], dtype="<u4")
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for keys, texts in pieces(batch.column(0), batch.column(1), 4 << 20):
+                flat, at = ids.encode(texts)
                 rows = [[], [], [], [], []]
-                for key, own in zip(part.column(0).to_pylist(), ids.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
-                    own = np.concatenate([own.astype(np.uint32), end])
+                for key, a, b in zip(keys.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = np.concatenate([flat[a:b].astype("<u4"), end])
                     for start in range(0, len(own), width):
                         piece = own[start : start + width]
-                        for c, v in zip(rows, (key, start, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(own)), strict=True):
+                        for c, v in zip(rows, (key, start, len(piece), zlib.crc32(piece.tobytes()), len(own)), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -148,10 +149,10 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    pieces = written(source.mapInArrow(_cut(tokenizer, eos, width), "id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    cut = written(source.mapInArrow(lean(_cut(tokenizer, eos, width)), "id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts)).cast("int")
-    sizes = pieces.groupBy("length", part.alias("part")).count()  # at most width * parts rows
+    sizes = cut.groupBy("length", part.alias("part")).count()  # at most width * parts rows
     sizes = written(sizes.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")), "sizes")
     histogram = np.zeros(width + 1, dtype=np.int64)
     for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most width rows
@@ -169,6 +170,6 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     order = Window.partitionBy("length", "part").orderBy("id", "start", "ids_crc32", "doc_tokens")
-    ranked = pieces.withColumn("part", part).withColumn("own", F.row_number().over(order) - 1).join(sizes, ["length", "part"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("own") + F.col("before")).alias("rank"))
-    out = ranked.mapInArrow(placed, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    ranked = cut.withColumn("part", part).withColumn("own", F.row_number().over(order) - 1).join(sizes, ["length", "part"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("own") + F.col("before")).alias("rank"))
+    out = ranked.mapInArrow(lean(placed), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", key)

@@ -1,16 +1,43 @@
 """Token ids of many texts with a public tokenizer file, each distinct word tokenized once for a stretch of texts.
 
-Neither of the two tokenizers joins what stands on both sides of a single space or line feed between other characters, so
-the ids of a text in which all white space is of that kind are those of its words in order. Any other text is tokenized
-whole. New words go to the tokenizer many at a time, with a character between them that is a token of its own.
+Neither of the two tokenizers joins what stands on both sides of a space or line feed, nor letters with punctuation that
+follows. So the ids of a text whose white space is single spaces and line feeds between words are those of its words, and a
+word's those of its letters and of what trails them. Arrow splits texts and finds the distinct words; only those reach
+Python, new ones the tokenizer, many at a time with a mark between them that is a token of its own. Any other text is
+tokenized whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries after which the memory of words starts anew; longer words aren't kept; new words in one call's text.
-MEMORY, LONG, TOGETHER = 800_000, 40, 1000
+#: Words remembered in a generation, of which two are held; longer words aren't kept; new words in one call's text.
+GENERATION, LONG, TOGETHER = 250_000, 40, 1000
+#: White space that isn't a single space or line feed between two other characters.
+ODD_SPACE = "[ \n]{2}|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\u0085   -     　]"
+TRAILING = ".,;:!?#$%&*|"
+
+
+class Memory:
+    """A dict that forgets: what wasn't asked for while a generation filled up goes with the one before it."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def all(self, keys: list[str]) -> list[bytes | None]:
+        out = list(map(self.now.get, keys))
+        for i, known in enumerate(out):
+            if known is None and (known := self.before.get(keys[i])) is not None:
+                out[i] = self.now[keys[i]] = known
+        return out
+
+    def put(self, found: dict[str, bytes]) -> None:
+        if len(self.now) >= GENERATION:
+            self.before, self.now = self.now, {}
+        self.now.update([x for x in found.items() if len(x[0]) <= LONG])
 
 
 class Ids:
@@ -22,72 +49,111 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced = spaced
-        self.memory: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of words as they are, and after a space
+        self.plain = Tokenizer.from_file(path)  # for lower-case ASCII, which no normaliser changes
+        self.plain.encode_special_tokens = True
+        if self.plain.normalizer is not None:
+            self.plain.normalizer = None
+        self.spaced, self.memory = spaced, Memory()
         self.mark = "\n" if spaced else "0"
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.line = np.array([self.mark_id], dtype=np.uint16).tobytes() if spaced else b""
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype=np.uint16) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str], after_space: bool) -> dict[str, bytes]:
-        """The ids of ``words``; short ones are remembered."""
-        known = self.memory[after_space]
-        if len(known) > MEMORY:
-            known.clear()
-        new = [w for w in words if w not in known]
-        odd = [w for w in new if self.mark in w]
-        new = [w for w in new if self.mark not in w]
-        lead = " " if after_space else ""
-        between = f"{self.mark}{lead}" if self.spaced else f" {self.mark} "
-        found = dict(zip(odd, (x.tobytes() for x in self._encoded([lead + w for w in odd])), strict=True))
-        calls = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
-        for group, ids in zip(calls, self._encoded([lead + between.join(g) for g in calls]), strict=True):
-            cuts = np.flatnonzero(ids == self.mark_id)
-            raw, at = ids.tobytes(), 0
-            for w, to in zip(group, [*(2 * cuts).tolist(), len(raw)], strict=True):
-                found[w] = raw[at:to]
-                at = to + 2
-        known.update((w, v) for w, v in found.items() if len(w) <= LONG)
+
+    def _encoded(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=np.uint16) for x in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learned(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of words, each with its leading space if it has one."""
+        found: dict[str, bytes] = {}
+        odd = [t for t in texts if self.mark in t]
+        found.update(zip(odd, (x.tobytes() for x in self._encoded(odd)), strict=True))
+        rest = [t for t in texts if self.mark not in t]
+        if self.spaced:
+            groups = [(False, [t for t in rest if t[:1] == " "]), (False, [t for t in rest if t[:1] != " "])]
+        else:
+            groups = [(True, [t for t in rest if t.isascii() and t.islower()]), (False, [t for t in rest if not (t.isascii() and t.islower())])]
+        between = self.mark if self.spaced else f" {self.mark} "
+        for plain, own in groups:
+            calls = [own[i : i + TOGETHER] for i in range(0, len(own), TOGETHER)]
+            for group, ids in zip(calls, self._encoded([between.join(g) for g in calls], plain), strict=True):
+                raw, at = ids.tobytes(), 0
+                for t, to in zip(group, [*(2 * np.flatnonzero(ids == self.mark_id)).tolist(), len(raw)], strict=True):
+                    found[t] = raw[at:to]
+                    at = to + 2
         return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint16 ids of each text."""
-        first: set[str] = set()
-        later: set[str] = set()
-        plans, whole = [], []
-        for text in texts:
-            words = text.split()
-            if not words or " ".join(words) != text.replace("\n", " "):
-                plans.append(None)
-                whole.append(text)
-            elif self.spaced:
-                lines = [x.split(" ") for x in text.split("\n")]
-                first.update([x[0] for x in lines])
-                later.update(*[x[1:] for x in lines])
-                plans.append(lines)
-            else:
-                first.update(words)
-                plans.append([words])
-        new, new_later = self._learn(first, False), self._learn(later, True)
-        a, b = self.memory
-        kept_apart = [(known, [w for w in found if len(w) > LONG]) for known, found in ((a, new), (b, new_later))]
-        for (known, words), found in zip(kept_apart, (new, new_later), strict=True):
-            known.update((w, found[w]) for w in words)
-        own = iter(self._encoded(whole))
-        out = []
-        for plan in plans:
-            if plan is None:
-                out.append(next(own))
-            elif self.spaced:
-                out.append(np.frombuffer(self.line.join([b"".join([a[x[0]], *[b[w] for w in x[1:]]]) for x in plan]), dtype=np.uint16))
-            else:
-                out.append(np.frombuffer(b"".join([a[w] for w in plan[0]]), dtype=np.uint16))
-        for known, words in kept_apart:
-            for w in words:
-                del known[w]
-        return out
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the distinct ``texts``, where each text's begin, and how many they are."""
+        own = texts.dictionary_encode()
+        keys = own.dictionary.to_pylist()
+        raw = self.memory.all(keys)
+        new = [i for i, r in enumerate(raw) if r is None]
+        found = self._learned([keys[i] for i in new])
+        for i in new:
+            raw[i] = found[keys[i]]
+        self.memory.put(found)
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 2
+        which = own.indices.to_numpy(zero_copy_only=False)
+        return np.frombuffer(b"".join(raw), dtype=np.uint16), (np.cumsum(size) - size)[which], size[which]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, one after another, and how many each has. In a spaced vocabulary words follow a space, unless they
+        begin with a line feed."""
+        line = pc.starts_with(words, "\n") if self.spaced else pa.array(np.zeros(len(words), dtype=bool))
+        if self.spaced:
+            space = pc.if_else(pc.equal(words, ""), "", " ")
+            words = pc.if_else(line, pc.utf8_slice_codeunits(words, 1), pc.binary_join_element_wise(space, words, ""))
+        core = pc.utf8_rtrim(words, TRAILING)
+        apart = pc.match_substring_regex(core, r"\p{L}$")
+        tail = pc.if_else(apart, pc.fill_null(pc.struct_field(pc.extract_regex(words, f"(?P<t>[{TRAILING}]+)$"), "t"), ""), "")
+        line = line.to_numpy(zero_copy_only=False)
+        a_ids, a_at, a_n = self._ids(pc.if_else(apart, core, words))
+        b_ids, b_at, b_n = self._ids(tail)
+        size = line + a_n + b_n
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), dtype=np.uint16)
+        out[at[line]] = self.mark_id
+        out[_ranges(at + line, a_n)] = a_ids[_ranges(a_at, a_n)]
+        out[_ranges(at + line + a_n, b_n)] = b_ids[_ranges(b_at, b_n)]
+        return out, size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint16), and where each text's begin (one entry more than texts). Nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        if not self.spaced:
+            # the tokenizer lowers letters in any case; here it makes more words alike
+            parts = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+            ids, sizes = self._joined(parts)
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd)) if odd.any() else texts
+        # each line begins with a feed, the first with one too many
+        parts = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n", texts.type), plain, pa.scalar("", texts.type)), "\n", " \n"), " ")
+        ids, sizes = self._joined(parts)
+        first = np.cumsum(sizes) - sizes
+        ids = np.delete(ids, first)
+        sizes = sizes - 1
+        if not odd.any():
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
+        own = iter(self._encoded(texts.filter(pa.array(odd)).to_pylist()))
+        split = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+        each = [next(own) if o else next(split) for o in odd.tolist()]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64).reshape(n + 1)
+
+    def _joined(self, parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lists of words, and how many each list has."""
+        words = parts.flatten().dictionary_encode()
+        ids, size = self._words(words.dictionary)
+        which = words.indices.to_numpy(zero_copy_only=False)
+        own = size[which]
+        total = np.concatenate([[0], np.cumsum(own)])
+        offsets = parts.offsets.to_numpy()
+        return ids[_ranges((np.cumsum(size) - size)[which], own)], np.diff(total[offsets - offsets[0]])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] places, and so on."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 _loaded: dict[tuple[str, bool], Ids] = {}
