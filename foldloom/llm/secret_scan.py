@@ -20,11 +20,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import written
+from .text_kernels import lean
 
 #: The patterns, in order, with the least length of what counts.
 KINDS = ("assign", "access", "hex", "random")
@@ -186,7 +188,7 @@ def scanned(docs: DataFrame, keep: list[str], text: str = "text", alpha: float =
     """
     own = list(dict.fromkeys([*keep, text]))
     schema = T.StructType([docs.schema[c] for c in keep] + list(T._parse_datatype_string(FOUND).fields))
-    found = written(docs.select(*own).mapInArrow(_scan(own.index(text), [own.index(c) for c in keep]), schema), "secrets")
+    found = written(docs.select(*own).mapInArrow(lean(_scan(own.index(text), [own.index(c) for c in keep])), schema), "secrets")
     counts = found.select(F.explode("runs").alias("r")).groupBy(length_class(F.col("r")).alias("c"), F.col("r.bin").alias("b")).count()
     bins = thresholds({(r["c"], r["b"]): r["count"] for r in counts.collect()}, alpha)  # at most 64 * BINS rows
     passed = F.lit(False)
@@ -245,5 +247,5 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = None, alp
                     columns[count] = pa.array(lengths, batch.column(count).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:spans])
 
-    out = found.mapInArrow(run, T.StructType(found.schema.fields[:spans]))
+    out = found.mapInArrow(lean(run), T.StructType(found.schema.fields[:spans]))
     return out.select(*[F.col(a).alias(c) for c, a in away.items()])
