@@ -6,7 +6,7 @@
 3. Each class emits its prefix: two sets as similar as asked share a shingle of the first's probing prefix and the
    second's (smaller) indexing prefix. Shingles of one class only are dropped by an aggregate and a join.
    A length, a position, a suffix and a whole-set filter then bound the intersection that a pair could have.
-4. Links are wanted for components, so a group of near copies needn't be paired in full: in PIVOT_ROUNDS rounds the
+4. Links are wanted for components, so a group of near copies needn't be paired in full: in PIVOT_ROUNDS round(s) the
    members of each prefix shingle's group are offered one member of it, and each document is paired with one that it is offered. What then is in one component needs no
    further pairs; the rest, every pair of a shingle's group across components, is paired exactly. A pair passes the
    filters first, is made distinct, and is verified once, by the exact intersection of the two sets.
@@ -29,7 +29,7 @@ from .shared import dropped, swept, written
 from .text_kernels import lean, pieces, shingle_sets
 
 SKETCH_BITS = 18
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 CLASSES = 8  # of hashes, in a suffix's signature: CLASSES counters of one byte
 PARITY = 256  # classes of hashes in a whole set's signature: the parity of each class's count, in longs
 FILTER_BITS = 22
@@ -160,7 +160,7 @@ def _bit(ids: np.ndarray) -> np.ndarray:
 def _map_of(ids: DataFrame) -> np.ndarray:
     """A map of 2 ** FILTER_BITS bits in 64-bit words, with the bits of ``ids`` set."""
     place = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = ids.distinct().select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("b"))
+    words = ids.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("b"))
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
     for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():  # fixed number of rows
         bits[r["w"]] = np.uint64(r["b"] & ((1 << 64) - 1))
@@ -254,7 +254,7 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
         2 ** FILTER_BITS bits, the only thing sent out, keeps most others back, the joins the rest."""
         sides = [wide.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b")]
         near = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
-        pairs = written(near.mapInArrow(lean(_near(num, den)), "a long, b long").distinct(), "near")
+        pairs = written(near.mapInArrow(lean(_near(num, den)), "a long, b long"), "near")
         maps = [_map_of(pairs.select(F.col(c).alias("id"))) for c in ("a", "b")]
         sets = written(docs.mapInArrow(lean(_sets(k, spark.sparkContext.broadcast(maps))), "id long, set binary, first boolean, second boolean"), "candidates")
         left = sets.where("first").select(F.col("id").alias("a"), F.col("set").alias("set_a"))
@@ -279,13 +279,14 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
             one = F.min if round_ == 0 else F.max
             pivots = left_now.groupBy("token").agg(one(F.struct(*MEMBER)).alias("y")).select("token", *[F.col(f"y.{c}").alias(f"y_{c}") for c in MEMBER])
             # of the members that a document's shingles offer, one is tried in a round
-            pairs = _pairs(_named(left_now, "x_").join(pivots, "token"), num, den).groupBy("x").agg(one("y").alias("y"))
+            pairs = _pairs(_named(left_now, "x_").join(pivots, "token"), num, den).groupBy("x").agg(one("y").alias("y"))  # y is less, or greater, than x: no pair comes twice
         else:
             # a shingle's largest component isn't paired with itself; the others are, with it and among themselves
             most = left_now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"))
             others = _named(left_now.join(most, "token").where("component <> most.component"), "x_")
             pairs = _pairs(others.join(_named(left_now, "y_"), "token"), num, den)
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        pairs = pairs if round_ < PIVOT_ROUNDS else pairs.distinct()
         pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.union(pairs)
         new = None if pairs.isEmpty() else verified(pairs)
