@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
-from .text_kernels import code_point_value, letter_words, mixed, pieces
+from .text_kernels import code_point_value, lean, letter_words, mixed, pieces
 
 SHARE = 1e-5
 ORDERS = (4, 3, 2, 1)
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float =
     rows = words_by_code.join(F.broadcast(known), "word", "left_semi").toPandas()
     _, _, _, hashes, _ = letter_words(rows["word"].tolist())
     model.add(0, hashes, rows["lang"].to_numpy(int), rows["n"].to_numpy(float), total)
-    counts = written(words_by_code.select("lang", "word", "n").mapInArrow(_gram_counts, "lang int, order int, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")), "grams")
+    counts = written(words_by_code.select("lang", "word", "n").mapInArrow(lean(_gram_counts), "lang int, order int, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")), "grams")
     of = counts.groupBy("lang", "order").agg(F.sum("n").alias("total"))
     enough = counts.join(F.broadcast(of), ["lang", "order"]).where(F.col("n") >= share * F.col("total")).select("order", "key").distinct()  # at most 1 / share a language and order
     grams_known = counts.join(F.broadcast(enough), ["order", "key"], "left_semi").toPandas()
@@ -161,4 +161,4 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([ids, pa.array([m.langs[i] if i >= 0 else "und" for i in best.tolist()], pa.string()), pa.array(np.where(best >= 0, chance, 0.0))], ["id", "lang_pred", "score"])
 
     source = docs.select(F.col(key).cast("long").alias("id"), F.lower(text).alias("text"))
-    return source.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", key)
+    return source.mapInArrow(lean(run), "id long, lang_pred string, score double").withColumnRenamed("id", key)
