@@ -23,7 +23,6 @@ OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 ESCAPES = (("###", "\\h"), ("</turn>", "\\e"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 LEARNED = "assistant"
-MOST_ROUNDS = 40
 
 
 def escaped(text: Column, marks=ESCAPES) -> Column:
@@ -69,21 +68,25 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     """
     there = nodes.select("c", F.col("node").alias("parent")).withColumn("found", F.lit(True))
     own = nodes.join(there, ["c", "parent"], "left").select("c", "node", F.when(F.col("found"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth"))
-    strides = [written(own, "reply-0")]
-    while len(strides) < MOST_ROUNDS and not strides[-1].where("up is not null").isEmpty():
-        now = strides[-1]
-        above = now.select("c", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("steps"))
-        step = now.join(above, ["c", "up"], "left").select("c", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), F.least(F.col("depth") + F.coalesce("steps", F.lit(0)), F.lit(1 << 61)).alias("depth"))
-        strides.append(written(step, f"reply-{len(strides)}"))
-    whole = strides[-1].where("up is null")
-    leaves = whole.join(strides[0].where("up is not null").select("c", F.col("up").alias("node")).distinct(), ["c", "node"], "left_anti")
+    # rows that have reached their root take no part in later rounds but as ancestors
+    first = written(own, "reply-0")
+    active, roots = [first.where("up is not null")], first.where("up is null")
+    most = first.count().bit_length() + 1  # a path has no more turns than there are: what goes on longer is on a cycle
+    while len(active) < most and not active[-1].isEmpty():
+        now = active[-1]
+        above = now.union(roots).select("c", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("steps"))
+        step = now.join(above, ["c", "up"]).select("c", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), F.least(F.col("depth") + F.col("steps"), F.lit(1 << 61)).alias("depth"))
+        step = written(step, f"reply-{len(active)}")
+        active.append(step.where("up is not null"))
+        roots = roots.union(step.where("up is null"))
+    leaves = roots.join(active[0].select("c", F.col("up").alias("node")).distinct(), ["c", "node"], "left_anti")
     order = Window.partitionBy("c").orderBy(F.desc("total"), F.desc("depth"), "node")
     chosen = leaves.withColumn("branch_rank", F.row_number().over(order)).where(F.col("branch_rank") <= best)
     rows = chosen.select("c", F.col("node").alias("branch"), "node", F.col("depth").alias("steps"), "depth", "branch_rank", F.col("total").alias("branch_score"))
-    for k in reversed(range(len(strides) - 1)):
+    for k in reversed(range(len(active) - 1)):
         stride = 1 << k
         rows = written(rows, f"reply-path-{k}")
-        up = strides[k].where("up is not null").select("c", "node", "up")
+        up = active[k].select("c", "node", "up")
         above = rows.where(F.col("steps") > stride).join(up, ["c", "node"]).select("c", "branch", F.col("up").alias("node"), (F.col("steps") - stride).alias("steps"), (F.col("depth") - stride).alias("depth"), "branch_rank", "branch_score")
         rows = rows.withColumn("steps", F.least("steps", F.lit(stride).cast("long"))).union(above)
     return rows.drop("steps")
