@@ -113,14 +113,14 @@ def shingle_sets(texts: pa.Array, k: int, whole_if_short: bool) -> Iterator[np.n
             yield np.empty(0, dtype=np.uint64)
 
 
-def lean(run):
-    """``run`` over a task's batches, handing large arrays straight back to the system, and the rest when the task ends: workers
-    live on, and what idle ones keep counts against their executor."""
+def lean(run, large: int = 1 << 20):
+    """``run`` over a task's batches, handing arrays of ``large`` bytes straight back to the system, and the rest when the task
+    ends: workers live on, and what idle ones keep counts against their executor."""
 
     def wrapped(batches):
         try:
             libc = ctypes.CDLL("libc.so.6")
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, else it grows with what is freed
+            libc.mallopt(-3, large)  # M_MMAP_THRESHOLD, else it grows with what is freed
         except (OSError, AttributeError):
             libc = None
         try:

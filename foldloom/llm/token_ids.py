@@ -17,13 +17,16 @@ import pyarrow.compute as pc
 GENERATION, LONG, TOGETHER = 250_000, 40, 1000
 #: White space that isn't a single space or line feed between two other characters.
 ODD_SPACE = "[ \n]{2}|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\u0085   -     　]"
+#: The first character after those of Latin alphabets: below it nothing combines.
+BEYOND_LATIN = "\u0250"
 TRAILING = ".,;:!?#$%&*|"
 
 
 class Memory:
     """A dict that forgets: what wasn't asked for while a generation filled up goes with the one before it."""
 
-    def __init__(self):
+    def __init__(self, generation: int):
+        self.generation = generation
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -35,7 +38,7 @@ class Memory:
         return out
 
     def put(self, found: dict[str, bytes]) -> None:
-        if len(self.now) >= GENERATION:
+        if len(self.now) >= self.generation:
             self.before, self.now = self.now, {}
         self.now.update([x for x in found.items() if len(x[0]) <= LONG])
 
@@ -44,16 +47,16 @@ class Ids:
     """``spaced``: a word's ids depend on the space before it, and a line feed is a token (byte-level BPE); else white
     space is dropped by the tokenizer."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, generation: int = GENERATION):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(path)  # for lower-case ASCII, which no normaliser changes
+        self.plain = Tokenizer.from_file(path)  # for lower-case Latin letters and ASCII, which no normaliser changes
         self.plain.encode_special_tokens = True
         if self.plain.normalizer is not None:
             self.plain.normalizer = None
-        self.spaced, self.memory = spaced, Memory()
+        self.spaced, self.memory = spaced, Memory(generation)
         self.mark = "\n" if spaced else "0"
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
 
@@ -65,11 +68,13 @@ class Ids:
         found: dict[str, bytes] = {}
         odd = [t for t in texts if self.mark in t]
         found.update(zip(odd, (x.tobytes() for x in self._encoded(odd)), strict=True))
-        rest = [t for t in texts if self.mark not in t]
+        rest = [t for t in texts if t and self.mark not in t]
+        found[""] = b""
         if self.spaced:
             groups = [(False, [t for t in rest if t[:1] == " "]), (False, [t for t in rest if t[:1] != " "])]
         else:
-            groups = [(True, [t for t in rest if t.isascii() and t.islower()]), (False, [t for t in rest if not (t.isascii() and t.islower())])]
+            plain = [max(t) < BEYOND_LATIN and t.lower() == t for t in rest]
+            groups = [(True, [t for t, x in zip(rest, plain, strict=True) if x]), (False, [t for t, x in zip(rest, plain, strict=True) if not x])]
         between = self.mark if self.spaced else f" {self.mark} "
         for plain, own in groups:
             calls = [own[i : i + TOGETHER] for i in range(0, len(own), TOGETHER)]
@@ -159,8 +164,8 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _loaded: dict[tuple[str, bool], Ids] = {}
 
 
-def ids_of(path: str, spaced: bool) -> Ids:
+def ids_of(path: str, spaced: bool, generation: int = GENERATION) -> Ids:
     """One for each file and worker."""
     if (path, spaced) not in _loaded:
-        _loaded[path, spaced] = Ids(path, spaced)
+        _loaded[path, spaced] = Ids(path, spaced, generation)
     return _loaded[path, spaced]

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archive_files import SharedFile, files
+from .text_kernels import lean, pieces
 from .token_ids import ids_of
 
 MAGIC, VERSION, BLOCK = b"FLS8IDS\n", 1, 4096
@@ -42,30 +43,30 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     # fits[s]: from this place on, as many values as selector s holds are narrow enough and in the block
     left = np.concatenate([np.arange(s, 0, -1) for s in sizes]) if len(sizes) < 4 else np.concatenate([np.tile(np.arange(block, 0, -1), len(sizes) - 1), np.arange(sizes[-1], 0, -1)])
     choice = np.where(values < np.uint64(1) << np.uint64(60), 15, 0).astype(np.int8)
+    places, most = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64), int(values.max())
     for s in range(14, 0, -1):
         bits, count = int(WIDTHS[s]), int(COUNTS[s])
-        narrow = values < (np.uint64(1) << np.uint64(bits))
-        if not narrow.any():
+        if most < 1 << bits:  # all are narrow enough: what is left of the block decides
+            choice[left >= count] = s
+            continue
+        # of the places that were narrow enough before, those that are so for fewer bits: ever fewer are looked at
+        places = places[values[places] < (np.uint64(1) << np.uint64(bits))]
+        if len(places) < count:
             break
-        ends = np.concatenate([[0], np.cumsum(~narrow)])
-        ok = np.zeros(n, dtype=bool)
-        if n >= count:
-            ok[: n - count + 1] = ends[count:] == ends[: n - count + 1]
-        choice[ok & (left >= count)] = s
-    # all blocks take one step at a time
-    first = np.cumsum(sizes) - sizes
-    at, end, live = first.copy(), first + sizes, np.arange(len(sizes))
-    steps = []
-    while len(live):
-        s = choice[at[live]]
-        steps.append((live, at[live].copy(), s))
-        at[live] += COUNTS[s]
-        live = live[at[live] < end[live]]
-    whose = np.concatenate([x[0] for x in steps])
-    place = np.concatenate([x[1] for x in steps])
-    kind = np.concatenate([x[2] for x in steps]).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    place, kind, whose = place[order], kind[order], whose[order]
+        ok = places[: len(places) - count + 1]
+        ok = ok[places[count - 1 :] - ok == count - 1]
+        choice[ok[left[ok] >= count]] = s
+    # all blocks take one step at a time, from word to word
+    end = np.cumsum(sizes)
+    at, begins = end - sizes, np.zeros(n, dtype=bool)
+    step = COUNTS[choice]
+    while len(at):
+        begins[at] = True
+        at = at + step[at]
+        more = at < end
+        at, end = at[more], end[more]
+    place = np.flatnonzero(begins)
+    kind, whose = choice[place].astype(np.int64), place // block
     wide = 1 + (kind == 0)
     to = np.cumsum(wide) - wide
     out = np.zeros(int(wide.sum()), dtype=np.uint64)
@@ -111,10 +112,10 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _writer(folder: str, tokenizer: str, eos: int, batch_ids: int = 256 * BLOCK):
+def _writer(folder: str, tokenizer: str, eos: int, batch_ids: int = 128 * BLOCK):
     def run(batches):
-        ids, task = ids_of(tokenizer, False), TaskContext.get().partitionId()
-        end = np.array([eos], dtype=np.uint16)
+        ids, task = ids_of(tokenizer, False, 200_000), TaskContext.get().partitionId()
+        end = np.uint16(eos)
         out, clean = None, False
         keys: list = []
         counts, starts, sizes, waiting, words, held = [], [], [], [], 0, 0
@@ -132,16 +133,15 @@ def _writer(folder: str, tokenizer: str, eos: int, batch_ids: int = 256 * BLOCK)
 
         try:
             for batch in batches:
-                for at in range(0, len(batch), 256):
-                    part = batch.slice(at, 256)
+                for names, texts in pieces(batch.column(0), batch.column(1), 4 << 20):
                     if out is None:
                         out = SharedFile(folder, f"part-{task:06d}.ids")
                         out.write(MAGIC)
-                    keys += part.column(0).to_pylist()
-                    for own in ids.encode([x or "" for x in part.column(1).to_pylist()]):
-                        counts.append(len(own) + 1)
-                        waiting += [own, end]
-                        held += len(own) + 1
+                    keys += names.to_pylist()
+                    flat, at = ids.encode(texts)
+                    waiting.append(np.insert(flat, at[1:], end))
+                    counts += (np.diff(at) + 1).tolist()
+                    held += len(waiting[-1])
                     if held >= batch_ids:
                         flush(False)
             if out is not None:
@@ -169,7 +169,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     ranged = source.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    n = ranged.mapInArrow(_writer(folder, tokenizer, eos), "documents long").agg(F.sum("documents").alias("n")).first()["n"]
+    n = ranged.mapInArrow(lean(_writer(folder, tokenizer, eos), 16 << 20), "documents long").agg(F.sum("documents").alias("n")).first()["n"]
     return int(n or 0)
 
 
@@ -220,7 +220,7 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["path", "n"])
 
     before, total = {}, 0
-    for r in sorted(content.mapInArrow(sizes, "path string, n long").collect()):  # a row a file
+    for r in sorted(content.mapInArrow(lean(sizes), "path string, n long").collect()):  # a row a file
         before[r["path"]], total = total, total + r["n"]
     sent = spark.sparkContext.broadcast(before)
 
@@ -233,4 +233,4 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 missing = np.arange(f.documents) < f.nameless
                 yield pa.RecordBatch.from_arrays([pa.array(f.keys.astype(np.int64), mask=missing), pa.array(sent.value[path] + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    return content.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", key)
+    return content.mapInArrow(lean(run, 16 << 20), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", key)
