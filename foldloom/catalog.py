@@ -62,6 +62,14 @@ shared AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM narrow a JOIN narro
 LINKED = """linked AS (SELECT DISTINCT p.p_partkey AS a, s.s_suppkey AS b FROM lineitem JOIN part p ON l_partkey = p_partkey JOIN supplier s ON l_suppkey = s_suppkey WHERE p_partkey <= 1000 AND s_suppkey <= 100)"""
 LOOKUP = f"""{LINKED}, names AS (SELECT 'P' || p_partkey AS id, (p_partkey - 1)::INT AS node FROM part WHERE p_partkey <= 1000 UNION ALL SELECT 'S' || s_suppkey, (1000 + s_suppkey - 1)::INT FROM supplier WHERE s_suppkey <= 100),
 looked AS (SELECT DISTINCT x.node AS src, y.node AS dst FROM linked JOIN names x ON x.id = 'P' || a JOIN names y ON y.id = 'S' || b)"""
+#: The same over whole tables: nodes are as many as the data has, from its least key, which may be 0; suppliers follow parts.
+PARTS, SUPPLIERS = "(SELECT max(p_partkey) - min(p_partkey) + 1 FROM part)", "(SELECT max(s_suppkey) - min(s_suppkey) + 1 FROM supplier)"
+ENDS = f"({PARTS} + {SUPPLIERS})"
+PART_NODE, SUPPLIER_NODE = "(p_partkey - (SELECT min(p_partkey) FROM part))::INT", f"({PARTS} + s_suppkey - (SELECT min(s_suppkey) FROM supplier))::INT"
+WHOLE_ANNOTATIONS = f"ann AS (SELECT DISTINCT {PART_NODE} AS node, unnest(['b:' || p_brand, 't:' || p_type, 's:' || p_size]) AS term FROM part)"
+WHOLE_SHARED = f"""{WHOLE_ANNOTATIONS}, narrow AS (SELECT * FROM ann WHERE term IN (SELECT term FROM ann GROUP BY 1 HAVING count(*) <= 100)),
+shared AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM narrow a JOIN narrow b ON a.term = b.term AND a.node <> b.node)"""
+WHOLE_LOOKUP = f"""looked AS (SELECT DISTINCT {PART_NODE} AS src, {SUPPLIER_NODE} AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 CORRELATED = f"{CELLS}, co AS (SELECT a.gene_idx AS a, b.gene_idx AS b, corr(a.x, b.x) AS r FROM cells a JOIN cells b ON a.cell_id = b.cell_id AND a.gene_idx < b.gene_idx GROUP BY 1, 2)"
 
 
@@ -94,19 +102,35 @@ def fold_table(spark, d):
     return own.select(F.col("l_returnflag").alias("dataset"), graph.alias("graph_type"), hvg.alias("hvg"), (F.col("l_linenumber") + 41).cast("int").alias("seed"), F.concat(F.lit("C"), "o_custkey").alias("condition"), F.col("l_discount").alias("pearson_r"), F.col("l_tax").alias("spearman_rho"), (F.col("l_quantity") / 50).alias("mse"), (F.col("l_extendedprice") / 100000).alias("jaccard"))
 
 
-def annotated(spark, d):
+def annotated(spark, d, keep="p_partkey <= 1000", least=1):
     t = F.explode(F.array(F.concat(F.lit("b:"), "p_brand"), F.concat(F.lit("t:"), "p_type"), F.concat(F.lit("s:"), "p_size")))
-    return table(spark, d, "part").where("p_partkey <= 1000").select((F.col("p_partkey") - 1).cast("int").alias("node"), t.alias("term")).distinct()
+    return table(spark, d, "part").where(keep).select((F.col("p_partkey") - least).cast("int").alias("node"), t.alias("term")).distinct()
 
 
-def links(spark, d):
-    own = table(spark, d, "lineitem").where("l_partkey <= 1000 AND l_suppkey <= 100").select(F.concat(F.lit("P"), "l_partkey").alias("id_a"), F.concat(F.lit("S"), "l_suppkey").alias("id_b"), F.lit(400).alias("score"))
+def links(spark, d, keep="l_partkey <= 1000 AND l_suppkey <= 100"):
+    own = table(spark, d, "lineitem").where(keep).select(F.concat(F.lit("P"), "l_partkey").alias("id_a"), F.concat(F.lit("S"), "l_suppkey").alias("id_b"), F.lit(400).alias("score"))
     return annotations.network(own)
 
 
-def names(spark, d):
-    parts = table(spark, d, "part").where("p_partkey <= 1000").select(F.concat(F.lit("P"), "p_partkey").alias("id"), (F.col("p_partkey") - 1).cast("int").alias("node"))
-    return parts.union(table(spark, d, "supplier").where("s_suppkey <= 100").select(F.concat(F.lit("S"), "s_suppkey"), (F.col("s_suppkey") + 999).cast("int")))
+def names(spark, d, parts="p_partkey <= 1000", suppliers="s_suppkey <= 100", to_part=-1, to_supplier=999):
+    own = table(spark, d, "part").where(parts).select(F.concat(F.lit("P"), "p_partkey").alias("id"), (F.col("p_partkey") + to_part).cast("int").alias("node"))
+    return own.union(table(spark, d, "supplier").where(suppliers).select(F.concat(F.lit("S"), "s_suppkey"), (F.col("s_suppkey") + to_supplier).cast("int")))
+
+
+def keys(spark, d, name, key):
+    """The least key, and how many nodes a table has, its keys being numbers in a row."""
+    r = table(spark, d, name).agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    return (0, 0) if r["a"] is None else (r["a"], r["b"] - r["a"] + 1)
+
+
+def whole_annotated(spark, d):
+    return annotated(spark, d, "true", keys(spark, d, "part", "p_partkey")[0])
+
+
+def whole_names(spark, d):
+    """Names of all parts and, after them, suppliers, and how many nodes that makes."""
+    (part, n), (supplier, m) = keys(spark, d, "part", "p_partkey"), keys(spark, d, "supplier", "s_suppkey")
+    return names(spark, d, "true", "true", -part, n - supplier), n + m
 
 
 # ---------------------------------------------------------------- sources
@@ -258,14 +282,21 @@ def top1_strongest_genes(spark, d):
 @query("""WITH c AS (SELECT DISTINCT 'P' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '+P' || (p_partkey + 1) WHEN 1 THEN ' + ctrl' WHEN 2 THEN '' ELSE '+nobody' END AS condition FROM part WHERE p_partkey <= 500),
 t AS (SELECT condition, trim(unnest(string_split(condition, '+'))) AS gene FROM c), g AS (SELECT 'P' || p_partkey AS gene, (p_partkey - 1)::INT AS gene_idx FROM part WHERE p_partkey % 3 <> 0)
 SELECT condition, string_agg(DISTINCT gene_idx::VARCHAR, ',' ORDER BY gene_idx::VARCHAR) AS genes FROM t LEFT JOIN g USING (gene) GROUP BY 1""")
-def jn4_perturbation_masks(spark, d):
+def jn4_perturbation_masks(spark, d, keep="p_partkey <= 500"):
     k, p = F.col("p_partkey"), table(spark, d, "part")
     tail = F.when(k % 4 == 0, F.concat(F.lit("+P"), k + 1)).when(k % 4 == 1, " + ctrl").when(k % 4 == 2, "").otherwise("+nobody")
     genes = p.where(k % 3 != 0).select(F.concat(F.lit("P"), k).alias("gene"), (k - 1).cast("int").alias("gene_idx"))
-    found = lopo.masks(p.where(k <= 500).select(F.concat(F.lit("P"), k, tail).alias("condition")), genes)
+    found = lopo.masks(p.where(keep).select(F.concat(F.lit("P"), k, tail).alias("condition")), genes)
     return found.select("condition", F.when(F.col("genes").isNotNull(), F.array_join(F.array_sort(F.transform("genes", lambda g: g.cast("string"))), ",")).alias("genes"))
 
 
+@query("""WITH c AS (SELECT DISTINCT 'P' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '+P' || (p_partkey + 1) WHEN 1 THEN ' + ctrl' WHEN 2 THEN '' ELSE '+nobody' END AS condition FROM part),
+t AS (SELECT condition, trim(unnest(string_split(condition, '+'))) AS gene FROM c), g AS (SELECT 'P' || p_partkey AS gene, (p_partkey - 1)::INT AS gene_idx FROM part WHERE p_partkey % 3 <> 0)
+SELECT condition, string_agg(DISTINCT gene_idx::VARCHAR, ',' ORDER BY gene_idx::VARCHAR) AS genes FROM t LEFT JOIN g USING (gene) GROUP BY 1""")
+def jn4_perturbation_masks_whole(spark, d):
+    return jn4_perturbation_masks(spark, d, "true")
+
+
 @query("""WITH c AS (SELECT 'P' || label AS condition, row_number() OVER (ORDER BY min(vec_id)) - 1 AS cond_ord FROM embeddings WHERE label <> 0 GROUP BY label)
 SELECT f.condition AS fold, c.condition FROM c JOIN c f ON f.condition <> c.condition WHERE f.cond_ord >= 2 AND f.cond_ord < 6""")
 def flt7_flt8_lim1_folds(spark, d):
@@ -345,6 +376,40 @@ def set2_symmetrised(spark, d):
     return graphs.mirrored(graphs.looked_up(links(spark, d), names(spark, d)).where("src < dst"))
 
 
+@query(f"WITH {WHOLE_SHARED} SELECT src, dst FROM shared UNION SELECT i, i FROM (SELECT unnest(range({PARTS}))::INT AS i) t")
+def gr2_jn2_flt3_shared_terms_whole(spark, d):
+    return graphs.with_loops(graphs.shared_terms(whole_annotated(spark, d)), keys(spark, d, "part", "p_partkey")[1])
+
+
+@query(f"WITH {WHOLE_LOOKUP} SELECT src, dst FROM looked UNION SELECT dst, src FROM looked UNION SELECT i, i FROM (SELECT unnest(range({ENDS}))::INT AS i) t")
+def gr1_jn1_lookup_graph_whole(spark, d):
+    known, n = whole_names(spark, d)
+    return graphs.with_loops(graphs.looked_up(links(spark, d, "true"), known), n)
+
+
+@query(f"WITH {WHOLE_SHARED}, {WHOLE_LOOKUP} SELECT src, dst FROM shared UNION SELECT src, dst FROM looked UNION SELECT dst, src FROM looked UNION SELECT i, i FROM (SELECT unnest(range({ENDS}))::INT AS i) t")
+def gr4_set1_combined_whole(spark, d):
+    known, n = whole_names(spark, d)
+    return graphs.combined(graphs.with_loops(graphs.shared_terms(whole_annotated(spark, d)), n), graphs.with_loops(graphs.looked_up(links(spark, d, "true"), known), n))
+
+
+@query(f"WITH {WHOLE_SHARED}, e AS (SELECT src, dst FROM shared UNION SELECT i, i FROM (SELECT unnest(range({PARTS}))::INT AS i) t) SELECT round(count(*) / {PARTS}::DOUBLE, 6) AS avg_degree FROM e")
+def agg11_average_degree_whole(spark, d):
+    n = keys(spark, d, "part", "p_partkey")[1]
+    return rounded(graphs.average_degree(graphs.with_loops(graphs.shared_terms(whole_annotated(spark, d)), n), n))
+
+
+@query(f"WITH {WHOLE_SHARED} SELECT count(*) AS n_edges, count(*) > 0 AND (SELECT count(DISTINCT node) >= 10 FROM ann) AS available FROM shared")
+def flt5_availability_whole(spark, d):
+    own = whole_annotated(spark, d)
+    return graphs.available(graphs.shared_terms(own), own.select("node"))
+
+
+@query(f"WITH {WHOLE_LOOKUP} SELECT src, dst FROM looked WHERE src <> dst UNION SELECT dst, src FROM looked WHERE src <> dst")
+def set2_symmetrised_whole(spark, d):
+    return graphs.mirrored(graphs.looked_up(links(spark, d, "true"), whole_names(spark, d)[0]).where("src < dst"))
+
+
 @query("SELECT i::INT AS src, i::INT AS dst FROM range(50) t(i)")
 def gr6_set3_loops_only(spark, d):
     return graphs.with_loops(graphs.empty(spark), 50)
@@ -357,9 +422,9 @@ def gr5_preferential(spark, d):
 
 @query()
 def gr7_all_graphs(spark, d):
-    own = annotated(spark, d).where(F.col("node") < GENES)
-    near = names(spark, d).withColumn("node", F.pmod("node", F.lit(GENES)).cast("int"))
-    built = graphs.build_all(table(spark, d, "embeddings"), "embedding", GENES, own, links(spark, d), near, 0.1)
+    own = whole_annotated(spark, d).where(F.col("node") < GENES)  # the matrix has no other features
+    near = whole_names(spark, d)[0].withColumn("node", F.pmod("node", F.lit(GENES)).cast("int"))
+    built = graphs.build_all(table(spark, d, "embeddings"), "embedding", GENES, own, links(spark, d, "true"), near, 0.1)
     parts = [g.groupBy().agg(F.count("*").alias("n_edges")).select(F.lit(k).alias("graph"), "n_edges") for k, g in built.items()]
     return rollup.concatenated(*parts)
 
@@ -396,11 +461,16 @@ def agg8_mode(spark, d):
 
 
 @query(f"WITH {ANNOTATIONS} SELECT term, count(DISTINCT node) AS n_genes, string_agg(node::VARCHAR, ',' ORDER BY node) AS genes FROM ann GROUP BY 1")
-def agg9_term_genes(spark, d):
-    own = annotated(spark, d).groupBy("term").agg(F.array_sort(F.collect_set("node")).alias("g"))
+def agg9_term_genes(spark, d, rows=None):
+    own = (annotated(spark, d) if rows is None else rows).groupBy("term").agg(F.array_sort(F.collect_set("node")).alias("g"))
     return own.select("term", F.size("g").cast("long").alias("n_genes"), F.array_join(F.transform("g", lambda x: x.cast("string")), ",").alias("genes"))
 
 
+@query(f"WITH {WHOLE_ANNOTATIONS} SELECT term, count(DISTINCT node) AS n_genes, string_agg(node::VARCHAR, ',' ORDER BY node) AS genes FROM ann GROUP BY 1")
+def agg9_term_genes_whole(spark, d):
+    return agg9_term_genes(spark, d, whole_annotated(spark, d))
+
+
 DEDUPED = "SELECT dataset, graph_type, hvg, seed, condition, pearson_r, spearman_rho, mse, jaccard, row_number() OVER (PARTITION BY dataset, graph_type, hvg, seed, condition ORDER BY {} pearson_r, spearman_rho, mse, jaccard) AS rn FROM"
 
 
@@ -475,11 +545,16 @@ def st11_signed_ranks(spark, d):
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_discount, least(l_discount * (SELECT count(*) FROM lineitem WHERE l_orderkey < 50), 1.0) AS p_bonf FROM lineitem WHERE l_orderkey < 50")
-def st12_bonferroni(spark, d):
-    own = table(spark, d, "lineitem").where("l_orderkey < 50").select("l_orderkey", "l_partkey", "l_suppkey", "l_discount")
+def st12_bonferroni(spark, d, keep="l_orderkey < 50"):
+    own = table(spark, d, "lineitem").where(keep).select("l_orderkey", "l_partkey", "l_suppkey", "l_discount")
     return stats.bonferroni(own, "l_discount")
 
 
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_discount, least(l_discount * (SELECT count(*) FROM lineitem), 1.0) AS p_bonf FROM lineitem")
+def st12_bonferroni_whole(spark, d):
+    return st12_bonferroni(spark, d, "true")
+
+
 @query("""WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_discount, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS k, count(*) OVER () AS m FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, l_discount, round(least(l_discount * m / k, 1.0), 6) AS p_fdr FROM r""")
 def st13_false_discovery(spark, d):
