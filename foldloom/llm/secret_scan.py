@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and strings that a battery of randomness tests tells from structured text.
 
-The patterns give the base spans. Besides, every run of SHORTEST or more characters of the widest alphabet is a
-candidate. Its encoding is inferred from its characters, and three tests ask how surprising it would be for text of that
+The patterns give the base spans. They are cut out of every run of the widest alphabet's characters, and each stretch
+of SHORTEST or more that is left is a candidate: what a secret is joined to doesn't hide it. A stretch's encoding is inferred from its characters, and three tests ask how surprising it would be for text of that
 encoding's structured kind: a chi-squared statistic of uniformity over the alphabet (structured text is far from uniform), the
 number of runs of one kind of character (structured text seldom changes), and the serial correlation of neighbouring
 characters' places in the alphabet (structured text repeats itself). Fisher's method joins the three p-values. A
@@ -113,18 +113,20 @@ _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
-    """(start, end, p) of the runs that touch no base span."""
-    out, i = [], 0
-    ends = sorted((s, e) for s, e, _ in base)
-    reach = np.maximum.accumulate([e for _, e in ends]) if ends else []
-    starts = [s for s, _ in ends]
+    """(start, end, p) of the stretches of SHORTEST or more characters that base spans leave of the runs."""
+    out, i, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        while i < len(starts) and starts[i] < b:
+        while i < len(base) and base[i][0] < b:
+            s, e, _ = base[i]
             i += 1
-        if i and reach[i - 1] > a:
-            continue
-        out.append((a, b, battery(m[0])[1]))
+            a = max(a, reach)
+            if s - a >= SHORTEST:
+                out.append((a, s, battery(text[a:s])[1]))
+            reach = max(reach, e)
+        a = max(a, reach)
+        if b - a >= SHORTEST:
+            out.append((a, b, battery(text[a:b])[1]))
     return out
 
 

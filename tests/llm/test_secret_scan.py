@@ -56,3 +56,27 @@ def test_empty_table(spark):
 def test_a_long_text_of_many_spans(spark):
     text = " ".join(f"token={i:08d}" for i in range(20_000))
     assert scan(spark, [text])[0]["n_assign"] == 20_000
+
+
+def test_what_base_spans_leave_of_a_run_is_tested(spark):
+    r = random.Random(7)
+    pool = string.ascii_letters + string.digits
+    make = lambda: "".join(r.choice(pool) for _ in range(40))
+    access, hexid = "AKIA" + "A1B2C3D4E5F6G7H8", "0123456789abcdef01234567"
+    texts = [f"at {access}/{make()} x" for _ in range(5)] + [f"at /{hexid}/{make()} x" for _ in range(5)] + [f"at {make()}/{access}+{make()} x" for _ in range(5)]
+    got = scan(spark, texts + ["plain internationalisationandmore text"] * 20)
+    for i in range(5):
+        assert f"access:3:23,random:23:{len(texts[i]) - 2}" == got[i]["spans"]
+        assert f"hex:4:28,random:28:{len(texts[5 + i]) - 2}" == got[5 + i]["spans"]
+        assert f"random:3:44,access:44:64,random:64:{len(texts[10 + i]) - 2}" == got[10 + i]["spans"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(len(t) < 50 and not set(t.split()) & set(texts[i].split()) - {"at", "x"} for i, t in s.redacted(docs).select("doc_id", "text").collect())
+
+
+def test_stretches_left_of_a_run():
+    text = "a" * 20 + "AKIA" + "B" * 16 + "-" + "c" * 19 + " " + "d" * 25
+    spans = lambda base: [x[:2] for x in s.candidates(text, base)]
+    assert spans([]) == [(0, 60), (61, 86)]
+    assert spans([(20, 40, 1)]) == [(0, 20), (40, 60), (61, 86)]
+    assert spans([(20, 40, 1), (22, 30, 2), (39, 41, 2)]) == [(0, 20), (61, 86)]
+    assert spans([(50, 66, 0)]) == [(0, 50), (66, 86)] and spans([(0, 86, 0), (3, 4, 2)]) == []
