@@ -598,12 +598,12 @@ def flt10_st17_agg10_anomalies(spark, d):
 
 @query()
 def st5_normality(spark, d):
-    return stats.shapiro(fold_table(spark, d).where(F.col("seed") == 42))
+    return stats.shapiro(fold_table(spark, d))
 
 
 @query()
 def st18_agg12_pass_rate(spark, d):
-    return stats.pass_rate(stats.shapiro(fold_table(spark, d).where(F.col("seed") == 42)))
+    return stats.pass_rate(stats.shapiro(fold_table(spark, d)))
 
 
 @query()
@@ -613,17 +613,17 @@ def st6_st7_group_tests(spark, d):
 
 @query()
 def st9_bootstrap(spark, d):
-    return rounded(stats.bootstrap(stats.paired(fold_table(spark, d).where(F.col("seed") == 42))))
+    return rounded(stats.bootstrap(stats.paired(fold_table(spark, d))))
 
 
 @query()
 def st14_pairwise(spark, d):
-    return rounded(stats.pairwise(fold_table(spark, d).where(F.col("seed") == 42)))
+    return rounded(stats.pairwise(fold_table(spark, d)))
 
 
 @query()
 def flt11_mentions(spark, d):
-    return rounded(stats.mentioning(stats.pairwise(fold_table(spark, d).where(F.col("seed") == 42)), "vs no_graph"))
+    return rounded(stats.mentioning(stats.pairwise(fold_table(spark, d)), "vs no_graph"))
 
 
 @query("SELECT l_discount, count(*) AS n, CASE WHEN l_discount < 0.001 THEN '***' WHEN l_discount < 0.01 THEN '**' WHEN l_discount < 0.05 THEN '*' ELSE 'ns' END AS stars FROM lineitem GROUP BY 1")

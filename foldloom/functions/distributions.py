@@ -81,7 +81,7 @@ def normal_two_sided(z: float) -> float:
 
 
 def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
-    """W and p after Royston (1995), for 3 to 5,000 values; constant values give W = 1, p = 1."""
+    """W and p after Royston (1995), for 3 to 5,000 values, p being less exact above; constant values give W = 1, p = 1."""
     x = np.sort(np.asarray(x, dtype=float))
     n = len(x)
     if x[-1] - x[0] < 1e-300:
@@ -107,18 +107,47 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
     w = min(1.0, float((a @ x) ** 2 / (d @ d)))
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    return w, shapiro_p(w, n)
+
+
+def shapiro_p(w: float, n: int) -> float:
+    """p of W for 4 values or more."""
     y, g = math.log(max(1 - w, 1e-300)), math.log(n)
     if n <= 11:
         gamma = -2.273 + 0.459 * n
         if y >= gamma:
-            return w, 1e-99
+            return 1e-99
         y = -math.log(gamma - y)
         mu = float(np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n))
         sigma = math.exp(float(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n)))
     else:
         mu = float(np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], g))
         sigma = math.exp(float(np.polyval([0.0030302, -0.082676, -0.4803], g)))
-    return w, _NORMAL.cdf(-(y - mu) / sigma)
+    return _NORMAL.cdf(-(y - mu) / sigma)
+
+
+def normal_scores(first: int, last: int, n: int) -> tuple[float, float]:
+    """Sums of the expected normal scores, and of their squares, of ranks ``first`` to ``last`` among ``n``."""
+    m = [_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(first, last + 1)]
+    return math.fsum(m), math.fsum(x * x for x in m)
+
+
+def shapiro_from_sums(n: int, mm: float, mx: float, ends: tuple[float, float, float, float], squares: float) -> tuple[float, float]:
+    """W and p of 6 values or more from sums, as :func:`shapiro_wilk`: ``mm`` of squared normal scores, ``mx`` of scores times
+    values, ``squares`` of squared deviations; ``ends``: the two least and the two greatest values in order. Above 5,000 values,
+    where Royston checked his approximation no further, its formulas are carried on, as SciPy does: W stands, p is approximate."""
+    if ends[3] - ends[0] < 1e-300:
+        return 1.0, 1.0
+    u = 1 / math.sqrt(n)
+    outer, inner = _NORMAL.inv_cdf((n - 0.375) / (n + 0.25)), _NORMAL.inv_cdf((n - 1.375) / (n + 0.25))
+    # fixed values: the published polynomial corrections of the outer weights, as above
+    last = float(np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, outer / math.sqrt(mm)], u))
+    second = float(np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, inner / math.sqrt(mm)], u))
+    root = math.sqrt((mm - 2 * outer**2 - 2 * inner**2) / (1 - 2 * last**2 - 2 * second**2))
+    wide, narrow = ends[3] - ends[0], ends[2] - ends[1]
+    ax = (mx - outer * wide - inner * narrow) / root + last * wide + second * narrow
+    w = min(1.0, ax * ax / squares)
+    return w, shapiro_p(w, n)
 
 
 def signed_rank_p(w: float, n: int, ties: float, zeros: bool) -> float:

@@ -1,5 +1,5 @@
 """Inferential tables over the fold table. Sums, ranks and pairings are DataFrame aggregates and windows; p-values come from
-single numbers of an aggregated row; only what needs a whole sample at once (normality, bootstrap) is a group's function."""
+single numbers of an aggregated row. Normality and bootstrap work on counts of distinct values, in blocks of ranks and of draws."""
 
 from __future__ import annotations
 
@@ -13,12 +13,15 @@ from pyspark.sql.window import Window
 
 from ..functions import distributions as dist
 from ..functions.scalar import mean_and_spread
+from ..session import new_folder
 from .rollup import CELL, METRICS, on_all_scales
 
 #: Comparisons, in order.
 PAIRS = (("string_ppi", "no_graph"), ("go", "no_graph"), ("coexpression", "no_graph"), ("combined", "no_graph"), ("string_ppi", "random"), ("combined", "random"))
 GRAPHS = ("string_ppi", "go", "coexpression", "combined", "random", "no_graph")
 COHEN_EPSILON, DRAWS, ALPHA, SEED, LEAST_NORMAL, ANOMALOUS_MSE = 1e-10, 10_000, 0.05, 42, 8, 0.5
+#: Ranks, distinct values and draws that one step of a task takes on.
+RANKS, VALUES, DRAW_BLOCK = 10_000, 4_096, 500
 #: A total order of folds, where they have no number of their own.
 ORDER = ("seed", "condition", *METRICS)
 
@@ -33,6 +36,25 @@ def _number(f, *columns: Column) -> Column:
     return run(*[c.cast("double") for c in columns])
 
 
+def _before(counts: DataFrame, value: str, weights: dict[str, Column], *by: str) -> DataFrame:
+    """``counts``, one row a (``by``, ``value``), with the sums of ``weights`` over the rows of its group before it in order. Rows
+    are dealt by ranges and summed up there; what earlier ranges hold is a row a range and group, so no group is one task's."""
+    folder = new_folder(counts.sparkSession, "ranges")
+    ranged = counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(folder)  # ranges are drawn once
+    rows = counts.sparkSession.read.schema(ranged.schema).parquet(folder)
+    each = rows.groupBy("_range", *by).agg(*[F.sum(w).alias(f"_{k}") for k, w in weights.items()])
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # null-safe, as a group's key may be null
+    offsets = each.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_by_{c}") for c in by], *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in weights])
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = Window.partitionBy("_range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_in_{k}") for k, w in weights.items()])
+    return own.join(F.broadcast(offsets), same).select(*counts.columns, *[(F.col(f"_in_{k}") + F.col(f"_{k}")).alias(k) for k in weights])
+
+
 def paired(folds: DataFrame, value: str = "pearson_r", by: str = "position", pairs=PAIRS) -> DataFrame:
     """(dataset, hvg, g1, g2, rn, a, b): fold by fold, by position in order (cut at the shorter side) or by ``key`` (seed and
     condition). The comparisons are a table of six rows."""
@@ -60,15 +82,32 @@ def paired_t(d: Column) -> Column:
 
 
 def shapiro(folds: DataFrame, value: str = "pearson_r") -> DataFrame:
-    """dataset, hvg, graph_type, W, p, normal, n of groups of LEAST_NORMAL or more."""
-
-    def test(key, group: pd.DataFrame) -> pd.DataFrame:
-        w, p = dist.shapiro_wilk(group[value].to_numpy())
-        return pd.DataFrame([(*key, round(w, 4), round(p, 6), "Yes" if p > ALPHA else "No", len(group))])
-
-    big = folds.groupBy("dataset", "hvg", "graph_type").agg(F.count("*").alias("k")).where(F.col("k") >= LEAST_NORMAL).select("dataset", "hvg", "graph_type")
-    kept = folds.select("dataset", "hvg", "graph_type", value).join(F.broadcast(big), ["dataset", "hvg", "graph_type"], "left_semi")
-    return kept.groupBy("dataset", "hvg", "graph_type").applyInPandas(test, "dataset string, hvg int, graph_type string, W double, p double, normal string, n long")
+    """dataset, hvg, graph_type, W, p, normal, n of groups of LEAST_NORMAL or more. Each distinct value takes the normal scores of
+    its ranks, in blocks of RANKS. W and p of a group with a null or NaN are NaN. Above 5,000 values see
+    :func:`~foldloom.functions.distributions.shapiro_from_sums`."""
+    by = ("dataset", "hvg", "graph_type")
+    own = folds.select(*by, F.coalesce(F.col(value), F.lit(float("nan"))).alias("x"))
+    groups = own.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("squares")).where(F.col("n") >= LEAST_NORMAL)
+    steps = _before(own.groupBy(*by, "x").agg(F.count("*").alias("t")), "x", {"before": F.col("t")}, *by).join(F.broadcast(groups), list(by))
+    blocks = steps.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1, F.lit(RANKS).cast("long"))))
+
+    @F.pandas_udf("m double, mm double")
+    def scores(first: pd.Series, last: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([dist.normal_scores(*row) for row in zip(first, last, n, strict=True)], columns=["m", "mm"], dtype=float)
+
+    scored = blocks.withColumn("s", scores(F.col("before") + F.col("at") + 1, F.col("before") + F.least(F.col("at") + RANKS, F.col("t")), F.col("n")))
+    held = lambda rank: F.max(F.when((F.col("before") < rank) & (F.col("before") + F.col("t") >= rank), F.col("x")))
+    n = F.col("n")
+    sums = scored.groupBy(*by, "n", "squares").agg(F.sum("s.mm").alias("mm"), F.sum(F.col("s.m") * (F.col("x") - F.col("mean"))).alias("mx"), *[held(r).alias(c) for c, r in (("x1", F.lit(1)), ("x2", F.lit(2)), ("x3", n - 1), ("x4", n))])
+
+    @F.pandas_udf("w double, p double")
+    def test(n: pd.Series, mm: pd.Series, mx: pd.Series, x1: pd.Series, x2: pd.Series, x3: pd.Series, x4: pd.Series, squares: pd.Series) -> pd.DataFrame:
+        rows = zip(n, mm, mx, x1, x2, x3, x4, squares, strict=True)
+        return pd.DataFrame([(math.nan, math.nan) if any(math.isnan(v) for v in r) else dist.shapiro_from_sums(r[0], r[1], r[2], r[3:7], r[7]) for r in rows], columns=["w", "p"], dtype=float)
+
+    found = sums.withColumn("s", test("n", "mm", "mx", "x1", "x2", "x3", "x4", "squares"))
+    normal = F.when((F.col("s.p") > ALPHA) & ~F.isnan("s.p"), "Yes").otherwise("No")
+    return found.select(*by, F.round("s.w", 4).alias("W"), F.round("s.p", 6).alias("p"), normal.alias("normal"), "n")
 
 
 def pass_rate(normality: DataFrame) -> DataFrame:
@@ -126,15 +165,41 @@ def bootstrap_interval(diffs: np.ndarray, draws: int = DRAWS, alpha: float = ALP
     return float(np.percentile(d, 100 * alpha / 2)), float(np.percentile(d, 100 * (1 - alpha / 2)))
 
 
-def bootstrap(pairs: DataFrame) -> DataFrame:
-    """(dataset, hvg, g1, g2, d_ci_low, d_ci_high): a comparison is a group; at most six times datasets times scales of them."""
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        d = (group["a"] - group["b"]).to_numpy()[np.argsort(group["rn"].to_numpy(), kind="stable")]
-        return pd.DataFrame([(*key, *bootstrap_interval(d))])
+def bootstrap(pairs: DataFrame, draws: int = DRAWS, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """(dataset, hvg, g1, g2, d_ci_low, d_ci_high): percentiles of Cohen's d over resamples.
 
-    slim = pairs.select("dataset", "hvg", "g1", "g2", "rn", "a", "b")
-    return slim.groupBy("dataset", "hvg", "g1", "g2").applyInPandas(run, "dataset string, hvg int, g1 string, g2 string, d_ci_low double, d_ci_high double")
+    A resample of n differences holds multinomial counts of the distinct ones. These are dealt to parts of VALUES; a task draws,
+    for a block of draws and a part, first the counts of all parts, from a generator that all parts of the block share, then those
+    of its own values. So a task holds one part, and its cost grows with distinct values rather than rows. The generators start
+    anew at every call; draws are those of the method, not bit for bit those of :func:`bootstrap_interval`.
+    """
+    by = ("dataset", "hvg", "g1", "g2")
+    d = F.coalesce(F.col("a") - F.col("b"), F.lit(float("nan")))
+    own = pairs.select(*by, d.alias("d"))
+    base = own.groupBy(*by).agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
+    values = _before(own.groupBy(*by, "d").agg(F.count("*").alias("c")), "d", {"place": F.lit(1)}, *by).withColumn("part", F.floor(F.col("place") / VALUES).cast("int"))
+    shares = values.groupBy(*by, "part").agg(F.sum("c").alias("c")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "c"))), lambda x: x["c"]).alias("shares"))
+    centred = values.join(F.broadcast(base), list(by)).select(*by, "part", "place", (F.col("d") - F.col("mean")).alias("d"), "c")
+    parts = centred.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("place", "d", "c"))).alias("v"))
+    cells = parts.join(F.broadcast(shares), list(by)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))))
+    cells = cells.select(*by, "part", "block", "shares", F.col("v.d").alias("d"), F.col("v.c").alias("c"), F.xxhash64(*by).alias("key"))
+    cells = cells.repartition(*by, "part", "block")
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                size, key = min(DRAW_BLOCK, draws - r.block * DRAW_BLOCK), int(r.key) % 2**63
+                shares, c, x = np.asarray(r.shares, dtype=float), np.asarray(r.c, dtype=float), np.asarray(r.d, dtype=float)
+                among = np.random.default_rng([seed, key, int(r.block)]).multinomial(int(shares.sum()), shares / shares.sum(), size=size)
+                mine = np.random.default_rng([seed, key, int(r.block), int(r.part)]).multinomial(among[:, int(r.part)], c / c.sum())
+                yield pd.DataFrame({"dataset": r.dataset, "hvg": r.hvg, "g1": r.g1, "g2": r.g2, "draw": r.block * DRAW_BLOCK + np.arange(size), "s": mine @ x, "q": mine @ (x * x)})
+
+    drawn = cells.mapInPandas(run, ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by) + ", draw long, s double, q double")
+    sums = drawn.groupBy(*by, "draw").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).join(F.broadcast(base), list(by))
+    mean = F.col("s") / F.col("n")
+    cohens = (F.col("mean") + mean) / (F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))) + COHEN_EPSILON)
+    cut = lambda at: F.when(F.isnan(F.first("mean")), float("nan")).otherwise(F.percentile(cohens, F.lit(at)))
+    return sums.groupBy(*by).agg(cut(alpha / 2).alias("d_ci_low"), cut(1 - alpha / 2).alias("d_ci_high"))
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
@@ -159,9 +224,10 @@ def bonferroni(rows: DataFrame, p: str = "p") -> DataFrame:
 
 
 def false_discovery(rows: DataFrame, p: str = "p", step_up: bool = False) -> DataFrame:
-    """p_fdr: p * m / average rank, at most 1; with ``step_up`` made monotone. Ranks come from the distinct p-values."""
-    steps = rows.groupBy(p).agg(F.count("*").alias("_t"))
-    up = F.sum("_t").over(Window.orderBy(p))
+    """p_fdr: p * m / average rank, at most 1; with ``step_up`` made monotone. Ranks come from the distinct p-values,
+    dealt by ranges."""
+    steps = _before(rows.groupBy(p).agg(F.count("*").alias("_t")), p, {"_up": F.col("_t")})
+    up = F.col("_up") + F.col("_t")
     m = F.broadcast(rows.agg(F.count("*").alias("_m")))
     ranked = steps.crossJoin(m).withColumn("p_fdr", F.least(F.col(p) * F.col("_m") / (up if step_up else up - F.col("_t") + (F.col("_t") + 1) / 2), F.lit(1.0)))
     if step_up:

@@ -6,6 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from foldloom import catalog
+from foldloom.functions import distributions as dist
 from foldloom.operators import folds, graphs, metrics, models, prepare, propagation, rollup, stats
 from foldloom.plans import grid
 from foldloom.session import new_folder
@@ -171,6 +173,27 @@ def test_bootstrap_draws_do_not_depend_on_blocks():
     assert stats.bootstrap_interval(d, 1000, block=1000) == stats.bootstrap_interval(d, 1000, block=7)
 
 
+def test_normality_and_intervals_from_counts_match_whole_samples(spark):
+    r = np.random.default_rng(3)
+    samples = {"go": r.normal(0.4, 0.1, 6000), "random": r.integers(0, 5, 40) / 10, "combined": np.full(9, 0.5), "no_graph": r.normal(0.2, 0.2, 6000)}
+    own = table([row(g, seed=42 + i % 3, condition=f"c{i:05d}", x=float(x)) for g, v in samples.items() for i, x in enumerate(v)], spark)
+    for got in stats.shapiro(own).collect():
+        w, p = dist.shapiro_wilk(samples[got["graph_type"]])
+        assert (got["W"], got["p"], got["n"]) == (pytest.approx(w, abs=1e-4), pytest.approx(p, abs=1e-6), len(samples[got["graph_type"]]))
+    pairs = stats.paired(own).where("g2 = 'no_graph'").cache()
+    found = {r["g1"]: r for r in stats.bootstrap(pairs).collect()}
+    assert found.keys() == {"go", "combined"} and stats.bootstrap(pairs).where("g1 = 'go'").first() == found["go"]
+    for g, tolerance in (("go", 0.004), ("combined", 0.1)):
+        d = np.array([x["a"] - x["b"] for x in pairs.where(F.col("g1") == g).collect()])
+        low, high = stats.bootstrap_interval(d, 3000)
+        assert (found[g]["d_ci_low"], found[g]["d_ci_high"]) == (pytest.approx(low, abs=tolerance * (1 + abs(low))), pytest.approx(high, abs=tolerance * (1 + abs(high))))
+
+
+def test_statistics_pool_all_seeds(spark, small):
+    cells = {(r["dataset"], r["hvg"], r["graph_type"]): r["count"] for r in catalog.fold_table(spark, small).groupBy("dataset", "hvg", "graph_type").count().collect()}
+    assert {(r["dataset"], r["hvg"], r["graph_type"]): r["n"] for r in catalog.st5_normality(spark, small).collect()} == {k: n for k, n in cells.items() if n >= 8}
+
+
 def test_thresholds_and_empty_tables(spark):
     own = table([row("go", mse=0.5), row("random", mse=0.6)], spark)
     assert [r["graph_type"] for r in stats.anomalies(own).collect()] == ["random"]
