@@ -731,7 +731,7 @@ def ml1_ml2_masked_projection(spark, d):
     return rounded(propagation.projected(propagation.masked(features(spark, d), doses), weights)).select("node", "k", F.when(F.col("x") == 0, 0.0).otherwise(F.col("x")).alias("x"))
 
 
-def lopo_run(spark, d, estimator, graph="no_graph", edges=None, folds=3):
+def lopo_run(spark, d, estimator, graph="no_graph", edges=None, folds=50):
     """Folds of the fixture matrix, one model a fold, then the metrics."""
     own = prepare.conditions(labels(spark, d), "ctrl").select("condition", "cond_ord")
     number = F.coalesce("cond_ord", F.lit(-1)).cast("int")
@@ -745,17 +745,17 @@ def lopo_run(spark, d, estimator, graph="no_graph", edges=None, folds=3):
 
 @query()
 def ml8_ml9_lopo_attention(spark, d):
-    return rounded(lopo_run(spark, d, models.Attention(hidden=8, heads=2, epochs=3), "ring", ring(spark)), 3)
+    return rounded(lopo_run(spark, d, models.Attention(), "ring", ring(spark)), 3)
 
 
 @query()
 def ml6_lopo_convolution(spark, d):
-    return rounded(lopo_run(spark, d, models.Convolution(hidden=8, epochs=3), "ring", ring(spark)), 3)
+    return rounded(lopo_run(spark, d, models.Convolution(), "ring", ring(spark)), 3)
 
 
 @query()
 def ml7_lopo_transformer(spark, d):
-    return rounded(lopo_run(spark, d, models.Transformer(hidden=8, heads=2, epochs=2, wide=16)), 3)
+    return rounded(lopo_run(spark, d, models.Transformer()), 3)
 
 
 @query(f"""WITH {CELLS}, {MOMENTS}, {Z}, {PROFILES}, {DELTAS}, {PREDICTED} SELECT 'no_graph' AS graph_type, 42 AS seed, condition, round(covar_pop(t, p) / (stddev_pop(t) * stddev_pop(p)), 6) AS pearson_r,
