@@ -4,36 +4,41 @@ An item that a document contains to the share C shares at least ceil(C * m) of i
 floor((1 - C) * m) + 1 shingles with the least hashes: its bottom-k MinHash sketch. Items fall into classes by size; a
 class's documents are those long enough for it, and a document's sketch for a class is its shingles whose hashes are no
 larger than the largest in the class's sketches. Where the sketches meet there is a candidate, and none is missed; it is
-then verified by the exact share of the item's shingles in the whole document.
+then verified by the exact share of the item's shingles in the whole document, told apart by 128 bits: a shared one must
+be shared under two independent hashes.
 
-Items are a stated query set: they are read in blocks of at most BLOCK_SHINGLES shingles, and each block is one pass
-over all documents, in which nothing is shuffled. More items mean more blocks, not larger ones.
+Items are a stated query set: they are read in blocks of at most BLOCK_SHINGLES shingles. A pass over all documents makes
+each document's set once and holds it against up to TOGETHER blocks; nothing is shuffled. More items mean more
+blocks and passes, not larger ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_kernels import lean, pieces, shingle_sets
+from .text_kernels import lean, pieces, shared, shingle_sets
 
 K = 5
 SHARE = (4, 5)
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES, TOGETHER = 1 << 19, 8
 
 
 class Block:
-    """Items' sets and, by size class, their sketches."""
+    """Items' sets under both hashes and, by size class, their sketches."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], share: tuple[int, int]):
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], share: tuple[int, int]):
         num, den = share
         self.items, self.share = items, share
         classes: dict[int, list[int]] = {}
-        for i, (_, own) in enumerate(items):
+        for i, (_, own, _) in enumerate(items):
             classes.setdefault(len(own).bit_length(), []).append(i)
         self.classes = []
         for members in classes.values():
@@ -46,8 +51,9 @@ class Block:
     def need(self, m: int) -> int:
         return -(-m * self.share[0] // self.share[1])
 
-    def found(self, own: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item's key, its shingles, those in ``own``) of each item that the sorted set ``own`` contains."""
+    def found(self, own: np.ndarray, other: Callable[[], np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(item's key, its shingles, those in the document) of each item that the document contains, whose sorted set is
+        ``own``; ``other`` makes its set under the second hash, which only documents with a candidate need."""
         for least, values, whose in self.classes:
             if len(own) < least:
                 continue
@@ -57,12 +63,20 @@ class Block:
             at = np.searchsorted(sketch, values)
             at[at == len(sketch)] = 0
             for i in np.unique(whose[sketch[at] == values]).tolist():
-                key, item = self.items[i]
-                at_item = np.searchsorted(own, item)
-                at_item[at_item == len(own)] = 0
-                shared = int((own[at_item] == item).sum())
-                if shared >= self.need(len(item)):
-                    yield key, len(item), shared
+                key, item, item_2 = self.items[i]
+                both = shared(own, item)
+                if both < self.need(len(item)):
+                    continue
+                both = min(both, shared(other(), item_2))
+                if both >= self.need(len(item)):
+                    yield key, len(item), both
+
+
+def _found(sent: list[Broadcast], texts: pa.Array, k: int) -> Iterator[Iterator[tuple[int, int, int]]]:
+    """What each of ``texts`` contains of the items in the blocks ``sent`` out."""
+    for i, own in enumerate(shingle_sets(texts, k, False)):
+        other = cache(lambda i=i: next(shingle_sets(texts.slice(i, 1), k, False, 1)))
+        yield chain.from_iterable(b.value.found(own, other) for b in sent if len(own))
 
 
 def blocks(items: DataFrame, key: str, text: str, k: int, share: tuple[int, int]) -> Iterator[Block]:
@@ -71,17 +85,17 @@ def blocks(items: DataFrame, key: str, text: str, k: int, share: tuple[int, int]
     def run(batches):
         for batch in batches:
             for ids, texts in pieces(batch.column(0), batch.column(1)):
-                sets = [x.tobytes() for x in shingle_sets(texts, k, False)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], ["item", "own"])
+                sets = [pa.array([x.tobytes() for x in shingle_sets(texts, k, False, seed)], pa.binary()) for seed in (0, 1)]
+                yield pa.RecordBatch.from_arrays([ids, *sets], ["item", "own", "other"])
 
     held, size = [], 0
     slim = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
-    for r in slim.mapInArrow(lean(run), "item long, own binary").where("octet_length(own) > 0").toLocalIterator():
-        own = np.frombuffer(bytes(r["own"]), dtype=np.uint64)
+    for r in slim.mapInArrow(lean(run), "item long, own binary, other binary").where("octet_length(own) > 0").toLocalIterator():
+        own, other = (np.frombuffer(bytes(r[c]), dtype=np.uint64) for c in ("own", "other"))
         if held and size + len(own) > BLOCK_SHINGLES:
             yield Block(held, share)
             held, size = [], 0
-        held.append((r["item"], own))
+        held.append((r["item"], own, other))
         size += len(own)
     if held:
         yield Block(held, share)
@@ -97,13 +111,13 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "id long, item long, item_shingles long, shared long"
     out = None
-    for block in blocks(items, item_key, item_text, k, share):
-        sent = spark.sparkContext.broadcast(block)
+    for group in batched(blocks(items, item_key, item_text, k, share), TOGETHER):
+        sent = [spark.sparkContext.broadcast(block) for block in group]
 
         def run(batches, sent=sent):
             for batch in batches:
                 for ids, texts in pieces(batch.column(0), batch.column(1)):
-                    rows = [(i, *hit) for i, own in zip(ids.to_pylist(), shingle_sets(texts, k, False), strict=True) if len(own) for hit in sent.value.found(own)]
+                    rows = [(i, *hit) for i, hits in zip(ids.to_pylist(), _found(sent, texts, k), strict=True) for hit in hits]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["id", "item", "item_shingles", "shared"])
 
         hits = source.mapInArrow(lean(run), schema)
@@ -114,15 +128,18 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = K, share: tuple[int, int] = SHARE) -> DataFrame:
-    """The rows of ``docs`` that contain no item, all columns as they are; a pass over the rows for each block of items."""
+    """The rows of ``docs`` that contain no item, all columns as they are; a pass over the rows for each TOGETHER blocks of items.
+
+    A null, empty or short text contains nothing and stays, as does every row of an empty table or without items; rows without a key
+    or that repeat are judged each for itself; other columns, whatever their names, pass through."""
     at = docs.columns.index(text)
-    for block in blocks(items, item_key, item_text, k, share):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for group in batched(blocks(items, item_key, item_text, k, share), TOGETHER):
+        sent = [docs.sparkSession.sparkContext.broadcast(block) for block in group]
 
         def run(batches, sent=sent):
             for batch in batches:
                 rows = pa.array(np.arange(len(batch)))
-                clean = [len(own) == 0 or next(sent.value.found(own), None) is None for _, texts in pieces(rows, batch.column(at)) for own in shingle_sets(texts, k, False)]
+                clean = [next(hits, None) is None for _, texts in pieces(rows, batch.column(at)) for hits in _found(sent, texts, k)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(lean(run), docs.schema)

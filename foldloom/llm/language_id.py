@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
-from .text_kernels import code_point_value, lean, letter_words, mixed, pieces
+from .text_kernels import lean, letter_words, mixed, pieces
 
 SHARE = 1e-5
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 EDGE = 0x10FFFF  # stands before and after a word in its n-grams
-_STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(key: Column, folds: int = 5) -> Column:
@@ -41,7 +41,7 @@ def grams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> t
         at = first + i - pad  # place in the word itself; -1 and its length are edges
         inner = (at >= 0) & (at < (ends - starts)[word])
         c = np.where(inner, points[np.where(inner, starts[word] + at, 0)], EDGE)
-        out = (out + code_point_value(c)) * _STEP
+        out = mixed(out + c.astype(np.uint64) + _STEP)
     return mixed(out + np.uint64(n)), word
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components, extended
 from .shared import dropped, swept, written
-from .text_kernels import lean, pieces, shingle_sets
+from .text_kernels import lean, pieces, shared, shingle_sets
 
 SKETCH_BITS = 18
 PIVOT_ROUNDS = 1
@@ -45,7 +45,7 @@ def _prefixes(n: int, num: int, den: int) -> tuple[int, int]:
 
 
 def _signatures(k: int):
-    """Per text: its set's size and digest (kind 0). Per task: how many texts' sets have each bucket of the sketch (kind 1)."""
+    """Per text: its set's size and a digest of it under both hashes (kind 0). Per task: how many texts' sets have each bucket of the sketch (kind 1)."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -53,9 +53,9 @@ def _signatures(k: int):
         for batch in batches:
             for ids, texts in pieces(batch.column(0), batch.column(1)):
                 n, digests = [], []
-                for own in shingle_sets(texts, k, True):
-                    n.append(len(own))
-                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                for own, other in zip(shingle_sets(texts, k, True), shingle_sets(texts, k, True, 1), strict=True):
+                    n.append(max(len(own), len(other)))
+                    digests.append(hashlib.blake2b(own.tobytes() + other.tobytes(), digest_size=16).digest() if len(own) else None)
                     counts[(own & low).astype(np.int64)] += 1
                 yield _batch(ids, n, digests, 0)
         seen = np.flatnonzero(counts)
@@ -132,23 +132,14 @@ def _near(num: int, den: int):
     return run
 
 
-def _sets(k: int, wanted):
-    """(id, set as sorted 64-bit words, whether it is a first and whether a second of pairs) of the texts whose id's bit is set
-    in the map of firsts or that of seconds."""
+def _marked(wanted):
+    """(id, text) of the texts whose id's bit is set in the map ``wanted``."""
 
     def run(batches):
-        maps = wanted.value
+        bits = wanted.value
         for batch in batches:
             own = _bit(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            first, second = ((bits[own >> 6] >> (own & 63).astype(np.uint64)) & np.uint64(1) == 1 for bits in maps)
-            mask = first | second
-            kept = pa.array(mask)
-            flags = pa.array(first[mask]), pa.array(second[mask])
-            at = 0
-            for ids, texts in pieces(batch.column(0).filter(kept), batch.column(1).filter(kept)):
-                sets = pa.array([x.tobytes() for x in shingle_sets(texts, k, True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, sets, *[f.slice(at, len(ids)) for f in flags]], ["id", "set", "first", "second"])
-                at += len(ids)
+            yield batch.filter(pa.array((bits[own >> 6] >> (own & 63).astype(np.uint64)) & np.uint64(1) == 1))
 
     return run
 
@@ -167,21 +158,28 @@ def _map_of(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _similar(num: int, den: int):
+def _similar(k: int, num: int, den: int):
+    """Pairs (a, b) of (a, b, text_a, text_b) whose sets are similar: under both hashes, as the second only can say no."""
+
+    def intersections(rows: pa.RecordBatch, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row: the sizes of both sets together, and of their intersection."""
+        keys = rows.column(0).to_numpy()
+        first = np.flatnonzero(np.diff(keys, prepend=keys[0] + 1))  # an a whose rows follow each other is taken once
+        left = list(shingle_sets(rows.column(2).take(pa.array(first)), k, True, seed))
+        whose = np.searchsorted(first, np.arange(len(keys)), "right") - 1
+        out = np.array([(len(left[i]) + len(y), shared(left[i], y)) for i, y in zip(whose.tolist(), shingle_sets(rows.column(3), k, True, seed), strict=True)])
+        return out[:, 0], out[:, 1]
+
     def run(batches):
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            ok = np.zeros(len(batch), dtype=bool)
-            last, x = None, None
-            for i in range(len(batch)):
-                key = batch.column(0)[i].as_py()
-                if key != last:
-                    last, x = key, np.frombuffer(a[i].as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(b[i].as_buffer(), dtype=np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok[i] = both * den >= num * (len(x) + len(y) - both)
-            mask = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            places = pa.array(np.arange(len(batch)))
+            for part, _ in pieces(places, batch.column(3)):
+                rows = batch.slice(part[0].as_py(), len(part))
+                for seed in (0, 1):
+                    if len(rows):
+                        total, both = intersections(rows, seed)
+                        rows = rows.filter(pa.array(both * den >= num * (total - both)))
+                yield rows.select([0, 1])
 
     return run
 
@@ -250,18 +248,18 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
     swept(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` that are similar. Whole-set parities, a bit a shingle, rule out most of the others. One pass over the texts makes the sets of the ids that are in pairs; a map of
-        2 ** FILTER_BITS bits, the only thing sent out, keeps most others back, the joins the rest."""
+        """Those of ``pairs`` that are similar. Whole-set parities, a bit a shingle, rule out most of the others. The
+        texts of what is left, kept back by a map of 2 ** FILTER_BITS bits and the joins, meet and are compared."""
         sides = [wide.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b")]
         near = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
-        pairs = written(near.mapInArrow(lean(_near(num, den)), "a long, b long"), "near")
-        maps = [_map_of(pairs.select(F.col(c).alias("id"))) for c in ("a", "b")]
-        sets = written(docs.mapInArrow(lean(_sets(k, spark.sparkContext.broadcast(maps))), "id long, set binary, first boolean, second boolean"), "candidates")
-        left = sets.where("first").select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-        right = sets.where("second").select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-        similar = written(both.mapInArrow(lean(_similar(num, den)), "a long, b long").distinct(), "verified")
-        dropped(sets)
+        near = written(near.mapInArrow(lean(_near(num, den)), "a long, b long"), "near")
+        texts = {}
+        for c in ("a", "b"):
+            sent = spark.sparkContext.broadcast(_map_of(near.select(F.col(c).alias("id"))))
+            texts[c] = docs.mapInArrow(lean(_marked(sent)), "id long, text string").select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+        both = near.join(texts["b"], "b").join(texts["a"], "a").select("a", "b", "text_a", "text_b")
+        similar = written(both.mapInArrow(lean(_similar(k, num, den)), "a long, b long").distinct(), "verified")
+        dropped(near)
         return similar
 
     done = parts = None

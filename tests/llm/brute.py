@@ -6,6 +6,11 @@ from collections import Counter, defaultdict
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word of ``n`` letters that polynomial hashes modulo a power of two don't tell from the one with a and b exchanged."""
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
 def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 

@@ -44,3 +44,20 @@ def test_empty_tables(spark):
     nothing, items = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert d.contained(none, items).count() == d.contained(some, nothing).count() == d.decontaminated(none, items).count() == 0
     assert d.decontaminated(some, nothing).count() == 1 and d.contained(some, items).count() == 1
+
+
+def test_regular_long_words_contain_nothing(spark):
+    a, b = brute.thue_morse(1024), brute.thue_morse(1024, "b", "a")
+    items = spark.createDataFrame([(1, f"u v {a} w {b} x y")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"u v {b} w {a} x y"), (2, f"so u v {a} w {b} x y it is")], "doc_id long, text string")
+    assert [r["doc_id"] for r in d.contained(docs, items).collect()] == [2]
+    assert [r["doc_id"] for r in d.decontaminated(docs, items).collect()] == [1]
+
+
+def test_long_and_repeated_documents(spark):
+    item = "an item of eight words that is short"
+    long = " ".join(f"n{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, f"{long} {item}"), (2, long), (3, item), (3, item), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in d.contained(docs, items).collect()) == [1, 3, 3]
+    assert sorted((r["doc_id"], r["text"] is None) for r in d.decontaminated(docs, items).collect()) == [(2, False), (3, True)]

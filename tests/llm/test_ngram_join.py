@@ -81,3 +81,10 @@ def test_parities_never_overstate(spark):
         bound = ngram_join.least_apart(ngram_join.parities(a), ngram_join.parities(b))
         assert 0 <= bound <= n + m - 2 * shared
     assert ngram_join.least_apart(ngram_join.parities(a), ngram_join.parities(b)) > 600
+
+
+def test_regular_long_words_are_not_linked(spark):
+    a, b = brute.thue_morse(1024), brute.thue_morse(1024, "b", "a")
+    rows = [(1, a), (2, b), (3, f"x {a} y {b} z w"), (4, f"x {b} y {a} z w"), (5, a.upper())]
+    got = {r["doc_id"]: (r["component_id"], r["n_copies"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (1, 2)}

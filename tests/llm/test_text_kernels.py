@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -34,3 +35,25 @@ def test_letter_words():
     points, starts, ends, hashes, at = tk.letter_words(["ab 1c", "", "ab-Ü"])
     assert ["".join(map(chr, points[a:b])) for a, b in zip(starts, ends, strict=True)] == ["ab", "c", "ab", "Ü"]
     assert at.tolist() == [0, 2, 2, 4] and hashes[0] == hashes[2]
+
+
+@pytest.mark.parametrize("n", [16, 1024, 2048, 1 << 17])
+def test_regular_long_words_differ(n):
+    a, b = brute.thue_morse(n), brute.thue_morse(n, "b", "a")
+    words = [a, b, a[::-1], a + a, a + b, b + a, a[1:], a + "\0", a[:-1] + "\0"]
+    for seed in (0, 1):
+        assert len(set(tk.word_hashes(pa.array([" ".join(words)]), seed)[0].tolist())) == len(set(words))
+    assert len(set(tk.letter_words([" ".join(words[:7])])[3].tolist())) == len(set(words[:7]))
+    assert not set(tk.word_hashes(pa.array(words), 0)[0].tolist()) & set(tk.word_hashes(pa.array(words), 1)[0].tolist())
+
+
+def test_hashes_of_short_words_are_one_to_one():
+    words = [x + y + z for x in "\0abAé€😀" for y in ["", *"\0ab€"] for z in ["", *"\0xy"]]
+    assert len(set(tk.word_hashes(pa.array(words))[0].tolist())) == len({brute.lower(w) for w in words})
+
+
+def test_words_across_blocks(monkeypatch):
+    texts = pa.array([f"{brute.thue_morse(i)} {'z' * (3 * i)} ab" for i in range(1, 60)])
+    whole = tk.word_hashes(texts)[0].tolist()
+    monkeypatch.setattr(tk, "BLOCK", 4)
+    assert tk.word_hashes(texts)[0].tolist() == whole
