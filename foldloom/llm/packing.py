@@ -123,7 +123,7 @@ def slots(combos: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def _cut(path: str, eos: int, width: int):
     def run(batches):
-        ids = ids_of(path, True)
+        ids = ids_of(path)
         end = np.array([eos], dtype="<u4")
         for batch in batches:
             for keys, texts in pieces(batch.column(0), batch.column(1), 4 << 20):
@@ -143,15 +143,16 @@ def _cut(path: str, eos: int, width: int):
 def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", eos: int = 1, width: int = WIDTH) -> DataFrame:
     """Pieces of all rows: ``key``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Keys may be null or repeat: each row is cut for itself. Equal rows are told
-    apart by their order within a part, which no column of the result but sequence_id and offset depends on. An
-    empty table gives an empty result.
+    A null or empty text is the end id alone. Keys may be null or repeat, and whole rows may: each is cut for itself, and its
+    pieces are told apart by running numbers, on which no column of the result but sequence_id and offset depends. An
+    empty table gives an empty result; other columns aren't looked at.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    cut = written(source.mapInArrow(lean(_cut(tokenizer, eos, width)), "id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    cut = source.mapInArrow(lean(_cut(tokenizer, eos, width)), "id long, start long, length long, ids_crc32 long, doc_tokens long")
+    cut = written(cut.withColumn("i", F.monotonically_increasing_id()), "pieces")  # written, so a piece's number stays
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int")
     sizes = cut.groupBy("length", part.alias("part")).count()  # at most width * parts rows
     sizes = written(sizes.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")), "sizes")
     histogram = np.zeros(width + 1, dtype=np.int64)
@@ -169,7 +170,7 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             sequence, offset = row[:, 3] + own // row[:, 2], row[:, 4] + own % row[:, 2] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "part").orderBy("id", "start", "ids_crc32", "doc_tokens")
+    order = Window.partitionBy("length", "part").orderBy("i")
     ranked = cut.withColumn("part", part).withColumn("own", F.row_number().over(order) - 1).join(sizes, ["length", "part"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("own") + F.col("before")).alias("rank"))
     out = ranked.mapInArrow(lean(placed), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", key)

@@ -1,14 +1,18 @@
 """Token ids of many texts with a public tokenizer file, each distinct word tokenized once for a stretch of texts.
 
-Neither of the two tokenizers joins what stands on both sides of a space or line feed, nor letters with punctuation that
-follows. So the ids of a text whose white space is single spaces and line feeds between words are those of its words, and a
-word's those of its letters and of what trails them. Arrow splits texts and finds the distinct words; only those reach
-Python, new ones the tokenizer, many at a time with a mark between them that is a token of its own. Any other text is
-tokenized whole.
+Two kinds of files are known by their normaliser and pre-tokenizer, byte-level BPE and lower-case words. Neither joins what
+stands on both sides of a space or line feed, nor a letter with punctuation that follows, if the letter is one that the
+normaliser leaves a single letter whatever stands beside it: those of Latin alphabets that do so are found at load. So the
+ids of a text whose white space is single spaces and line feeds between words are those of its words, and a word's those of
+what ends with such a letter and of the punctuation after it. Arrow splits texts and finds the distinct words; only those
+reach Python, new ones the tokenizer, many at a time with a mark between them that is a token of its own. Any other text, and
+every text of a file of another kind, is tokenized whole.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,10 +20,19 @@ import pyarrow.compute as pc
 #: Words remembered in a generation, of which two are held; longer words aren't kept; new words in one call's text.
 GENERATION, LONG, TOGETHER = 250_000, 40, 1000
 #: White space that isn't a single space or line feed between two other characters.
-ODD_SPACE = "[ \n]{2}|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\u0085   -     　]"
+ODD_SPACE = "[ \n]{2}|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: The first character after those of Latin alphabets: below it nothing combines.
 BEYOND_LATIN = "\u0250"
 TRAILING = ".,;:!?#$%&*|"
+#: The normaliser and pre-tokenizer of the two kinds of files.
+BYTES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 
 
 class Memory:
@@ -45,9 +58,9 @@ class Memory:
 
 class Ids:
     """``spaced``: a word's ids depend on the space before it, and a line feed is a token (byte-level BPE); else white
-    space is dropped by the tokenizer."""
+    space is dropped by the tokenizer. ``whole``: the file is of neither kind. ``kind``: the type of ids in memory."""
 
-    def __init__(self, path: str, spaced: bool, generation: int = GENERATION):
+    def __init__(self, path: str, generation: int = GENERATION):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,12 +69,19 @@ class Ids:
         self.plain.encode_special_tokens = True
         if self.plain.normalizer is not None:
             self.plain.normalizer = None
-        self.spaced, self.memory = spaced, Memory(generation)
-        self.mark = "\n" if spaced else "0"
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        own = json.loads(self.tokenizer.to_str())
+        parts = own["normalizer"], own["pre_tokenizer"]
+        self.spaced, self.memory = parts == BYTES, Memory(generation)
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.mark = "\n" if self.spaced else "0"
+        mark = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.whole = parts not in (BYTES, WORDS) or own["model"]["type"] != "BPE" or bool(own["model"].get("dropout")) or len(mark) != 1
+        self.mark_id = mark[0] if mark else 0
+        form = (lambda c: c) if self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str
+        self.letters = "[" + "".join(c for c in map(chr, range(ord(BEYOND_LATIN))) if c.isalpha() and len(form(c)) == 1 and form(c).isalpha()) + "]$"
 
     def _encoded(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype=np.uint16) for x in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, dtype=self.kind) for x in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learned(self, texts: list[str]) -> dict[str, bytes]:
         """Ids of words, each with its leading space if it has one."""
@@ -80,9 +100,9 @@ class Ids:
             calls = [own[i : i + TOGETHER] for i in range(0, len(own), TOGETHER)]
             for group, ids in zip(calls, self._encoded([between.join(g) for g in calls], plain), strict=True):
                 raw, at = ids.tobytes(), 0
-                for t, to in zip(group, [*(2 * np.flatnonzero(ids == self.mark_id)).tolist(), len(raw)], strict=True):
+                for t, to in zip(group, [*(self.kind.itemsize * np.flatnonzero(ids == self.mark_id)).tolist(), len(raw)], strict=True):
                     found[t] = raw[at:to]
-                    at = to + 2
+                    at = to + self.kind.itemsize
         return found
 
     def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,9 +115,9 @@ class Ids:
         for i in new:
             raw[i] = found[keys[i]]
         self.memory.put(found)
-        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 2
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // self.kind.itemsize
         which = own.indices.to_numpy(zero_copy_only=False)
-        return np.frombuffer(b"".join(raw), dtype=np.uint16), (np.cumsum(size) - size)[which], size[which]
+        return np.frombuffer(b"".join(raw), dtype=self.kind), (np.cumsum(size) - size)[which], size[which]
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word, one after another, and how many each has. In a spaced vocabulary words follow a space, unless they
@@ -107,23 +127,26 @@ class Ids:
             space = pc.if_else(pc.equal(words, ""), "", " ")
             words = pc.if_else(line, pc.utf8_slice_codeunits(words, 1), pc.binary_join_element_wise(space, words, ""))
         core = pc.utf8_rtrim(words, TRAILING)
-        apart = pc.match_substring_regex(core, r"\p{L}$")
+        apart = pc.match_substring_regex(core, self.letters)
         tail = pc.if_else(apart, pc.fill_null(pc.struct_field(pc.extract_regex(words, f"(?P<t>[{TRAILING}]+)$"), "t"), ""), "")
         line = line.to_numpy(zero_copy_only=False)
         a_ids, a_at, a_n = self._ids(pc.if_else(apart, core, words))
         b_ids, b_at, b_n = self._ids(tail)
         size = line + a_n + b_n
         at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), dtype=np.uint16)
+        out = np.empty(int(size.sum()), dtype=self.kind)
         out[at[line]] = self.mark_id
         out[_ranges(at + line, a_n)] = a_ids[_ranges(a_at, a_n)]
         out[_ranges(at + line + a_n, b_n)] = b_ids[_ranges(b_at, b_n)]
         return out, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (uint16), and where each text's begin (one entry more than texts). Nulls are empty."""
+        """All ids, and where each text's begin (one entry more than texts). Nulls are empty."""
         texts = pc.fill_null(texts, "")
         n = len(texts)
+        if self.whole:
+            each = self._encoded(texts.to_pylist())
+            return np.concatenate([np.zeros(0, self.kind), *each]), np.cumsum([0, *map(len, each)]).astype(np.int64)
         if not self.spaced:
             # the tokenizer lowers letters in any case; here it makes more words alike
             parts = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
@@ -161,11 +184,11 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-_loaded: dict[tuple[str, bool], Ids] = {}
+_loaded: dict[str, Ids] = {}
 
 
-def ids_of(path: str, spaced: bool, generation: int = GENERATION) -> Ids:
+def ids_of(path: str, generation: int = GENERATION) -> Ids:
     """One for each file and worker."""
-    if (path, spaced) not in _loaded:
-        _loaded[path, spaced] = Ids(path, spaced, generation)
-    return _loaded[path, spaced]
+    if path not in _loaded:
+        _loaded[path] = Ids(path, generation)
+    return _loaded[path]

@@ -8,6 +8,8 @@ of a batch are coded and decoded together, by NumPy.
 File: MAGIC, the words of all blocks, then the footer: the documents' keys and id counts (int64, uint32), each
 block's first word and id count (uint64, uint32), and a tail of six uint64: documents, blocks, words, ids, documents
 without a key, and a version; MAGIC again. Documents are in ascending key order in a file and from one file to the next.
+A file is closed at the first document past FILE_BYTES, so its footer and blocks have a bound, and is read a group of
+blocks at a time.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .archive_files import SharedFile, files
+from .archive_files import SharedFile, file_names, opened
 from .text_kernels import lean, pieces
 from .token_ids import ids_of
 
-MAGIC, VERSION, BLOCK = b"FLS8IDS\n", 1, 4096
+MAGIC, VERSION, BLOCK, FILE_BYTES = b"FLS8IDS\n", 1, 4096, 64 << 20
 #: Fixed values of the format by selector; 0 is the escape.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -112,17 +114,16 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _writer(folder: str, tokenizer: str, eos: int, batch_ids: int = 128 * BLOCK):
+def _writer(folder: str, tokenizer: str, eos: int, file_bytes: int, batch_ids: int = 128 * BLOCK):
     def run(batches):
-        ids, task = ids_of(tokenizer, False, 200_000), TaskContext.get().partitionId()
-        end = np.uint16(eos)
-        out, clean = None, False
+        ids, task = ids_of(tokenizer, 200_000), TaskContext.get().partitionId()
+        out, number, written = None, 0, 0
         keys: list = []
         counts, starts, sizes, waiting, words, held = [], [], [], [], 0, 0
 
         def flush(everything: bool) -> None:
             nonlocal waiting, words, held
-            own = np.concatenate(waiting) if waiting else np.zeros(0, np.uint16)
+            own = np.concatenate([np.zeros(0, ids.kind), *waiting])
             cut = len(own) if everything else len(own) // BLOCK * BLOCK
             coded, first, size = encode(own[:cut])
             out.write(coded.astype("<u8").tobytes())
@@ -131,75 +132,89 @@ def _writer(folder: str, tokenizer: str, eos: int, batch_ids: int = 128 * BLOCK)
             words += len(coded)
             waiting, held = [own[cut:]], len(own) - cut
 
+        def finish() -> None:
+            nonlocal out, number, keys, counts, starts, sizes, waiting, words, written
+            flush(True)
+            nameless = sum(k is None for k in keys)
+            out.write(np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.array(counts, "<u4").tobytes())
+            out.write(np.concatenate(starts).astype("<u8").tobytes() + np.concatenate(sizes).astype("<u4").tobytes())
+            blocks = sum(len(x) for x in sizes)
+            out.write(np.array([len(keys), blocks, words, sum(counts), nameless, VERSION], "<u8").tobytes() + MAGIC)
+            out.close()
+            written += len(keys)
+            out, number, keys, counts, starts, sizes, waiting, words = None, number + 1, [], [], [], [], [], 0
+
         try:
             for batch in batches:
                 for names, texts in pieces(batch.column(0), batch.column(1), 4 << 20):
                     if out is None:
-                        out = SharedFile(folder, f"part-{task:06d}.ids")
+                        out = SharedFile(folder, f"part-{task:06d}-{number:06d}.ids")
                         out.write(MAGIC)
                     keys += names.to_pylist()
                     flat, at = ids.encode(texts)
-                    waiting.append(np.insert(flat, at[1:], end))
+                    waiting.append(np.insert(flat, at[1:], np.array(eos).astype(ids.kind)))
                     counts += (np.diff(at) + 1).tolist()
                     held += len(waiting[-1])
                     if held >= batch_ids:
                         flush(False)
+                    if 8 * words + 2 * held + 12 * len(keys) >= file_bytes:
+                        finish()
             if out is not None:
-                flush(True)
-                nameless = sum(k is None for k in keys)
-                out.write(np.array([0 if k is None else k for k in keys], "<i8").tobytes() + np.array(counts, "<u4").tobytes())
-                out.write(np.concatenate(starts).astype("<u8").tobytes() + np.concatenate(sizes).astype("<u4").tobytes())
-                blocks = sum(len(x) for x in sizes)
-                out.write(np.array([len(keys), blocks, words, sum(counts), nameless, VERSION], "<u8").tobytes() + MAGIC)
-                out.close()
-            clean = True
+                finish()
         finally:
-            if out is not None and not clean:
+            if out is not None:
                 out.drop()
-        yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], ["documents"])
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["documents"])
 
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", eos: int = 2, parts: int | None = None) -> int:
-    """Writes the ids of every row, ascending by ``key``, into ``parts`` files (default: as many as shuffles have partitions)
-    and returns how many rows. Null keys come first; rows that repeat a key follow each other by text; a null or empty
-    text is the end id alone; an empty table writes no file."""
+def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", eos: int = 2, parts: int | None = None, file_bytes: int = FILE_BYTES) -> int:
+    """Writes the ids of every row, ascending by ``key``, and returns how many rows. ``parts`` tasks (default: as many as
+    shuffles have partitions) write a file for each ``file_bytes``. Null keys come first; rows that repeat a key, null keys among
+    them, follow each other by the text's first 32 characters, then a hash of it, and ranges part them like others; a null
+    or empty text is the end id alone; an empty table writes no file; other columns aren't looked at."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    ranged = source.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    n = ranged.mapInArrow(lean(_writer(folder, tokenizer, eos), 16 << 20), "documents long").agg(F.sum("documents").alias("n")).first()["n"]
+    # the text, and a running number, deal out rows that share a key, or everything
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.substring(text, 1, 32).alias("head"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("i"))
+    order = ("id", "head", "h", "i")
+    ranged = source.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
+    n = ranged.mapInArrow(lean(_writer(folder, tokenizer, eos, file_bytes), 16 << 20), "documents long").agg(F.sum("documents").alias("n")).first()["n"]
     return int(n or 0)
 
 
 class File:
-    """One file's footer and words."""
+    """One file's footer, and its words as they are asked for. ``source`` is open for reading at any place."""
 
-    def __init__(self, content):
-        view = memoryview(content)
-        if bytes(view[:8]) != MAGIC or bytes(view[-8:]) != MAGIC:
+    def __init__(self, source: pa.NativeFile):
+        self.source, end = source, source.size()
+        if end < 64 or source.read_at(8, 0) != MAGIC or source.read_at(8, end - 8) != MAGIC:
             raise ValueError("not a file of token ids")
-        self.documents, self.blocks, self.n_words, self.n_ids, self.nameless, _ = (int(x) for x in np.frombuffer(view[-56:-8], "<u8"))
+        self.documents, self.blocks, self.n_words, self.n_ids, self.nameless, _ = (int(x) for x in np.frombuffer(source.read_at(48, end - 56), "<u8"))
+
+    def _part(self, kind: str, at: int, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self.source.read_at(size * n, at), kind)
+
+    def index(self) -> None:
+        """Reads the documents' keys and id counts, and the blocks' first words and id counts."""
         at = 8 + 8 * self.n_words
-        take = lambda kind, n: np.frombuffer(view, kind, n, at)
-        self.words = np.frombuffer(view, "<u8", self.n_words, 8)
-        self.keys = take("<i8", self.documents)
-        at += 8 * self.documents
-        self.counts = take("<u4", self.documents)
-        at += 4 * self.documents
-        self.starts = take("<u8", self.blocks)
-        at += 8 * self.blocks
-        self.sizes = take("<u4", self.blocks)
+        self.keys = self._part("<i8", at, self.documents)
+        self.counts = self._part("<u4", at + 8 * self.documents, self.documents)
+        at += 12 * self.documents
+        self.starts = self._part("<u8", at, self.blocks)
+        self.sizes = self._part("<u4", at + 8 * self.blocks, self.blocks)
 
     def texts(self, group: int = 256) -> Iterator[np.ndarray]:
-        """The ids of each document, decoding ``group`` blocks at a time."""
+        """The ids of each document, reading and decoding ``group`` blocks at a time."""
         left = np.zeros(0, np.uint64)
         todo = iter(self.counts.tolist())
         want = next(todo, None)
         for b in range(0, self.blocks, group):
             to = min(self.blocks, b + group)
-            words = self.words[int(self.starts[b]) : int(self.starts[to]) if to < self.blocks else self.n_words]
+            first, last = int(self.starts[b]), int(self.starts[to]) if to < self.blocks else self.n_words
+            words = self._part("<u8", 8 + 8 * first, last - first)
             left = np.concatenate([left, decode(words, int(self.sizes[b:to].sum()))])
             at = 0
             while want is not None and at + want <= len(left):
@@ -211,26 +226,30 @@ class File:
 
 def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     """``key``, start, n_tokens and ids_crc32 of each document, from the files in ``folder``. Where a file's first id stands
-    follows from the footers of the files before it: two numbers a file."""
-    content = files(spark, folder, "*.ids")
+    follows from the tails of the files before it: two numbers a file."""
+    names = file_names(spark, folder, "*.ids")
 
     def sizes(batches):
         for batch in batches:
-            own = [File(x.as_buffer()).n_ids for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["path", "n"])
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([opened(folder, x, lambda f: File(f).n_ids) for x in own], pa.int64())], ["name", "n"])
 
     before, total = {}, 0
-    for r in sorted(content.mapInArrow(lean(sizes), "path string, n long").collect()):  # a row a file
-        before[r["path"]], total = total, total + r["n"]
+    for r in sorted(names.mapInArrow(lean(sizes), "name string, n long").collect()):  # a row a file
+        before[r["name"]], total = total, total + r["n"]
     sent = spark.sparkContext.broadcast(before)
 
+    def rows(source, start: int) -> pa.RecordBatch:
+        f = File(source)
+        f.index()
+        n = f.counts.astype(np.int64)
+        crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in f.texts()]
+        missing = np.arange(f.documents) < f.nameless
+        return pa.RecordBatch.from_arrays([pa.array(f.keys.astype(np.int64), mask=missing), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+
     def run(batches):
         for batch in batches:
-            for path, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                f = File(one.as_buffer())
-                n = f.counts.astype(np.int64)
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in f.texts()]
-                missing = np.arange(f.documents) < f.nameless
-                yield pa.RecordBatch.from_arrays([pa.array(f.keys.astype(np.int64), mask=missing), pa.array(sent.value[path] + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
-
-    return content.mapInArrow(lean(run, 16 << 20), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", key)
+            for name in batch.column(0).to_pylist():
+                yield opened(folder, name, lambda f, name=name: rows(f, sent.value[name]))
+
+    return names.mapInArrow(lean(run, 16 << 20), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", key)

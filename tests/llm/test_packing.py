@@ -18,7 +18,8 @@ TEXT = st.text(alphabet=st.sampled_from("ab 0.\n\t'sé　́\x1cΣ<|>"), max_size
 
 @pytest.mark.parametrize(("path", "spaced"), [(BYTES, True), (WORDS, False)])
 def test_ids_are_the_tokenizers(path, spaced):
-    plain, own = Tokenizer.from_file(path), Ids(path, spaced)
+    plain, own = Tokenizer.from_file(path), Ids(path)
+    assert own.spaced == spaced and not own.whole
     plain.encode_special_tokens = True
 
     @settings(max_examples=150, deadline=None)
@@ -31,6 +32,28 @@ def test_ids_are_the_tokenizers(path, spaced):
     check()
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_every_code_point_beside_punctuation(path):
+    plain, own = Tokenizer.from_file(path), Ids(path)
+    plain.encode_special_tokens = True
+    for pattern in ("x {}. y", "{}!", "a{}b, {}; c", "e{}.\n{}?"):
+        texts = [pattern.format(chr(c), chr(c)) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+        ids, at = own.encode(pa.array(texts))
+        want = [x.ids for x in plain.encode_batch_fast(texts, add_special_tokens=False)]
+        assert np.array_equal(np.diff(at), [len(x) for x in want]) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_files_of_other_kinds_are_tokenized_whole(tmp_path):
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2, "b c": 70_000, **{f"w{i}": i for i in range(3, 69_000)}}, unk_token="[UNK]"))
+    other.normalizer, other.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.Split("|", "removed")
+    other.save(str(tmp_path / "t.json"))
+    own = Ids(str(tmp_path / "t.json"))
+    ids, at = own.encode(pa.array(["A|b|B c", None, "", "w7|b c|a"]))
+    assert own.whole and ids.dtype == np.uint32 and ids.tolist() == [0, 1, 70_000, 7, 70_000, 0] and at.tolist() == [0, 3, 3, 3, 6]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_plan_uses_every_piece_once(lengths):
@@ -80,3 +103,17 @@ def test_pieces_and_sequences(spark):
 
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), BYTES).count() == 0
+
+
+def test_equal_rows_and_a_very_long_text(spark):
+    long = " ".join(f"n{i % 977}" for i in range(150_000))
+    rows = [(1, "the same row")] * 300 + [(2, long), (None, None), (None, None)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), BYTES, width=64).collect()
+    plain = Tokenizer.from_file(BYTES)
+    want = sum(len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert sum(r["length"] for r in got) == want and sum(r["doc_id"] == 1 for r in got) == 300
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in sequences.values():
+        assert [o for o, _ in sorted(s)] == np.cumsum([0, *[n for _, n in sorted(s)[:-1]]]).tolist() and sum(n for _, n in s) <= 64

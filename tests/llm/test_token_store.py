@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -45,3 +47,33 @@ def test_files_read_back(spark):
 def test_empty_table(spark):
     folder = new_path(spark, "ids-test")
     assert ts.write(spark.createDataFrame([], "doc_id long, text string"), folder, PATH) == 0
+
+
+def test_files_roll_over_and_are_read_in_blocks(spark):
+    """Files of a few hundred bytes, null keys, rows that repeat a key, and a text of many blocks."""
+    rows = [(None, f"no key {i}") for i in range(40)] + [(3, f"again {i % 5}") for i in range(60)] + [(i, f"text number {i}") for i in range(100, 140)] + [(500, "ab cd " * 20_000)]
+    folder = new_path(spark, "ids-test")
+    assert ts.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, PATH, parts=4, file_bytes=300) == len(rows)
+    names = sorted(r["name"] for r in ts.file_names(spark, folder, "*.ids").collect())
+    assert len({n.split("-")[1] for n in names}) > 2
+    got = sorted(tuple(r)[1:] + (r["doc_id"],) for r in ts.read(spark, folder).collect())
+    assert [g[0] for g in got] == np.cumsum([0, *[g[1] for g in got[:-1]]]).tolist()
+    keys = [g[-1] for g in got]
+    assert keys[:40] == [None] * 40 and keys[40:] == sorted(r[0] for r in rows[40:])
+    plain = Tokenizer.from_file(PATH)
+    crc = lambda t: zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((str(g[-1]), g[2]) for g in got) == sorted((str(k), crc(t)) for k, t in rows)
+
+
+def test_a_task_rolls_over(spark):
+    rows = [(i, f"text number {i} " * 50) for i in range(3000)]
+    folder = new_path(spark, "ids-test")
+    assert ts.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), folder, PATH, parts=1, file_bytes=20_000) == 3000
+    names = sorted(r["name"] for r in ts.file_names(spark, folder, "*.ids").collect())
+    got = ts.read(spark, folder).orderBy("start").collect()
+    assert len(names) > 0 and [r["doc_id"] for r in got] == list(range(3000))
+
+
+def test_not_a_file_of_ids():
+    with pytest.raises(ValueError, match="not a file"):
+        ts.File(pa.BufferReader(b"x" * 100))
