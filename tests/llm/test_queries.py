@@ -1,6 +1,7 @@
 """Queries without SQL, over a whole small table, against plain versions."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -10,6 +11,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from foldloom.llm import queries as q
+from foldloom.llm import secret_scan
 
 from . import brute
 
@@ -39,11 +41,26 @@ def test_op6(spark, small):
     assert max(sizes) <= 2048 and sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes) < 0.03 * sum(sizes)
 
 
+def random_spans(own):
+    """By document, the stretches that the step-up over all documents' stretches keeps, from plain lists."""
+    found = [(i, a, b, p) for i, t in own.items() for a, b, p in secret_scan.candidates(t or "", secret_scan.base_spans(t or ""))]
+    bound = lambda a, b, p: math.exp(-int(-math.log(max(p, 1e-300)) * 10) / 10) / min(1, 2.0 ** (int(math.log2(b - a)) - 5))
+    values = sorted(bound(*x[1:]) for x in found)
+    limit = max((v for k, v in enumerate(values, 1) if v <= 0.01 * k / len(values)), default=-1)
+    out = defaultdict(set)
+    for i, *x in found:
+        if bound(*x) <= limit:
+            out[i].add(f"random:{x[0]}:{x[1]}")
+    return out
+
+
 def test_op7(spark, small):
     key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
     assign = re.compile(f"({key})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
     own = texts(spark, small)
+    random = random_spans(own)
     for r in q.op7_secret_scan(spark, small).collect():
+        assert {x for x in r["spans"].split(",") if x.startswith("random")} == random[r["doc_id"]]
         t = own.pop(r["doc_id"]) or ""
         found = [(*m.span(), 0) for m in assign.finditer(t) if len(m[2]) >= 6] + [(*m.span(), 1) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(*m.span(), 2) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         spans = [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]

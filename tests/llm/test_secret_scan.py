@@ -1,6 +1,11 @@
+import base64
+import math
 import random
+import re
 import string
 
+import pytest
+
 from foldloom.llm import secret_scan as s
 
 
@@ -80,3 +85,49 @@ def test_stretches_left_of_a_run():
     assert spans([(20, 40, 1)]) == [(0, 20), (40, 60), (61, 86)]
     assert spans([(20, 40, 1), (22, 30, 2), (39, 41, 2)]) == [(0, 20), (61, 86)]
     assert spans([(50, 66, 0)]) == [(0, 50), (66, 86)] and spans([(0, 86, 0), (3, 4, 2)]) == []
+
+
+def words_of(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("text").collect()
+    return [w for r in rows for w in re.findall("[A-Za-z]{2,}", r["text"] or "")]
+
+
+@pytest.mark.parametrize("length", [24, 40, 200, 3000])
+def test_structured_text_passes_no_more_often_than_stated(spark, small, length):
+    r, words = random.Random(length), words_of(spark, small)
+    styles = [str.lower, str.upper, str.capitalize, lambda w: w.lower() + "_", lambda w: w.upper() + "_", lambda w: w.lower() + "/", lambda w: w.lower() + "-", lambda w: w.lower() + str(r.choice([1, 2, 10, 2024]))]
+    hits = runs = 0
+    for style in styles:
+        for _ in range(200 if length < 1000 else 20):
+            run = ""
+            while len(run) < length:
+                run += style(r.choice(words))
+            hits += s.battery(run[:length])[1] <= s.ALPHA
+            runs += 1
+    assert hits <= 1.5 * s.ALPHA * runs
+
+
+def test_long_regular_runs_are_structured():
+    text = base64.b64encode(b"some text of a few words " * 40_000).decode()
+    for run in ("-" * 70_000, "_" * 1_000_000, "thequickbrownfoxjumpsoverthelazydog" * 2000, "ab" * 300_000, "0123456789" * 500, text, text[:2000]):
+        assert s.battery(run)[1] == 1.0
+    r = random.Random(1)
+    assert s.battery("".join(r.choice(string.ascii_letters + string.digits) for _ in range(100_000)))[1] < 1e-100
+
+
+def test_long_runs_take_nothing_from_others(spark):
+    r = random.Random(11)
+    pool = string.ascii_letters + string.digits
+    keys = ["".join(r.choice(pool) for _ in range(40)) for _ in range(60)]
+    texts = keys + [f"{w}isationsandmorewords" for w in ("internal", "organ", "local") for _ in range(30)]
+    found = lambda own: [x["spans"] for _, x in sorted(scan(spark, own).items())][: len(texts)]
+    alone = found(texts)
+    assert sum(x != "" for x in alone[:60]) >= 55 and not any(alone[60:])
+    long = ["-" * 70_000, "_" * 5000, "thequickbrownfoxjumpsoverthelazydog" * 2000]
+    both = scan(spark, texts + long)
+    assert [both[i]["spans"] for i in range(len(texts))] == alone and not any(both[len(texts) + i]["spans"] for i in range(3))
+    assert s.thresholds({(5, 200): 1000, (5, 0): 9000, (16, 0): 1}) == s.thresholds({(5, 200): 1000, (5, 0): 9001}) | {16: 200}
+
+
+def test_nothing_above_alpha_passes():
+    assert all(math.exp(-b / s.STEPS) <= s.ALPHA for b in s.thresholds({(c, 400): 50 for c in range(4, 20)} | {(4, 0): 1}).values())
