@@ -25,7 +25,8 @@ WINDOW = 5
 #: Positions take the low bits of a packed window key; no array is longer than 2**31.
 POSITION_BITS = 31
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-ITERATIONS = 12
+#: EM goes on until no rate moves by more than TOLERANCE; after MOST steps it is an error.
+TOLERANCE, MOST = 1e-6, 1000
 PRIOR_KEPT = 0.9
 #: Starting values of P(votes good | good) and P(votes bad | bad), and the range that each stays in: a rule seldom speaks
 #: against a good text, but may miss many bad ones. The ranges keep the two classes from changing places.
@@ -148,38 +149,40 @@ def _within(value: float, bounds: tuple[float, float]) -> float:
     return min(bounds[1], max(bounds[0], value))
 
 
-def fit(patterns: DataFrame, names: list[str], iterations: int = ITERATIONS) -> dict:
-    """EM over counted vote patterns (columns ``names`` and ``count``), of which there are at most 3 ** len(names).
+def fit(patterns: DataFrame, names: list[str], tolerance: float = TOLERANCE) -> dict:
+    """EM over counted vote patterns (columns ``names`` and ``count``), of which there are at most 3 ** len(names), until no
+    rate moves by more than ``tolerance``.
 
-    A step joins the patterns' votes with a table of what each vote is worth, sums by pattern (expectation), then by rule and
-    vote (maximisation); what comes back is a row for each rule and vote. The values being rows, not literals, every step
-    has the same plan and its compiled code is used again.
+    A step is one aggregate: each pattern's chance of being good under the model (expectation), and the sums of it by rule
+    and vote (maximisation), one row. The model goes in as an array, so that every step has the same compiled code.
     """
-    spark = patterns.sparkSession
-    pattern = F.concat_ws(",", *names)
-    votes = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(x).cast("int").alias("vote")) for i, x in enumerate(names)]))
-    long = written(patterns.select(pattern.alias("pattern"), F.col("count").cast("double").alias("n"), votes.alias("v")).select("pattern", "n", "v.rule", "v.vote").coalesce(1), "quality-votes")
+    rules = range(len(names))
     model = {"prior": PRIOR_KEPT, "good": [START_GOOD] * len(names), "bad": [START_BAD] * len(names)}
-    for _ in range(iterations):
-        odds = math.log(model["prior"] / (1 - model["prior"])) / len(names)  # an equal part with each rule's vote
-        worth = [(i, v, odds + x) for i, (g, b) in enumerate(zip(model["good"], model["bad"], strict=True)) for v, x in ((1, math.log(g / (1 - b))), (0, math.log((1 - g) / b)), (-1, 0.0))]
-        values = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, {v}, {x!r}D)" for i, v, x in worth) + " AS t(rule, vote, worth)"))  # three rows a rule
-        chance = long.join(values, ["rule", "vote"]).groupBy("pattern").agg((1 / (1 + F.exp(-F.sum("worth")))).alias("p"))
-        sums = long.join(chance, "pattern").groupBy("rule", "vote").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum(F.col("n") * (1 - F.col("p"))).alias("bad")).collect()
-        if not sums:
-            break
-        got = {(r["rule"], r["vote"]): (r["good"], r["bad"]) for r in sums}
-        of = lambda i, v, k: got.get((i, v), (0.0, 0.0))[k]  # noqa: B023, E731
-        good, bad = (sum(of(0, v, k) for v in (1, 0, -1)) for k in (0, 1))
-        model = {
-            "prior": _within((good + PSEUDO * PRIOR_KEPT) / (good + bad + PSEUDO), RANGE_PRIOR),
-            "good": [_within((of(i, 1, 0) + PSEUDO * START_GOOD) / (of(i, 1, 0) + of(i, 0, 0) + PSEUDO), RANGE_GOOD) for i in range(len(names))],
-            "bad": [_within((of(i, 0, 1) + PSEUDO * START_BAD) / (of(i, 1, 1) + of(i, 0, 1) + PSEUDO), RANGE_BAD) for i in range(len(names))],
+    for _ in range(MOST):
+        # what a vote of bad, an abstention and a vote of good are worth by rule, and at last the prior's odds
+        worth = [x for g, b in zip(model["good"], model["bad"], strict=True) for x in (0.0, math.log((1 - g) / b), math.log(g / (1 - b)))]
+        table = F.array(*[F.lit(x) for x in [*worth, math.log(model["prior"] / (1 - model["prior"]))]])
+        odds = F.get(table, F.lit(3 * len(names)))
+        for i in rules:
+            odds = odds + F.get(table, F.col(names[i]).cast("int") + (3 * i + 1))
+        n, p = F.col("count").cast("double"), 1 / (1 + F.exp(-odds))
+        parts = patterns.select(*names, (n * p).alias("_q_good"), (n * (1 - p)).alias("_q_bad"))
+        of = lambda i, v, c: F.coalesce(F.sum(F.when(F.col(names[i]) == v, F.col(c))), F.lit(0.0)).alias(f"{i}_{v}{c}")
+        sums = parts.agg(F.coalesce(F.sum("_q_good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("_q_bad"), F.lit(0.0)).alias("bad"), *[of(i, v, c) for i in rules for v in (0, 1) for c in ("_q_good", "_q_bad")]).first()
+        got = lambda i, v, c: sums[f"{i}_{v}{c}"]  # noqa: B023, E731
+        new = {
+            "prior": _within((sums["good"] + PSEUDO * PRIOR_KEPT) / (sums["good"] + sums["bad"] + PSEUDO), RANGE_PRIOR),
+            "good": [_within((got(i, 1, "_q_good") + PSEUDO * START_GOOD) / (got(i, 1, "_q_good") + got(i, 0, "_q_good") + PSEUDO), RANGE_GOOD) for i in rules],
+            "bad": [_within((got(i, 0, "_q_bad") + PSEUDO * START_BAD) / (got(i, 1, "_q_bad") + got(i, 0, "_q_bad") + PSEUDO), RANGE_BAD) for i in rules],
         }
-    return model
+        moved = max(abs(x - y) for k in ("good", "bad") for x, y in zip([new["prior"], *new[k]], [model["prior"], *model[k]], strict=True))
+        model = new
+        if moved <= tolerance:
+            return model
+    raise ArithmeticError(f"no convergence in {MOST} steps")
 
 
-def judged(docs: DataFrame, keys: list[str] | None = None, text: str = "text", iterations: int = ITERATIONS) -> DataFrame:
+def judged(docs: DataFrame, keys: list[str] | None = None, text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """Columns ``keys`` (default: all) of each row with the measures, ``base_failed``, ``posterior`` and ``kept``."""
     keys = docs.columns if keys is None else keys
     votes = rules()
@@ -189,7 +192,7 @@ def judged(docs: DataFrame, keys: list[str] | None = None, text: str = "text", i
     seen = measures(source, text).withColumns(dict(zip(names, votes.values(), strict=True)))
     slim = written(seen.select(*keys, *MEASURES, *names), "quality")
     patterns = written(slim.groupBy(*names).count().coalesce(1), "quality-patterns")
-    model = fit(patterns, names, iterations)
+    model = fit(patterns, names, tolerance)
     posterior = _posterior([F.col(x) for x in names], model).alias("posterior")
     return slim.select(*keys, *MEASURES, base_failed().alias("base_failed"), posterior).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 

@@ -4,14 +4,14 @@ import hashlib
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from foldloom.llm import quality_rules, secret_scan
 from foldloom.llm import queries as q
-from foldloom.llm import secret_scan
 
 from . import brute
 
@@ -85,3 +85,37 @@ def test_op10(spark, small):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, again)
         assert r["base_failed"] == (n < 10 or 100 * again > 20 * n) and not (r["base_failed"] and r["kept"])
     assert not own
+
+
+def plain_em(patterns):
+    """Rates and prior from counted votes, by plain loops."""
+    size = len(next(iter(patterns)))
+    prior, good, bad = quality_rules.PRIOR_KEPT, [quality_rules.START_GOOD] * size, [quality_rules.START_BAD] * size
+    within = lambda v, b: min(b[1], max(b[0], v))
+
+    def chance(votes):
+        x = math.log(prior / (1 - prior))
+        for v, g, b in zip(votes, good, bad, strict=True):
+            x += math.log(g / (1 - b)) if v == 1 else math.log((1 - g) / b) if v == 0 else 0
+        return 1 / (1 + math.exp(-x))
+
+    for _ in range(200):
+        p = {k: chance(k) for k in patterns}
+        n = quality_rules.PSEUDO
+        of = lambda i, v, c: sum(m * (p[k] if c else 1 - p[k]) for k, m in patterns.items() if k[i] == v)  # noqa: B023, E731
+        total = sum(m * p[k] for k, m in patterns.items())
+        prior = within((total + n * quality_rules.PRIOR_KEPT) / (sum(patterns.values()) + n), quality_rules.RANGE_PRIOR)
+        good = [within((of(i, 1, 1) + n * quality_rules.START_GOOD) / (of(i, 1, 1) + of(i, 0, 1) + n), quality_rules.RANGE_GOOD) for i in range(size)]
+        bad = [within((of(i, 0, 0) + n * quality_rules.START_BAD) / (of(i, 1, 0) + of(i, 0, 0) + n), quality_rules.RANGE_BAD) for i in range(size)]
+    return chance
+
+
+def test_op10_posterior(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rules = quality_rules.rules()
+    votes = {r["doc_id"]: tuple(r)[1:] for r in quality_rules.measures(docs).select("doc_id", *[c.alias(k) for k, c in rules.items()]).collect()}
+    chance = plain_em(Counter(votes.values()))
+    for r in q.op10_quality_rules(spark, small).collect():
+        want = chance(votes[r["doc_id"]])
+        assert abs(r["posterior"] - want) < 1e-4
+        assert r["kept"] == (not r["base_failed"] and want >= 0.5) or abs(want - 0.5) < 1e-3
