@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import dropped, written
 from .text_kernels import lean, letter_words, pieces
 
-SAMPLE, FEATURES = 20_000, 1024
+SAMPLE, FEATURES = 20_000, 4096
 LEAST_DOCS, LEAST_Z = 5, 4.0
 RIDGE, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 1500
 #: Identity terms and what each is swapped with, in lower case.

@@ -1,9 +1,11 @@
 import random
+import zlib
 
 import numpy as np
 
 from foldloom.llm import queries as q
 from foldloom.llm import toxicity as t
+from foldloom.llm.language_id import held_out
 
 DOCS, LABELS = "doc_id long, text string, score string", "doc_id long, toxic int, text string"
 
@@ -59,3 +61,44 @@ def test_one_class_none_and_empty_tables(spark):
 def test_query(spark, small):
     got = q.op5_toxicity(spark, small).toPandas()
     assert len(got) == spark.read.parquet(f"{small}/documents.parquet").count() and got["score"].between(0, 1).all()
+
+
+def test_weights_are_where_the_dense_gradient_vanishes(spark):
+    """The whole objective, written with full matrices."""
+    docs, labels = tables(spark, sentences(n=200))
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"]).collect()
+    words = sorted({w for r in rows for w in r["text"].split()})
+    keys = np.unique(t.word_hashes(words))
+    x = np.array([np.isin(keys, t.word_hashes(r["text"].split())) for r in rows], dtype=float)
+    y = np.array([float(r["toxic"]) for r in rows])
+    own, features = np.nonzero(x)
+    model = t.train(keys, own, features, y, ridge=1e-2, steps=6000)
+    a, b = (int(np.searchsorted(keys, t.word_hashes([w])[0])) for w in ("muslim", "christian"))
+    swapped = x.copy()
+    swapped[:, [a, b]] = x[:, [b, a]]
+    d = swapped - x
+    gradient = x.T @ (1 / (1 + np.exp(-(x @ model.weights + model.bias))) - y) / len(y) + 1e-2 * model.weights + 2 * t.COUNTERFACTUAL * d.T @ (d @ model.weights) / len(y)
+    assert (model.keys == keys).all() and np.abs(gradient).max() < 1e-6
+    assert np.allclose(model.score([r["text"] for r in rows]), 1 / (1 + np.exp(-(x @ model.weights + model.bias))))
+
+
+def test_query_scores_are_sums_over_distinct_words(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    model = t.fit(docs, labels, learn=~held_out(t.F.col("doc_id")))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in q.op5_toxicity(spark, small).collect()}
+    for r in docs.collect():
+        words = {w for w in "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split()}
+        z = model.bias + sum(weight.get(h, 0.0) for h in t.word_hashes(sorted(words)).tolist())
+        own = got.pop(r["doc_id"])
+        assert abs(own["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and own["predicted"] == int(own["score"] >= 0.5)
+        assert own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    assert not got
+
+
+def test_ties_repeats_and_a_very_long_text(spark):
+    docs, labels = tables(spark, sentences(n=60))
+    model = t.fit(docs.union(docs), labels.union(labels))
+    long = spark.createDataFrame([(1, "river " * 300_000 + "idiot", "s"), (1, "river idiot", "s"), (1, "river idiot", "s"), (2, None, "s")], DOCS)
+    got = sorted(tuple(r) for r in t.scored(long, model).collect())
+    assert len(got) == 4 and got[0] == got[1] == got[2] and abs(got[3][1] - model.score([""])[0]) < 1e-12
