@@ -26,26 +26,27 @@ from .token_ids import ids_of
 
 WIDTH = 2048
 DEPTH = 3
-#: Least squares: combinations of three considered besides all pairs, and steps of the descent.
+#: Least squares: combinations of three considered besides all pairs, and steps of the descent. They bound the plan, not what
+#: is packed: what the plan leaves over is packed greedily.
 TRIPLES, STEPS = 20_000, 400
 
 
 def combinations(histogram: np.ndarray, triples: int = TRIPLES) -> np.ndarray:
-    """Rows of three lengths, 0 for none, that sum to the width: all pairs of lengths there are, and triples of
-    the most frequent lengths."""
+    """Rows of up to DEPTH lengths, 0 for none, that sum to the width: all pairs of lengths there are, and of all triples the
+    ``triples`` whose rarest length is the most frequent, so that rounding down loses little."""
     width = len(histogram) - 1
     there = np.flatnonzero(histogram[1:width]) + 1
-    pair = there[(there <= width - there) & (histogram[width - there] > 0)]
-    out = [np.stack([pair, width - pair, np.zeros_like(pair)], axis=1)]
-    often = there[np.argsort(-histogram[there], kind="stable")][:512]
-    a, b = np.meshgrid(often, often, indexing="ij")
-    c = width - a - b
-    ok = (a <= b) & (b <= c)
-    a, b, c = a[ok], b[ok], c[ok]
-    ok = histogram[c] > 0
-    a, b, c = a[ok], b[ok], c[ok]
-    best = np.argsort(-np.minimum(np.minimum(histogram[a], histogram[b]), histogram[c]), kind="stable")[:triples]
-    out.append(np.stack([a[best], b[best], c[best]], axis=1))
+    out = []
+    for depth in range(2, DEPTH + 1):
+        first = np.stack(np.meshgrid(*[there] * (depth - 1), indexing="ij"), axis=-1).reshape(-1, depth - 1)
+        first = first[(np.diff(first, axis=1) >= 0).all(axis=1)]
+        last = width - first.sum(axis=1)
+        ok = last >= first[:, -1]
+        rows = np.concatenate([first[ok], last[ok, None]], axis=1)
+        rows = rows[histogram[rows[:, -1]] > 0]
+        if depth > 2:
+            rows = rows[np.argsort(-histogram[rows].min(axis=1), kind="stable")[:triples]]
+        out.append(np.pad(rows, ((0, 0), (0, DEPTH - depth))))
     return np.concatenate(out).astype(np.int64)
 
 
