@@ -1,6 +1,7 @@
 """WARC archives compressed with Zstandard and a dictionary.
 
-The dictionary is trained on at most SAMPLE records (the least by a hash of the key) of at most SAMPLE_BYTES each. Every file
+The dictionary is trained on at most SAMPLE records, headers and all, those with the least hashes of their keys and one of rows
+that repeat a key; of a longer record the first SAMPLE_BYTES. These bounds shape the dictionary alone. Every file
 begins with a skippable frame (magic number 0x184D2A5D) that holds the dictionary; each record then is a frame of its
 own, so that a record can be read alone at its offset. A record whose payload has LEAST_DUPLICATE bytes or more and
 equals another's is a revisit of the one with the least key; it names that in WARC-Refers-To and has no payload.
@@ -38,15 +39,17 @@ def record(key, url: str, kind: str, digest: str, size: int, refers, payload: by
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
-def dictionary(pages: DataFrame, key: str, text: str, sample: int = SAMPLE) -> bytes:
+def dictionary(pages: DataFrame, key: str, url: str, text: str, sample: int = SAMPLE) -> bytes:
     """A Zstandard dictionary, empty if there is too little to learn from."""
     import zstandard
 
-    keys = pages.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(sample)  # the keys first: tasks send no texts but those chosen
-    some = pages.where(F.col(text).isNotNull()).join(F.broadcast(keys.distinct()), key, "left_semi").select(F.substring(F.encode(F.col(text), "UTF-8"), 1, SAMPLE_BYTES).alias("part"))
-    parts = sorted(bytes(r["part"]) for r in some.collect())  # about ``sample`` rows of SAMPLE_BYTES
+    keys = pages.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)  # the keys first: tasks send no texts but those chosen
+    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    own = pages.join(F.broadcast(keys), key, "left_semi").groupBy(F.col(key).cast("long").alias("key"))
+    some = own.agg(F.min(F.struct(F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.substring(body, 1, SAMPLE_BYTES).alias("part"))).alias("r")).select("key", "r.*")
+    parts = sorted(record(r["key"], r["url"], "response", r["digest"], r["size"], None, bytes(r["part"]))[:SAMPLE_BYTES] for r in some.collect())  # at most ``sample`` rows of SAMPLE_BYTES
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [p for p in parts if len(p) >= 8], level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -55,9 +58,11 @@ def decided(pages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, size, digest, refers) of each row; refers: the least key among equal payloads, where that is another's."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     slim = pages.select(F.col(key).cast("long").alias("key"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))
-    first = slim.where(F.col("size") >= LEAST_DUPLICATE).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = slim.join(first, "digest", "left")
-    return out.select("key", "size", "digest", F.when(F.col("first") != F.col("key"), F.col("first")).alias("refers"))
+    large = F.col("size") >= LEAST_DUPLICATE
+    first = slim.where(large).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    refers = F.when(F.col("first") != F.col("key"), F.col("first")).alias("refers")
+    # small payloads, however many share a digest, are dealt to no one task
+    return slim.where(large).join(first, "digest", "left").select("key", "size", "digest", refers).union(slim.where(~large).select("key", "size", "digest", F.lit(None).cast("long")))
 
 
 def _writer(folder: str, trained: bytes, file_bytes: int):
@@ -98,9 +103,10 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 
     A null or empty text is an empty payload; a null url is an empty one. A row without a key has an empty record id and
     never is one that others revisit, unless all with its payload have none: then all are responses. Rows that repeat a key are
-    one record each. An empty table writes no file.
+    one record each, with one record id; of those with equal payloads, too, all are what the key is, a response or revisits. An
+    empty table writes no file; other columns aren't looked at.
     """
-    trained = dictionary(pages, key, text)
+    trained = dictionary(pages, key, url, text)
     slim = decided(pages.where(F.col(key).isNotNull()), key, text).groupBy("key", "digest").agg(F.first("size").alias("size"), F.first("refers").alias("refers"))
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     full = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(text).alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))

@@ -48,3 +48,18 @@ def test_records_stand_alone_after_the_dictionary(spark):
 def test_empty_table(spark):
     folder = new_path(spark, "warc-test")
     assert warc.write(spark.createDataFrame([], SCHEMA), folder) == 0
+
+
+def test_rows_that_repeat_a_key(spark):
+    long = "<p>" + "a page that comes again " * 10
+    rows = [(1, "u", long, "x")] * 8 + [(2, "u", long, "x")] * 3 + [(1, "u", "other " * 30, "x")] * 2 + [(3, "u", "small", "x")] * 2
+    folder = new_path(spark, "warc-test")
+    assert warc.write(spark.createDataFrame(rows, SCHEMA), folder) == len(rows)
+    got = sorted((r["record_id"], r["record_type"], r["refers_to"] or "") for r in warc.read(spark, folder).collect())
+    assert got == [("<urn:page:1>", "response", "")] * 10 + [("<urn:page:2>", "revisit", "<urn:page:1>")] * 3 + [("<urn:page:3>", "response", "")] * 2
+
+
+def test_the_dictionary_learns_one_record_a_key(spark):
+    rows = spark.createDataFrame([(1, "u", f"<html>body {i} of many " * 40, "x") for i in range(500)] + [(i, "u", f"<html>page {i} of many " * 40, "x") for i in range(2, 40)], SCHEMA)
+    trained = warc.dictionary(rows, "page_id", "url", "html", sample=30)
+    assert trained and b"WARC-Payload-Digest" in trained
