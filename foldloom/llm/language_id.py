@@ -1,14 +1,20 @@
-"""Language identification, word first: known words by their log frequency in each language, others by character n-grams.
+"""Language identification, word first: seen words by their log frequency in each language, others by character n-grams.
 
-Learning counts every word of every labelled text with DataFrame aggregates; n-grams are counted from the table of
-distinct words, weighted by their counts. A word or n-gram is known if it makes up at least SHARE of some language's
-words (n-grams of that order): so there are at most 1 / SHARE of each kind for a language, which bounds the model that
-is broadcast, at any size of the corpus. A word that isn't known falls back to its 4-grams; if none of them is known, to its
-3-grams, and so on to single characters; a word of unknown characters says nothing.
+Learning counts every word of every labelled text, and the n-grams of the distinct words weighted by their counts, with
+DataFrame aggregates; both stay tables. A word that was seen in any language scores by its log frequencies. One that wasn't
+falls back to its 4-grams, scored by the mean of those that were seen; if none was, to its 3-grams, and so on to single
+characters; a word of unseen characters says nothing.
+
+Words that make up at least SHARE of some language's, of which there are at most 1 / SHARE a language, are broadcast and
+scored as texts are read. A text's other words leave it as rows, a row for each distinct one, and meet the tables: the seen
+in a join, the unseen, taken once for all texts, by their n-grams in another. SHARE moves work, not results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,95 +76,147 @@ def _gram_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang), pa.int32()), pa.array(np.full(len(keys), n), pa.int32()), pa.array(keys.view(np.int64)), pa.array(total.astype(np.int64))], ["lang", "order", "key", "n"])
 
 
+@dataclass
 class Model:
-    """Log frequencies of known words and n-grams by language: hashes, sorted, and a row of scores for each."""
-
-    def __init__(self, langs: list[str]):
-        self.langs, self.tables = langs, {}
-
-    def add(self, order: int, keys: np.ndarray, lang: np.ndarray, n: np.ndarray, totals: dict[int, float]) -> None:
-        own, back = np.unique(keys, return_inverse=True)
-        counts = np.zeros((len(own), len(self.langs)))
-        np.add.at(counts, (back, lang), n)
-        total = np.array([totals.get(i, 0.0) for i in range(len(self.langs))])
-        self.tables[order] = own, np.log((counts + SMOOTHING) / (total + SMOOTHING * (len(own) + 1))).astype(np.float32)
-
-    def known(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are known, and the places of those in the table of scores."""
-        own = self.tables[order][0]
-        if not len(own):
-            return np.zeros(len(keys), dtype=bool), np.zeros(0, dtype=np.int64)
-        at = np.searchsorted(own, keys)
-        at[at == len(own)] = 0
-        ok = own[at] == keys
-        return ok, at[ok]
-
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The best language of each text, -1 if it has no word, and its posterior probability."""
-        points, starts, ends, words, at = letter_words(texts)
-        scores = np.zeros((len(words), len(self.langs)))
-        ok, rows = self.known(0, words)
-        scores[ok] = self.tables[0][1][rows]
-        rest = np.flatnonzero(~ok)
-        distinct, first, back = np.unique(words[rest], return_index=True, return_inverse=True)
-        s, e = starts[rest[first]], ends[rest[first]]
-        found, open_ = np.zeros((len(distinct), len(self.langs))), np.arange(len(distinct))
-        for n in ORDERS:
-            keys, word = grams(points, s[open_], e[open_], n)
-            ok, rows = self.known(n, keys)
-            hits = np.bincount(word[ok], minlength=len(open_))
-            for i in range(len(self.langs)):
-                total = np.bincount(word[ok], self.tables[n][1][rows, i], minlength=len(open_))
-                found[open_, i] = np.where(hits > 0, total / np.maximum(hits, 1), found[open_, i])
-            open_ = open_[hits == 0]
-        scores[rest] = found[back]
-        run = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(scores, axis=0)])
-        total = run[at[1:]] - run[at[:-1]]
-        best = total.argmax(axis=1)
-        chance = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return np.where(at[1:] > at[:-1], best, -1), chance
+    """``words`` (key, s0, s1, ...) and ``grams`` (order, key, s0, s1, ...): log frequencies by language. ``keys`` and
+    ``scores``: those of the words that are broadcast, by key."""
+
+    langs: list[str]
+    words: DataFrame
+    grams: DataFrame
+    keys: np.ndarray
+    scores: np.ndarray
+
+    def drop(self) -> None:
+        """Deletes the tables."""
+        dropped(self.words)
+        dropped(self.grams)
+
+
+def _hashes(batches):
+    """(lang, key, n) of rows (lang, word, n)."""
+    for batch in batches:
+        _, _, _, keys, at = letter_words(batch.column(1).to_pylist())
+        whose = pa.array(np.searchsorted(at, np.arange(len(keys)), "right") - 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), pa.array(keys.view(np.int64)), batch.column(2).take(whose)], ["lang", "key", "n"])
+
+
+def _scores(counts: DataFrame, by: list[str], langs: int) -> tuple[DataFrame, DataFrame]:
+    """Log frequencies of each key by language, smoothed, from rows (*by, key, lang, n), with the greatest share that the key has
+    of a language's total; and the row (or a row for each of ``by``) of totals and distinct keys they rest on."""
+    of = lambda i: F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}")
+    wide = counts.groupBy(*by, "key").agg(*[of(i) for i in range(langs)])
+    wide = written(wide, "counts")
+    totals = wide.groupBy(*by).agg(F.count("*").alias("_distinct"), *[F.sum(f"n{i}").alias(f"t{i}") for i in range(langs)])
+    rows = {tuple(r[c] for c in by): r for r in totals.collect()}  # a row, or one an order
+
+    def value(i: int) -> Column:
+        out = F.lit(0.0)
+        for key, r in rows.items():
+            at = F.lit(True)
+            for c, x in zip(by, key, strict=True):
+                at = at & (F.col(c) == x)
+            out = F.when(at, F.log((F.col(f"n{i}") + SMOOTHING) / F.lit(r[f"t{i}"] + SMOOTHING * (r["_distinct"] + 1)))).otherwise(out)
+        return out
+
+    share = F.greatest(*[F.lit(0.0), *[F.col(f"n{i}") / F.lit(max([1.0, *[r[f"t{i}"] for r in rows.values()]])) for i in range(langs)], F.lit(0.0)])
+    return wide, wide.select(*by, "key", *[value(i).alias(f"s{i}") for i in range(langs)], share.alias("share"))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE) -> Model:
     """A model of all rows with a language and a text; equal scores go to the first language by name."""
-    spark = docs.sparkSession
     seen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    words = written(seen.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    sums = {r["lang"]: float(r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
-    model = Model(sorted(sums))
-    place = {x: i for i, x in enumerate(model.langs)}
-    total = {place[x]: n for x, n in sums.items()}
-    code = F.create_map(*[y for x, i in place.items() for y in (F.lit(x), F.lit(i))])[F.col("lang")] if place else F.lit(0)
-    least = F.create_map(*[y for i, n in total.items() for y in (F.lit(i), F.lit(share * n))])[F.col("lang")] if place else F.lit(0.0)
-    words_by_code = words.select(code.cast("int").alias("lang"), "word", "n")
-    known = words_by_code.where(F.col("n") >= least).select("word").distinct()  # at most 1 / share a language
-    rows = words_by_code.join(F.broadcast(known), "word", "left_semi").toPandas()
-    _, _, _, hashes, _ = letter_words(rows["word"].tolist())
-    model.add(0, hashes, rows["lang"].to_numpy(int), rows["n"].to_numpy(float), total)
-    counts = written(words_by_code.select("lang", "word", "n").mapInArrow(lean(_gram_counts), "lang int, order int, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")), "grams")
-    of = counts.groupBy("lang", "order").agg(F.sum("n").alias("total"))
-    enough = counts.join(F.broadcast(of), ["lang", "order"]).where(F.col("n") >= share * F.col("total")).select("order", "key").distinct()  # at most 1 / share a language and order
-    grams_known = counts.join(F.broadcast(enough), ["order", "key"], "left_semi").toPandas()
-    totals = {(r["lang"], r["order"]): float(r["total"]) for r in of.collect()}
-    for n in ORDERS:
-        mine = grams_known[grams_known["order"] == n]
-        model.add(n, mine["key"].to_numpy(np.int64).view(np.uint64), mine["lang"].to_numpy(int), mine["n"].to_numpy(float), {i: totals.get((i, n), 0.0) for i in total})
-    dropped(words)
-    dropped(counts)
-    return model
-
-
-def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """``key``, lang_pred and score of each row. A null text or one without letters is ``und``, score 0; so is every text if
-    nothing was learned. Keys may be null or repeat; an empty table gives an empty result."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    counted = written(seen.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())  # a row a language
+    if not langs:
+        return Model(langs, counted, counted, np.zeros(0, np.uint64), np.zeros((0, 0)))
+    place = F.create_map(*[y for i, x in enumerate(langs) for y in (F.lit(x), F.lit(i))])[F.col("lang")]
+    coded = counted.select(place.cast("int").alias("lang"), "word", "n")
+    wide, scores = _scores(coded.mapInArrow(lean(_hashes), "lang int, key long, n long"), [], len(langs))
+    names = [f"s{i}" for i in range(len(langs))]
+    words = written(scores.select("key", *names, "share"), "word-scores")
+    dropped(wide)
+    common = words.where(F.col("share") >= share).select("key", *names).toArrow()  # at most 1 / share a language
+    keys = common.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    table = np.stack([common.column(c).to_numpy() for c in names], axis=1)[order]
+    wide, scores = _scores(coded.mapInArrow(lean(_gram_counts), "lang int, order int, key long, n long"), ["order"], len(langs))
+    grams = written(scores.select("order", "key", *names), "gram-scores")
+    dropped(wide)
+    dropped(counted)
+    return Model(langs, words, grams, keys[order], table)
+
+
+def _read(sent, langs: int):
+    """Per text: its key, the words and their scores' sums of those that are broadcast, and its other words with their counts."""
 
     def run(batches):
-        m = sent.value
+        keys, scores = sent.value
         for batch in batches:
             for ids, texts in pieces(batch.column(0), batch.column(1), 2 << 20):
-                best, chance = m.score(texts.to_pylist()) if m.langs else (np.full(len(ids), -1), np.zeros(len(ids)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([m.langs[i] if i >= 0 else "und" for i in best.tolist()], pa.string()), pa.array(np.where(best >= 0, chance, 0.0))], ["id", "lang_pred", "score"])
+                points, starts, ends, words, at = letter_words(texts.to_pylist())
+                place = np.searchsorted(keys, words)
+                place[place == len(keys)] = 0
+                known = keys[place] == words if len(keys) else np.zeros(len(words), dtype=bool)
+                sums = np.zeros((len(words) + 1, langs))
+                sums[1:][known] = scores[place[known]]
+                sums = np.cumsum(sums, axis=0)
+                sums = sums[at[1:]] - sums[at[:-1]]
+                rest = np.flatnonzero(~known)
+                whose = np.searchsorted(at, rest, "right") - 1
+                order = np.lexsort((words[rest], whose))
+                whose, rest = whose[order], rest[order]
+                new = np.ones(len(rest), dtype=bool)
+                new[1:] = (np.diff(whose) != 0) | (words[rest[1:]] != words[rest[:-1]])
+                first = np.flatnonzero(new)
+                own, n = rest[first], np.diff(np.append(first, len(rest)))
+                strings = ["".join(map(chr, points[a:b].tolist())) for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+                item = pa.StructArray.from_arrays([pa.array(words[own].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(strings, pa.string())], ["key", "n", "word"])
+                cuts = pa.array(np.searchsorted(whose[first], np.arange(len(ids) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(langs)], pa.ListArray.from_arrays(cuts, item)], ["id", "words", *[f"b{i}" for i in range(langs)], "others"])
+
+    return run
+
+
+def _grams_of(batches) -> Iterator[pa.RecordBatch]:
+    """(word_key, order, key) of rows (key, word): a word's n-grams, each as often as it holds it."""
+    for batch in batches:
+        points, starts, ends, _, at = letter_words(batch.column(1).to_pylist())
+        for n in ORDERS:
+            keys, word = grams(points, starts, ends, n)
+            whose = pa.array(np.searchsorted(at, word, "right") - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), pa.array(np.full(len(keys), n), pa.int32()), pa.array(keys.view(np.int64))], ["word_key", "order", "key"])
+
 
+def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, lang_pred and score of each row. A null text or one without letters is ``und``, score 0; so is every text if
+    nothing was learned. Keys may be null or repeat, each row being judged alone; other columns aren't looked at; an empty
+    table gives an empty result."""
+    names, n = [f"s{i}" for i in range(len(model.langs))], len(model.langs)
     source = docs.select(F.col(key).cast("long").alias("id"), F.lower(text).alias("text"))
-    return source.mapInArrow(lean(run), "id long, lang_pred string, score double").withColumnRenamed("id", key)
+    if not n:
+        return source.select(F.col("id").alias(key), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.scores))
+    sums = ", ".join(f"b{i} double" for i in range(n))
+    slim = source.mapInArrow(lean(_read(sent, n)), f"id long, words long, {sums}, others array<struct<key:long,n:long,word:string>>")
+    slim = written(slim.withColumn("row", F.monotonically_increasing_id()), "texts")
+    others = slim.select("row", F.explode("others").alias("o")).select("row", "o.key", "o.n", "o.word")
+    distinct = others.groupBy("key").agg(F.first("word").alias("word"))
+    seen = distinct.join(model.words.select("key", *names), "key", "left")
+    seen = written(seen, "other-words")
+    unseen = seen.where(F.col("s0").isNull())
+    hits = unseen.select("key", "word").mapInArrow(lean(_grams_of), "word_key long, order int, key long").join(model.grams, ["order", "key"])
+    levels = hits.groupBy("word_key", "order").agg(*[F.avg(c).alias(c) for c in names])
+    best = levels.groupBy(F.col("word_key").alias("key")).agg(F.max(F.struct("order", *names)).alias("m")).select("key", *[F.col(f"m.{c}").alias(c) for c in names])
+    found = seen.where(F.col("s0").isNotNull()).select("key", *names).union(best.select("key", *names))
+    more = others.join(found, "key").groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names])
+    total = slim.drop("others").join(more, "row", "left").select("id", "words", *[(F.col(f"b{i}") + F.coalesce(F.col(f"s{i}"), F.lit(0.0))).alias(f"b{i}") for i in range(n)])
+    most = F.greatest(*[F.col(f"b{i}") for i in range(n)], F.lit(float("-inf")))
+    label = F.lit(None).cast("string")
+    for i, lang in reversed(list(enumerate(model.langs))):
+        label = F.when(F.col(f"b{i}") == most, lang).otherwise(label)
+    weight = F.lit(0.0)
+    for i in range(n):
+        weight = weight + F.exp(F.col(f"b{i}") - most)
+    some = F.col("words") > 0
+    return total.select(F.col("id").alias(key), F.when(some, label).otherwise("und").alias("lang_pred"), F.when(some, 1 / weight).otherwise(0.0).alias("score"))

@@ -1,6 +1,9 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from foldloom.llm import language_id as li
 from foldloom.llm import queries as q
@@ -46,3 +49,68 @@ def test_query_learns_from_the_other_folds_alone(spark, small):
     both = got.join(table, rsuffix="_t")
     assert (both["lang"] == both["lang_pred"])[both["held_out"]].mean() >= 0.97
     assert np.isfinite(got["score"]).all()
+
+
+def plain_model(rows):
+    """Counts of words and n-grams by language, as dicts."""
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for text, lang in rows:
+        for w in split(text):
+            words[lang][w] += 1
+            for n in li.ORDERS:
+                for g in cut(w, n):
+                    grams[lang, n][g] += 1
+    return words, grams
+
+
+def split(text):
+    return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+
+
+def cut(word, n):
+    own = f"<{word}>" if n > 1 else word
+    return [own[i : i + n] for i in range(len(own) - n + 1)]
+
+
+def plain_prediction(text, words, grams):
+    langs = sorted(words)
+    log = lambda counts, x: [math.log((counts[k][x] + li.SMOOTHING) / (sum(counts[k].values()) + li.SMOOTHING * (len(set().union(*counts.values())) + 1))) for k in langs]
+    total = [0.0] * len(langs)
+    for w in split(text):
+        own = None
+        if any(w in words[k] for k in langs):
+            own = log(words, w)
+        else:
+            for n in li.ORDERS:
+                level = {k: grams[k, n] for k in langs}
+                hits = [log(level, g) for g in cut(w, n) if any(g in level[k] for k in langs)]
+                if hits:
+                    own = [sum(h[i] for h in hits) / len(hits) for i in range(len(langs))]
+                    break
+        if own:
+            total = [a + b for a, b in zip(total, own, strict=True)]
+    if not split(text):
+        return "und", 0.0
+    best = max(total)
+    return langs[total.index(best)], 1 / sum(math.exp(x - best) for x in total)
+
+
+@pytest.mark.parametrize("share", [li.SHARE, 0.02, 2.0])
+def test_as_plain_backoff(spark, share):
+    """All words, some or none of them broadcast: the same results as by dicts."""
+    fr = "la maison et la rivière avec la lumière du matin"
+    learn = [(EN, "en")] * 3 + [(DE, "de")] * 2 + [(fr, "fr"), ("Ünique ümlaut", "de"), (None, "en"), ("", "fr")]
+    texts = ["THE river", "das Licht, das Licht", "morninglight maisonette", "Hausfluss Hausfluss", "qqq", "", None, "été ÉTÉ", "rivers maisons häuser", "x", "the " * 50 + "unseenword " * 30, EN, DE, fr, "xyzzy"]
+    model = li.fit(docs(spark, learn), share=share)
+    got = {r["doc_id"]: r for r in li.predicted(docs(spark, [(t, None) for t in texts]).repartition(3), model).collect()}
+    words, grams = plain_model([x for x in learn if x[0]])
+    for i, t in enumerate(texts):
+        lang, score = plain_prediction(t, words, grams)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-6, (t, got[i], lang, score)
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    model = li.fit(docs(spark, [(EN, "en"), (DE, "de")]))
+    rows = [(1, "das Haus"), (1, "das Haus"), (None, "the house"), (2, "unseenly " * 200_000 + "the house " * 100_000)]
+    got = sorted((str(r["doc_id"]), r["lang_pred"]) for r in li.predicted(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    assert got == [("1", "de"), ("1", "de"), ("2", "en"), ("None", "en")]
