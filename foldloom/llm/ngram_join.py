@@ -7,9 +7,16 @@
    second's (smaller) indexing prefix. Shingles of one class only are dropped by an aggregate and a join.
    A length, a position, a suffix and a whole-set filter then bound the intersection that a pair could have.
 4. Links are wanted for components, so a group of near copies needn't be paired in full: in PIVOT_ROUNDS round(s) the
-   members of each prefix shingle's group are offered one member of it, and each document is paired with one that it is offered. What then is in one component needs no
-   further pairs; the rest, every pair of a shingle's group across components, is paired exactly. A pair passes the
-   filters first, is made distinct, and is verified once, by the exact intersection of the two sets.
+   members of each prefix shingle's group are offered one member of it, and each document is paired with one that it is
+   offered. What then is in one component needs no further pairs.
+5. Where more than HOT members still share a prefix shingle, the sketch has put a common one first. The members of such groups
+   are ordered anew, by the exact frequencies of all their shingles among them, counted in an aggregate, and get new
+   prefixes; a pair of them that is similar shares a shingle of those. So texts that have most in common, and yet aren't similar, part at
+   shingles of their own instead of being paired one with another.
+6. The rest, every pair of a shingle's group across components, is paired exactly. A pair passes the filters first, is
+   made distinct, and is verified once, by the exact intersection of the two sets.
+
+:func:`similar_pairs` forms every pair, without pivots, and :func:`link_counts` gives each document's number of links.
 
 A third of all rows in one group is one class, or a group that pivots join up in a few rounds; joins on a hot shingle
 are sort-merge joins that adaptive execution can split. Defined results: see :func:`ngram_join`.
@@ -18,6 +25,7 @@ are sort-merge joins that adaptive execution can split. Defined results: see :fu
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +37,7 @@ from .shared import dropped, swept, written
 from .text_kernels import lean, pieces, shared, shingle_sets
 
 SKETCH_BITS = 18
-PIVOT_ROUNDS = 1
+PIVOT_ROUNDS, HOT = 1, 64
 CLASSES = 8  # of hashes, in a suffix's signature: CLASSES counters of one byte
 PARITY = 256  # classes of hashes in a whole set's signature: the parity of each class's count, in longs
 FILTER_BITS = 22
@@ -44,12 +52,12 @@ def _prefixes(n: int, num: int, den: int) -> tuple[int, int]:
     return probe, min(index, probe)
 
 
-def _signatures(k: int):
+def _signatures(k: int, bits: int = SKETCH_BITS):
     """Per text: its set's size and a digest of it under both hashes (kind 0). Per task: how many texts' sets have each bucket of the sketch (kind 1)."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        low = np.uint64((1 << SKETCH_BITS) - 1)
+        counts = np.zeros(1 << bits, dtype=np.int64)
+        low = np.uint64((1 << bits) - 1)
         for batch in batches:
             for ids, texts in pieces(batch.column(0), batch.column(1)):
                 n, digests = [], []
@@ -69,39 +77,75 @@ def _signatures(k: int):
 
 def _ordered(own: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The set in the join's order, rare first; a one-to-one recoding of the hashes, sorted."""
-    low = (own & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-    return np.sort((rank[low] << np.uint64(64 - SKETCH_BITS)) | (own >> np.uint64(SKETCH_BITS)))
+    bits = len(rank).bit_length() - 1
+    low = (own & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return np.sort((rank[low] << np.uint64(64 - bits)) | (own >> np.uint64(bits)))
+
+
+HEADS = "id long, n long, head array<long>, tail array<long>, " + ", ".join(f"{c} long" for c in ODD) + ", wide binary"
+
+
+def _heads_of(ids: pa.Array, sets: Iterable[tuple[np.ndarray, np.ndarray]], num: int, den: int) -> pa.RecordBatch:
+    """Of (set, set in order) whose set can be similar to another one: the prefix in order, and at each of its places the
+    signature of what follows: counters, modulo 256, of the later shingles in each class. Also the whole set's parities."""
+    keep, sizes, heads, tails, odd, wide = [], [], [], [], [], []
+    for i, (own, order) in enumerate(sets):
+        n = len(own)
+        if n == 0 or n * den < num * (n + 1):  # too small to be similar to any other set than an equal one
+            continue
+        wide.append(parities(own))
+        odd.append(np.packbits(np.bincount((own >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).view(np.int64))
+        p, _ = _prefixes(n, num, den)
+        kinds = (order % np.uint64(CLASSES)).astype(np.int64)
+        total = np.bincount(kinds, minlength=CLASSES)
+        after = total - np.cumsum(np.eye(CLASSES, dtype=np.int64)[kinds[:p]], axis=0)
+        keep.append(i)
+        sizes.append(n)
+        heads.append(order[:p].view(np.int64))
+        tails.append(np.ascontiguousarray((after & 255).astype(np.uint8)).view(np.int64).ravel())
+    at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32))
+    flat = lambda xs: pa.ListArray.from_arrays(at, pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64), pa.int64()))
+    narrow = np.array(odd, dtype=np.int64).reshape(-1, PARITY // 64)
+    columns = [ids.take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), flat(heads), flat(tails), *[pa.array(np.ascontiguousarray(narrow[:, i])) for i in range(PARITY // 64)], pa.array(wide, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n", "head", "tail", *ODD, "wide"])
 
 
 def _heads(k: int, num: int, den: int, rank):
-    """Per text whose set can be similar to another one: the prefix in order, and at each of its places the signature of
-    what follows: counters, modulo 256, of the later shingles in each class. Also the whole set's parities by class."""
+    """HEADS of each text, in the sketch's order."""
 
     def run(batches):
         r = rank.value
         for batch in batches:
             for ids, texts in pieces(batch.column(0), batch.column(1)):
-                keep, sizes, heads, tails, odd, wide = [], [], [], [], [], []
-                for i, own in enumerate(shingle_sets(texts, k, True)):
-                    n = len(own)
-                    if n == 0 or n * den < num * (n + 1):  # too small to be similar to any other set than an equal one
-                        continue
-                    wide.append(parities(own))
-                    odd.append(np.packbits(np.bincount((own >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).view(np.int64))
-                    own = _ordered(own, r)
-                    p, _ = _prefixes(n, num, den)
-                    kinds = (own % np.uint64(CLASSES)).astype(np.int64)
-                    total = np.bincount(kinds, minlength=CLASSES)
-                    after = total - np.cumsum(np.eye(CLASSES, dtype=np.int64)[kinds[:p]], axis=0)
-                    keep.append(i)
-                    sizes.append(n)
-                    heads.append(own[:p].view(np.int64))
-                    tails.append(np.ascontiguousarray((after & 255).astype(np.uint8)).view(np.int64).ravel())
-                at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32))
-                flat = lambda xs: pa.ListArray.from_arrays(at, pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64), pa.int64()))
-                narrow = np.array(odd, dtype=np.int64).reshape(-1, PARITY // 64)
-                columns = [ids.take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), flat(heads), flat(tails), *[pa.array(np.ascontiguousarray(narrow[:, i])) for i in range(PARITY // 64)], pa.array(wide, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "head", "tail", *ODD, "wide"])
+                yield _heads_of(ids, ((own, _ordered(own, r)) for own in shingle_sets(texts, k, True)), num, den)
+
+    return run
+
+
+def _exact_heads(num: int, den: int):
+    """HEADS of rows (id, shingles, frequencies), in the order of frequencies."""
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for tokens, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own, first = np.unique(np.array(tokens, dtype=np.int64).view(np.uint64), return_index=True)  # rows that repeat come once
+                sets.append((own, own[np.argsort(np.array(counts)[first], kind="stable")]))
+            yield _heads_of(batch.column(0), sets, num, den)
+
+    return run
+
+
+def _each(k: int):
+    """(id, own, token) of each text's shingles; ``own`` tells texts apart that share an id."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, texts in pieces(batch.column(0), batch.column(1)):
+                sets = list(shingle_sets(texts, k, True))
+                whose = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                own = np.array([np.bitwise_xor.reduce(x) for x in sets], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(whose)), pa.array(own[whose].view(np.int64)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "own", "token"])
 
     return run
 
@@ -218,33 +262,52 @@ def _named(df: DataFrame, p: str) -> DataFrame:
     return df.select("token", *[F.col(c).alias(f"{p}{c}") for c in MEMBER])
 
 
-def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, parts): rows (id, n, digest) of each document; parts (node, component) of the classes that have links.
-    ``docs``: (id long not null, text)."""
+def _hits(heads: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows (token, id, n, pos, sig, index, parities) of prefixes whose token is in more than one, and in an indexing prefix."""
+    index = F.col("pos") < F.col("n") - F.floor((2 * F.col("n") * num + num + den - 1).cast("double") / (num + den)).cast("long") + 1
+    each = heads.select("id", "n", F.posexplode(F.arrays_zip("head", "tail")).alias("pos", "at")).select(F.col("at.head").alias("token"), "id", "n", "pos", F.col("at.tail").alias("sig"))
+    # in one sum: how many have the shingle in their prefix, and, from bit 32 on, how many in their indexing prefix
+    seen = each.groupBy("token").agg(F.sum(F.when(index, F.lit((1 << 32) + 1)).otherwise(F.lit(1).cast("long"))).alias("c"))
+    shared = seen.where((F.col("c").bitwiseAND(F.lit((1 << 32) - 1)) > 1) & (F.col("c") >= 1 << 32)).select("token")
+    own = heads.select("id", "n", *ODD).distinct()
+    return each.drop("n").join(shared, "token", "left_semi").join(own, "id").select("token", "id", "n", F.col("pos").cast("long").alias("pos"), "sig", index.alias("index"), *ODD)
+
+
+def _labelled(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of each ``id``."""
+    if parts is None:
+        return rows.withColumn("component", F.col("id"))
+    return rows.join(parts, F.col("id") == F.col("node"), "left").select(rows["*"], F.coalesce("component", "id").alias("component"))
+
+
+def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) of every pair of a token's rows, labelled ones, that are in different components."""
+    # a shingle's largest component isn't paired with itself; the others are, with it and among themselves
+    most = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"))
+    others = _named(rows.join(most, "token").where("component <> most.component"), "x_")
+    return _pairs(others.join(_named(rows, "y_"), "token"), num, den)
+
+
+def links(docs: DataFrame, k: int, num: int, den: int, pivots: int = PIVOT_ROUNDS, sketch_bits: int = SKETCH_BITS, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, parts, found): rows (id, n, digest) of each document; parts (node, component) of the classes that have links; found
+    (a, b), the links between classes that were verified, all there are if ``pivots`` is 0. ``docs``: (id long not null, text)."""
     spark = docs.sparkSession
-    found = written(docs.mapInArrow(lean(_signatures(k)), "id long, n long, digest binary, kind int"), "sets", by="kind")
+    found = written(docs.mapInArrow(lean(_signatures(k, sketch_bits)), "id long, n long, digest binary, kind int"), "sets", by="kind")
     rows = found.where("kind = 0").select("id", "n", "digest")
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    counts = np.zeros(1 << sketch_bits, dtype=np.int64)
     for r in found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # fixed number of rows
         counts[r["id"]] = r["n"]
-    rank = np.empty(1 << SKETCH_BITS, dtype=np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(1 << SKETCH_BITS, dtype=np.uint64)
+    rank = np.empty(1 << sketch_bits, dtype=np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(1 << sketch_bits, dtype=np.uint64)
     rank = spark.sparkContext.broadcast(rank)
 
     own = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    heads = docs.mapInArrow(lean(_heads(k, num, den, rank)), "id long, n long, head array<long>, tail array<long>, " + ", ".join(f"{c} long" for c in ODD) + ", wide binary")
+    heads = docs.mapInArrow(lean(_heads(k, num, den, rank)), HEADS)
     heads = written(heads.join(own.select("id"), "id", "left_semi"), "heads")
-    index = F.col("pos") < F.col("n") - F.floor((2 * F.col("n") * num + num + den - 1).cast("double") / (num + den)).cast("long") + 1
-    each = heads.select("id", "n", F.posexplode(F.arrays_zip("head", "tail")).alias("pos", "at")).select(F.col("at.head").alias("token"), "id", "n", "pos", F.col("at.tail").alias("sig"))
-    # in one sum: how many have the shingle in their prefix, and, from bit 32 on, how many in their indexing prefix
-    seen = each.groupBy("token").agg(F.sum(F.when(index, F.lit((1 << 32) + 1)).otherwise(F.lit(1).cast("long"))).alias("c"))
-    shared = seen.where((F.col("c").bitwiseAND(F.lit((1 << 32) - 1)) > 1) & (F.col("c") >= 1 << 32)).select("token")
-    own = heads.select("id", "n", *ODD).distinct()
-    hits = each.drop("n").join(shared, "token", "left_semi").join(own, "id").select("token", "id", "n", F.col("pos").cast("long").alias("pos"), "sig", index.alias("index"), *ODD)
-    left = written(hits, "hits")
+    left = written(_hits(heads, num, den), "hits")
     wide = written(heads.select("id", "n", "wide"), "parities")
     dropped(heads)
-    del own, each, seen, shared, hits, heads
+    del own, heads
     swept(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -262,39 +325,59 @@ def links(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataF
         dropped(near)
         return similar
 
+    def reordered(ids: DataFrame) -> DataFrame:
+        """Hits of the documents ``ids`` (id) in the order of their shingles' exact frequencies among them."""
+        sent = spark.sparkContext.broadcast(_map_of(ids))
+        texts = docs.mapInArrow(lean(_marked(sent)), "id long, text string").join(ids, "id", "left_semi")
+        each = written(texts.mapInArrow(lean(_each(k)), "id long, own long, token long"), "shingles")
+        often = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+        counted = each.join(often, "token", "left").groupBy("id", "own").agg(F.collect_list(F.struct("token", F.coalesce("c", F.lit(1)).alias("c"))).alias("s"))  # a row a document
+        heads = written(counted.select("id", "s.token", "s.c").mapInArrow(lean(_exact_heads(num, den)), HEADS), "heads")
+        hits = written(_hits(heads, num, den), "hits-anew")
+        dropped(each)
+        dropped(heads)
+        return hits
+
     done = parts = None
-    for round_ in range(PIVOT_ROUNDS + 1):
+    verified_all: list[DataFrame] = []
+    for round_ in range(pivots + 1):
         if parts is not None:
             # shingles whose documents are one component by now stay closed; only the others' rows go on
-            inside = left.select("token", "id").join(parts, F.col("id") == F.col("node"), "left").select("token", F.coalesce("component", "id").alias("component"))
+            inside = _labelled(left.select("token", "id"), parts)
             open_ = inside.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-            before, left = left, written(left.drop("component").join(open_, "token", "left_semi"), "hits")
+            before, left = left, written(left.join(open_, "token", "left_semi"), "hits")
             dropped(before)
-            left_now = written(left.join(parts, F.col("id") == F.col("node"), "left").select(left["*"], F.coalesce("component", "id").alias("component")), "hits-labelled")
-        else:
-            left_now = left.withColumn("component", F.col("id"))
-        if round_ < PIVOT_ROUNDS:
+        left_now = left.withColumn("component", F.col("id")) if parts is None else written(_labelled(left, parts), "hits-labelled")
+        if round_ < pivots:
             one = F.min if round_ == 0 else F.max
-            pivots = left_now.groupBy("token").agg(one(F.struct(*MEMBER)).alias("y")).select("token", *[F.col(f"y.{c}").alias(f"y_{c}") for c in MEMBER])
+            offered = left_now.groupBy("token").agg(one(F.struct(*MEMBER)).alias("y")).select("token", *[F.col(f"y.{c}").alias(f"y_{c}") for c in MEMBER])
             # of the members that a document's shingles offer, one is tried in a round
-            pairs = _pairs(_named(left_now, "x_").join(pivots, "token"), num, den).groupBy("x").agg(one("y").alias("y"))  # y is less, or greater, than x: no pair comes twice
+            pairs = _pairs(_named(left_now, "x_").join(offered, "token"), num, den).groupBy("x").agg(one("y").alias("y"))  # y is less, or greater, than x: no pair comes twice
         else:
-            # a shingle's largest component isn't paired with itself; the others are, with it and among themselves
-            most = left_now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"))
-            others = _named(left_now.join(most, "token").where("component <> most.component"), "x_")
-            pairs = _pairs(others.join(_named(left_now, "y_"), "token"), num, den)
+            crowds = written(left_now.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("token"), "crowds")
+            if crowds.isEmpty():
+                pairs = _across(left_now, num, den)
+            else:
+                anew = reordered(left_now.join(crowds, "token", "left_semi").select("id").distinct())
+                pairs = _across(left_now.join(crowds, "token", "left_anti"), num, den).union(_across(_labelled(anew, parts), num, den))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = pairs if round_ < PIVOT_ROUNDS else pairs.distinct()
+        pairs = pairs if round_ < pivots else pairs.distinct()
         pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.union(pairs)
         new = None if pairs.isEmpty() else verified(pairs)
         if parts is not None:
             dropped(left_now)
         if new is not None and not new.isEmpty():
+            verified_all.append(new)
             parts = written(components(new) if parts is None else extended(parts, new), "parts")
+    dropped(wide)
+    dropped(left)
     if parts is None:
-        parts = spark.createDataFrame([], "node long, component long")
-    return rows, parts
+        return rows, spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "a long, b long")
+    found = verified_all[0]
+    for more in verified_all[1:]:
+        found = found.union(more)
+    return rows, parts, found
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -306,10 +389,31 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     empty table gives an empty result; other columns aren't looked at.
     """
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows, parts = links(source.where("id is not null"), k, num, den)
+    rows, parts, _ = links(source.where("id is not null"), k, num, den)
     nameless = source.where("id is null").select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(lean(_signatures(k)), "id long, n long, digest binary, kind int").where("kind = 0")
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n_copies"))
     classes = classes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "n_copies")
     out = rows.join(classes, "digest", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
     none = F.lit(None).cast("long")
     return out.union(nameless.select(none, "n", none, F.lit(0).cast("long")))
+
+
+def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, n_a, n_b), a < b, of every two classes of equal shingle sets that are similar, a class going by
+    its least key; members (``key``, class, n_shingles, n_copies) of every row with a key and shingles. Both are empty for an
+    empty table. Rows that repeat a key count as copies each, in the class of what they hold."""
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    rows, _, found = links(source, k, num, den, pivots=0)
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n_copies"), F.max("n").alias("n"))
+    members = rows.join(classes.drop("n"), "digest").select(F.col("id").alias(key), "class", F.col("n").alias("n_shingles"), "n_copies")
+    size = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
+    return found.join(size("a"), "a").join(size("b"), "b").select("a", "b", "n_a", "n_b"), members
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """``key``, class, n_shingles, n_copies and n_links of each member: the rows that it is linked with, copies and similar ones."""
+    pairs, members = similar_pairs(docs, key, text, k, num, den)
+    sizes = members.select("class", "n_copies").distinct()
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("class", "other")
+    linked = both.join(sizes.select(F.col("class").alias("other"), "n_copies"), "other").groupBy("class").agg(F.sum("n_copies").alias("similar"))
+    return members.join(linked, "class", "left").select(key, "class", "n_shingles", "n_copies", (F.col("n_copies") - 1 + F.coalesce("similar", F.lit(0))).alias("n_links"))

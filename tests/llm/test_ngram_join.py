@@ -88,3 +88,60 @@ def test_regular_long_words_are_not_linked(spark):
     rows = [(1, a), (2, b), (3, f"x {a} y {b} z w"), (4, f"x {b} y {a} z w"), (5, a.upper())]
     got = {r["doc_id"]: (r["component_id"], r["n_copies"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (1, 2)}
+
+
+@pytest.mark.parametrize(("bits", "hot"), [(2, 3), (18, 1), (2, 10_000)])
+def test_any_order_and_any_crowd_give_the_same_groups(spark, bits, hot):
+    rows = dense(7)
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    _, parts, _ = ngram_join.links(docs, 4, 85, 100, sketch_bits=bits, hot=hot)
+    sets = {i: brute.shingles(t, 4, True) for i, t in rows}
+    want = brute.groups(sets, 85, 100)
+    got = {r["node"]: r["component"] for r in parts.collect()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    assert {i: got.get(first[s], first[s]) if s else i for i, s in sets.items()} == want
+
+
+def templates(n, seed=5):
+    """Texts that share 84 of 100 words' worth of shingles and are similar to no other."""
+    r = random.Random(seed)
+    common = [f"c{i}" for i in range(300)]
+    return [(j, " ".join(common + [f"u{j}x{i}" for i in range(28)])) for j in range(n)]
+
+
+def joined_rows(monkeypatch, docs, **kw):
+    """How many rows the joins of prefixes make, before any filter."""
+    counts, pairs = [], ngram_join._pairs
+    monkeypatch.setattr(ngram_join, "_pairs", lambda both, num, den: (counts.append(both.count()), pairs(both, num, den))[1])
+    _, parts, _ = ngram_join.links(docs, 4, 85, 100, **kw)
+    assert parts.count() == 0
+    monkeypatch.undo()
+    return sum(counts)
+
+
+def test_templates_just_below_the_bound_are_not_paired(spark, monkeypatch):
+    """In an order that is no better than chance, 2 ** 2 counts, members of a family share their prefixes; exact frequencies part them.
+    Two sizes: the rows grow with the texts, not with their square."""
+    rows = {n: spark.createDataFrame(templates(n), "id long, text string").repartition(4) for n in (500, 2000)}
+    got = {n: joined_rows(monkeypatch, docs, sketch_bits=2) for n, docs in rows.items()}
+    assert got[2000] <= 4.5 * got[500] and got[2000] < 60 * 2000
+
+
+def test_pairs_of_classes_and_counts_of_links(spark):
+    rows = dense(3, copies=40)
+    docs = spark.createDataFrame([*rows, (None, "a b c d"), (900, None)], "doc_id long, text string")
+    pairs, members = ngram_join.similar_pairs(docs)
+    sets = {i: s for i, t in rows if (s := brute.shingles(t, 4, True))}
+    like = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = {(i, j) for i in first.values() for j in first.values() if i < j and like(sets[i], sets[j])}
+    got = pairs.collect()
+    assert len(got) == len(want) > 20 and {(r["a"], r["b"]) for r in got} == want
+    assert all((r["n_a"], r["n_b"]) == (len(sets[r["a"]]), len(sets[r["b"]])) for r in got)
+    assert {r["doc_id"]: r["class"] for r in members.collect()} == {i: first[s] for i, s in sets.items()}
+    links = {r["doc_id"]: r["n_links"] for r in ngram_join.link_counts(docs).collect()}
+    assert links == {i: sum(j != i and like(sets[i], sets[j]) for j in sets) for i in sets}

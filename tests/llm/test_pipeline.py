@@ -1,5 +1,5 @@
 import corpus_pipeline
-from foldloom.llm import decontaminate, ngram_join, quality_rules
+from foldloom.llm import decontaminate, ngram_join, packing, quality_rules, secret_scan
 from foldloom.llm.shared import table, written
 
 from . import brute
@@ -34,5 +34,57 @@ def test_stages_against_plain_versions(spark, small):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.run(spark, small).count() == docs.count()
 
 
-def test_every_stage_calls_its_operator():
-    assert [f.__module__ for f in (quality_rules.quality_filter, ngram_join.ngram_join, decontaminate.decontaminated)] == ["foldloom.llm.quality_rules", "foldloom.llm.ngram_join", "foldloom.llm.decontaminate"]
+GOOD = " ".join(f"{a}{b} the" for a in ("morning", "evening", "winter", "summer", "river") for b in ("light", "shade", "song", "road", "house", "field"))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id string, secrets string, id string, length long"
+
+
+def folder_of(spark, tmp_path, rows, items):
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_nulls_repeats_clashing_columns_and_long_texts(spark, tmp_path):
+    row = lambda i, t: (i, t, None, None, None if t is None else len(t), "k", "c", "s", "i", 7)
+    item = "a benchmark item of nine words that stands here"
+    unlike = lambda i: " ".join(f"{w}{i}" if j % 2 else w for j, w in enumerate(GOOD.split()))
+    secret = "password = hunter2222"
+    long = " ".join(f"the{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)} word" for i in range(60_000))
+    rows = [row(None, None), row(1, None), row(2, ""), row(3, "too short"), row(4, GOOD), row(5, GOOD.replace(" ", "  ")), row(4, GOOD), row(None, unlike("x")), row(None, unlike("x"))]
+    rows += [row(6, unlike("y") + " " + item), row(7, unlike("z") + " " + secret), row(8, long)] + [row(20 + i, unlike("abcdefghij"[i])) for i in range(10)]
+    d = folder_of(spark, tmp_path, rows, [(1, item), (2, None), (None, "x y z u v w")])
+    docs, seen = table(spark, d, "documents"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, d), name)
+        seen[name] = docs.collect()
+        assert name == "pack" or docs.columns == columns
+    ids = lambda name: sorted(str(r["doc_id"]) for r in seen[name])
+    stay = [str(20 + i) for i in range(10)]
+    assert ids("quality") == sorted(["4", "4", "5", "6", "7", "8", "None", "None", *stay])
+    assert ids("near_duplicates") == sorted(["4", "4", "6", "7", "8", "None", "None", *stay])
+    assert ids("decontamination") == sorted(["4", "4", "7", "8", "None", "None", *stay]) == ids("secrets")
+    by = {r["doc_id"]: r for r in seen["secrets"]}
+    assert by[7]["text"] == (unlike("z") + " [secret]") and by[7]["n_chars"] == len(by[7]["text"]) and by[8]["text"] == long
+    assert all((r["kept"], r["component_id"], r["secrets"], r["id"], r["length"]) == ("k", "c", "s", "i", 7) for r in seen["secrets"])
+    assert sum(r["start"] == 0 for r in seen["pack"]) == len(seen["secrets"])
+    assert corpus_pipeline.run(spark, d).count() == len(seen["pack"])
+
+
+def test_empty_tables(spark, tmp_path):
+    d = folder_of(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_every_stage_goes_through_its_operator(spark, small, monkeypatch):
+    calls = []
+    for module, name in ((quality_rules, "quality_filter"), (ngram_join, "ngram_join"), (decontaminate, "decontaminated"), (secret_scan, "redacted"), (packing, "packed")):
+        def spy(*a, own=getattr(module, name), name=name, **b):
+            calls.append(name)
+            return own(*a, **b)
+
+        monkeypatch.setattr(module, name, spy)
+    docs = table(spark, small, "documents").where("doc_id < 20")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small)
+    assert calls == ["quality_filter", "ngram_join", "decontaminated", "redacted", "packed"]
