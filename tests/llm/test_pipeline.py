@@ -49,7 +49,7 @@ def test_nulls_repeats_clashing_columns_and_long_texts(spark, tmp_path):
     item = "a benchmark item of nine words that stands here"
     unlike = lambda i: " ".join(f"{w}{i}" if j % 2 else w for j, w in enumerate(GOOD.split()))
     secret = "password = hunter2222"
-    long = " ".join(f"the{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)} word" for i in range(60_000))
+    long = " ".join(f"the{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} word" for i in range(60_000))
     rows = [row(None, None), row(1, None), row(2, ""), row(3, "too short"), row(4, GOOD), row(5, GOOD.replace(" ", "  ")), row(4, GOOD), row(None, unlike("x")), row(None, unlike("x"))]
     rows += [row(6, unlike("y") + " " + item), row(7, unlike("z") + " " + secret), row(8, long)] + [row(20 + i, unlike("abcdefghij"[i])) for i in range(10)]
     d = folder_of(spark, tmp_path, rows, [(1, item), (2, None), (None, "x y z u v w")])
