@@ -56,20 +56,14 @@ FOLDS = """folds AS (SELECT l_returnflag AS dataset,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'string_ppi' WHEN '2-HIGH' THEN 'go' WHEN '3-MEDIUM' THEN 'coexpression' WHEN '4-NOT SPECIFIED' THEN 'random' ELSE 'no_graph' END AS graph_type,
   CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'O' THEN 500 ELSE 1000 END::INT AS hvg, (41 + l_linenumber)::INT AS seed, 'C' || o_custkey AS condition,
   l_discount AS pearson_r, l_tax AS spearman_rho, l_quantity / 50.0 AS mse, l_extendedprice / 100000.0 AS jaccard FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
-ANNOTATIONS = """ann AS (SELECT DISTINCT (p_partkey - 1)::INT AS node, unnest(['b:' || p_brand, 't:' || p_type, 's:' || p_size]) AS term FROM part WHERE p_partkey <= 1000)"""
-SHARED = f"""{ANNOTATIONS}, narrow AS (SELECT * FROM ann WHERE term IN (SELECT term FROM ann GROUP BY 1 HAVING count(*) <= 100)),
-shared AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM narrow a JOIN narrow b ON a.term = b.term AND a.node <> b.node)"""
-LINKED = """linked AS (SELECT DISTINCT p.p_partkey AS a, s.s_suppkey AS b FROM lineitem JOIN part p ON l_partkey = p_partkey JOIN supplier s ON l_suppkey = s_suppkey WHERE p_partkey <= 1000 AND s_suppkey <= 100)"""
-LOOKUP = f"""{LINKED}, names AS (SELECT 'P' || p_partkey AS id, (p_partkey - 1)::INT AS node FROM part WHERE p_partkey <= 1000 UNION ALL SELECT 'S' || s_suppkey, (1000 + s_suppkey - 1)::INT FROM supplier WHERE s_suppkey <= 100),
-looked AS (SELECT DISTINCT x.node AS src, y.node AS dst FROM linked JOIN names x ON x.id = 'P' || a JOIN names y ON y.id = 'S' || b)"""
-#: The same over whole tables: nodes are as many as the data has, from its least key, which may be 0; suppliers follow parts.
+#: Nodes are as many as the data has, from its least key, which may be 0; suppliers follow parts.
 PARTS, SUPPLIERS = "(SELECT max(p_partkey) - min(p_partkey) + 1 FROM part)", "(SELECT max(s_suppkey) - min(s_suppkey) + 1 FROM supplier)"
 ENDS = f"({PARTS} + {SUPPLIERS})"
 PART_NODE, SUPPLIER_NODE = "(p_partkey - (SELECT min(p_partkey) FROM part))::INT", f"({PARTS} + s_suppkey - (SELECT min(s_suppkey) FROM supplier))::INT"
-WHOLE_ANNOTATIONS = f"ann AS (SELECT DISTINCT {PART_NODE} AS node, unnest(['b:' || p_brand, 't:' || p_type, 's:' || p_size]) AS term FROM part)"
-WHOLE_SHARED = f"""{WHOLE_ANNOTATIONS}, narrow AS (SELECT * FROM ann WHERE term IN (SELECT term FROM ann GROUP BY 1 HAVING count(*) <= 100)),
+ANNOTATIONS = f"ann AS (SELECT DISTINCT {PART_NODE} AS node, unnest(['b:' || p_brand, 't:' || p_type, 's:' || p_size]) AS term FROM part)"
+SHARED = f"""{ANNOTATIONS}, narrow AS (SELECT * FROM ann WHERE term IN (SELECT term FROM ann GROUP BY 1 HAVING count(*) <= 100)),
 shared AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM narrow a JOIN narrow b ON a.term = b.term AND a.node <> b.node)"""
-WHOLE_LOOKUP = f"""looked AS (SELECT DISTINCT {PART_NODE} AS src, {SUPPLIER_NODE} AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
+LOOKUP = f"""looked AS (SELECT DISTINCT {PART_NODE} AS src, {SUPPLIER_NODE} AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 CORRELATED = f"{CELLS}, co AS (SELECT a.gene_idx AS a, b.gene_idx AS b, corr(a.x, b.x) AS r FROM cells a JOIN cells b ON a.cell_id = b.cell_id AND a.gene_idx < b.gene_idx GROUP BY 1, 2)"
 
 
@@ -102,35 +96,27 @@ def fold_table(spark, d):
     return own.select(F.col("l_returnflag").alias("dataset"), graph.alias("graph_type"), hvg.alias("hvg"), (F.col("l_linenumber") + 41).cast("int").alias("seed"), F.concat(F.lit("C"), "o_custkey").alias("condition"), F.col("l_discount").alias("pearson_r"), F.col("l_tax").alias("spearman_rho"), (F.col("l_quantity") / 50).alias("mse"), (F.col("l_extendedprice") / 100000).alias("jaccard"))
 
 
-def annotated(spark, d, keep="p_partkey <= 1000", least=1):
-    t = F.explode(F.array(F.concat(F.lit("b:"), "p_brand"), F.concat(F.lit("t:"), "p_type"), F.concat(F.lit("s:"), "p_size")))
-    return table(spark, d, "part").where(keep).select((F.col("p_partkey") - least).cast("int").alias("node"), t.alias("term")).distinct()
-
-
-def links(spark, d, keep="l_partkey <= 1000 AND l_suppkey <= 100"):
-    own = table(spark, d, "lineitem").where(keep).select(F.concat(F.lit("P"), "l_partkey").alias("id_a"), F.concat(F.lit("S"), "l_suppkey").alias("id_b"), F.lit(400).alias("score"))
-    return annotations.network(own)
-
-
-def names(spark, d, parts="p_partkey <= 1000", suppliers="s_suppkey <= 100", to_part=-1, to_supplier=999):
-    own = table(spark, d, "part").where(parts).select(F.concat(F.lit("P"), "p_partkey").alias("id"), (F.col("p_partkey") + to_part).cast("int").alias("node"))
-    return own.union(table(spark, d, "supplier").where(suppliers).select(F.concat(F.lit("S"), "s_suppkey"), (F.col("s_suppkey") + to_supplier).cast("int")))
-
-
 def keys(spark, d, name, key):
     """The least key, and how many nodes a table has, its keys being numbers in a row."""
     r = table(spark, d, name).agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
     return (0, 0) if r["a"] is None else (r["a"], r["b"] - r["a"] + 1)
 
 
-def whole_annotated(spark, d):
-    return annotated(spark, d, "true", keys(spark, d, "part", "p_partkey")[0])
+def annotated(spark, d):
+    t = F.explode(F.array(F.concat(F.lit("b:"), "p_brand"), F.concat(F.lit("t:"), "p_type"), F.concat(F.lit("s:"), "p_size")))
+    return table(spark, d, "part").select((F.col("p_partkey") - keys(spark, d, "part", "p_partkey")[0]).cast("int").alias("node"), t.alias("term")).distinct()
+
+
+def links(spark, d):
+    own = table(spark, d, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("id_a"), F.concat(F.lit("S"), "l_suppkey").alias("id_b"), F.lit(400).alias("score"))
+    return annotations.network(own)
 
 
-def whole_names(spark, d):
+def names(spark, d):
     """Names of all parts and, after them, suppliers, and how many nodes that makes."""
     (part, n), (supplier, m) = keys(spark, d, "part", "p_partkey"), keys(spark, d, "supplier", "s_suppkey")
-    return names(spark, d, "true", "true", -part, n - supplier), n + m
+    own = table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), (F.col("p_partkey") - part).cast("int").alias("node"))
+    return own.union(table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey"), (F.col("s_suppkey") - supplier + n).cast("int"))), n + m
 
 
 # ---------------------------------------------------------------- sources
@@ -156,22 +142,27 @@ def src3_result_documents(spark, d):
     return rounded(rows.groupBy("dataset", "graph_type", "seed").agg(F.count("*").alias("n"), F.sum("f.pearson_r").alias("total")))
 
 
-NAMES = """names AS (SELECT unnest(['d__g.json', 'd_a__g_b__f0-10.json', 'd__g__s42f0-10.json', 'results_final.json', 'summary.csv', 'd__g__x.json', 'd.json']) AS file)"""
+NAMES = """names AS (SELECT CASE o_orderkey % 7 WHEN 0 THEN d || '__g.json' WHEN 1 THEN d || '__g_b__f' || a || '-' || b || '.json' WHEN 2 THEN d || '__g__s42f' || a || '-' || b || '.json' WHEN 3 THEN 'results_' || d || '.json' WHEN 4 THEN 'summary.csv' WHEN 5 THEN d || '__g__x.json' ELSE d || '.json' END AS file
+  FROM (SELECT o_orderkey, 'd_' || o_custkey AS d, o_orderkey % 5 * 10 AS a, o_orderkey % 5 * 10 + 10 AS b FROM orders) t)"""
 
 
 @query(f"""WITH {NAMES} SELECT file, split_part(replace(file, '.json', ''), '__', 1) AS dataset, CASE WHEN file NOT LIKE '%.json' OR starts_with(file, 'results_') OR len(string_split(file, '__')) < 2 THEN 'other'
   WHEN len(string_split(file, '__')) = 2 THEN 'merged' WHEN regexp_matches(file, '__(s\\d+)?f\\d+-\\d+\\.json$') THEN 'chunk' ELSE 'other' END AS kind,
   TRY_CAST(nullif(regexp_extract(file, '__s(\\d+)f', 1), '') AS INT) AS seed, TRY_CAST(nullif(regexp_extract(file, 'f(\\d+)-\\d+\\.json$', 1), '') AS INT) AS fold_start FROM names""")
 def src4_src5_src6_file_names(spark, d):
-    known = ["d__g.json", "d_a__g_b__f0-10.json", "d__g__s42f0-10.json", "results_final.json", "summary.csv", "d__g__x.json", "d.json"]
-    files = grid.dimension(spark, "file", known).withColumn("p", results.name_parts(F.col("file")))
+    k, data, slice_ = F.col("o_orderkey"), F.concat(F.lit("d_"), "o_custkey"), F.concat(F.col("o_orderkey") % 5 * 10, F.lit("-"), F.col("o_orderkey") % 5 * 10 + 10, F.lit(".json"))
+    tails = {0: ["__g.json"], 1: ["__g_b__f", slice_], 2: ["__g__s42f", slice_], 5: ["__g__x.json"], 6: [".json"]}
+    file = F.when(k % 7 == 3, F.concat(F.lit("results_"), data, F.lit(".json"))).when(k % 7 == 4, "summary.csv")
+    for i, tail in tails.items():
+        file = file.when(k % 7 == i, F.concat(data, *[F.lit(x) if isinstance(x, str) else x for x in tail]))
+    files = table(spark, d, "orders").select(file.alias("file")).withColumn("p", results.name_parts(F.col("file")))
     return files.select("file", "p.dataset", "p.kind", "p.seed", "p.fold_start")
 
 
-def gaf_lines(spark, d):
+def gaf_lines(spark, d, gene="p_brand"):
     """Annotation lines made of ``part``: comments, short lines and full ones."""
     p = table(spark, d, "part")
-    fields = [F.lit("DB"), F.lit("id"), F.col("p_brand"), F.lit(""), F.col("p_type"), F.lit("r"), F.lit("e"), F.lit(""), F.when(F.col("p_size") % 2 == 0, "P").otherwise("F"), *[F.lit("x")] * 6]
+    fields = [F.lit("DB"), F.lit("id"), F.col(gene) if isinstance(gene, str) else gene, F.lit(""), F.col("p_type"), F.lit("r"), F.lit("e"), F.lit(""), F.when(F.col("p_size") % 2 == 0, "P").otherwise("F"), *[F.lit("x")] * 6]
     full = F.concat_ws("\t", *fields)
     return p.select(F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("!"), full)).when(F.col("p_partkey") % 10 == 1, "DB\tshort").otherwise(full).alias("value"))
 
@@ -184,6 +175,15 @@ def src7_annotation_text(spark, d):
     return annotations.read_gaf(spark, folder).groupBy("gene", "go_id", "aspect").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT DISTINCT p_size AS node, p_type AS term FROM part WHERE p_partkey % 10 > 1 AND p_size % 2 = 0 AND p_size % 3 > 0""")
+def flt2_annotations_of_one_aspect(spark, d):
+    """Process terms of the genes asked for, from annotation text; a gene goes by its size here, and a third aren't asked for."""
+    p = table(spark, d, "part")
+    text = gaf_lines(spark, d, F.concat(F.lit("G"), "p_size"))
+    genes = p.where("p_size % 3 > 0").select(F.concat(F.lit("G"), "p_size").alias("gene"), F.col("p_size").alias("gene_idx")).distinct()
+    return annotations.annotations(annotations.parse_gaf(text), genes)
+
+
 @query("SELECT s_name AS gene, 'S' || s_suppkey AS string_id FROM supplier WHERE s_nationkey % 5 <> 0")
 def src8_id_lookup(spark, d):
     s = table(spark, d, "supplier")
@@ -239,7 +239,7 @@ def agg3_control_profile(spark, d):
     return rounded(z.where("condition = 'ctrl'").groupBy("gene_idx").agg(F.avg("x").alias("ctrl_x")))
 
 
-@query(f"WITH {CELLS} SELECT round(max(x), 6) AS max_x, max(x) > 50 AS is_raw FROM cells WHERE cell_id < 10")
+@query(f"WITH {CELLS} SELECT round(max(x), 6) AS max_x, max(x) > 50 AS is_raw FROM cells WHERE cell_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 10)")
 def agg13_raw_detector(spark, d):
     return rounded(prepare.raw_maximum(cells(spark, d)))
 
@@ -266,6 +266,17 @@ def hvg1_standardised(spark, d):
     return rounded(prepare.most_variable_standardised(cells(spark, d).withColumn("x", F.abs("x")), 20), 4)
 
 
+@query(f"""WITH w AS (SELECT vec_id AS cell_id, CASE WHEN label = 0 THEN 'ctrl' ELSE 'P' || label END AS condition, unnest(range(len(embedding)))::INT AS gene_idx, abs(unnest(embedding)::DOUBLE) * 1000 AS x FROM embeddings),
+raw AS (SELECT max(x) > 50 AS is_raw FROM w WHERE cell_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 10)), t AS (SELECT cell_id, sum(x) AS s FROM w GROUP BY 1),
+n AS (SELECT cell_id, condition, gene_idx, CASE WHEN is_raw THEN ln(1 + x / CASE WHEN s = 0 THEN 1 ELSE s END * 10000) ELSE x END AS x FROM w JOIN t USING (cell_id), raw),
+cells AS (SELECT * FROM n WHERE gene_idx IN (SELECT gene_idx FROM n GROUP BY 1 ORDER BY var_samp(x) DESC, gene_idx LIMIT 20)), {MOMENTS}, {Z}, {PROFILES}
+SELECT condition, gene_idx, round(mean_x, 5) AS mean_x, n_cells FROM profiles""")
+def prp3_prepared(spark, d):
+    """The whole preparation: raw counts are told, normalised and logged, genes chosen, scores standardised, profiles taken."""
+    own = wide(spark, d).withColumn("embedding", F.transform("embedding", lambda x: F.abs(x.cast("double")) * 1000))
+    return rounded(prepare.prepared(own, "vec_id", "embedding", "condition", 20, prepare.most_variable), 5)
+
+
 @query(f"WITH {CELLS}, {MOMENTS}, {Z}, {PROFILES}, {DELTAS} SELECT condition, gene_idx, round(delta, 6) AS delta FROM deltas")
 def jn5_control_deltas(spark, d):
     return rounded(deltas(spark, d))
@@ -279,24 +290,17 @@ def top1_strongest_genes(spark, d):
 # ---------------------------------------------------------------- folds and metrics
 
 
-@query("""WITH c AS (SELECT DISTINCT 'P' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '+P' || (p_partkey + 1) WHEN 1 THEN ' + ctrl' WHEN 2 THEN '' ELSE '+nobody' END AS condition FROM part WHERE p_partkey <= 500),
+@query("""WITH c AS (SELECT DISTINCT 'P' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '+P' || (p_partkey + 1) WHEN 1 THEN ' + ctrl' WHEN 2 THEN '' ELSE '+nobody' END AS condition FROM part),
 t AS (SELECT condition, trim(unnest(string_split(condition, '+'))) AS gene FROM c), g AS (SELECT 'P' || p_partkey AS gene, (p_partkey - 1)::INT AS gene_idx FROM part WHERE p_partkey % 3 <> 0)
 SELECT condition, string_agg(DISTINCT gene_idx::VARCHAR, ',' ORDER BY gene_idx::VARCHAR) AS genes FROM t LEFT JOIN g USING (gene) GROUP BY 1""")
-def jn4_perturbation_masks(spark, d, keep="p_partkey <= 500"):
+def jn4_perturbation_masks(spark, d):
     k, p = F.col("p_partkey"), table(spark, d, "part")
     tail = F.when(k % 4 == 0, F.concat(F.lit("+P"), k + 1)).when(k % 4 == 1, " + ctrl").when(k % 4 == 2, "").otherwise("+nobody")
     genes = p.where(k % 3 != 0).select(F.concat(F.lit("P"), k).alias("gene"), (k - 1).cast("int").alias("gene_idx"))
-    found = lopo.masks(p.where(keep).select(F.concat(F.lit("P"), k, tail).alias("condition")), genes)
+    found = lopo.masks(p.select(F.concat(F.lit("P"), k, tail).alias("condition")), genes)
     return found.select("condition", F.when(F.col("genes").isNotNull(), F.array_join(F.array_sort(F.transform("genes", lambda g: g.cast("string"))), ",")).alias("genes"))
 
 
-@query("""WITH c AS (SELECT DISTINCT 'P' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '+P' || (p_partkey + 1) WHEN 1 THEN ' + ctrl' WHEN 2 THEN '' ELSE '+nobody' END AS condition FROM part),
-t AS (SELECT condition, trim(unnest(string_split(condition, '+'))) AS gene FROM c), g AS (SELECT 'P' || p_partkey AS gene, (p_partkey - 1)::INT AS gene_idx FROM part WHERE p_partkey % 3 <> 0)
-SELECT condition, string_agg(DISTINCT gene_idx::VARCHAR, ',' ORDER BY gene_idx::VARCHAR) AS genes FROM t LEFT JOIN g USING (gene) GROUP BY 1""")
-def jn4_perturbation_masks_whole(spark, d):
-    return jn4_perturbation_masks(spark, d, "true")
-
-
 @query("""WITH c AS (SELECT 'P' || label AS condition, row_number() OVER (ORDER BY min(vec_id)) - 1 AS cond_ord FROM embeddings WHERE label <> 0 GROUP BY label)
 SELECT f.condition AS fold, c.condition FROM c JOIN c f ON f.condition <> c.condition WHERE f.cond_ord >= 2 AND f.cond_ord < 6""")
 def flt7_flt8_lim1_folds(spark, d):
@@ -345,24 +349,27 @@ def gr3_flt4_coexpression(spark, d):
     return graphs.coexpression(table(spark, d, "embeddings"), "embedding", GENES, 0.1)
 
 
-@query(f"WITH {SHARED} SELECT src, dst FROM shared UNION SELECT i::INT, i::INT FROM range(1000) t(i)")
+@query(f"WITH {SHARED} SELECT src, dst FROM shared UNION SELECT i, i FROM (SELECT unnest(range({PARTS}))::INT AS i) t")
 def gr2_jn2_flt3_shared_terms(spark, d):
-    return graphs.with_loops(graphs.shared_terms(annotated(spark, d)), 1000)
+    return graphs.with_loops(graphs.shared_terms(annotated(spark, d)), keys(spark, d, "part", "p_partkey")[1])
 
 
-@query(f"WITH {LOOKUP} SELECT src, dst FROM looked UNION SELECT dst, src FROM looked UNION SELECT i::INT, i::INT FROM range(1100) t(i)")
+@query(f"WITH {LOOKUP} SELECT src, dst FROM looked UNION SELECT dst, src FROM looked UNION SELECT i, i FROM (SELECT unnest(range({ENDS}))::INT AS i) t")
 def gr1_jn1_lookup_graph(spark, d):
-    return graphs.with_loops(graphs.looked_up(links(spark, d), names(spark, d)), 1100)
+    known, n = names(spark, d)
+    return graphs.with_loops(graphs.looked_up(links(spark, d), known), n)
 
 
-@query(f"WITH {SHARED}, {LOOKUP} SELECT src, dst FROM shared UNION SELECT src, dst FROM looked UNION SELECT dst, src FROM looked UNION SELECT i::INT, i::INT FROM range(1100) t(i)")
+@query(f"WITH {SHARED}, {LOOKUP} SELECT src, dst FROM shared UNION SELECT src, dst FROM looked UNION SELECT dst, src FROM looked UNION SELECT i, i FROM (SELECT unnest(range({ENDS}))::INT AS i) t")
 def gr4_set1_combined(spark, d):
-    return graphs.combined(graphs.with_loops(graphs.shared_terms(annotated(spark, d)), 1100), graphs.with_loops(graphs.looked_up(links(spark, d), names(spark, d)), 1100))
+    known, n = names(spark, d)
+    return graphs.combined(graphs.with_loops(graphs.shared_terms(annotated(spark, d)), n), graphs.with_loops(graphs.looked_up(links(spark, d), known), n))
 
 
-@query(f"WITH {SHARED}, e AS (SELECT src, dst FROM shared UNION SELECT i::INT, i::INT FROM range(1000) t(i)) SELECT round(count(*) / 1000.0, 6) AS avg_degree FROM e")
+@query(f"WITH {SHARED}, e AS (SELECT src, dst FROM shared UNION SELECT i, i FROM (SELECT unnest(range({PARTS}))::INT AS i) t) SELECT round(count(*) / {PARTS}::DOUBLE, 6) AS avg_degree FROM e")
 def agg11_average_degree(spark, d):
-    return rounded(graphs.average_degree(graphs.with_loops(graphs.shared_terms(annotated(spark, d)), 1000), 1000))
+    n = keys(spark, d, "part", "p_partkey")[1]
+    return rounded(graphs.average_degree(graphs.with_loops(graphs.shared_terms(annotated(spark, d)), n), n))
 
 
 @query(f"WITH {SHARED} SELECT count(*) AS n_edges, count(*) > 0 AND (SELECT count(DISTINCT node) >= 10 FROM ann) AS available FROM shared")
@@ -373,46 +380,12 @@ def flt5_availability(spark, d):
 
 @query(f"WITH {LOOKUP} SELECT src, dst FROM looked WHERE src <> dst UNION SELECT dst, src FROM looked WHERE src <> dst")
 def set2_symmetrised(spark, d):
-    return graphs.mirrored(graphs.looked_up(links(spark, d), names(spark, d)).where("src < dst"))
-
-
-@query(f"WITH {WHOLE_SHARED} SELECT src, dst FROM shared UNION SELECT i, i FROM (SELECT unnest(range({PARTS}))::INT AS i) t")
-def gr2_jn2_flt3_shared_terms_whole(spark, d):
-    return graphs.with_loops(graphs.shared_terms(whole_annotated(spark, d)), keys(spark, d, "part", "p_partkey")[1])
-
-
-@query(f"WITH {WHOLE_LOOKUP} SELECT src, dst FROM looked UNION SELECT dst, src FROM looked UNION SELECT i, i FROM (SELECT unnest(range({ENDS}))::INT AS i) t")
-def gr1_jn1_lookup_graph_whole(spark, d):
-    known, n = whole_names(spark, d)
-    return graphs.with_loops(graphs.looked_up(links(spark, d, "true"), known), n)
-
-
-@query(f"WITH {WHOLE_SHARED}, {WHOLE_LOOKUP} SELECT src, dst FROM shared UNION SELECT src, dst FROM looked UNION SELECT dst, src FROM looked UNION SELECT i, i FROM (SELECT unnest(range({ENDS}))::INT AS i) t")
-def gr4_set1_combined_whole(spark, d):
-    known, n = whole_names(spark, d)
-    return graphs.combined(graphs.with_loops(graphs.shared_terms(whole_annotated(spark, d)), n), graphs.with_loops(graphs.looked_up(links(spark, d, "true"), known), n))
-
-
-@query(f"WITH {WHOLE_SHARED}, e AS (SELECT src, dst FROM shared UNION SELECT i, i FROM (SELECT unnest(range({PARTS}))::INT AS i) t) SELECT round(count(*) / {PARTS}::DOUBLE, 6) AS avg_degree FROM e")
-def agg11_average_degree_whole(spark, d):
-    n = keys(spark, d, "part", "p_partkey")[1]
-    return rounded(graphs.average_degree(graphs.with_loops(graphs.shared_terms(whole_annotated(spark, d)), n), n))
+    return graphs.mirrored(graphs.looked_up(links(spark, d), names(spark, d)[0]).where("src < dst"))
 
 
-@query(f"WITH {WHOLE_SHARED} SELECT count(*) AS n_edges, count(*) > 0 AND (SELECT count(DISTINCT node) >= 10 FROM ann) AS available FROM shared")
-def flt5_availability_whole(spark, d):
-    own = whole_annotated(spark, d)
-    return graphs.available(graphs.shared_terms(own), own.select("node"))
-
-
-@query(f"WITH {WHOLE_LOOKUP} SELECT src, dst FROM looked WHERE src <> dst UNION SELECT dst, src FROM looked WHERE src <> dst")
-def set2_symmetrised_whole(spark, d):
-    return graphs.mirrored(graphs.looked_up(links(spark, d, "true"), whole_names(spark, d)[0]).where("src < dst"))
-
-
-@query("SELECT i::INT AS src, i::INT AS dst FROM range(50) t(i)")
+@query(f"SELECT i AS src, i AS dst FROM (SELECT unnest(range({PARTS}))::INT AS i) t")
 def gr6_set3_loops_only(spark, d):
-    return graphs.with_loops(graphs.empty(spark), 50)
+    return graphs.with_loops(graphs.empty(spark), keys(spark, d, "part", "p_partkey")[1])
 
 
 @query()
@@ -422,9 +395,9 @@ def gr5_preferential(spark, d):
 
 @query()
 def gr7_all_graphs(spark, d):
-    own = whole_annotated(spark, d).where(F.col("node") < GENES)  # the matrix has no other features
-    near = whole_names(spark, d)[0].withColumn("node", F.pmod("node", F.lit(GENES)).cast("int"))
-    built = graphs.build_all(table(spark, d, "embeddings"), "embedding", GENES, own, links(spark, d, "true"), near, 0.1)
+    own = annotated(spark, d).where(F.col("node") < GENES)  # the matrix has no other features
+    near = names(spark, d)[0].withColumn("node", F.pmod("node", F.lit(GENES)).cast("int"))
+    built = graphs.build_all(table(spark, d, "embeddings"), "embedding", GENES, own, links(spark, d), near, 0.1)
     parts = [g.groupBy().agg(F.count("*").alias("n_edges")).select(F.lit(k).alias("graph"), "n_edges") for k, g in built.items()]
     return rollup.concatenated(*parts)
 
@@ -461,16 +434,11 @@ def agg8_mode(spark, d):
 
 
 @query(f"WITH {ANNOTATIONS} SELECT term, count(DISTINCT node) AS n_genes, string_agg(node::VARCHAR, ',' ORDER BY node) AS genes FROM ann GROUP BY 1")
-def agg9_term_genes(spark, d, rows=None):
-    own = (annotated(spark, d) if rows is None else rows).groupBy("term").agg(F.array_sort(F.collect_set("node")).alias("g"))
+def agg9_term_genes(spark, d):
+    own = annotated(spark, d).groupBy("term").agg(F.array_sort(F.collect_set("node")).alias("g"))
     return own.select("term", F.size("g").cast("long").alias("n_genes"), F.array_join(F.transform("g", lambda x: x.cast("string")), ",").alias("genes"))
 
 
-@query(f"WITH {WHOLE_ANNOTATIONS} SELECT term, count(DISTINCT node) AS n_genes, string_agg(node::VARCHAR, ',' ORDER BY node) AS genes FROM ann GROUP BY 1")
-def agg9_term_genes_whole(spark, d):
-    return agg9_term_genes(spark, d, whole_annotated(spark, d))
-
-
 DEDUPED = "SELECT dataset, graph_type, hvg, seed, condition, pearson_r, spearman_rho, mse, jaccard, row_number() OVER (PARTITION BY dataset, graph_type, hvg, seed, condition ORDER BY {} pearson_r, spearman_rho, mse, jaccard) AS rn FROM"
 
 
@@ -544,15 +512,10 @@ def st11_signed_ranks(spark, d):
     return stats.wilcoxon(stats.paired(fold_table(spark, d))).select("dataset", "hvg", "g1", "g2", "w", "n_nonzero")
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_discount, least(l_discount * (SELECT count(*) FROM lineitem WHERE l_orderkey < 50), 1.0) AS p_bonf FROM lineitem WHERE l_orderkey < 50")
-def st12_bonferroni(spark, d, keep="l_orderkey < 50"):
-    own = table(spark, d, "lineitem").where(keep).select("l_orderkey", "l_partkey", "l_suppkey", "l_discount")
-    return stats.bonferroni(own, "l_discount")
-
-
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_discount, least(l_discount * (SELECT count(*) FROM lineitem), 1.0) AS p_bonf FROM lineitem")
-def st12_bonferroni_whole(spark, d):
-    return st12_bonferroni(spark, d, "true")
+def st12_bonferroni(spark, d):
+    own = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_discount")
+    return stats.bonferroni(own, "l_discount")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_discount, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS k, count(*) OVER () AS m FROM lineitem)
@@ -634,44 +597,46 @@ def fn7_stars(spark, d):
 # ---------------------------------------------------------------- planning
 
 DONE = "done AS (SELECT l_returnflag AS dataset, l_linestatus AS graph, (41 + l_linenumber)::INT AS seed, count(*) AS n_folds FROM lineitem GROUP BY ALL)"
-GRID = "grid AS (SELECT dataset, graph, seed::INT AS seed FROM (SELECT unnest(['A', 'N', 'R', 'X']) AS dataset) a, (SELECT unnest(['F', 'O']) AS graph) b, range(42, 50) c(seed))"
+GRID = """grid AS (SELECT dataset, graph, seed FROM (SELECT l_returnflag AS dataset FROM lineitem UNION SELECT o_orderstatus FROM orders) a, (SELECT DISTINCT l_linestatus AS graph FROM lineitem) b, (SELECT DISTINCT (41 + l_linenumber)::INT AS seed FROM lineitem) c)"""
 
 
-def tasks(spark):
-    return grid.grid(grid.dimension(spark, "dataset", ["A", "N", "R", "X"]), grid.dimension(spark, "graph", ["F", "O"]), grid.dimension(spark, "seed", list(range(42, 50))))
+def tasks(spark, d):
+    lines, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    datasets = lines.select(F.col("l_returnflag").alias("dataset")).union(o.select("o_orderstatus")).distinct()
+    return grid.grid(datasets, lines.select(F.col("l_linestatus").alias("graph")).distinct(), lines.select((F.col("l_linenumber") + 41).cast("int").alias("seed")).distinct())
 
 
 @query(f"WITH {GRID} SELECT * FROM grid")
 def jn11_grid(spark, d):
-    return tasks(spark)
+    return tasks(spark, d)
 
 
 @query(f"WITH {GRID}, {DONE} SELECT * FROM grid WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.dataset = grid.dataset AND done.graph = grid.graph AND done.seed = grid.seed AND n_folds >= 50)")
 def jn10_missing(spark, d):
     done = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("dataset"), F.col("l_linestatus").alias("graph"), (F.col("l_linenumber") + 41).cast("int").alias("seed")).agg(F.count("*").alias("n_folds"))
-    return grid.missing(tasks(spark), done, ["dataset", "graph", "seed"])
+    return grid.missing(tasks(spark, d), done, ["dataset", "graph", "seed"])
 
 
 @query(f"WITH {GRID} SELECT *, s::INT AS fold_start, least(s + 10, 50)::INT AS fold_end FROM grid, range(0, 50, 10) t(s)".replace("SELECT *, s", "SELECT dataset, graph, seed, s"))
 def lim2_chunks(spark, d):
-    return grid.chunked(tasks(spark))
+    return grid.chunked(tasks(spark, d))
 
 
 @query(f"WITH {GRID}, n AS (SELECT *, row_number() OVER (ORDER BY dataset, graph, seed) - 1 AS idx FROM grid) SELECT dataset, graph, seed, idx::INT AS idx, (idx // 4) AS array_id, (idx % 4)::INT AS gpu FROM n")
 def lim3_devices(spark, d):
-    return grid.numbered(tasks(spark), ["dataset", "graph", "seed"])
+    return grid.numbered(tasks(spark, d), ["dataset", "graph", "seed"])
 
 
 @query(f"WITH {GRID}, n AS (SELECT *, row_number() OVER (ORDER BY dataset, graph, seed) - 1 AS idx, count(*) OVER () AS m FROM grid) SELECT dataset, graph, seed, idx::INT AS idx, CASE WHEN idx < m // 2 THEN 0 ELSE 1 END::INT AS site FROM n")
 def lim3_halves(spark, d):
-    return grid.halves(tasks(spark), ["dataset", "graph", "seed"])
+    return grid.halves(tasks(spark, d), ["dataset", "graph", "seed"])
 
 
-@query("""SELECT n_nationkey, CASE WHEN a > 0 OR b IS NOT NULL THEN CASE WHEN s IS NULL THEN '__f' ELSE '__s' || s || 'f' END || a || '-' || coalesce(b::VARCHAR, '') END AS tag_ FROM
-  (SELECT n_nationkey, n_nationkey % 3 * 10 AS a, 0 AS z, n_nationkey % 3 * 10 + 10 AS b, CASE WHEN n_nationkey % 2 = 0 THEN 42 END AS s FROM nation) t""")
+@query("""SELECT n_nationkey, CASE WHEN a > 0 OR b IS NOT NULL THEN CASE WHEN s IS NULL THEN '__f' ELSE '__s' || s || 'f' END || a || '-' || coalesce(b, 50) ELSE '' END AS tag_ FROM
+  (SELECT n_nationkey, n_nationkey % 3 * 10 AS a, 0 AS z, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey % 3 * 10 + 10 END AS b, CASE WHEN n_nationkey % 2 = 0 THEN 42 END AS s FROM nation) t""")
 def snk2_fold_tags(spark, d):
     k = F.col("n_nationkey")
-    own = table(spark, d, "nation").select("n_nationkey", (k % 3 * 10).alias("a"), (k % 3 * 10 + 10).alias("b"), F.when(k % 2 == 0, 42).alias("s"))
+    own = table(spark, d, "nation").select("n_nationkey", (k % 3 * 10).alias("a"), F.when(k % 5 > 0, k % 3 * 10 + 10).alias("b"), F.when(k % 2 == 0, 42).alias("s"))
     return own.select("n_nationkey", grid.fold_tag("s", "a", "b").alias("tag_"))
 
 
@@ -684,10 +649,11 @@ def snk7_task_text(spark, d):
     return spark.read.text(folder)
 
 
-@query(f"WITH {GRID}, a AS (SELECT * FROM (VALUES ('F', true), ('O', false)) t(graph, available)) SELECT dataset, graph, seed FROM grid WHERE graph IN (SELECT graph FROM a WHERE available)")
+@query(f"WITH {GRID} SELECT dataset, graph, seed FROM grid WHERE graph IN (SELECT l_linestatus FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') > 0 AND count(DISTINCT l_suppkey) >= 10)")
 def flt6_available_graphs(spark, d):
-    usable = grid.dimension(spark, "graph", ["F", "O"]).where("graph = 'F'")
-    return tasks(spark).join(F.broadcast(usable), "graph", "left_semi").select("dataset", "graph", "seed")
+    own = table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("graph")).agg(F.max("l_shipdate").alias("last"), F.countDistinct("l_suppkey").alias("n"))
+    usable = own.where((F.col("last") >= F.lit("1998-01-01").cast("timestamp")) & (F.col("n") >= graphs.LEAST_RESOLVED))
+    return tasks(spark, d).join(usable, "graph", "left_semi").select("dataset", "graph", "seed")
 
 
 # ---------------------------------------------------------------- models
@@ -761,4 +727,5 @@ def ml7_lopo_transformer(spark, d):
 @query(f"""WITH {CELLS}, {MOMENTS}, {Z}, {PROFILES}, {DELTAS}, {PREDICTED} SELECT 'no_graph' AS graph_type, 42 AS seed, condition, round(covar_pop(t, p) / (stddev_pop(t) * stddev_pop(p)), 6) AS pearson_r,
   round(covar_pop(rt, rp) / (stddev_pop(rt) * stddev_pop(rp)), 6) AS spearman_rho, round(avg((t - p) * (t - p)), 6) AS mse, round(count(*) FILTER (kt AND kp) / count(*) FILTER (kt OR kp)::DOUBLE, 6) AS jaccard FROM ranked GROUP BY 3""")
 def ml11_lopo_mean_of_others(spark, d):
-    return rounded(lopo_run(spark, d, models.MeanOfOthers(), folds=50))
+    own = lopo.mean_of_others(deltas(spark, d)).select(F.lit("no_graph").alias("graph_type"), F.lit(42).alias("seed"), "condition", "gene_idx", "delta_true", "delta_pred")
+    return rounded(metrics.fold_metrics(own, "graph_type", "seed", "condition"))

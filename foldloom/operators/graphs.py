@@ -39,10 +39,14 @@ def correlations(wide: DataFrame, values: str) -> DataFrame:
     w = width[0]["w"] if width and width[0]["w"] > 0 else 0
     whole = wide.where((F.size(values) == w) & ~F.exists(values, lambda x: x.isNull())).select(F.col(values).cast("array<double>").alias("v"))
 
+    # a fixed row is taken from all, so that sums of large values don't cancel; r doesn't change
+    some = whole.limit(1).collect()
+    shift = np.nan_to_num(np.array(some[0]["v"] if some else np.zeros(w)), posinf=0.0, neginf=0.0)
+
     def products(batches):
         total, n = np.zeros((w + 1, w + 1)), 0
         for batch in batches:
-            rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), w)
+            rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), w) - shift
             full = np.concatenate([rows, np.ones((len(rows), 1))], axis=1)
             total += full.T @ full
             n += len(rows)

@@ -6,6 +6,8 @@ in the scan's own stage, so no shuffle comes before the first aggregate, which c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,9 +51,10 @@ def conditions(labels: DataFrame, control: str, label: str = "condition", order:
     return seen.withColumn("cond_ord", F.row_number().over(Window.orderBy("first_ord", "condition")) - 1)
 
 
-def raw_maximum(cells: DataFrame, n: int = RAW_CELLS) -> DataFrame:
-    """The largest value of the first ``n`` cells, and whether it shows raw counts. Rows are filtered in the scan's stage."""
-    return cells.where(F.col("cell_id") < n).agg(F.max("x").alias("max_x")).withColumn("is_raw", F.coalesce(F.col("max_x") > RAW_ABOVE, F.lit(False)))
+def raw_maximum(cells: DataFrame, n: int = RAW_CELLS, order: str = "cell_id") -> DataFrame:
+    """The largest value of the first ``n`` cells by ``order``, and whether it shows raw counts."""
+    first = cells.select(order).distinct().orderBy(order).limit(n)
+    return cells.join(F.broadcast(first), order, "left_semi").agg(F.max("x").alias("max_x")).withColumn("is_raw", F.coalesce(F.col("max_x") > RAW_ABOVE, F.lit(False)))
 
 
 def log_normalised(wide: DataFrame, values: str, target: float = TARGET_SUM) -> DataFrame:
@@ -137,3 +140,13 @@ def selected(cells: DataFrame, genes: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(genes.select("gene_idx")), "gene_idx", "left_semi")
 
 
+
+
+def prepared(wide: DataFrame, cell: str, values: str, label: str, n_genes: int, choose: Callable[[DataFrame, int], DataFrame] = most_variable_standardised) -> DataFrame:
+    """Profiles (condition, gene_idx, mean_x, n_cells) of a matrix at rest, one row a cell: the first cells tell whether it holds raw
+    counts, which are then scaled and logged; the ``n_genes`` most variable genes are kept and standardised, and conditions
+    of two cells or more averaged."""
+    view = lambda own: long_view(own, cell, values, F.col(label).alias("condition"))
+    first = wide.orderBy(cell).limit(RAW_CELLS)
+    own = view(log_normalised(wide, values) if raw_maximum(view(first)).first()["is_raw"] else wide)
+    return profiles(z_scored(selected(own, choose(own, n_genes))))

@@ -52,9 +52,9 @@ def halves(tasks: DataFrame, order: list[str]) -> DataFrame:
 
 
 def fold_tag(seed: str, start: str, end: str) -> Column:
-    """The part of a file's name for a slice of folds; empty for a whole run."""
+    """The part of a file's name for a slice of folds, an open one ending where a whole run does; empty for a whole run."""
     c = F.col
-    part = F.concat(F.lit("f"), c(start).cast("string"), F.lit("-"), c(end).cast("string"))
+    part = F.concat(F.lit("f"), c(start).cast("string"), F.lit("-"), F.coalesce(c(end), F.lit(FOLDS)).cast("string"))
     named = F.when(c(seed).isNotNull(), F.concat(F.lit("__s"), c(seed).cast("string"), part)).otherwise(F.concat(F.lit("__"), part))
     return F.when((c(start) > 0) | c(end).isNotNull(), named).otherwise(F.lit(""))
 

@@ -20,7 +20,7 @@ def parse_gaf(text: DataFrame) -> DataFrame:
 
 def annotations(gaf: DataFrame, genes: DataFrame, aspect: str = "P") -> DataFrame:
     """(node, term): distinct pairs of one aspect whose gene is asked for. ``genes``: (gene, gene_idx)."""
-    return gaf.where(F.col("aspect") == aspect).join(F.broadcast(genes), "gene").select(F.col("gene_idx").alias("node"), F.col("go_id").alias("term")).distinct()
+    return gaf.where(F.col("aspect") == aspect).join(genes, "gene").select(F.col("gene_idx").alias("node"), F.col("go_id").alias("term")).distinct()
 
 
 def id_map(entries: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over whole tables against plain versions, on tables longer than the id subsets of the others."""
+"""Queries over whole tables against plain versions, on tables of some length."""
 
 from collections import Counter
 
@@ -21,7 +21,7 @@ def long_tables(request, spark, tmp_path_factory):
     return folder, z
 
 
-def test_graphs_of_whole_tables(spark, long_tables):
+def test_graphs_of_tables(spark, long_tables):
     folder, _ = long_tables
     got = lambda name: [tuple(r) for r in catalog.QUERIES[name](spark, folder).collect()]
     shared = {(a, a ^ 1) for a in range(PARTS)}  # the brands hold two each; the type and the sizes are too broad
@@ -29,21 +29,21 @@ def test_graphs_of_whole_tables(spark, long_tables):
     looked = half | {(b, a) for a, b in half}
     loops = lambda n: {(i, i) for i in range(n)}
     want = {
-        "gr2_jn2_flt3_shared_terms_whole": shared | loops(PARTS),
-        "gr1_jn1_lookup_graph_whole": looked | loops(PARTS + SUPPLIERS),
-        "gr4_set1_combined_whole": shared | looked | loops(PARTS + SUPPLIERS),
-        "set2_symmetrised_whole": looked,
+        "gr2_jn2_flt3_shared_terms": shared | loops(PARTS),
+        "gr1_jn1_lookup_graph": looked | loops(PARTS + SUPPLIERS),
+        "gr4_set1_combined": shared | looked | loops(PARTS + SUPPLIERS),
+        "set2_symmetrised": looked,
     }
     for name, edges in want.items():
         assert Counter(got(name)) == Counter(edges), name
-    assert got("agg11_average_degree_whole") == [(2.0,)] and got("flt5_availability_whole") == [(PARTS, True)]
+    assert got("agg11_average_degree") == [(2.0,)] and got("flt5_availability") == [(PARTS, True)]
 
 
-def test_terms_masks_and_corrections_of_whole_tables(spark, long_tables):
+def test_terms_masks_and_corrections_of_tables(spark, long_tables):
     folder, z = long_tables
     rows = lambda name: catalog.QUERIES[name](spark, folder).collect()
-    terms = {r["term"]: (r["n_genes"], r["genes"]) for r in rows("agg9_term_genes_whole")}
+    terms = {r["term"]: (r["n_genes"], r["genes"]) for r in rows("agg9_term_genes")}
     assert terms["t:T"] == (PARTS, ",".join(map(str, range(PARTS)))) and terms["b:B549"] == (2, "1098,1099")
-    masks = {r["condition"]: r["genes"] for r in rows("jn4_perturbation_masks_whole")}
+    masks = {r["condition"]: r["genes"] for r in rows("jn4_perturbation_masks")}
     assert len(masks) == PARTS and masks["P1096+P1097"] == "1095,1096" and masks["P1098"] is None
-    assert {r["l_orderkey"]: r["p_bonf"] for r in rows("st12_bonferroni_whole")} == pytest.approx({k: min(1.0, k / 1e6 * PARTS) for k in range(1, PARTS + 1)})
+    assert {r["l_orderkey"]: r["p_bonf"] for r in rows("st12_bonferroni")} == pytest.approx({k: min(1.0, k / 1e6 * PARTS) for k in range(1, PARTS + 1)})
