@@ -5,14 +5,13 @@ DataFrame aggregates; both stay tables. A word that was seen in any language sco
 falls back to its 4-grams, scored by the mean of those that were seen; if none was, to its 3-grams, and so on to single
 characters; a word of unseen characters says nothing.
 
-Words that make up at least SHARE of some language's, of which there are at most 1 / SHARE a language, are broadcast and
-scored as texts are read. A text's other words leave it as rows, a row for each distinct one, and meet the tables: the seen
-in a join, the unseen, taken once for all texts, by their n-grams in another. SHARE moves work, not results.
+The most frequent words, as many as COMMON_BYTES hold, are broadcast and scored as texts are read. A text's other words leave
+it as rows, a row for each distinct one, and meet the table of words in a join; those that aren't there are taken once for
+all texts, order by order, to the table of n-grams. COMMON_BYTES moves work, not results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import dropped, written
 from .text_kernels import lean, letter_words, mixed, pieces
 
-SHARE = 1e-5
+COMMON_BYTES = 32 << 20
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 EDGE = 0x10FFFF  # stands before and after a word in its n-grams
@@ -51,29 +50,32 @@ def grams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> t
     return mixed(out + np.uint64(n)), word
 
 
-def _gram_counts(batches):
-    """(lang, order, hash, n) of each task's distinct words."""
-    held: dict[tuple[int, int], list] = {}
+def _gram_counts(langs: int):
+    """(order, key, n0, n1, ...) of each task's words (word, n0, n1, ...)."""
 
-    def merged(parts):
-        keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(back, np.concatenate([p[1] for p in parts]), minlength=len(keys))
+    def run(batches):
+        held: dict[int, list] = {n: [] for n in ORDERS}
+
+        def merged(parts):
+            keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            counts = np.concatenate([p[1] for p in parts])
+            return keys, np.stack([np.bincount(back, counts[:, i], minlength=len(keys)) for i in range(langs)], axis=1)
+
+        for batch in batches:
+            counts = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(langs)], axis=1).astype(float)
+            points, starts, ends, _, at = letter_words(batch.column(0).to_pylist())
+            whose = np.searchsorted(at, np.arange(len(starts)), "right") - 1
+            for n in ORDERS:
+                keys, word = grams(points, starts, ends, n)
+                held[n].append(merged([(keys, counts[whose[word]])]))
+                if len(held[n]) > 16:
+                    held[n] = [merged(held[n])]
+        for n, parts in held.items():
+            if parts:
+                keys, total = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n), pa.int32()), pa.array(keys.view(np.int64)), *[pa.array(total[:, i].astype(np.int64)) for i in range(langs)]], ["order", "key", *[f"n{i}" for i in range(langs)]])
 
-    for batch in batches:
-        langs = batch.column(0).to_numpy(zero_copy_only=False)
-        counts = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-        points, starts, ends, _, _ = letter_words(batch.column(1).to_pylist())
-        for n in ORDERS:
-            keys, word = grams(points, starts, ends, n)
-            for lang in np.unique(langs).tolist():
-                mine = (langs == lang)[word]
-                parts = held.setdefault((lang, n), [])
-                parts.append(merged([(keys[mine], counts[word[mine]])]))
-                if len(parts) > 16:
-                    held[lang, n] = [merged(parts)]
-    for (lang, n), parts in held.items():
-        keys, total = merged(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang), pa.int32()), pa.array(np.full(len(keys), n), pa.int32()), pa.array(keys.view(np.int64)), pa.array(total.astype(np.int64))], ["lang", "order", "key", "n"])
+    return run
 
 
 @dataclass
@@ -87,64 +89,52 @@ class Model:
     keys: np.ndarray
     scores: np.ndarray
 
-    def drop(self) -> None:
-        """Deletes the tables."""
-        dropped(self.words)
-        dropped(self.grams)
-
 
-def _hashes(batches):
-    """(lang, key, n) of rows (lang, word, n)."""
-    for batch in batches:
-        _, _, _, keys, at = letter_words(batch.column(1).to_pylist())
-        whose = pa.array(np.searchsorted(at, np.arange(len(keys)), "right") - 1)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), pa.array(keys.view(np.int64)), batch.column(2).take(whose)], ["lang", "key", "n"])
+def _hashes(langs: int):
+    """(key, n0, n1, ...) of rows (word, n0, n1, ...)."""
 
+    def run(batches):
+        for batch in batches:
+            _, _, _, keys, at = letter_words(batch.column(0).to_pylist())
+            whose = pa.array(np.searchsorted(at, np.arange(len(keys)), "right") - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[batch.column(1 + i).take(whose) for i in range(langs)]], ["key", *[f"n{i}" for i in range(langs)]])
 
-def _scores(counts: DataFrame, by: list[str], langs: int) -> tuple[DataFrame, DataFrame]:
-    """Log frequencies of each key by language, smoothed, from rows (*by, key, lang, n), with the greatest share that the key has
-    of a language's total; and the row (or a row for each of ``by``) of totals and distinct keys they rest on."""
-    of = lambda i: F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}")
-    wide = counts.groupBy(*by, "key").agg(*[of(i) for i in range(langs)])
-    wide = written(wide, "counts")
-    totals = wide.groupBy(*by).agg(F.count("*").alias("_distinct"), *[F.sum(f"n{i}").alias(f"t{i}") for i in range(langs)])
-    rows = {tuple(r[c] for c in by): r for r in totals.collect()}  # a row, or one an order
+    return run
 
-    def value(i: int) -> Column:
-        out = F.lit(0.0)
-        for key, r in rows.items():
-            at = F.lit(True)
-            for c, x in zip(by, key, strict=True):
-                at = at & (F.col(c) == x)
-            out = F.when(at, F.log((F.col(f"n{i}") + SMOOTHING) / F.lit(r[f"t{i}"] + SMOOTHING * (r["_distinct"] + 1)))).otherwise(out)
-        return out
 
-    share = F.greatest(*[F.lit(0.0), *[F.col(f"n{i}") / F.lit(max([1.0, *[r[f"t{i}"] for r in rows.values()]])) for i in range(langs)], F.lit(0.0)])
-    return wide, wide.select(*by, "key", *[value(i).alias(f"s{i}") for i in range(langs)], share.alias("share"))
+def _scored(counts: DataFrame, langs: int, total) -> list[Column]:
+    """Smoothed log frequencies s0, s1, ... under ``total``: the number of keys and the sums t0, t1, ..."""
+    return [F.log((F.col(f"n{i}") + SMOOTHING) / F.lit((total[f"t{i}"] or 0) + SMOOTHING * (total["keys"] + 1))).alias(f"s{i}") for i in range(langs)]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", common_bytes: int = COMMON_BYTES) -> Model:
     """A model of all rows with a language and a text; equal scores go to the first language by name."""
-    seen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = written(seen.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())  # a row a language
-    if not langs:
-        return Model(langs, counted, counted, np.zeros(0, np.uint64), np.zeros((0, 0)))
-    place = F.create_map(*[y for i, x in enumerate(langs) for y in (F.lit(x), F.lit(i))])[F.col("lang")]
-    coded = counted.select(place.cast("int").alias("lang"), "word", "n")
-    wide, scores = _scores(coded.mapInArrow(lean(_hashes), "lang int, key long, n long"), [], len(langs))
-    names = [f"s{i}" for i in range(len(langs))]
-    words = written(scores.select("key", *names, "share"), "word-scores")
-    dropped(wide)
-    common = words.where(F.col("share") >= share).select("key", *names).toArrow()  # at most 1 / share a language
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    langs = sorted(r[0] for r in known.select(lang).distinct().collect())  # a row a language
+    n, spark = len(langs), docs.sparkSession
+    if not n:
+        none = spark.createDataFrame([], "key long")
+        return Model(langs, none, none, np.zeros(0, np.uint64), np.zeros((0, 0)))
+    seen = known.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    counts, longs, names = [f"n{i}" for i in range(n)], ", ".join(f"n{i} long" for i in range(n)), [f"s{i}" for i in range(n)]
+    counted = written(seen.groupBy("word").agg(*[F.count(F.when(F.col("lang") == x, 1)).alias(f"n{i}") for i, x in enumerate(langs)]), "words")
+    sums = [F.count("*").alias("keys"), *[F.sum(c).alias(f"t{c[1:]}") for c in counts]]
+    total = counted.agg(*sums).first()
+    words = counted.mapInArrow(lean(_hashes(n)), f"key long, {longs}")
+    share = F.greatest(F.lit(0.0), *[F.col(c) / F.lit(float(max(1, total[f"t{c[1:]}"] or 0))) for c in counts])
+    words = written(words.select("key", *_scored(words, n, total), share.cast("float").alias("share")), "word-scores")
+    common = words.orderBy(F.desc("share"), "key").limit(common_bytes // (8 + 8 * n)).select("key", *names).toArrow()  # ``common_bytes``
     keys = common.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     table = np.stack([common.column(c).to_numpy() for c in names], axis=1)[order]
-    wide, scores = _scores(coded.mapInArrow(lean(_gram_counts), "lang int, order int, key long, n long"), ["order"], len(langs))
-    grams = written(scores.select("order", "key", *names), "gram-scores")
-    dropped(wide)
+    all_grams = counted.mapInArrow(lean(_gram_counts(n)), f"order int, key long, {longs}").groupBy("order", "key").agg(*[F.sum(c).alias(c) for c in counts])
+    all_grams = written(all_grams, "grams")
+    parts = [all_grams.where(F.col("order") == r["order"]).select("order", "key", *_scored(all_grams, n, r)) for r in all_grams.groupBy("order").agg(*sums).collect()]  # a row an order
     dropped(counted)
-    return Model(langs, words, grams, keys[order], table)
+    rest = parts[0] if parts else words.select(F.lit(0).alias("order"), "key", *names).where("false")
+    for more in parts[1:]:
+        rest = rest.union(more)
+    return Model(langs, words.drop("share"), rest, keys[order], table)
 
 
 def _read(sent, langs: int):
@@ -178,14 +168,17 @@ def _read(sent, langs: int):
     return run
 
 
-def _grams_of(batches) -> Iterator[pa.RecordBatch]:
-    """(word_key, order, key) of rows (key, word): a word's n-grams, each as often as it holds it."""
-    for batch in batches:
-        points, starts, ends, _, at = letter_words(batch.column(1).to_pylist())
-        for n in ORDERS:
-            keys, word = grams(points, starts, ends, n)
+def _grams_of(order: int):
+    """(word_key, key) of rows (key, word): a word's n-grams, each as often as it holds it."""
+
+    def run(batches):
+        for batch in batches:
+            points, starts, ends, _, at = letter_words(batch.column(1).to_pylist())
+            keys, word = grams(points, starts, ends, order)
             whose = pa.array(np.searchsorted(at, word, "right") - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), pa.array(np.full(len(keys), n), pa.int32()), pa.array(keys.view(np.int64))], ["word_key", "order", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), pa.array(keys.view(np.int64))], ["word_key", "key"])
+
+    return run
 
 
 def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,15 +194,18 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     slim = source.mapInArrow(lean(_read(sent, n)), f"id long, words long, {sums}, others array<struct<key:long,n:long,word:string>>")
     slim = written(slim.withColumn("row", F.monotonically_increasing_id()), "texts")
     others = slim.select("row", F.explode("others").alias("o")).select("row", "o.key", "o.n", "o.word")
-    distinct = others.groupBy("key").agg(F.first("word").alias("word"))
-    seen = distinct.join(model.words.select("key", *names), "key", "left")
-    seen = written(seen, "other-words")
-    unseen = seen.where(F.col("s0").isNull())
-    hits = unseen.select("key", "word").mapInArrow(lean(_grams_of), "word_key long, order int, key long").join(model.grams, ["order", "key"])
-    levels = hits.groupBy("word_key", "order").agg(*[F.avg(c).alias(c) for c in names])
-    best = levels.groupBy(F.col("word_key").alias("key")).agg(F.max(F.struct("order", *names)).alias("m")).select("key", *[F.col(f"m.{c}").alias(c) for c in names])
-    found = seen.where(F.col("s0").isNotNull()).select("key", *names).union(best.select("key", *names))
-    more = others.join(found, "key").groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names])
+    met = written(others.join(model.words, "key", "left"), "other-words")
+    open_ = written(met.where(F.col("s0").isNull()).groupBy("key").agg(F.max("word").alias("word")), "unseen-words")
+    found = None
+    for order in ORDERS:  # what an order has a seen n-gram of goes no further
+        own = open_.mapInArrow(lean(_grams_of(order)), "word_key long, key long")
+        hits = own.join(model.grams.where(F.col("order") == order).drop("order"), "key").groupBy(F.col("word_key").alias("key")).agg(*[F.avg(c).alias(c) for c in names])
+        hits = written(hits, f"unseen-{order}")
+        found = hits if found is None else found.union(hits)
+        open_ = open_.join(hits.select("key"), "key", "left_anti")
+    seen = met.where(F.col("s0").isNotNull()).select("row", "n", *names)
+    unseen = met.where(F.col("s0").isNull()).select("row", "key", "n").join(found, "key").select("row", "n", *names)
+    more = seen.union(unseen).groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names])
     total = slim.drop("others").join(more, "row", "left").select("id", "words", *[(F.col(f"b{i}") + F.coalesce(F.col(f"s{i}"), F.lit(0.0))).alias(f"b{i}") for i in range(n)])
     most = F.greatest(*[F.col(f"b{i}") for i in range(n)], F.lit(float("-inf")))
     label = F.lit(None).cast("string")

@@ -95,13 +95,13 @@ def plain_prediction(text, words, grams):
     return langs[total.index(best)], 1 / sum(math.exp(x - best) for x in total)
 
 
-@pytest.mark.parametrize("share", [li.SHARE, 0.02, 2.0])
-def test_as_plain_backoff(spark, share):
+@pytest.mark.parametrize("common", [li.COMMON_BYTES, 200, 0])
+def test_as_plain_backoff(spark, common):
     """All words, some or none of them broadcast: the same results as by dicts."""
     fr = "la maison et la rivière avec la lumière du matin"
     learn = [(EN, "en")] * 3 + [(DE, "de")] * 2 + [(fr, "fr"), ("Ünique ümlaut", "de"), (None, "en"), ("", "fr")]
     texts = ["THE river", "das Licht, das Licht", "morninglight maisonette", "Hausfluss Hausfluss", "qqq", "", None, "été ÉTÉ", "rivers maisons häuser", "x", "the " * 50 + "unseenword " * 30, EN, DE, fr, "xyzzy"]
-    model = li.fit(docs(spark, learn), share=share)
+    model = li.fit(docs(spark, learn), common_bytes=common)
     got = {r["doc_id"]: r for r in li.predicted(docs(spark, [(t, None) for t in texts]).repartition(3), model).collect()}
     words, grams = plain_model([x for x in learn if x[0]])
     for i, t in enumerate(texts):
