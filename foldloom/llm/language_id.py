@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
@@ -80,11 +80,12 @@ def _gram_counts(langs: int):
 
 @dataclass
 class Model:
-    """``words`` (key, s0, s1, ...) and ``grams`` (order, key, s0, s1, ...): log frequencies by language. ``keys`` and
-    ``scores``: those of the words that are broadcast, by key."""
+    """``keys`` and ``scores``: the words that are broadcast, by key, and their log frequencies by language; ``words`` (key, n0, n1,
+    ...): the counts of the others, and ``total`` what they are smoothed under; ``grams`` (order, key, s0, s1, ...): log frequencies."""
 
     langs: list[str]
     words: DataFrame
+    total: Row | None
     grams: DataFrame
     keys: np.ndarray
     scores: np.ndarray
@@ -114,27 +115,28 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", common_bytes: i
     n, spark = len(langs), docs.sparkSession
     if not n:
         none = spark.createDataFrame([], "key long")
-        return Model(langs, none, none, np.zeros(0, np.uint64), np.zeros((0, 0)))
+        return Model(langs, none, None, none, np.zeros(0, np.uint64), np.zeros((0, 0)))
     seen = known.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts, longs, names = [f"n{i}" for i in range(n)], ", ".join(f"n{i} long" for i in range(n)), [f"s{i}" for i in range(n)]
     counted = written(seen.groupBy("word").agg(*[F.count(F.when(F.col("lang") == x, 1)).alias(f"n{i}") for i, x in enumerate(langs)]), "words")
     sums = [F.count("*").alias("keys"), *[F.sum(c).alias(f"t{c[1:]}") for c in counts]]
     total = counted.agg(*sums).first()
-    words = counted.mapInArrow(lean(_hashes(n)), f"key long, {longs}")
+    words = written(counted.mapInArrow(lean(_hashes(n)), f"key long, {longs}"), "vocabulary")
     share = F.greatest(F.lit(0.0), *[F.col(c) / F.lit(float(max(1, total[f"t{c[1:]}"] or 0))) for c in counts])
-    words = written(words.select("key", *_scored(words, n, total), share.cast("float").alias("share")), "word-scores")
-    common = words.orderBy(F.desc("share"), "key").limit(common_bytes // (8 + 8 * n)).select("key", *names).toArrow()  # ``common_bytes``
+    common = words.select("key", share.alias("share"), *_scored(words, n, total)).orderBy(F.desc("share"), "key").limit(common_bytes // (8 + 8 * n)).toArrow()  # ``common_bytes``
     keys = common.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     table = np.stack([common.column(c).to_numpy() for c in names], axis=1)[order]
+    if len(common):
+        words = words.where(share <= float(common.column("share").to_numpy().min()))
     all_grams = counted.mapInArrow(lean(_gram_counts(n)), f"order int, key long, {longs}").groupBy("order", "key").agg(*[F.sum(c).alias(c) for c in counts])
     all_grams = written(all_grams, "grams")
     parts = [all_grams.where(F.col("order") == r["order"]).select("order", "key", *_scored(all_grams, n, r)) for r in all_grams.groupBy("order").agg(*sums).collect()]  # a row an order
     dropped(counted)
-    rest = parts[0] if parts else words.select(F.lit(0).alias("order"), "key", *names).where("false")
+    rest = parts[0] if parts else words.select(F.lit(0).alias("order"), "key", *[F.lit(0.0).alias(c) for c in names]).where("false")
     for more in parts[1:]:
         rest = rest.union(more)
-    return Model(langs, words.drop("share"), rest, keys[order], table)
+    return Model(langs, words, total, rest, keys[order], table)
 
 
 def _read(sent, langs: int):
@@ -195,7 +197,7 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     slim = written(slim.withColumn("row", F.monotonically_increasing_id()), "texts")
     others = slim.select("row", F.explode("others").alias("o")).select("row", "o.key", "o.n", "o.word")
     met = written(others.join(model.words, "key", "left"), "other-words")
-    open_ = written(met.where(F.col("s0").isNull()).groupBy("key").agg(F.max("word").alias("word")), "unseen-words")
+    open_ = written(met.where(F.col("n0").isNull()).groupBy("key").agg(F.max("word").alias("word")), "unseen-words")
     found = None
     for order in ORDERS:  # what an order has a seen n-gram of goes no further
         own = open_.mapInArrow(lean(_grams_of(order)), "word_key long, key long")
@@ -203,8 +205,8 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
         hits = written(hits, f"unseen-{order}")
         found = hits if found is None else found.union(hits)
         open_ = open_.join(hits.select("key"), "key", "left_anti")
-    seen = met.where(F.col("s0").isNotNull()).select("row", "n", *names)
-    unseen = met.where(F.col("s0").isNull()).select("row", "key", "n").join(found, "key").select("row", "n", *names)
+    seen = met.where(F.col("n0").isNotNull()).select("row", "n", *_scored(met, n, model.total))
+    unseen = met.where(F.col("n0").isNull()).select("row", "key", "n").join(found, "key").select("row", "n", *names)
     more = seen.union(unseen).groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names])
     total = slim.drop("others").join(more, "row", "left").select("id", "words", *[(F.col(f"b{i}") + F.coalesce(F.col(f"s{i}"), F.lit(0.0))).alias(f"b{i}") for i in range(n)])
     most = F.greatest(*[F.col(f"b{i}") for i in range(n)], F.lit(float("-inf")))
