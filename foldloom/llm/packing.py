@@ -172,6 +172,6 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     order = Window.partitionBy("length", "part").orderBy("i")
-    ranked = cut.withColumn("part", part).withColumn("own", F.row_number().over(order) - 1).join(sizes, ["length", "part"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("own") + F.col("before")).alias("rank"))
+    ranked = cut.withColumn("part", part).withColumn("own", F.row_number().over(order) - 1).join(sizes.hint("merge"), ["length", "part"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("own") + F.col("before")).alias("rank"))
     out = ranked.mapInArrow(lean(placed), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", key)
