@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import dropped, written
 from .text_kernels import lean, letter_words, mixed, pieces
 
-COMMON_BYTES = 32 << 20
+COMMON_BYTES = 8 << 20
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 EDGE = 0x10FFFF  # stands before and after a word in its n-grams
