@@ -70,18 +70,24 @@ class Value:
     def rows(self, at: np.ndarray):
         """Rows ``at``; their gradients add up."""
 
-        def back(g):
-            out = np.zeros_like(self.data)
-            np.add.at(out, at, g)
-            return (out,)
-
-        return Value(self.data[at], (self,), back)
+        return Value(self.data[at], (self,), lambda g: (_added(g, at, len(self.data)),))
 
     def sum_by(self, at: np.ndarray, n: int):
         """Rows added up by ``at``."""
-        out = np.zeros((n, *self.data.shape[1:]))
-        np.add.at(out, at, self.data)
-        return Value(out, (self,), lambda g: (g[at],))
+        return Value(_added(self.data, at, n), (self,), lambda g: (g[at],))
+
+    def passed(self, weight: "Value", src: np.ndarray, dst: np.ndarray):
+        """Messages of (feature, head, width), weighted by (edge, head) and added up by ``dst``: a matrix product a head, of as
+        many rows and columns as there are features, whatever the number of edges."""
+        n, heads, _ = self.data.shape
+        cell = dst * n + src
+        by = [np.bincount(cell, weight.data[:, k], minlength=n * n).reshape(n, n) for k in range(heads)]
+
+        def back(g):
+            own = np.stack([by[k].T @ g[:, k] for k in range(heads)], axis=1)
+            return own, np.stack([(g[:, k] @ self.data[:, k].T).ravel()[cell] for k in range(heads)], axis=1)
+
+        return Value(np.stack([by[k] @ self.data[:, k] for k in range(heads)], axis=1), (self, weight), back)
 
     def reshape(self, *shape: int):
         return Value(self.data.reshape(shape), (self,), lambda g: (g.reshape(self.data.shape),))
@@ -90,6 +96,16 @@ class Value:
         return Value(np.swapaxes(self.data, a, b), (self,), lambda g: (np.swapaxes(g, a, b),))
 
 
+def _places(at: np.ndarray, width: int) -> np.ndarray:
+    """Places of rows ``at`` in an array of that width, laid out flat."""
+    return (at[:, None] * width + np.arange(width)).ravel()
+
+
+def _added(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    width = int(np.prod(x.shape[1:]))
+    return np.bincount(_places(at, width), x.ravel(), minlength=n * width).reshape(n, *x.shape[1:])
+
+
 def _value(x) -> Value:
     return x if isinstance(x, Value) else Value(x)
 
@@ -222,11 +238,10 @@ class Attention(Trained):
         score = lambda side: (h * w.own[f"conv{i}.{side}"]).sum(2).reshape(n, self.heads)
         e = (score("src").rows(src) + score("dst").rows(dst)).leaky(0.2)
         top = np.full((n, self.heads), -np.inf)
-        np.maximum.at(top, dst, e.data)
+        np.maximum.at(top.reshape(-1), _places(dst, self.heads), e.data.ravel())
         weight = (e - top[dst]).exp()
         alpha = weight * (weight.sum_by(dst, n) + 1e-16).pow(-1.0).rows(dst)
-        alpha = self.dropped(w, alpha, training).reshape(len(edges), self.heads, 1)
-        return (h.rows(src) * alpha).sum_by(dst, n).mean(1).reshape(n, self.hidden) + w.own[f"conv{i}.bias"]
+        return h.passed(self.dropped(w, alpha, training), src, dst).mean(1).reshape(n, self.hidden) + w.own[f"conv{i}.bias"]
 
     def forward(self, w, control, dose, edges, state, training):
         x = self.embedded(w, control) * dose
@@ -249,11 +264,11 @@ class Convolution(Trained):
     def forward(self, w, control, dose, edges, state, training):
         n, (src, dst) = len(control), edges.T
         degree = np.maximum(1, np.bincount(dst, minlength=n))
-        by = (1 / np.sqrt(degree[src] * degree[dst]))[:, None]
+        by = Value((1 / np.sqrt(degree[src] * degree[dst]))[:, None])
         x = self.embedded(w, control) * dose
         for i in range(self.layers):
-            x = (x @ w.own[f"conv{i}.w"]).rows(src) * by
-            x = self.batch_norm(w, f"norm{i}", x.sum_by(dst, n) + w.own[f"conv{i}.b"], state, training).elu()
+            x = (x @ w.own[f"conv{i}.w"]).reshape(n, 1, self.hidden).passed(by, src, dst).reshape(n, self.hidden)
+            x = self.batch_norm(w, f"norm{i}", x + w.own[f"conv{i}.b"], state, training).elu()
             if i < self.layers - 1:
                 x = self.dropped(w, x, training)
         return w.apply("head", x)
