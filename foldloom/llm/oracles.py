@@ -23,7 +23,38 @@ def _escaped(column: str) -> str:
     return f"replace(replace(replace({column}, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e')"
 
 
+def _codebooks(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and averaging as a chain of views: c0 the first codebooks, c6 the last, a6 the last assignment."""
+    steps = ["""k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0)""",
+             f"x AS MATERIALIZED (SELECT r, part::INT AS part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v FROM k, range({parts}) p(part))",
+             f"s AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM k QUALIFY e < {entries})",
+             "c0 AS MATERIALIZED (SELECT part, e, v FROM s JOIN x USING (r))"]
+    distance = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, part, min(struct_pack(d := {distance}, e := e)) AS b FROM x JOIN c{i} c USING (part) GROUP BY 1, 2)")
+        if i < rounds:
+            sums = f"SELECT part, e, i, floor(sum(n)::HUGEINT // count(*) - CASE WHEN sum(n)::HUGEINT % count(*) < 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM (SELECT part, b.e AS e, unnest(v) AS n, unnest(range(len(v))) AS i FROM a{i} JOIN x USING (r, part)) t GROUP BY 1, 2, 3"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT part, e, list(n ORDER BY i) AS v FROM ({sums}) q GROUP BY 1, 2) m ON m.part = c.part AND m.e = c.e)")
+    return ", ".join(steps)
+
+
+_SHARE = "1 + (1000000000::HUGEINT * ({} + 5)) // (g.n + 5 * g.v)"
+
 ORACLES = {
+    "op11_source_audit": f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+t AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30), c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN t USING (lang, term) GROUP BY 1, 2, 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM t GROUP BY 1), s AS (SELECT DISTINCT lang, source FROM d),
+g AS MATERIALIZED (SELECT s.lang, s.source, coalesce(any_value(l.v), 0) AS v, coalesce(sum(c.n), 0) AS n FROM s LEFT JOIN l ON l.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS k, ({_SHARE.format('coalesce(c.n, 0)')})::BIGINT AS p FROM g JOIN t ON t.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+q AS (SELECT t.lang, t.term, ({_SHARE.format('t.n')})::BIGINT AS q FROM t JOIN l g ON g.lang = t.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE k > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) z QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_vector_codes": f"""WITH {_codebooks()}, e AS (SELECT k.vec_id, k.label, string_agg(printf('%02x', b.e), '' ORDER BY part) AS code, sum(b.d)::BIGINT AS error FROM a6 JOIN k USING (r) GROUP BY r, 1, 2),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c6) SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e, h""",
     "op2_chat_format": f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', {MARKED} UNION ALL SELECT -7, 1, 'assistant', {MARKED})
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

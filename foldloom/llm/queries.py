@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, decontaminate, language_id, ngram_join, packing, quality_rules, secret_scan, token_store, toxicity, warc
+from . import chat_trees, decontaminate, language_id, ngram_join, packing, posting_lists, quality_rules, secret_scan, source_audit, token_store, toxicity, vector_codes, warc
 from .oracles import ORACLES
 from .shared import new_path, table
 
@@ -77,8 +77,21 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder)
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return posting_lists.nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_decontamination, op4_warc, op5_toxicity, op6_packing, op7_secret_scan, op8_ngram_join, op9_token_store, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_decontamination, op4_warc, op5_toxicity, op6_packing, op7_secret_scan, op8_ngram_join, op9_token_store, op10_quality_rules, op11_source_audit, op12_nearest_neighbours, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
