@@ -4,14 +4,16 @@ Everything is DataFrame functions. A text is handled inside its own row, so no w
 are counts of vote patterns, of which there are at most 3 ** len(RULES).
 
 Defined results: a null text counts as no words, fails the base rule and is not kept; an empty text likewise. Rows that
-repeat are judged alike, each on its own. Extra columns of the input pass through :func:`quality_filter` unchanged;
-names of this module's own columns start with ``_q_``. An empty table gives an empty result.
+repeat are judged alike, each on its own. Votes for which EM doesn't settle are judged by the likeliest model found. Extra
+columns of the input pass through :func:`quality_filter` unchanged; names of this module's own columns start with ``_q_``. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ WINDOW = 5
 #: Positions take the low bits of a packed window key; no array is longer than 2**31.
 POSITION_BITS = 31
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: EM goes on until no rate moves by more than TOLERANCE; after MOST steps it is an error.
-TOLERANCE, MOST = 1e-6, 1000
+#: EM goes on until no rate moves by more than TOLERANCE. No step makes the model less likely, so one that hasn't settled after
+#: MOST steps is the likeliest so far, and is taken.
+TOLERANCE, MOST = 1e-6, 10_000
 PRIOR_KEPT = 0.9
 #: Starting values of P(votes good | good) and P(votes bad | bad), and the range that each stays in: a rule seldom speaks
 #: against a good text, but may miss many bad ones. The ranges keep the two classes from changing places.
@@ -145,41 +148,25 @@ def _posterior(votes: list[Column], model: dict) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def _within(value: float, bounds: tuple[float, float]) -> float:
-    return min(bounds[1], max(bounds[0], value))
-
-
-def fit(patterns: DataFrame, names: list[str], tolerance: float = TOLERANCE) -> dict:
-    """EM over counted vote patterns (columns ``names`` and ``count``), of which there are at most 3 ** len(names), until no
-    rate moves by more than ``tolerance``.
-
-    A step is one aggregate: each pattern's chance of being good under the model (expectation), and the sums of it by rule
-    and vote (maximisation), one row. The model goes in as an array, so that every step has the same compiled code.
-    """
-    rules = range(len(names))
-    model = {"prior": PRIOR_KEPT, "good": [START_GOOD] * len(names), "bad": [START_BAD] * len(names)}
-    for _ in range(MOST):
-        # what a vote of bad, an abstention and a vote of good are worth by rule, and at last the prior's odds
-        worth = [x for g, b in zip(model["good"], model["bad"], strict=True) for x in (0.0, math.log((1 - g) / b), math.log(g / (1 - b)))]
-        table = F.array(*[F.lit(x) for x in [*worth, math.log(model["prior"] / (1 - model["prior"]))]])
-        odds = F.get(table, F.lit(3 * len(names)))
-        for i in rules:
-            odds = odds + F.get(table, F.col(names[i]).cast("int") + (3 * i + 1))
-        n, p = F.col("count").cast("double"), 1 / (1 + F.exp(-odds))
-        parts = patterns.select(*names, (n * p).alias("_q_good"), (n * (1 - p)).alias("_q_bad"))
-        of = lambda i, v, c: F.coalesce(F.sum(F.when(F.col(names[i]) == v, F.col(c))), F.lit(0.0)).alias(f"{i}_{v}{c}")
-        sums = parts.agg(F.coalesce(F.sum("_q_good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("_q_bad"), F.lit(0.0)).alias("bad"), *[of(i, v, c) for i in rules for v in (0, 1) for c in ("_q_good", "_q_bad")]).first()
-        got = lambda i, v, c: sums[f"{i}_{v}{c}"]  # noqa: B023, E731
-        new = {
-            "prior": _within((sums["good"] + PSEUDO * PRIOR_KEPT) / (sums["good"] + sums["bad"] + PSEUDO), RANGE_PRIOR),
-            "good": [_within((got(i, 1, "_q_good") + PSEUDO * START_GOOD) / (got(i, 1, "_q_good") + got(i, 0, "_q_good") + PSEUDO), RANGE_GOOD) for i in rules],
-            "bad": [_within((got(i, 0, "_q_bad") + PSEUDO * START_BAD) / (got(i, 1, "_q_bad") + got(i, 0, "_q_bad") + PSEUDO), RANGE_BAD) for i in rules],
-        }
-        moved = max(abs(x - y) for k in ("good", "bad") for x, y in zip([new["prior"], *new[k]], [model["prior"], *model[k]], strict=True))
-        model = new
+def fit(patterns: DataFrame, names: list[str], tolerance: float = TOLERANCE, most: int = MOST) -> dict:
+    """EM over counted vote patterns (columns ``names`` and ``count``), until no rate moves by more than ``tolerance`` or ``most``
+    steps are done. The patterns are at most 3 ** len(names) rows, whatever the number of documents, so they are gathered once
+    and the steps are arithmetic on the driver; no patterns leave the model as it starts."""
+    rows = sorted(tuple(r) for r in patterns.select(*names, "count").collect())
+    votes, count = np.array([r[:-1] for r in rows]).reshape(len(rows), len(names)), np.array([r[-1] for r in rows], dtype=float)
+    for_, against = (votes == 1).astype(float), (votes == 0).astype(float)
+    prior, good, bad = PRIOR_KEPT, np.full(len(names), START_GOOD), np.full(len(names), START_BAD)
+    for _ in range(most):
+        odds = math.log(prior / (1 - prior)) + for_ @ np.log(good / (1 - bad)) + against @ np.log((1 - good) / bad)
+        p = 1 / (1 + np.exp(-odds))
+        kept, gone = count * p, count * (1 - p)
+        rate = lambda yes, no, start, bounds: np.clip((yes + PSEUDO * start) / (yes + no + PSEUDO), *bounds)
+        new = rate(kept.sum(), gone.sum(), PRIOR_KEPT, RANGE_PRIOR), rate(kept @ for_, kept @ against, START_GOOD, RANGE_GOOD), rate(gone @ against, gone @ for_, START_BAD, RANGE_BAD)
+        moved = max(abs(new[0] - prior), np.abs(new[1] - good).max(), np.abs(new[2] - bad).max())
+        prior, good, bad = new
         if moved <= tolerance:
-            return model
-    raise ArithmeticError(f"no convergence in {MOST} steps")
+            break
+    return {"prior": float(prior), "good": good.tolist(), "bad": bad.tolist()}
 
 
 def judged(docs: DataFrame, keys: list[str] | None = None, text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
@@ -191,8 +178,7 @@ def judged(docs: DataFrame, keys: list[str] | None = None, text: str = "text", t
     source = docs.select(*keys, *([] if text in keys else [text]))
     seen = measures(source, text).withColumns(dict(zip(names, votes.values(), strict=True)))
     slim = written(seen.select(*keys, *MEASURES, *names), "quality")
-    patterns = written(slim.groupBy(*names).count().coalesce(1), "quality-patterns")
-    model = fit(patterns, names, tolerance)
+    model = fit(slim.groupBy(*names).count(), names, tolerance)
     posterior = _posterior([F.col(x) for x in names], model).alias("posterior")
     return slim.select(*keys, *MEASURES, base_failed().alias("base_failed"), posterior).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
