@@ -200,7 +200,8 @@ def audited(docs: DataFrame, least: int = LEAST_DOCS, ranks: int = RANKS) -> Dat
     absent = groups.join(other, "lang").where("source <> item").select("lang", "source", "item", ((F.col("v") - F.col("own") - F.col("other_own")) * F.abs(F.col("z") - F.col("other_z"))).alias("value"))
     equal = sized.groupBy("lang", "source", "p").agg(F.count("*").alias("k"))
     alone = equal.join(other, "lang").where("source <> item").groupBy("lang", "source", "item").agg(F.sum(F.col("k") * F.abs(F.col("p") - F.col("other_z"))).alias("value"))
-    halves = alone.union(found.where("part = 'pair'").drop("part").select("lang", "source", "item", "value"))
+    # summed for each two sources before both take the sum
+    halves = alone.union(found.where("part = 'pair'").select("lang", "source", "item", "value")).groupBy("lang", F.least("source", "item").alias("source"), F.greatest("source", "item").alias("item")).agg(F.sum("value").alias("value"))
     turned = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("e")
     pairs = halves.select("lang", turned, "value").select("lang", "e.source", "e.item", "value").union(absent).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     terms = found.where("part = 'term'").select("lang", "source", "item", "value")
