@@ -7,13 +7,16 @@ so that it is connected. A vector goes to its nearest list and, at a boundary, t
 goes to every list whose centroid is within a ratio of its nearest one: the ratio is measured on the sample, so that
 TARGET of true neighbours there are in the lists chosen. Neither lists a query takes nor rows a list holds are capped.
 
+A list sends on only rows that reach a query's floor, which the sample's
+rows in its lists set: enough of them reach it.
+
 Equal vectors are one row with their smallest keys, on both sides, since no other can be among the nearest; so no group of copies
 is compared with itself. Lists beyond MEMBERS rows are cut into blocks, and their queries too, so no task's group is unbounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,21 +30,24 @@ from .vector_codes import usable, width_of
 
 NEAREST, TARGET = 20, 0.95
 #: The sample that centroids and the ratio come from: rows, and bytes of their components as floats of 32 bits.
-SAMPLE, SAMPLE_BYTES = 65_536, 64_000_000
+SAMPLE, SAMPLE_BYTES = 16_384, 16_000_000
 #: Rows that a list is meant to hold, while there are at most LISTS of them; rows and queries of one task's group.
-LIST_ROWS, LISTS, MEMBERS, QUERIES = 1000, 8192, 4096, 1024
+LIST_ROWS, LISTS, MEMBERS, QUERIES = 1000, 4096, 4096, 1024
 #: A boundary vector is copied to lists whose centroid is within this ratio of its nearest one, COPIES lists in all at most.
 BOUNDARY, COPIES = 1.05, 4
-NEIGHBOURS, ENTRY_POINTS, STEP, TRIALS = 16, 16, 8, 512
+NEIGHBOURS, ENTRY_POINTS, STEP, TRIALS, SPARE = 16, 16, 8, 512, 4
 
 
 class Index(NamedTuple):
-    """Centroids with the added component, links of each, where walks begin, the greatest length, and the ratio of queries."""
+    """Centroids with the added component, links of each, where walks begin, the greatest length, the sample and
+    its rows' lists, -1 where they have fewer than COPIES, and the ratio of queries."""
 
     centroids: np.ndarray
     links: np.ndarray
     entries: np.ndarray
     longest: float
+    sample: np.ndarray
+    holds: np.ndarray
     ratio: float
 
 
@@ -140,21 +146,21 @@ def fitted(sample: np.ndarray, longest: float, lists: int) -> Index:
     lie in a list that is chosen."""
     points = placed(sample, longest)
     centroids = halved(points, lists)
-    index = Index(centroids, linked(centroids), np.unique(np.linspace(0, len(centroids) - 1, ENTRY_POINTS).astype(int)), longest, 1.0)
-    if len(centroids) == 1:
+    index = Index(centroids, linked(centroids), np.unique(np.linspace(0, len(centroids) - 1, ENTRY_POINTS).astype(int)), longest, sample, np.full((len(sample), COPIES), -1), 1.0)
+    for at in range(0, len(points), 1024):
+        row, of = lists_of(points[at : at + 1024], index)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        index.holds[at + row, np.arange(len(row)) - np.repeat(first, np.diff([*first, len(row)]))] = of
+    if len(sample) < 2:
         return index
-    row, of = zip(*[lists_of(points[at : at + 1024], index) for at in range(0, len(points), 1024)], strict=True)
-    row = np.concatenate([r + 1024 * i for i, r in enumerate(row)])
-    holds = np.full((len(points), COPIES), -1)
-    first = np.flatnonzero(np.diff(row, prepend=-1))
-    holds[row, np.arange(len(row)) - np.repeat(first, np.diff([*first, len(row)]))] = np.concatenate(of)
     trials = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)
-    q, need = aimed(sample[trials], longest), []
-    to = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1) - 2 * q @ centroids.T, 0))
-    score = sample[trials] @ sample.T
-    score[np.arange(len(trials)), trials] = -np.inf
-    for i, near in enumerate(np.argsort(-score, axis=1)[:, : min(NEAREST, len(sample) - 1)]):
-        need.append(np.where(holds[near] >= 0, to[i][holds[near]], np.inf).min(axis=1) / max(to[i].min(), 1e-300))
+    need, k = [], min(NEAREST, len(sample) - 1)
+    for i in trials:
+        score = sample @ sample[i]
+        score[i] = -np.inf
+        to = np.sqrt(((aimed(sample[[i]], longest) - centroids) ** 2).sum(axis=1))
+        own = index.holds[np.argpartition(-score, k - 1)[:k]]
+        need.append(np.where(own >= 0, to[own], np.inf).min(axis=1) / max(to.min(), 1e-300))
     return index._replace(ratio=max(1.0, float(np.quantile(np.concatenate(need), TARGET))))
 
 
@@ -169,19 +175,47 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _routed(find: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
-    """Rows once for each list; the vector is the first column."""
+def floors(q: np.ndarray, row: np.ndarray, of: np.ndarray, index: Index, k: int) -> np.ndarray:
+    """For each query a score that ``k`` of the rows it meets reach: that of the ``k`` + SPARE-th best row of the sample in its lists
+    (``row``, ``of``). The spare ones are room for rounding, which may move a row at a boundary to another list."""
+    if len(index.sample) < k + SPARE:
+        return np.full(len(q), -np.inf)
+    chosen = np.zeros((len(q), len(index.centroids) + 1), dtype=bool)
+    chosen[row, of] = True
+    there = chosen[:, index.holds[:, 0]]
+    for c in range(1, COPIES):
+        there |= chosen[:, index.holds[:, c]]  # -1 is the column that is never chosen
+    s = np.where(there, q @ index.sample.T, -np.inf)
+    return np.partition(s, len(index.sample) - k - SPARE, axis=1)[:, len(index.sample) - k - SPARE]
+
+
+def _posted(held):
+    """Vectors with their keys, once for each of their lists."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 own = batch.slice(at, 1024)
-                row, of = find(_matrix(own.column(0)))
+                row, of = lists_of(placed(_matrix(own["v"]), held.value.longest), held.value)
                 yield pa.RecordBatch.from_arrays([*own.take(pa.array(row)).columns, pa.array(of, pa.int32())], names=[*own.schema.names, "list"])
 
     return run
 
 
+def _asked(held, k: int):
+    """Queries, once for each list they go to, with their floor."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                own = batch.slice(at, 256)
+                q = _matrix(own["v"])
+                row, of = lists_for(aimed(q, held.value.longest), held.value)
+                yield pa.RecordBatch.from_arrays([*own.take(pa.array(row)).columns, pa.array(of, pa.int32()), pa.array(floors(q, row, of, held.value, k)[row])], names=[*own.schema.names, "list", "floor"])
+
+    return run
+
+
 def _best(k: int):
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
         """Of each query the ``k`` best keys of the group, scores in double precision, equal ones by key."""
@@ -190,13 +224,13 @@ def _best(k: int):
         q, x = _matrix(queries["v"]), _matrix(members["v"])
         s = q @ x.T
         if len(x) > k:  # with room for rounding, which differs by position in a product
-            least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
-            i, j = np.nonzero(s >= (least - 1e-9 * (np.abs(least) + np.abs(s).max(axis=1)))[:, None])
+            least = np.maximum(np.partition(s, len(x) - k, axis=1)[:, len(x) - k], queries["floor"].to_numpy())
+            i, j = np.nonzero(s >= (least - 1e-9 * np.abs(s).max(axis=1))[:, None])
         else:
             i, j = (m.reshape(-1) for m in np.indices(s.shape))
-        score = np.concatenate([(q[i[a : a + 65536]] * x[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)])
+        score = np.concatenate([np.empty(0), *((q[i[a : a + 65536]] * x[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536))])
         keys = members["keys"].combine_chunks()
-        size, flat, at = keys.value_lengths().to_numpy(), keys.flatten().to_numpy(), None
+        size, flat = keys.value_lengths().to_numpy(), keys.flatten().to_numpy()
         begin = np.cumsum(size) - size
         many = size[j]
         at = np.repeat(begin[j] - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -228,17 +262,16 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int, list_rows: int = LI
     index = fit(vectors, list_rows)
     if index is None:
         return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast(index)  # LISTS centroids and their links at most
+    held = spark.sparkContext.broadcast(index)  # LISTS centroids with their links, and the sample, at most
     kind = vectors.schema["v"].dataType.simpleString()
-    # the way back from a vector to its place goes by the same index in every task
-    postings = vectors.select("v", "keys").mapInArrow(_routed(lambda x: lists_of(placed(x, held.value.longest), held.value)), f"v {kind}, keys array<long>, list int")
-    probes = queries.select("v", "qk").mapInArrow(_routed(lambda q: lists_for(aimed(q, held.value.longest), held.value)), f"v {kind}, qk long, list int")
+    postings = vectors.select("v", "keys").mapInArrow(_posted(held), f"v {kind}, keys array<long>, list int")
+    probes = queries.select("v", "qk").mapInArrow(_asked(held, k), f"v {kind}, qk long, list int, floor double")
     postings, probes = written(postings, "postings"), written(probes, "probes")
     blocks = lambda df, rows, name: df.groupBy("list").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
     cut = F.broadcast(blocks(postings, MEMBERS, "m").join(blocks(probes, QUERIES, "p"), "list"))  # a row a list, LISTS at most
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = probes.join(cut, "list").select("list", part("qk", "p").alias("pb"), every("m").alias("mb"), "v", "qk")
+    left = probes.join(cut, "list").select("list", part("qk", "p").alias("pb"), every("m").alias("mb"), "v", "qk", "floor")
     right = postings.join(cut, "list").select("list", every("p").alias("pb"), part("v", "m").alias("mb"), "v", "keys")
     by = ("list", "pb", "mb")
     met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_best(k), schema)

@@ -82,7 +82,7 @@ def test_walk_meets_what_comparing_all_does():
     draw = np.random.default_rng(4)
     points = draw.normal(size=(3000, 16))
     centroids = lists.halved(points, 256)
-    index = lists.Index(centroids, lists.linked(centroids), np.arange(0, 256, 16), 1.0, 1.15)
+    index = lists.Index(centroids, lists.linked(centroids), np.arange(0, 256, 16), 1.0, points[:0], np.zeros((0, 4), dtype=int), 1.15)
     d = lists.walked(points[:200], index, index.ratio)
     all_ = np.sqrt(((points[:200, None] - centroids) ** 2).sum(axis=2))
     inside = all_ <= index.ratio * all_.min(axis=1, keepdims=True)
@@ -90,3 +90,16 @@ def test_walk_meets_what_comparing_all_does():
     sizes = np.bincount(all_.argmin(axis=1), minlength=256)
     assert sizes.max() < 20
     assert len(lists.halved(np.ones((50, 3)), 8)) == 1  # equal points stay together
+
+
+def test_floors_are_reached():
+    draw = np.random.default_rng(6)
+    x, q = draw.normal(size=(500, 8)), draw.normal(size=(30, 8))
+    index = lists.fitted(x[::5], float(np.sqrt((x * x).sum(axis=1).max())), 4)
+    row, of = lists.lists_for(lists.aimed(q, index.longest), index)
+    floor = lists.floors(q, row, of, index, 15)
+    at, list_ = lists.lists_of(lists.placed(x, index.longest), index)
+    for n in range(len(q)):
+        met = np.unique(at[np.isin(list_, of[row == n])])
+        assert (x[met] @ q[n] >= floor[n]).sum() >= 15
+    assert np.isfinite(floor).any() and (lists.floors(q, row, of, index, 97) == -np.inf).all()
