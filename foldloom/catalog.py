@@ -53,7 +53,7 @@ ranked AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY t) + (count(*)
   row_number() OVER (PARTITION BY condition ORDER BY abs(t) DESC, gene_idx DESC) <= 20 AS kt,
   row_number() OVER (PARTITION BY condition ORDER BY abs(p) DESC, gene_idx DESC) <= 20 AS kp FROM pairs)"""
 FOLDS = """folds AS (SELECT l_returnflag AS dataset,
-  CASE o_orderpriority WHEN '1-URGENT' THEN 'string_ppi' WHEN '2-HIGH' THEN 'go' WHEN '3-MEDIUM' THEN 'coexpression' WHEN '4-NOT SPECIFIED' THEN 'random' ELSE 'no_graph' END AS graph_type,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'string_ppi' WHEN '2-HIGH' THEN 'gene_ontology' WHEN '3-MEDIUM' THEN 'coexpression' WHEN '4-NOT SPECIFIED' THEN 'random' ELSE 'no_graph' END AS graph_type,
   CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'O' THEN 500 ELSE 1000 END::INT AS hvg, (41 + l_linenumber)::INT AS seed, 'C' || o_custkey AS condition,
   l_discount AS pearson_r, l_tax AS spearman_rho, l_quantity / 50.0 AS mse, l_extendedprice / 100000.0 AS jaccard FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 #: Nodes are as many as the data has, from its least key, which may be 0; suppliers follow parts.
@@ -90,7 +90,7 @@ def deltas(spark, d):
 def fold_table(spark, d):
     o, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     p = F.col("o_orderpriority")
-    graph = F.when(p == "1-URGENT", "string_ppi").when(p == "2-HIGH", "go").when(p == "3-MEDIUM", "coexpression").when(p == "4-NOT SPECIFIED", "random").otherwise("no_graph")
+    graph = F.when(p == "1-URGENT", "string_ppi").when(p == "2-HIGH", "gene_ontology").when(p == "3-MEDIUM", "coexpression").when(p == "4-NOT SPECIFIED", "random").otherwise("no_graph")
     hvg = F.when(F.col("o_orderstatus") == "F", 200).when(F.col("o_orderstatus") == "O", 500).otherwise(1000)
     own = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return own.select(F.col("l_returnflag").alias("dataset"), graph.alias("graph_type"), hvg.alias("hvg"), (F.col("l_linenumber") + 41).cast("int").alias("seed"), F.concat(F.lit("C"), "o_custkey").alias("condition"), F.col("l_discount").alias("pearson_r"), F.col("l_tax").alias("spearman_rho"), (F.col("l_quantity") / 50).alias("mse"), (F.col("l_extendedprice") / 100000).alias("jaccard"))
@@ -472,25 +472,31 @@ def flt12_complete(spark, d):
     return rollup.complete(fold_table(spark, d).groupBy("dataset", "graph_type", "hvg", "seed").agg(F.count("*").alias("n_folds")))
 
 
-@query(f"""WITH {FOLDS}, f AS (SELECT * FROM folds WHERE NOT (graph_type = 'go' AND hvg = 1000)), n AS (SELECT dataset, count(DISTINCT hvg) AS scales FROM f GROUP BY 1)
-SELECT dataset, graph_type FROM f JOIN n USING (dataset) GROUP BY dataset, graph_type, scales HAVING count(DISTINCT hvg) = scales""")
+LACKING = "NOT (graph_type = 'gene_ontology' AND hvg = 1000) AND NOT (dataset = 'A' AND hvg = 500)"
+
+
+@query(f"WITH {FOLDS} SELECT dataset, graph_type FROM folds WHERE hvg = 200 AND {LACKING} INTERSECT SELECT dataset, graph_type FROM folds WHERE hvg = 500 AND {LACKING} INTERSECT SELECT dataset, graph_type FROM folds WHERE hvg = 1000 AND {LACKING}")
 def set4_on_all_scales(spark, d):
-    return rollup.on_all_scales(fold_table(spark, d).where("NOT (graph_type = 'go' AND hvg = 1000)"))
+    """A graph and a dataset lack a scale."""
+    return rollup.on_all_scales(fold_table(spark, d).where(LACKING))
+
+
+SHOWN = ", ".join(f"round({f}({c}), {6 if c == 'mse' else 4}) AS {c.split('_')[0]}_{n}" for c in ("pearson_r", "spearman_rho", "jaccard", "mse") for f, n in (("avg", "mean"), ("stddev_pop", "std")))
 
 
-@query(f"WITH {FOLDS} SELECT dataset, graph_type, round(avg(pearson_r), 4) AS pearson_mean, round(stddev_pop(pearson_r), 4) AS pearson_std, count(*) AS n_total_folds, count(DISTINCT seed) AS n_seeds FROM folds GROUP BY 1, 2")
+@query(f"WITH {FOLDS} SELECT dataset, graph_type, {SHOWN}, count(*) AS n_total_folds, count(DISTINCT seed) AS n_seeds FROM folds GROUP BY 1, 2")
 def snk4_summary(spark, d):
-    """Written as CSV with a header and read back."""
+    """Written as CSV with a header and read back, all columns."""
     folder = new_folder(spark, "summary")
     results.write_table(results.summary(fold_table(spark, d)), folder)
     back = spark.read.option("header", True).csv(folder)
-    return back.select("dataset", "graph_type", *[F.col(c).cast("double").alias(c) for c in ("pearson_mean", "pearson_std")], *[F.col(c).cast("long").alias(c) for c in ("n_total_folds", "n_seeds")])
+    return back.select("dataset", "graph_type", *[F.col(c).cast("double").alias(c) for c in back.columns if c.endswith(("_mean", "_std"))], *[F.col(c).cast("long").alias(c) for c in ("n_total_folds", "n_seeds")])
 
 
 # ---------------------------------------------------------------- statistics
 
 PAIRED = """n AS (SELECT *, row_number() OVER (PARTITION BY dataset, graph_type, hvg ORDER BY seed, condition, pearson_r, spearman_rho, mse, jaccard) AS rn FROM folds),
-c AS (SELECT * FROM (VALUES ('string_ppi', 'no_graph'), ('go', 'no_graph'), ('coexpression', 'no_graph'), ('combined', 'no_graph'), ('string_ppi', 'random'), ('combined', 'random')) t(g1, g2)),
+c AS (SELECT * FROM (VALUES ('string_ppi', 'no_graph'), ('gene_ontology', 'no_graph'), ('combined', 'no_graph'), ('random', 'no_graph'), ('string_ppi', 'random'), ('combined', 'random')) t(g1, g2)),
 p AS (SELECT a.dataset, a.hvg, g1, g2, a.rn, a.pearson_r AS a, b.pearson_r AS b FROM n a JOIN c ON a.graph_type = g1 JOIN n b ON b.graph_type = g2 AND b.dataset = a.dataset AND b.hvg = a.hvg AND b.rn = a.rn)"""
 
 
@@ -542,10 +548,13 @@ def st7_kruskal(spark, d):
     return rounded(stats.kruskal(fold_table(spark, d)).select("dataset", "hvg", "statistic", "n_groups"))
 
 
-@query(f"""WITH {FOLDS}, {PAIRED}, m AS (SELECT dataset, hvg, graph_type, avg(pearson_r) AS m FROM folds GROUP BY ALL), d AS (SELECT dataset, hvg, g1, avg(a - b) / (stddev_pop(a - b) + 1e-10) AS cohens_d FROM p WHERE g2 = 'no_graph' AND g1 IN ('string_ppi', 'combined') GROUP BY ALL)
-SELECT dataset, g1 AS graph, hvg, round(x.m - y.m, 6) AS delta_pearson, round(cohens_d, 6) AS cohens_d FROM d JOIN m x USING (dataset, hvg) JOIN m y USING (dataset, hvg) WHERE x.graph_type = g1 AND y.graph_type = 'no_graph'""")
+@query(f"""WITH {FOLDS}, side AS (SELECT *, row_number() OVER (PARTITION BY dataset, graph_type, hvg ORDER BY seed, condition, pearson_r, spearman_rho, mse, jaccard) AS rn, count(*) OVER (PARTITION BY dataset, graph_type, hvg) AS n FROM folds),
+k AS (SELECT dataset, graph_type AS graph, hvg, pearson_r, rn, n FROM side WHERE graph_type IN ('string_ppi', 'combined')), b AS (SELECT dataset, hvg, pearson_r, rn, n FROM side WHERE graph_type = 'no_graph'),
+cut AS (SELECT dataset, graph, hvg, least(max(k.n), max(b.n)) AS n FROM k JOIN b USING (dataset, hvg) WHERE k.rn = 1 AND b.rn = 1 GROUP BY 1, 2, 3)
+SELECT dataset, graph, hvg, round((SELECT avg(pearson_r) FROM k WHERE k.dataset = c.dataset AND k.graph = c.graph AND k.hvg = c.hvg AND rn <= c.n) - (SELECT avg(pearson_r) FROM b WHERE b.dataset = c.dataset AND b.hvg = c.hvg AND rn <= c.n), 6) AS delta_pearson,
+  (SELECT round(avg(k.pearson_r - b.pearson_r) / (stddev_pop(k.pearson_r - b.pearson_r) + 1e-10), 4) FROM k JOIN b ON k.rn = b.rn WHERE k.dataset = c.dataset AND k.graph = c.graph AND k.hvg = c.hvg AND b.dataset = c.dataset AND b.hvg = c.hvg) AS cohens_d FROM cut c""")
 def st15_scale_effect(spark, d):
-    return rounded(stats.scale_effect(fold_table(spark, d)))
+    return stats.scale_effect(fold_table(spark, d))
 
 
 @query(f"""WITH {FOLDS}, q AS (SELECT dataset, hvg, graph_type, count(*) AS n, printf('%.3f±%.3f', avg(pearson_r), stddev_pop(pearson_r)) AS v FROM folds GROUP BY ALL) SELECT dataset, hvg,
@@ -571,7 +580,7 @@ def st18_agg12_pass_rate(spark, d):
 
 @query()
 def st6_st7_group_tests(spark, d):
-    return rounded(stats.group_tests(fold_table(spark, d))).withColumn("stars", stars(F.col("p")))
+    return stats.group_tests(fold_table(spark, d)).withColumn("stars", stars(F.col("p")))
 
 
 @query()
@@ -581,12 +590,12 @@ def st9_bootstrap(spark, d):
 
 @query()
 def st14_pairwise(spark, d):
-    return rounded(stats.pairwise(fold_table(spark, d)))
+    return stats.pairwise(fold_table(spark, d))
 
 
 @query()
 def flt11_mentions(spark, d):
-    return rounded(stats.mentioning(stats.pairwise(fold_table(spark, d)), "vs no_graph"))
+    return stats.mentioning(stats.pairwise(fold_table(spark, d)), "vs no_graph")
 
 
 @query("SELECT l_discount, count(*) AS n, CASE WHEN l_discount < 0.001 THEN '***' WHEN l_discount < 0.01 THEN '**' WHEN l_discount < 0.05 THEN '*' ELSE 'ns' END AS stars FROM lineitem GROUP BY 1")

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tiles import correlations
+
 THRESHOLD, BROADEST_TERM, LEAST_RESOLVED = 0.3, 100, 10
 
 
@@ -25,46 +27,6 @@ def with_loops(edges: DataFrame, n: int) -> DataFrame:
     return edges.select("src", "dst").union(own.select(F.col("node").alias("src"), F.col("node").alias("dst"))).distinct()
 
 
-def correlations(wide: DataFrame, values: str) -> DataFrame:
-    """(a, b, r), a < b: Pearson's r of each pair of positions of the arrays, over all rows; null where one doesn't vary.
-
-    Each task sums the products of its rows as one matrix product and sends that sum once; what is shuffled is a square
-    of the number of features for each task, whatever the number of rows. Rows of another length than most, or with a
-    null, aren't a complete observation and are left out.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    width = wide.groupBy(F.size(values).alias("w")).count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
-    w = width[0]["w"] if width and width[0]["w"] > 0 else 0
-    whole = wide.where((F.size(values) == w) & ~F.exists(values, lambda x: x.isNull())).select(F.col(values).cast("array<double>").alias("v"))
-
-    # a fixed row is taken from all, so that sums of large values don't cancel; r doesn't change
-    some = whole.limit(1).collect()
-    shift = np.nan_to_num(np.array(some[0]["v"] if some else np.zeros(w)), posinf=0.0, neginf=0.0)
-
-    def products(batches):
-        total, n = np.zeros((w + 1, w + 1)), 0
-        for batch in batches:
-            rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), w) - shift
-            full = np.concatenate([rows, np.ones((len(rows), 1))], axis=1)
-            total += full.T @ full
-            n += len(rows)
-        if n:
-            a, b = np.triu_indices(w + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b])], ["a", "b", "s"])
-
-    sums = whole.mapInArrow(products, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
-    one = sums.where(F.col("b") == w).select(F.col("a").alias("i"), F.col("s").alias("m"))  # sums, and the count at i = w
-    square = sums.where("a = b").select(F.col("a").alias("i"), F.col("s").alias("q"))
-    each = one.join(square, "i").crossJoin(F.broadcast(one.where(F.col("i") == w).select(F.col("m").alias("n")))).where(F.col("i") < w)
-    spread = each.select("i", "m", "n", (F.col("n") * F.col("q") - F.col("m") * F.col("m")).alias("v"))
-    left = F.broadcast(spread.select(F.col("i").alias("a"), F.col("m").alias("ma"), F.col("v").alias("va"), "n"))
-    right = F.broadcast(spread.select(F.col("i").alias("b"), F.col("m").alias("mb"), F.col("v").alias("vb")))
-    r = F.try_divide(F.col("n") * F.col("s") - F.col("ma") * F.col("mb"), F.sqrt(F.greatest(F.col("va"), F.lit(0.0)) * F.greatest(F.col("vb"), F.lit(0.0))))
-    return sums.where("a < b").join(left, "a").join(right, "b").select("a", "b", r.alias("r"))
-
-
 def coexpression(wide: DataFrame, values: str, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """Edges between positions whose correlation is stronger than ``threshold``, strictly; NaN is not."""
     strong = correlations(wide, values).where((F.abs("r") > threshold) & ~F.isnan("r"))
@@ -133,7 +95,7 @@ def empty(spark: SparkSession) -> DataFrame:
 def build_all(wide: DataFrame, values: str, n: int, annotations: DataFrame, links: DataFrame, names: DataFrame, threshold: float = THRESHOLD) -> dict[str, DataFrame]:
     """All six graphs by name, lazily: one that isn't used isn't made. ``random`` has the average degree of ``combined``."""
     spark = wide.sparkSession
-    out = {"string_ppi": with_loops(looked_up(links, names), n), "go": with_loops(shared_terms(annotations), n), "coexpression": coexpression(wide, values, n, threshold)}
+    out = {"string_ppi": with_loops(looked_up(links, names), n), "gene_ontology": with_loops(shared_terms(annotations), n), "coexpression": coexpression(wide, values, n, threshold)}
     out["combined"] = combined(*out.values())
     degree = average_degree(out["combined"], n).first()["avg_degree"]
     return out | {"random": preferential(spark, n, degree), "no_graph": empty(spark)}

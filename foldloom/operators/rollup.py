@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 METRICS = ("pearson_r", "spearman_rho", "mse", "jaccard")
+#: The numbers of genes that results come at.
+SCALES = (200, 500, 1000)
 CELL = ("dataset", "graph_type", "hvg")
 KEY = (*CELL, "seed", "condition")
 
@@ -78,11 +80,10 @@ def complete(summary: DataFrame, least: int = 50) -> DataFrame:
     return summary.where(F.col("n_folds") >= least)
 
 
-def on_all_scales(folds: DataFrame) -> DataFrame:
-    """(dataset, graph_type) present at every hvg that the dataset has."""
-    own = folds.select(*CELL).distinct()
-    n = own.groupBy("dataset").agg(F.countDistinct("hvg").alias("scales"))
-    return own.groupBy("dataset", "graph_type").agg(F.countDistinct("hvg").alias("k")).join(F.broadcast(n), "dataset").where("k = scales").select("dataset", "graph_type")
+def on_all_scales(folds: DataFrame, scales=SCALES) -> DataFrame:
+    """(dataset, graph_type) present at every one of ``scales``; a dataset that lacks one has none."""
+    own = folds.where(F.col("hvg").isin(*scales)).select(*CELL).distinct()
+    return own.groupBy("dataset", "graph_type").agg(F.countDistinct("hvg").alias("k")).where(F.col("k") == len(scales)).select("dataset", "graph_type")
 
 
 def documents(folds: DataFrame) -> DataFrame:

@@ -16,9 +16,11 @@ from ..functions.scalar import mean_and_spread
 from ..session import new_folder
 from .rollup import CELL, METRICS, on_all_scales
 
-#: Comparisons, in order.
-PAIRS = (("string_ppi", "no_graph"), ("go", "no_graph"), ("coexpression", "no_graph"), ("combined", "no_graph"), ("string_ppi", "random"), ("combined", "random"))
-GRAPHS = ("string_ppi", "go", "coexpression", "combined", "random", "no_graph")
+#: Comparisons and graphs, in order; graphs of the scale effect; names of the two group tests.
+PAIRS = (("string_ppi", "no_graph"), ("gene_ontology", "no_graph"), ("combined", "no_graph"), ("random", "no_graph"), ("string_ppi", "random"), ("combined", "random"))
+GRAPHS = ("string_ppi", "gene_ontology", "coexpression", "combined", "random", "no_graph")
+SCALE_GRAPHS = ("string_ppi", "combined")
+ANOVA, KRUSKAL = "one-way ANOVA (graph_type)", "Kruskal-Wallis"
 COHEN_EPSILON, DRAWS, ALPHA, SEED, LEAST_NORMAL, ANOMALOUS_MSE = 1e-10, 10_000, 0.05, 42, 8, 0.5
 #: Ranks, distinct values and draws that one step of a task takes on.
 RANKS, VALUES, DRAW_BLOCK = 10_000, 4_096, 500
@@ -36,11 +38,13 @@ def _number(f, *columns: Column) -> Column:
     return run(*[c.cast("double") for c in columns])
 
 
-def _before(counts: DataFrame, value: str, weights: dict[str, Column], *by: str) -> DataFrame:
-    """``counts``, one row a (``by``, ``value``), with the sums of ``weights`` over the rows of its group before it in order. Rows
-    are dealt by ranges and summed up there; what earlier ranges hold is a row a range and group, so no group is one task's."""
+def _before(counts: DataFrame, value: str | tuple[str, ...], weights: dict[str, Column], *by: str) -> DataFrame:
+    """``counts`` with the sums of ``weights`` over the rows of its group (``by``) before it in the order of ``value``; rows that agree in
+    all of it come in any order. Rows are dealt by ranges and summed up there; what earlier ranges hold is a row a range and
+    group, so no group is one task's."""
+    value = (value,) if isinstance(value, str) else value
     folder = new_folder(counts.sparkSession, "ranges")
-    ranged = counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id())
+    ranged = counts.repartitionByRange(*by, *value).withColumn("_range", F.spark_partition_id())
     ranged.write.parquet(folder)  # ranges are drawn once
     rows = counts.sparkSession.read.schema(ranged.schema).parquet(folder)
     each = rows.groupBy("_range", *by).agg(*[F.sum(w).alias(f"_{k}") for k, w in weights.items()])
@@ -50,7 +54,7 @@ def _before(counts: DataFrame, value: str, weights: dict[str, Column], *by: str)
     same = F.col("_range") == F.col("_r")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    inside = Window.partitionBy("_range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range", *by).orderBy(*value).rowsBetween(Window.unboundedPreceding, -1)
     own = rows.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_in_{k}") for k, w in weights.items()])
     return own.join(F.broadcast(offsets), same).select(*counts.columns, *[(F.col(f"_in_{k}") + F.col(f"_{k}")).alias(k) for k in weights])
 
@@ -61,7 +65,8 @@ def paired(folds: DataFrame, value: str = "pearson_r", by: str = "position", pai
     names = F.explode(F.array(*[F.struct(F.lit(a).alias("g1"), F.lit(b).alias("g2")) for a, b in pairs])).alias("p")
     wanted = F.broadcast(folds.sparkSession.range(1).select(names).select("p.g1", "p.g2"))
     if by == "position":
-        numbered = folds.withColumn("rn", F.row_number().over(Window.partitionBy(*CELL).orderBy(*ORDER)))
+        asked = folds.where(F.col("graph_type").isin(sorted({g for p in pairs for g in p})))
+        numbered = _before(asked, ORDER, {"rn": F.lit(1)}, *CELL)
         on = ["dataset", "hvg", "rn"]
     else:
         numbered = folds.withColumn("rn", F.lit(0))
@@ -130,12 +135,11 @@ def anova(folds: DataFrame, value: str = "pearson_r") -> DataFrame:
 
 
 def kruskal(folds: DataFrame, value: str = "pearson_r") -> DataFrame:
-    """(dataset, hvg, statistic, d1, n_groups): H with its correction for ties. Ranks come from counts of distinct values, so
-    equal values, however many, are one row of the window."""
+    """(dataset, hvg, statistic, d1, n_groups): H with its correction for ties. Ranks come from counts of distinct values, dealt
+    by ranges, so neither a value nor a group is one task's."""
     own = _scaled(folds)
-    values = own.groupBy("dataset", "hvg", value).agg(F.count("*").alias("t"))
-    before = F.sum("t").over(Window.partitionBy("dataset", "hvg").orderBy(value)) - F.col("t")
-    ranks = values.withColumn("rank", before + (F.col("t") + 1) / 2)
+    values = _before(own.groupBy("dataset", "hvg", value).agg(F.count("*").alias("t")), value, {"before": F.col("t")}, "dataset", "hvg")
+    ranks = values.withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     ties = ranks.groupBy("dataset", "hvg").agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"), F.sum("t").alias("n"))
     counts = own.groupBy("dataset", "hvg", "graph_type", value).agg(F.count("*").alias("c"))
     sums = counts.join(ranks, ["dataset", "hvg", value]).groupBy("dataset", "hvg", "graph_type").agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("k"))
@@ -146,12 +150,14 @@ def kruskal(folds: DataFrame, value: str = "pearson_r") -> DataFrame:
 
 
 def group_tests(folds: DataFrame, value: str = "pearson_r") -> DataFrame:
-    """dataset, hvg, test, F, p, significant, n_groups: both tests; the second's statistic also stands under F."""
+    """dataset, hvg, test, F, p, significant, n_groups: both tests; the second's statistic also stands under F. ``significant`` goes by
+    p before it is rounded."""
     a = anova(folds, value)
-    a = a.select("dataset", "hvg", F.lit("ANOVA").alias("test"), "statistic", _number(dist.f_sf, F.col("statistic"), F.col("d1"), F.col("d2")).alias("p"), "n_groups")
+    a = a.select("dataset", "hvg", F.lit(ANOVA).alias("test"), "statistic", _number(dist.f_sf, F.col("statistic"), F.col("d1"), F.col("d2")).alias("p"), "n_groups")
     k = kruskal(folds, value)
-    k = k.select("dataset", "hvg", F.lit("Kruskal-Wallis").alias("test"), "statistic", _number(dist.chi2_sf, F.col("statistic"), F.col("d1")).alias("p"), "n_groups")
-    return a.union(k).select("dataset", "hvg", "test", F.col("statistic").alias("F"), "p", F.when(F.col("p") < ALPHA, "Yes").otherwise("No").alias("significant"), "n_groups")
+    k = k.select("dataset", "hvg", F.lit(KRUSKAL).alias("test"), "statistic", _number(dist.chi2_sf, F.col("statistic"), F.col("d1")).alias("p"), "n_groups")
+    significant = F.when((F.col("p") < ALPHA) & ~F.isnan("p"), "Yes").otherwise("No")
+    return a.union(k).select("dataset", "hvg", "test", F.round("statistic", 4).alias("F"), F.round("p", 6).alias("p"), significant.alias("significant"), "n_groups")
 
 
 def bootstrap_interval(diffs: np.ndarray, draws: int = DRAWS, alpha: float = ALPHA, seed: int = SEED, block: int = 500) -> tuple[float, float]:
@@ -208,8 +214,7 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     d = pairs.select(*by, (F.col("a") - F.col("b")).alias("d"))
     size = F.abs("d")
     steps = d.where("d <> 0").groupBy(*by, size.alias("m")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count("*").alias("t"))
-    before = F.sum("t").over(Window.partitionBy(*by).orderBy("m")) - F.col("t")
-    ranked = steps.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = _before(steps, "m", {"before": F.col("t")}, *by).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum("t").alias("n_nonzero"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
     zeros = d.groupBy(*by).agg(F.count_if(F.col("d") == 0).alias("zeros"))
     n = F.coalesce("n_nonzero", F.lit(0))
@@ -236,39 +241,57 @@ def false_discovery(rows: DataFrame, p: str = "p", step_up: bool = False) -> Dat
 
 
 def pairwise(folds: DataFrame, value: str = "pearson_r", by: str = "position") -> DataFrame:
-    """The table of comparisons: means, effect size and its interval, both paired tests, and both corrections."""
+    """The table of comparisons: dataset, hvg, comparison, mean_diff, cohens_d and its interval ci_lo, ci_hi, t_stat, t_p, wilcoxon_p,
+    n_pairs, and t_p times the number of rows (t_p_bonf) and by its rank (t_p_fdr), both from t_p as rounded. Tests of differences
+    that don't vary are null or NaN, as are their corrections."""
     pairs = paired(folds, value, by)
     keys = ["dataset", "hvg", "g1", "g2"]
     d = F.col("a") - F.col("b")
-    base = pairs.groupBy(*keys).agg(F.avg("a").alias("ma"), F.stddev_pop("a").alias("sa"), F.avg("b").alias("mb"), F.stddev_pop("b").alias("sb"), F.count("*").alias("n"), cohen(d).alias("cohens_d"), paired_t(d).alias("t"))
+    base = pairs.groupBy(*keys).agg(F.avg(d).alias("mean_diff"), F.count("*").alias("n_pairs"), cohen(d).alias("cohens_d"), paired_t(d).alias("t"))
     both = base.join(wilcoxon(pairs), keys).join(bootstrap(pairs), keys)
     out = both.select(
-        "dataset", "hvg", F.concat("g1", F.lit(" vs "), "g2").alias("comparison"), F.format_string("%.3f±%.3f", "ma", "sa").alias("mean_a"), F.format_string("%.3f±%.3f", "mb", "sb").alias("mean_b"), "n", "cohens_d", "d_ci_low", "d_ci_high",
-        F.round(_number(dist.t_two_sided, F.col("t"), F.col("n") - 1), 8).alias("t_p"),
-        F.round(_number(lambda w, n, ties, zeros: dist.signed_rank_p(w, int(n), ties, zeros > 0), F.col("w"), F.col("n_nonzero"), F.col("ties"), F.col("zeros")), 8).alias("wilcoxon_p"),
+        "dataset", "hvg", F.concat("g1", F.lit(" vs "), "g2").alias("comparison"), F.round("mean_diff", 6).alias("mean_diff"), F.round("cohens_d", 4).alias("cohens_d"), F.round("d_ci_low", 4).alias("ci_lo"), F.round("d_ci_high", 4).alias("ci_hi"), F.round("t", 4).alias("t_stat"),
+        F.round(_number(dist.t_two_sided, F.col("t"), F.col("n_pairs") - 1), 8).alias("t_p"),
+        F.round(_number(lambda w, n, ties, zeros: dist.signed_rank_p(w, int(n), ties, zeros > 0), F.col("w"), F.col("n_nonzero"), F.col("ties"), F.col("zeros")), 8).alias("wilcoxon_p"), "n_pairs",
     )
-    out = bonferroni(out, "t_p").withColumnRenamed("p_bonf", "t_p_bonf")
-    return false_discovery(out, "t_p").withColumnRenamed("p_fdr", "t_p_fdr")
+    out = bonferroni(out, "t_p").withColumn("t_p_bonf", F.round("p_bonf", 8)).drop("p_bonf")
+    return false_discovery(out, "t_p").select(*out.columns, F.round("p_fdr", 8).alias("t_p_fdr"))
 
 
 def mentioning(table: DataFrame, text: str) -> DataFrame:
     return table.where(F.col("comparison").contains(text))
 
 
-def scale_effect(folds: DataFrame, value: str = "pearson_r", graphs=("string_ppi", "combined"), against: str = "no_graph") -> DataFrame:
-    """dataset, graph, hvg, delta_pearson (of means), cohens_d of the paired folds; both sides need rows."""
+def scale_effect(folds: DataFrame, value: str = "pearson_r", graphs=SCALE_GRAPHS, against: str = "no_graph") -> DataFrame:
+    """dataset, graph, hvg, delta_pearson and cohens_d of the paired folds: both sides are cut to the shorter one; both need rows."""
     pairs = paired(folds, value, pairs=[(g, against) for g in graphs])
-    d = pairs.groupBy("dataset", "hvg", "g1").agg(cohen(F.col("a") - F.col("b")).alias("cohens_d"))
-    means = folds.groupBy("dataset", "hvg", "graph_type").agg(F.avg(value).alias("m"))
-    a = means.select("dataset", "hvg", F.col("graph_type").alias("g1"), F.col("m").alias("ma"))
-    b = means.where(F.col("graph_type") == against).select("dataset", "hvg", F.col("m").alias("mb"))
-    return d.join(a, ["dataset", "hvg", "g1"]).join(b, ["dataset", "hvg"]).select("dataset", F.col("g1").alias("graph"), "hvg", (F.col("ma") - F.col("mb")).alias("delta_pearson"), "cohens_d")
+    delta = (F.avg("a") - F.avg("b")).alias("delta_pearson")
+    each = pairs.groupBy("dataset", F.col("g1").alias("graph"), "hvg").agg(delta, cohen(F.col("a") - F.col("b")).alias("cohens_d"))
+    return each.select("dataset", "graph", "hvg", F.round("delta_pearson", 6).alias("delta_pearson"), F.round("cohens_d", 4).alias("cohens_d"))
+
+
+def medians(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, median) of values that aren't null: the middle one, or the mean of the middle two. Values are counted once each and dealt
+    by ranges, where the middle ranks are looked up, so no group's values meet in a task. NaN is greater than any number; a
+    group without values has no row."""
+    own = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_t"))
+    n = own.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.sum("_t").alias("_n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    ranked = _before(own, "_x", {"_before": F.col("_t")}, *by).join(n, same)
+    holds = lambda rank: F.max(F.when((F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_t")), F.col("_x")))
+    low, high = holds(F.floor((F.col("_n") + 1) / 2)), holds(F.floor(F.col("_n") / 2) + 1)
+    return ranked.groupBy(*by).agg(((low + high) / 2).alias("median"))
 
 
 def anomalies(folds: DataFrame, least: float = ANOMALOUS_MSE) -> DataFrame:
-    """Groups whose mean mse is above ``least``, with its mean, median and maximum."""
-    sums = folds.groupBy("dataset", "hvg", "graph_type").agg(F.avg("mse").alias("mean_mse"), F.median("mse").alias("median_mse"), F.max("mse").alias("max_mse"))
-    return sums.where((F.col("mean_mse") > least) & ~F.isnan("mean_mse"))
+    """Groups whose mean mse is above ``least``, with its mean, median and maximum. Medians are looked up for those groups alone."""
+    by = ["dataset", "hvg", "graph_type"]
+    sums = folds.groupBy(*by).agg(F.avg("mse").alias("mean_mse"), F.max("mse").alias("max_mse"))
+    odd = sums.where((F.col("mean_mse") > least) & ~F.isnan("mean_mse"))
+    middle = medians(folds.join(odd.select(*by), by, "left_semi"), "mse", *by).withColumnRenamed("median", "median_mse")
+    return odd.join(middle, by).select(*by, "mean_mse", "median_mse", "max_mse")
 
 
 def paper_table(folds: DataFrame, value: str = "pearson_r", graphs=GRAPHS) -> DataFrame:

@@ -40,7 +40,7 @@ def fold_table(found: DataFrame, hvg: Column) -> DataFrame:
 
 def write_documents(folds: DataFrame, folder: str) -> None:
     """One line of JSON for each (dataset, graph_type), to a new folder: Spark can't replace what it reads."""
-    documents(folds).write.partitionBy().mode("errorifexists").option("ignoreNullFields", "false").json(folder)
+    documents(folds).write.mode("errorifexists").option("ignoreNullFields", "false").json(folder)
 
 
 def write_table(rows: DataFrame, folder: str) -> None:
@@ -49,6 +49,7 @@ def write_table(rows: DataFrame, folder: str) -> None:
 
 
 def summary(folds: DataFrame) -> DataFrame:
-    """Overall metrics a (dataset, graph_type), rounded as reports show them."""
+    """Overall metrics a (dataset, graph_type), rounded as reports show them: to 4 digits, those of mse to 6."""
     own = overall(folds, "dataset", "graph_type")
-    return own.select("dataset", "graph_type", *[F.round(c, 4).alias(c) for c in own.columns if c.endswith(("_mean", "_std"))], "n_total_folds", "n_seeds")
+    shown = [F.round(c, 6 if c.startswith("mse") else 4).alias(c) for c in own.columns if c.endswith(("_mean", "_std"))]
+    return own.select("dataset", "graph_type", *shown, "n_total_folds", "n_seeds")

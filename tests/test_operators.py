@@ -21,7 +21,7 @@ def table(rows, spark):
     return spark.createDataFrame(rows, FOLD)
 
 
-def row(graph="go", seed=42, condition="A", x=0.5, hvg=200, dataset="d", mse=0.1):
+def row(graph="gene_ontology", seed=42, condition="A", x=0.5, hvg=200, dataset="d", mse=0.1):
     return (dataset, graph, hvg, seed, condition, x, x / 2, mse, 0.3)
 
 
@@ -150,15 +150,70 @@ def test_gaf(spark):
 
 
 def test_pairing_truncates_and_key_pairing_does_not_need_order(spark):
-    own = table([row("go", condition=c, x=i / 10) for i, c in enumerate("ABC")] + [row("no_graph", condition=c, x=0.0) for c in "BA"], spark)
+    own = table([row("gene_ontology", condition=c, x=i / 10) for i, c in enumerate("ABC")] + [row("no_graph", condition=c, x=0.0) for c in "BA"], spark)
     assert stats.paired(own).count() == 2
     assert sorted((r["a"], r["b"]) for r in stats.paired(own, by="key").collect()) == [(0.0, 0.0), (0.1, 0.0)]
 
 
 def test_pairwise_of_equal_sides(spark):
-    own = table([row(g, condition=f"c{i}", x=i / 20) for g in ("go", "no_graph") for i in range(10)], spark)
+    own = table([row(g, condition=f"c{i}", x=i / 20) for g in ("gene_ontology", "no_graph") for i in range(10)], spark)
     r = stats.pairwise(own).first()
-    assert r["comparison"] == "go vs no_graph" and r["cohens_d"] == 0 and r["n"] == 10 and r["t_p"] is None or math.isnan(r["t_p"])
+    assert r["comparison"] == "gene_ontology vs no_graph" and r["cohens_d"] == 0 and r["n_pairs"] == 10 and r["t_p"] is None or math.isnan(r["t_p"])
+
+
+def test_fixed_names():
+    """Comparisons, graphs and labels as result files and reports have them."""
+    assert stats.PAIRS == (("string_ppi", "no_graph"), ("gene_ontology", "no_graph"), ("combined", "no_graph"), ("random", "no_graph"), ("string_ppi", "random"), ("combined", "random"))
+    assert stats.GRAPHS == ("string_ppi", "gene_ontology", "coexpression", "combined", "random", "no_graph") and rollup.SCALES == (200, 500, 1000)
+    assert (stats.ANOVA, stats.KRUSKAL) == ("one-way ANOVA (graph_type)", "Kruskal-Wallis")
+
+
+def test_scale_effect_cuts_the_longer_side(spark):
+    own = table([row("string_ppi", condition=f"c{i}", x=x) for i, x in enumerate([0.5, 0.75, 0.25, 99.0])] + [row("no_graph", condition=f"c{i}", x=x) for i, x in enumerate([0.25, 0.25, 0.25])], spark)
+    got = stats.scale_effect(own).first()
+    d = np.array([0.25, 0.5, 0.0])
+    assert (got["graph"], got["delta_pearson"], got["cohens_d"]) == ("string_ppi", 0.25, round(d.mean() / (d.std() + 1e-10), 4))
+
+
+def test_tests_take_graphs_of_all_three_scales(spark):
+    own = [row(g, hvg=h, dataset=d, condition=f"c{i}", x=i / 10 + k) for d, scales in (("full", (200, 500, 1000)), ("two", (200, 500))) for h in scales for k, g in enumerate(("random", "no_graph")) for i in range(4)]
+    got = stats.group_tests(table(own + [row("combined", dataset="full", hvg=200)], spark)).collect()
+    assert {r["dataset"] for r in got} == {"full"} and {r["n_groups"] for r in got} == {2} and {r["test"] for r in got} == {stats.ANOVA, stats.KRUSKAL}
+    assert all(r["F"] == round(r["F"], 4) and r["p"] == round(r["p"], 6) for r in got) and len(got) == 6
+
+
+def test_pairwise_columns_and_roundings(spark):
+    r = np.random.default_rng(5)
+    x, y = r.normal(0.5, 0.1, 30), r.normal(0.4, 0.1, 25)
+    got = stats.pairwise(table([row(g, condition=f"c{i:02d}", x=float(v)) for g, side in (("random", x), ("no_graph", y)) for i, v in enumerate(side)], spark))
+    assert got.columns == ["dataset", "hvg", "comparison", "mean_diff", "cohens_d", "ci_lo", "ci_hi", "t_stat", "t_p", "wilcoxon_p", "n_pairs", "t_p_bonf", "t_p_fdr"]
+    d, one = x[:25] - y, got.first()
+    assert (one["comparison"], one["n_pairs"], one["mean_diff"], one["cohens_d"]) == ("random vs no_graph", 25, round(d.mean(), 6), round(d.mean() / (d.std() + 1e-10), 4))
+    t = d.mean() / (d.std(ddof=1) / 5)
+    assert one["t_stat"] == round(t, 4) and one["t_p"] == one["t_p_bonf"] == one["t_p_fdr"] == round(dist.t_two_sided(t, 24), 8)
+
+
+@SLOW
+@given(st.lists(st.tuples(st.sampled_from(["a", None]), st.one_of(st.none(), st.integers(-3, 3).map(float))), max_size=30))
+def test_medians(spark, rows):
+    found = {r["g"]: r["median"] for r in stats.medians(spark.createDataFrame(rows, "g string, x double"), "x", "g").collect()}
+    assert found == {g: float(np.median([x for h, x in rows if h == g and x is not None])) for g in {h for h, x in rows if x is not None}}
+
+
+def test_folds_are_numbered_over_ranges(spark):
+    """A cell of many folds, repeated rows among them, pairs like two lists in order."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        r = np.random.default_rng(6)
+        a, b = (sorted((int(s), f"c{c}", float(x)) for s, c, x in zip(r.integers(42, 45, n), r.integers(0, 40, n), r.integers(0, 9, n) / 10, strict=True)) for n in (2000, 1500))
+        own = table([row(g, seed=s, condition=c, x=x) for g, side in (("random", a), ("no_graph", b)) for s, c, x in side], spark)
+        got = stats.paired(own)
+        assert own.repartitionByRange(*rollup.CELL, *stats.ORDER).rdd.getNumPartitions() > 1
+        want = {i: (x[2], y[2]) for i, (x, y) in enumerate(zip(a, b))}  # noqa: B905
+        found = {r["rn"]: (r["a"], r["b"]) for r in got.collect()}
+        assert len(found) == 1500 and sorted(found.values()) == sorted(want.values()) and [found[k] for k in sorted(found)] == [want[k] for k in sorted(want)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def test_corrections(spark):
@@ -175,15 +230,15 @@ def test_bootstrap_draws_do_not_depend_on_blocks():
 
 def test_normality_and_intervals_from_counts_match_whole_samples(spark):
     r = np.random.default_rng(3)
-    samples = {"go": r.normal(0.4, 0.1, 6000), "random": r.integers(0, 5, 40) / 10, "combined": np.full(9, 0.5), "no_graph": r.normal(0.2, 0.2, 6000)}
+    samples = {"gene_ontology": r.normal(0.4, 0.1, 6000), "random": r.integers(0, 5, 40) / 10, "combined": np.full(9, 0.5), "no_graph": r.normal(0.2, 0.2, 6000)}
     own = table([row(g, seed=42 + i % 3, condition=f"c{i:05d}", x=float(x)) for g, v in samples.items() for i, x in enumerate(v)], spark)
     for got in stats.shapiro(own).collect():
         w, p = dist.shapiro_wilk(samples[got["graph_type"]])
         assert (got["W"], got["p"], got["n"]) == (pytest.approx(w, abs=1e-4), pytest.approx(p, abs=1e-6), len(samples[got["graph_type"]]))
     pairs = stats.paired(own).where("g2 = 'no_graph'").cache()
     found = {r["g1"]: r for r in stats.bootstrap(pairs).collect()}
-    assert found.keys() == {"go", "combined"} and stats.bootstrap(pairs).where("g1 = 'go'").first() == found["go"]
-    for g, tolerance in (("go", 0.004), ("combined", 0.1)):
+    assert found.keys() == {"gene_ontology", "combined"} and stats.bootstrap(pairs).where("g1 = 'gene_ontology'").first() == found["gene_ontology"]
+    for g, tolerance in (("gene_ontology", 0.004), ("combined", 0.1)):
         d = np.array([x["a"] - x["b"] for x in pairs.where(F.col("g1") == g).collect()])
         low, high = stats.bootstrap_interval(d, 3000)
         assert (found[g]["d_ci_low"], found[g]["d_ci_high"]) == (pytest.approx(low, abs=tolerance * (1 + abs(low))), pytest.approx(high, abs=tolerance * (1 + abs(high))))
@@ -195,7 +250,7 @@ def test_statistics_pool_all_seeds(spark, small):
 
 
 def test_thresholds_and_empty_tables(spark):
-    own = table([row("go", mse=0.5), row("random", mse=0.6)], spark)
+    own = table([row("gene_ontology", mse=0.5), row("random", mse=0.6)], spark)
     assert [r["graph_type"] for r in stats.anomalies(own).collect()] == ["random"]
     none = table([], spark)
     for f in (stats.anomalies, stats.anova, stats.kruskal, stats.shapiro, stats.paper_table, stats.scale_effect, rollup.both_levels):
@@ -203,7 +258,7 @@ def test_thresholds_and_empty_tables(spark):
     assert stats.shapiro(table([row(condition=f"c{i}", x=i * i / 50) for i in range(7)], spark)).count() == 0
     assert stats.shapiro(table([row(condition=f"c{i}", x=i * i / 50) for i in range(8)], spark)).count() == 1
     shown = stats.paper_table(own).first()
-    assert shown["go"] == "0.500±0.000" and shown["combined"] == "—"
+    assert shown["gene_ontology"] == "0.500±0.000" and shown["combined"] == "—"
 
 
 # planning, propagation, models
