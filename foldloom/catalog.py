@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import stars
 from .operators import folds as lopo
-from .operators import graphs, metrics, models, prepare, propagation, rollup, stats
+from .operators import graphs, metrics, models, prepare, propagation, rollup, sparse, stats
 from .plans import grid
 from .session import new_folder, table
-from .sources import annotations, results
+from .sources import annotations, results, store
 
 GENES = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,6 +277,44 @@ def prp3_prepared(spark, d):
     return rounded(prepare.prepared(own, "vec_id", "embedding", "condition", 20, prepare.most_variable), 5)
 
 
+#: Sparse counts: what of the fixture matrix is at most 0.1 is zero. SQL has all zeros as rows, the queries none.
+COUNTS = """w AS (SELECT vec_id AS cell_id, CASE WHEN label = 0 THEN 'ctrl' ELSE 'P' || label END AS condition, unnest(range(len(embedding)))::INT AS gene_idx, CASE WHEN unnest(embedding)::DOUBLE > 0.1 THEN unnest(embedding)::DOUBLE * 1000 ELSE 0 END AS x FROM embeddings),
+t AS (SELECT cell_id, sum(x) AS s FROM w GROUP BY 1), n AS (SELECT cell_id, condition, gene_idx, ln(1 + x / CASE WHEN s = 0 THEN 1 ELSE s END * 10000) AS x FROM w JOIN t USING (cell_id))"""
+
+
+def counts(spark, d):
+    return sparse.sparse(wide(spark, d).withColumn("embedding", F.transform("embedding", lambda x: F.when(x.cast("double") > 0.1, x.cast("double") * 1000).otherwise(0.0))), "embedding")
+
+
+@query(f"WITH {COUNTS} SELECT cell_id, condition, gene_idx, round(x, 6) AS x FROM w WHERE x <> 0")
+def src1_sparse_matrix(spark, d):
+    return rounded(sparse.nonzeros(counts(spark, d), "vec_id", "indices", "embedding", "condition"))
+
+
+@query(f"WITH {COUNTS} SELECT cell_id, gene_idx, round(x, 6) AS x FROM n WHERE x <> 0")
+def prp1_sparse_log_normalised(spark, d):
+    return rounded(sparse.nonzeros(prepare.log_normalised(counts(spark, d), "embedding"), "vec_id", "indices", "embedding"))
+
+
+@query(f"WITH {COUNTS} SELECT gene_idx, round(avg(x), 6) AS mean_x, round(stddev_pop(x) + 1e-8, 6) AS std_x, round(var_samp(x), 6) AS var_x FROM n GROUP BY 1")
+def agg1_sparse_moments(spark, d):
+    own = counts(spark, d)
+    n_cells, n_genes = sparse.extent(own, "indices", "embedding")
+    return rounded(sparse.moments(sparse.nonzeros(prepare.log_normalised(own, "embedding"), "vec_id", "indices", "embedding"), n_cells, n_genes))
+
+
+@query(f"WITH {COUNTS} SELECT round(max(x), 6) AS max_x, max(x) > 50 AS is_raw FROM w WHERE cell_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 10)")
+def agg13_sparse_raw_detector(spark, d):
+    return rounded(sparse.raw_maximum(counts(spark, d), "vec_id", "indices", "embedding", GENES))
+
+
+@query(f"""WITH {COUNTS}, cells AS (SELECT * FROM n WHERE gene_idx IN (SELECT gene_idx FROM n GROUP BY 1 ORDER BY var_samp(x) DESC, gene_idx LIMIT 20)), {MOMENTS}, {Z}, {PROFILES}
+SELECT condition, gene_idx, round(mean_x, 5) AS mean_x, n_cells FROM profiles""")
+def prp3_sparse_prepared(spark, d):
+    """The whole preparation from sparse counts; SQL takes the dense path."""
+    return rounded(sparse.prepared(counts(spark, d), "vec_id", "indices", "embedding", "condition", 20), 5)
+
+
 @query(f"WITH {CELLS}, {MOMENTS}, {Z}, {PROFILES}, {DELTAS} SELECT condition, gene_idx, round(delta, 6) AS delta FROM deltas")
 def jn5_control_deltas(spark, d):
     return rounded(deltas(spark, d))
@@ -493,6 +531,51 @@ def snk4_summary(spark, d):
     return back.select("dataset", "graph_type", *[F.col(c).cast("double").alias(c) for c in back.columns if c.endswith(("_mean", "_std"))], *[F.col(c).cast("long").alias(c) for c in ("n_total_folds", "n_seeds")])
 
 
+@query(f"""WITH {FOLDS}, both_ AS (SELECT * FROM folds WHERE seed <> 44 UNION ALL SELECT * FROM folds WHERE seed = 44 AND mse > 0.5)
+SELECT hvg, dataset, graph_type, seed, count(*) AS n_folds, count(DISTINCT condition) AS n_conditions, round(avg(pearson_r), 6) AS pearson_mean FROM both_ GROUP BY ALL""")
+def snk1_keyed_store(spark, d):
+    """Folds stored by key, keys of one seed run again with fewer folds, and the manifest that then stands."""
+    folder, own = new_folder(spark, "store"), fold_table(spark, d)
+    store.write(own, folder)
+    store.write(own.where("seed = 44 AND mse > 0.5"), folder)
+    return rounded(store.manifest(spark, folder))
+
+
+@query(f"""WITH {FOLDS} SELECT hvg, dataset, graph_type, seed, round(avg(pearson_r), 6) AS pearson_mean, round(avg(spearman_rho), 6) AS spearman_mean, round(avg(jaccard), 6) AS jaccard_mean, round(avg(mse), 6) AS mse_mean, round(stddev_pop(pearson_r), 6) AS pearson_std,
+  count(*)::INT AS n_folds, count(*) AS n_rows, round(sum(pearson_r), 6) AS total FROM folds GROUP BY ALL""")
+def snk3_key_documents(spark, d):
+    """A JSON document a key, read back, with its folds as rows."""
+    folder = new_folder(spark, "key-documents")
+    store.write_documents(fold_table(spark, d), folder)
+    own = spark.read.schema(store.key_documents(fold_table(spark, d)).schema).json(folder)
+    rows = own.select(*[c for c in own.columns if c != "folds"], F.explode("folds").alias("f"))
+    return rounded(rows.groupBy(*[c for c in own.columns if c != "folds"]).agg(F.count("*").alias("n_rows"), F.sum("f.pearson_r").alias("total")))
+
+
+@query(f"""WITH {FOLDS}, both_ AS (SELECT 0 AS source, * FROM folds WHERE seed < 45 UNION ALL SELECT 1, * FROM folds WHERE seed > 43 AND hvg < 1000 UNION ALL SELECT 2, * FROM folds WHERE seed > 46), r AS ({DEDUPED.format('source,')} both_)
+SELECT * EXCLUDE (rn) FROM r WHERE rn = 1""")
+def jn8_incremental_merge(spark, d):
+    """Three batches that overlap, the second one replayed, merged into the store."""
+    folder, own = new_folder(spark, "merged"), fold_table(spark, d)
+    parts = [own.where("seed < 45"), own.where("seed > 43 AND hvg < 1000"), own.where("seed > 46")]
+    for number in (0, 1, 1, 2):
+        store.merge_batch(parts[number], number, folder)
+    return store.merged(spark, folder).drop("batch")
+
+
+@query()
+def snk5_report_tables(spark, d):
+    """The five statistics tables written as CSV and read back, a row a cell: table, its first columns, column and value."""
+    folder, tables = new_folder(spark, "report"), stats.report_tables(fold_table(spark, d))
+    results.write_report(tables, folder)
+    parts = []
+    for name, rows in tables.items():
+        back, n = spark.read.option("header", True).csv(f"{folder}/{name}.csv"), 2 if name == "paper_summary_table" else 3
+        cell = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in rows.columns[n:]])).alias("e")
+        parts.append(back.select(F.lit(name).alias("table"), F.concat_ws(" ", *rows.columns[:n]).alias("key"), cell).select("table", "key", "e.column", "e.value"))
+    return rollup.concatenated(*parts)
+
+
 # ---------------------------------------------------------------- statistics
 
 PAIRED = """n AS (SELECT *, row_number() OVER (PARTITION BY dataset, graph_type, hvg ORDER BY seed, condition, pearson_r, spearman_rho, mse, jaccard) AS rn FROM folds),

@@ -171,41 +171,65 @@ def bootstrap_interval(diffs: np.ndarray, draws: int = DRAWS, alpha: float = ALP
     return float(np.percentile(d, 100 * alpha / 2)), float(np.percentile(d, 100 * (1 - alpha / 2)))
 
 
-def bootstrap(pairs: DataFrame, draws: int = DRAWS, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """(dataset, hvg, g1, g2, d_ci_low, d_ci_high): percentiles of Cohen's d over resamples.
-
-    A resample of n differences holds multinomial counts of the distinct ones. These are dealt to parts of VALUES; a task draws,
-    for a block of draws and a part, first the counts of all parts, from a generator that all parts of the block share, then those
-    of its own values. So a task holds one part, and its cost grows with distinct values rather than rows. The generators start
-    anew at every call; draws are those of the method, not bit for bit those of :func:`bootstrap_interval`.
+def _paths(parts: DataFrame, *by: str) -> DataFrame:
+    """(by, part, path): from (by, part, c), what a part's way down a binary tree over the parts of its group passes: (level, left, all), the
+    sums of c below the left child and below the node, from the top. A path is as long as the tree is deep."""
+    most = parts.agg(F.max("part")).first()[0] or 0
+    depth = most.bit_length()
+    sums = parts.select(*by, F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"), "part", "c").select(*by, "level", F.expr("shiftright(part, level)").alias("node"), "c").groupBy(*by, "level", "node").agg(F.sum("c").alias("sum"))
+    if not depth:
+        return parts.select(*by, "part", F.expr("cast(array() as array<struct<level: int, left: bigint, all: bigint>>)").alias("path"), F.col("c").alias("n"))
+    steps = parts.select(*by, "part", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("level")).withColumns({"node": F.expr("shiftright(part, level)"), "child": F.expr("shiftright(part, level) * 2"), "below": F.col("level") - 1})
+    all_ = steps.join(sums.withColumnRenamed("sum", "all"), [*by, "level", "node"])
+    both = all_.join(sums.select(*by, F.col("level").alias("below"), F.col("node").alias("child"), F.col("sum").alias("left")), [*by, "below", "child"])
+    step = F.struct((-F.col("level")).alias("level"), "left", "all")
+    found = both.groupBy(*by, "part").agg(F.array_sort(F.collect_list(step)).alias("path"))
+    return found.withColumn("n", F.get("path", F.lit(0))["all"])
+
+
+def bootstrap_sums(pairs: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(dataset, hvg, g1, g2, draw, s, q, mean, n): of each resample of the n differences the sum of their deviations from the mean, and of
+    the deviations' squares.
+
+    A resample holds multinomial counts of the distinct differences. These are dealt to parts of VALUES, and a part's count in a
+    draw comes down a binary tree over the parts: at each node the count is split between its children by a binomial, from a
+    generator that all parts below the node share; then the part splits its own among its values. So a task holds one part and
+    the few nodes above it, and its cost grows with distinct values rather than rows. The generators start anew at every call; draws
+    are those of the method, not bit for bit those of :func:`bootstrap_interval`.
     """
     by = ("dataset", "hvg", "g1", "g2")
-    d = F.coalesce(F.col("a") - F.col("b"), F.lit(float("nan")))
-    own = pairs.select(*by, d.alias("d"))
+    own = pairs.select(*by, F.coalesce(F.col("a") - F.col("b"), F.lit(float("nan"))).alias("d"))
     base = own.groupBy(*by).agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
     values = _before(own.groupBy(*by, "d").agg(F.count("*").alias("c")), "d", {"place": F.lit(1)}, *by).withColumn("part", F.floor(F.col("place") / VALUES).cast("int"))
-    shares = values.groupBy(*by, "part").agg(F.sum("c").alias("c")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "c"))), lambda x: x["c"]).alias("shares"))
+    paths = _paths(values.groupBy(*by, "part").agg(F.sum("c").alias("c")), *by)
     centred = values.join(F.broadcast(base), list(by)).select(*by, "part", "place", (F.col("d") - F.col("mean")).alias("d"), "c")
     parts = centred.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("place", "d", "c"))).alias("v"))
-    cells = parts.join(F.broadcast(shares), list(by)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))))
-    cells = cells.select(*by, "part", "block", "shares", F.col("v.d").alias("d"), F.col("v.c").alias("c"), F.xxhash64(*by).alias("key"))
+    cells = parts.join(paths, [*by, "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))))
+    cells = cells.select(*by, "part", "block", "n", F.transform("path", lambda x: -x["level"]).alias("level"), F.col("path.left").alias("left"), F.col("path.all").alias("all"), F.col("v.d").alias("d"), F.col("v.c").alias("c"), F.xxhash64(*by).alias("key"))
     cells = cells.repartition(*by, "part", "block")
 
     def run(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                size, key = min(DRAW_BLOCK, draws - r.block * DRAW_BLOCK), int(r.key) % 2**63
-                shares, c, x = np.asarray(r.shares, dtype=float), np.asarray(r.c, dtype=float), np.asarray(r.d, dtype=float)
-                among = np.random.default_rng([seed, key, int(r.block)]).multinomial(int(shares.sum()), shares / shares.sum(), size=size)
-                mine = np.random.default_rng([seed, key, int(r.block), int(r.part)]).multinomial(among[:, int(r.part)], c / c.sum())
+                size, start, part = min(DRAW_BLOCK, draws - r.block * DRAW_BLOCK), [seed, int(r.key) % 2**63, int(r.block)], int(r.part)
+                n = np.full(size, int(r.n))
+                for level, left, all_ in zip(r.level, r.left, r.all, strict=True):
+                    went = np.random.default_rng([*start, int(level), part >> int(level)]).binomial(n, left / all_)
+                    n = n - went if part >> (int(level) - 1) & 1 else went
+                c, x = np.asarray(r.c, dtype=float), np.asarray(r.d, dtype=float)
+                mine = np.random.default_rng([*start, 0, part]).multinomial(n, c / c.sum())
                 yield pd.DataFrame({"dataset": r.dataset, "hvg": r.hvg, "g1": r.g1, "g2": r.g2, "draw": r.block * DRAW_BLOCK + np.arange(size), "s": mine @ x, "q": mine @ (x * x)})
 
     drawn = cells.mapInPandas(run, ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by) + ", draw long, s double, q double")
-    sums = drawn.groupBy(*by, "draw").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).join(F.broadcast(base), list(by))
+    return drawn.groupBy(*by, "draw").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).join(F.broadcast(base), list(by))
+
+
+def bootstrap(pairs: DataFrame, draws: int = DRAWS, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """(dataset, hvg, g1, g2, d_ci_low, d_ci_high): percentiles of Cohen's d over resamples; NaN where a difference is null or NaN."""
     mean = F.col("s") / F.col("n")
     cohens = (F.col("mean") + mean) / (F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))) + COHEN_EPSILON)
     cut = lambda at: F.when(F.isnan(F.first("mean")), float("nan")).otherwise(F.percentile(cohens, F.lit(at)))
-    return sums.groupBy(*by).agg(cut(alpha / 2).alias("d_ci_low"), cut(1 - alpha / 2).alias("d_ci_high"))
+    return bootstrap_sums(pairs, draws, seed).groupBy("dataset", "hvg", "g1", "g2").agg(cut(alpha / 2).alias("d_ci_low"), cut(1 - alpha / 2).alias("d_ci_high"))
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
@@ -299,3 +323,8 @@ def paper_table(folds: DataFrame, value: str = "pearson_r", graphs=GRAPHS) -> Da
     grid = folds.select("dataset").distinct().crossJoin(F.broadcast(folds.select("hvg").distinct()))
     cells = folds.groupBy("dataset", "hvg").pivot("graph_type", list(graphs)).agg(mean_and_spread(value))
     return grid.join(cells, ["dataset", "hvg"], "left").na.fill("—", list(graphs))
+
+
+def report_tables(folds: DataFrame) -> dict[str, DataFrame]:
+    """The five tables of a report by their files' names, columns and digits as reports show them."""
+    return {"shapiro_wilk": shapiro(folds).select("dataset", "hvg", "graph_type", "W", "p", "normal", "n"), "anova_results": group_tests(folds), "pairwise_comparisons": pairwise(folds), "hvg_scale_effect": scale_effect(folds), "paper_summary_table": paper_table(folds)}

@@ -48,6 +48,12 @@ def write_table(rows: DataFrame, folder: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
 
 
+def write_report(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table as CSV in a folder of its name, sorted by its first columns."""
+    for name, rows in tables.items():
+        write_table(rows.orderBy(*rows.columns[:3]), f"{folder}/{name}.csv")
+
+
 def summary(folds: DataFrame) -> DataFrame:
     """Overall metrics a (dataset, graph_type), rounded as reports show them: to 4 digits, those of mse to 6."""
     own = overall(folds, "dataset", "graph_type")

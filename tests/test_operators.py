@@ -237,13 +237,30 @@ def test_normality_and_intervals_from_counts_match_whole_samples(spark):
         assert (got["W"], got["p"], got["n"]) == (pytest.approx(w, abs=1e-4), pytest.approx(p, abs=1e-6), len(samples[got["graph_type"]]))
     pairs = stats.paired(own).where("g2 = 'no_graph'").cache()
     found = {r["g1"]: r for r in stats.bootstrap(pairs).collect()}
-    assert found.keys() == {"gene_ontology", "combined"} and stats.bootstrap(pairs).where("g1 = 'gene_ontology'").first() == found["gene_ontology"]
+    assert found.keys() == {"gene_ontology", "combined", "random"} and stats.bootstrap(pairs).where("g1 = 'gene_ontology'").first() == found["gene_ontology"]
     for g, tolerance in (("gene_ontology", 0.004), ("combined", 0.1)):
         d = np.array([x["a"] - x["b"] for x in pairs.where(F.col("g1") == g).collect()])
         low, high = stats.bootstrap_interval(d, 3000)
         assert (found[g]["d_ci_low"], found[g]["d_ci_high"]) == (pytest.approx(low, abs=tolerance * (1 + abs(low))), pytest.approx(high, abs=tolerance * (1 + abs(high))))
 
 
+def test_bootstrap_over_many_parts_has_the_method_s_moments(spark, monkeypatch):
+    """Sums of resamples against closed forms, with parts of three values: deviations sum to 0 with variance n * var, their squares to
+    n * var, whatever part a value is in; and no row carries more than the tree's depth."""
+    monkeypatch.setattr(stats, "VALUES", 3)
+    r = np.random.default_rng(8)
+    d = np.concatenate([r.normal(0.3, 1, 40), np.repeat(r.normal(0, 1, 5), 6)])
+    own = spark.createDataFrame([("d", 200, g, "no_graph", float(v), 0.0) for g, side in (("random", d), ("combined", d[:2])) for v in side], "dataset string, hvg int, g1 string, g2 string, a double, b double")
+    got = stats.bootstrap_sums(own, 4000).where("g1 = 'random'").toPandas()
+    n, var, x = len(d), d.var(), d - d.mean()
+    assert len(got) == got["draw"].nunique() == 4000 and (got["n"] == n).all() and np.allclose(got["mean"], d.mean())
+    assert abs(got["s"].mean()) < 5 * math.sqrt(n * var / 4000) and got["s"].var() == pytest.approx(n * var, rel=0.12)
+    assert got["q"].mean() == pytest.approx(n * var, rel=0.02) and got["q"].var() == pytest.approx(n * (x * x).var(), rel=0.12)
+    parts = spark.createDataFrame([("g", p, 2**p) for p in range(6)], "g string, part int, c long")
+    paths = {r["part"]: ([(-x["level"], x["left"], x["all"]) for x in r["path"]], r["n"]) for r in stats._paths(parts, "g").collect()}
+    assert paths[0] == ([(3, 15, 63), (2, 3, 15), (1, 1, 3)], 63) and paths[5] == ([(3, 15, 63), (2, 48, 48), (1, 16, 48)], 63)
+
+
 def test_statistics_pool_all_seeds(spark, small):
     cells = {(r["dataset"], r["hvg"], r["graph_type"]): r["count"] for r in catalog.fold_table(spark, small).groupBy("dataset", "hvg", "graph_type").count().collect()}
     assert {(r["dataset"], r["hvg"], r["graph_type"]): r["n"] for r in catalog.st5_normality(spark, small).collect()} == {k: n for k, n in cells.items() if n >= 8}
