@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import stars
 from .operators import folds as lopo
-from .operators import graphs, metrics, models, prepare, propagation, rollup, sparse, stats
+from .operators import graphs, inference, metrics, models, prepare, propagation, rollup, sparse, stats
 from .plans import grid
 from .session import new_folder, table
 from .sources import annotations, results, store
@@ -789,6 +790,44 @@ def ml1_ml2_masked_projection(spark, d):
     return rounded(propagation.projected(propagation.masked(features(spark, d), doses), weights)).select("node", "k", F.when(F.col("x") == 0, 0.0).otherwise(F.col("x")).alias("x"))
 
 
+HIDDEN = 3
+
+
+def given_model(layers: int = 2) -> inference.Model:
+    """Weights by a rule, so that SQL can state them too."""
+    k = np.arange(HIDDEN)
+    w = lambda i: np.sin(1.0 + k[:, None] * 2 + k * 3 + i)
+    norm = lambda i: inference.Norm(k / 10 + i / 10, 1.0 + k, 1 + k / 4, k / 5 - 0.1)
+    return inference.Model(inference.Linear((k[None, :] + 1) / 2, k / 3), 1 + k / 2, k / 4 - 0.2, inference.Linear(w(9), k / 7), [(inference.Linear(w(i), k / 5), norm(i)) for i in range(layers)], inference.Linear((1.0 - k)[:, None], np.array([0.5])))
+
+
+def _forward_sql(layers: int = 2) -> str:
+    h, elu, lin = range(HIDDEN), "CASE WHEN {0} > 0 THEN {0} ELSE exp({0}) - 1 END".format, lambda i, j, v: " + ".join(f"{v}{k} * sin({1.0 + k * 2 + j * 3 + i})" for k in range(HIDDEN))
+    mean = "((" + " + ".join(f"h{j}" for j in h) + f") / {HIDDEN})"
+    var = "((" + " + ".join(f"power(h{j} - {mean}, 2)" for j in h) + f") / {HIDDEN})"
+    steps = [
+        "deg AS (SELECT dst, count(*) AS d FROM ring GROUP BY 1)", "al AS (SELECT src, ring.dst, 1 / sqrt(a.d * b.d) AS alpha FROM ring JOIN deg a ON a.dst = ring.src JOIN deg b ON b.dst = ring.dst)",
+        f"h AS (SELECT gene_idx AS node, {', '.join(f'mean_x * {(j + 1) / 2} + {j}/3.0::DOUBLE AS h{j}' for j in h)} FROM profiles WHERE condition = 'ctrl')",
+        f"n AS (SELECT node, {', '.join(f'(h{j} - {mean}) / sqrt({var} + 1e-5) * {1 + j / 2} + {j / 4 - 0.2} AS h{j}' for j in h)} FROM h)",
+        f"x0 AS (SELECT node, {', '.join(f'CASE WHEN node % 5 = 0 THEN 0 WHEN node % 5 = 1 THEN 0.5 ELSE 1 END * ({elu(f'h{j}')}) AS v{j}' for j in h)} FROM n)",
+    ]
+    for i in range(layers):
+        steps.append(f"s{i} AS (SELECT dst AS node, {', '.join(f'sum(alpha * v{j}) AS v{j}' for j in h)} FROM al JOIN x{i} ON node = src GROUP BY 1)")
+        steps.append(f"b{i} AS (SELECT node, {', '.join(f'({lin(i, j, "v")} + {j / 5} - {j / 10 + i / 10}) / sqrt({1.0 + j} + 1e-5) * {1 + j / 4} + {j / 5 - 0.1} AS v{j}' for j in h)} FROM s{i})")
+        own = [f"(b{i}.v{j} + {lin(9, j, 'x0.v')} + {j}/7.0::DOUBLE)" if i == layers - 1 else f"b{i}.v{j}" for j in h]
+        steps.append(f"x{i + 1} AS (SELECT node, {', '.join(f'{elu(own[j])} AS v{j}' for j in h)} FROM b{i} JOIN x0 USING (node))")
+    return f"WITH {CELLS}, {MOMENTS}, {Z}, {PROFILES}, {RING}, {', '.join(steps)} SELECT node, round({' + '.join(f'v{j} * {1 - j}' for j in h)} + 0.5, 6) AS y FROM x{layers}"
+
+
+@query(_forward_sql())
+def ml4_ml6_ml9_forward(spark, d):
+    """Two layers of given weights over masked features, with residual and head."""
+    node = F.col("node")
+    doses = graphs.nodes(spark, GENES).where(node % 5 < 2).select("node", F.when(node % 5 == 0, 0.0).otherwise(0.5).alias("dose"))
+    own = inference.embedded(features(spark, d), given_model(), doses)
+    return rounded(inference.predicted(own, inference.bucketed(ring(spark)), given_model()))
+
+
 def lopo_run(spark, d, estimator, graph="no_graph", edges=None, folds=50):
     """Folds of the fixture matrix, one model a fold, then the metrics."""
     own = prepare.conditions(labels(spark, d), "ctrl").select("condition", "cond_ord")
