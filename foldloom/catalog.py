@@ -262,7 +262,25 @@ def top2_most_variable(spark, d):
     return rounded(prepare.most_variable(cells(spark, d), 20))
 
 
-@query()
+#: Variable genes by a smooth of log variance on log mean: 33 vertices at even ranks, each with the nearest 0.3 of all genes under tricube
+#: weights, found by plain ranks of distances; a cubic between vertices. {0} has (gene_idx, x) of all cells.
+STANDARDISED = """m AS (SELECT gene_idx, avg(x) AS mean_x, var_samp(x) AS var_x, count(*) AS n FROM {0} GROUP BY 1),
+p AS (SELECT gene_idx, log10(mean_x) AS x, log10(var_x) AS y, row_number() OVER (ORDER BY log10(mean_x), gene_idx) - 1 AS i FROM m WHERE var_x > 0 AND mean_x > 0),
+q AS (SELECT count(*) AS n, greatest(3, floor(count(*) * 0.3 + 1e-5)) AS k FROM p),
+v AS (SELECT DISTINCT x AS v FROM p WHERE i IN (SELECT j * (n - 1) // 32 FROM q, range(33) t(j))),
+h AS (SELECT v, d * 1.000001 AS h FROM (SELECT v, abs(x - v) AS d, row_number() OVER (PARTITION BY v ORDER BY abs(x - v)) AS r FROM v, p) z, q WHERE r = k),
+near AS (SELECT v, h, y, (x - v) / h AS u, pow(1 - pow(abs(x - v) / h, 3), 3) AS w FROM h, p WHERE abs(x - v) < h),
+s AS (SELECT v, h, sum(w) AS a, sum(w * u) AS b, sum(w * u * u) AS c, sum(w * u ** 3) AS d, sum(w * u ** 4) AS e, sum(w * y) AS f, sum(w * u * y) AS g, sum(w * u * u * y) AS k FROM near GROUP BY 1, 2),
+f AS (SELECT v, (f * (c * e - d * d) - b * (g * e - d * k) + c * (g * d - c * k)) / t AS f0, (a * (g * e - d * k) - f * (b * e - c * d) + c * (b * k - c * g)) / t / h AS g0
+  FROM (SELECT *, a * (c * e - d * d) - b * (b * e - c * d) + c * (b * d - c * c) AS t FROM s)),
+c AS (SELECT v AS lo, f0, g0, lead(v) OVER l AS hi, lead(f0) OVER l AS f1, lead(g0) OVER l AS g1 FROM f WINDOW l AS (ORDER BY v)),
+e AS (SELECT gene_idx, pow(10, ((1 - t) ** 2 * ((1 + 2 * t) * f0 + t * (hi - lo) * g0) + t * t * ((3 - 2 * t) * f1 - (1 - t) * (hi - lo) * g1)) / 2) AS spread
+  FROM (SELECT p.gene_idx, c.*, (p.x - lo) / (hi - lo) AS t FROM p JOIN c ON p.x >= lo AND (p.x < hi OR p.x = hi AND hi = (SELECT max(v) FROM v)))),
+scores AS (SELECT gene_idx, coalesce(sum((least(x, mean_x + sqrt(n) * spread) - mean_x) ** 2) / ((max(n) - 1) * max(spread) ** 2), 0) AS score FROM {0} JOIN m USING (gene_idx) LEFT JOIN e USING (gene_idx) GROUP BY 1)
+SELECT gene_idx, round(score, 4) AS score, (row_number() OVER (ORDER BY score DESC, gene_idx))::INT AS rank FROM scores QUALIFY rank <= 20"""
+
+
+@query(f"WITH {CELLS}, a AS (SELECT gene_idx, abs(x) AS x FROM cells), {STANDARDISED.format('a')}")
 def hvg1_standardised(spark, d):
     return rounded(prepare.most_variable_standardised(cells(spark, d).withColumn("x", F.abs("x")), 20), 4)
 
@@ -309,6 +327,14 @@ def agg13_sparse_raw_detector(spark, d):
     return rounded(sparse.raw_maximum(counts(spark, d), "vec_id", "indices", "embedding", GENES))
 
 
+@query(f"WITH {COUNTS}, {STANDARDISED.format('n')}")
+def hvg1_sparse_standardised(spark, d):
+    """Variable genes from sparse counts, logged; SQL takes the dense path."""
+    own = prepare.log_normalised(counts(spark, d), "embedding")
+    n_cells, n_genes = sparse.extent(own, "indices", "embedding")
+    return rounded(sparse.most_variable_standardised(sparse.nonzeros(own, "vec_id", "indices", "embedding"), n_cells, n_genes, 20), 4)
+
+
 @query(f"""WITH {COUNTS}, cells AS (SELECT * FROM n WHERE gene_idx IN (SELECT gene_idx FROM n GROUP BY 1 ORDER BY var_samp(x) DESC, gene_idx LIMIT 20)), {MOMENTS}, {Z}, {PROFILES}
 SELECT condition, gene_idx, round(mean_x, 5) AS mean_x, n_cells FROM profiles""")
 def prp3_sparse_prepared(spark, d):

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .smooth import SPAN, local_quadratic
+
 #: Names tried for the label column, and labels tried for the control.
 LABEL_COLUMNS = ("gene", "condition", "perturbation", "guide_ids", "perturbations")
 CONTROL_LABELS = ("ctrl", "control", "non-targeting", "NT", "")
@@ -94,45 +94,28 @@ def most_variable(cells: DataFrame, n: int) -> DataFrame:
 
 
 def ranked(scores: DataFrame, n: int) -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "gene_idx"))).where(F.col("rank") <= n)
+    """The ``n`` greatest scores and their ranks: each task keeps its own ``n``, so the window sees no more than ``n`` rows."""
+    best = scores.orderBy(F.desc("score"), "gene_idx").limit(n)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "gene_idx")))
 
 
-def _smooth(x, y, span: float):
-    """Local quadratic regression with tricube weights, at each x."""
-    k = max(3, int(np.ceil(span * len(x))))
-    out = np.empty(len(x))
-    for i, x0 in enumerate(x):
-        d = np.abs(x - x0)
-        near = np.argsort(d, kind="stable")[:k]
-        h = d[near].max() or 1.0
-        w = np.sqrt((1 - (d[near] / (h * 1.000001)) ** 3) ** 3)
-        a = np.stack([np.ones(len(near)), x[near] - x0, (x[near] - x0) ** 2], axis=1)
-        out[i] = np.linalg.lstsq(a * w[:, None], y[near] * w, rcond=None)[0][0]
-    return out
+def expected_spread(moments: DataFrame, span: float = SPAN) -> DataFrame:
+    """(gene_idx, mean_x, n, spread, most) from ``moments`` (gene_idx, mean_x, var_x, n): the deviation that a smooth of log variance on log
+    mean expects, and the value beyond which counts are clipped. Genes that don't vary, or of a mean of zero or less, have none."""
+    usable = moments.where("var_x > 0 and mean_x > 0").select("gene_idx", "mean_x", F.col("n").cast("double").alias("n"), F.log10("mean_x").alias("log_mean"), F.log10("var_x").alias("log_var"))
+    fitted = local_quadratic(usable, "log_mean", "log_var", "gene_idx", span)
+    spread = F.pow(F.lit(10.0), F.col("fitted") / 2)
+    return fitted.select("gene_idx", "mean_x", "n", spread.alias("spread"), (F.col("mean_x") + F.sqrt("n") * spread).alias("most"))
 
 
-def most_variable_standardised(cells: DataFrame, n: int, span: float = 0.3) -> DataFrame:
+def most_variable_standardised(cells: DataFrame, n: int, span: float = SPAN) -> DataFrame:
     """(gene_idx, score, rank): variance of values standardised by the spread that a smooth of log variance on log mean
-    expects, and clipped at sqrt(cells). Two aggregates over cells; the smooth sees one row a gene."""
+    expects, and clipped at sqrt(cells); genes without such a spread score 0. Two aggregates over cells; see :func:`expected_spread`."""
     moments = cells.groupBy("gene_idx").agg(F.avg("x").alias("mean_x"), F.var_samp("x").alias("var_x"), F.count("*").alias("n"))
-
-    def expected(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("gene_idx")
-        ok = (group["var_x"] > 0) & (group["mean_x"] > 0)
-        spread = np.zeros(len(group))
-        if ok.sum() >= 4:
-            x, y = np.log10(group["mean_x"][ok].to_numpy()), np.log10(group["var_x"][ok].to_numpy())
-            spread[ok.to_numpy()] = np.sqrt(10 ** _smooth(x, y, span))
-        else:
-            spread = np.sqrt(group["var_x"].to_numpy())
-        return group.assign(spread=spread)[["gene_idx", "mean_x", "spread"]]
-
-    fitted = moments.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(expected, "gene_idx int, mean_x double, spread double")
-    count = cells.select("cell_id").distinct().agg(F.count("*").alias("n_cells"))
-    most = F.col("mean_x") + F.sqrt("n_cells") * F.col("spread")
-    clipped = cells.join(F.broadcast(fitted), "gene_idx").join(F.broadcast(count)).withColumn("c", F.least("x", most) - F.col("mean_x"))
-    scores = clipped.groupBy("gene_idx").agg(F.coalesce(F.try_divide(F.sum(F.col("c") * F.col("c")), (F.max("n_cells") - 1) * F.max("spread") * F.max("spread")), F.lit(0.0)).alias("score"))
-    return ranked(scores, n)
+    c = F.least("x", "most") - F.col("mean_x")
+    clipped = cells.join(F.broadcast(expected_spread(moments, span)), "gene_idx", "left")  # a row a gene
+    squares = F.try_divide(F.sum(c * c), (F.max("n") - 1) * F.max("spread") * F.max("spread"))
+    return ranked(clipped.groupBy("gene_idx").agg(F.coalesce(squares, F.lit(0.0)).alias("score")), n)
 
 
 def selected(cells: DataFrame, genes: DataFrame) -> DataFrame:
@@ -140,8 +123,6 @@ def selected(cells: DataFrame, genes: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(genes.select("gene_idx")), "gene_idx", "left_semi")
 
 
-
-
 def prepared(wide: DataFrame, cell: str, values: str, label: str, n_genes: int, choose: Callable[[DataFrame, int], DataFrame] = most_variable_standardised) -> DataFrame:
     """Profiles (condition, gene_idx, mean_x, n_cells) of a matrix at rest, one row a cell: the first cells tell whether it holds raw
     counts, which are then scaled and logged; the ``n_genes`` most variable genes are kept and standardised, and conditions

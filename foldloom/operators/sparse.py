@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prepare import LEAST_CELLS, RAW_ABOVE, RAW_CELLS, STD_EPSILON, log_normalised, ranked
+from .prepare import LEAST_CELLS, RAW_ABOVE, RAW_CELLS, STD_EPSILON, expected_spread, log_normalised, ranked
+from .smooth import SPAN
 
 
 def sparse(wide: DataFrame, values: str) -> DataFrame:
@@ -65,6 +66,18 @@ def most_variable(rows: DataFrame, n_cells: int, n_genes: int, n: int) -> DataFr
     return ranked(moments(rows, n_cells, n_genes).select("gene_idx", F.col("var_x").alias("score")), n)
 
 
+def most_variable_standardised(rows: DataFrame, n_cells: int, n_genes: int, n: int, span: float = SPAN) -> DataFrame:
+    """(gene_idx, score, rank), as :func:`~foldloom.operators.prepare.most_variable_standardised` has them from dense cells. A zero is never
+    clipped, so zeros add their number times the squared mean."""
+    own = moments(rows, n_cells, n_genes)
+    fitted = F.broadcast(expected_spread(own.select("gene_idx", "mean_x", "var_x", F.lit(n_cells).alias("n")), span))  # a row a gene
+    c = F.least("x", "most") - F.col("mean_x")
+    sums = rows.join(fitted, "gene_idx").groupBy("gene_idx").agg(F.sum(c * c).alias("s"), F.count("*").alias("k"))
+    squares = F.col("s") + (n_cells - F.col("k")) * F.col("mean_x") * F.col("mean_x")
+    scored = sums.join(fitted, "gene_idx").select("gene_idx", F.try_divide(squares, (F.col("n") - 1) * F.col("spread") * F.col("spread")).alias("score"))
+    return ranked(own.select("gene_idx").join(scored, "gene_idx", "left").na.fill(0.0, ["score"]), n)
+
+
 def profiles(rows: DataFrame, sizes: DataFrame, of_genes: DataFrame, least: int = LEAST_CELLS) -> DataFrame:
     """(condition, gene_idx, mean_x, n_cells): mean z-scores of conditions with ``least`` cells or more. ``sizes``: (condition, n_cells), cells
     without a value among them; ``of_genes``: (gene_idx, mean_x, std_x). The mean of z-scores is the z-score of the mean, so sums of
@@ -75,14 +88,14 @@ def profiles(rows: DataFrame, sizes: DataFrame, of_genes: DataFrame, least: int
     return grid.join(sums, ["condition", "gene_idx"], "left").select("condition", "gene_idx", z.alias("mean_x"), "n_cells")
 
 
-def prepared(wide: DataFrame, cell: str, indices: str, values: str, label: str, n_top: int, n_genes: int | None = None) -> DataFrame:
+def prepared(wide: DataFrame, cell: str, indices: str, values: str, label: str, n_top: int, n_genes: int | None = None, choose=most_variable) -> DataFrame:
     """Profiles (condition, gene_idx, mean_x, n_cells) from sparse cells, as :func:`~foldloom.operators.prepare.prepared` has them from dense
-    ones by greatest variance. ``n_genes``: positions of a cell; by default as many as any cell names."""
+    ones; ``choose`` is :func:`most_variable` or :func:`most_variable_standardised`. ``n_genes``: positions of a cell; by default as many as any cell names."""
     n_cells, seen = extent(wide, indices, values)
     n_genes = seen if n_genes is None else n_genes
     own = whole(wide, indices, values)
     raw = raw_maximum(own, cell, indices, values, n_genes).first()["is_raw"]
     rows = nonzeros(log_normalised(own, values) if raw else own, cell, indices, values, F.col(label).alias("condition"))
-    of_genes = moments(rows, n_cells, n_genes)
-    top = ranked(of_genes.withColumnRenamed("var_x", "score"), n_top).select("gene_idx", "mean_x", "std_x")
+    best = choose(rows, n_cells, n_genes, n_top).select("gene_idx")
+    top = moments(rows, n_cells, n_genes).join(F.broadcast(best), "gene_idx", "left_semi").select("gene_idx", "mean_x", "std_x")
     return profiles(rows, own.groupBy(F.col(label).alias("condition")).agg(F.count("*").alias("n_cells")), top)

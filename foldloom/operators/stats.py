@@ -38,7 +38,7 @@ def _number(f, *columns: Column) -> Column:
     return run(*[c.cast("double") for c in columns])
 
 
-def _before(counts: DataFrame, value: str | tuple[str, ...], weights: dict[str, Column], *by: str) -> DataFrame:
+def sums_before(counts: DataFrame, value: str | tuple[str, ...], weights: dict[str, Column], *by: str) -> DataFrame:
     """``counts`` with the sums of ``weights`` over the rows of its group (``by``) before it in the order of ``value``; rows that agree in
     all of it come in any order. Rows are dealt by ranges and summed up there; what earlier ranges hold is a row a range and
     group, so no group is one task's."""
@@ -66,7 +66,7 @@ def paired(folds: DataFrame, value: str = "pearson_r", by: str = "position", pai
     wanted = F.broadcast(folds.sparkSession.range(1).select(names).select("p.g1", "p.g2"))
     if by == "position":
         asked = folds.where(F.col("graph_type").isin(sorted({g for p in pairs for g in p})))
-        numbered = _before(asked, ORDER, {"rn": F.lit(1)}, *CELL)
+        numbered = sums_before(asked, ORDER, {"rn": F.lit(1)}, *CELL)
         on = ["dataset", "hvg", "rn"]
     else:
         numbered = folds.withColumn("rn", F.lit(0))
@@ -93,7 +93,7 @@ def shapiro(folds: DataFrame, value: str = "pearson_r") -> DataFrame:
     by = ("dataset", "hvg", "graph_type")
     own = folds.select(*by, F.coalesce(F.col(value), F.lit(float("nan"))).alias("x"))
     groups = own.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("squares")).where(F.col("n") >= LEAST_NORMAL)
-    steps = _before(own.groupBy(*by, "x").agg(F.count("*").alias("t")), "x", {"before": F.col("t")}, *by).join(F.broadcast(groups), list(by))
+    steps = sums_before(own.groupBy(*by, "x").agg(F.count("*").alias("t")), "x", {"before": F.col("t")}, *by).join(F.broadcast(groups), list(by))
     blocks = steps.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1, F.lit(RANKS).cast("long"))))
 
     @F.pandas_udf("m double, mm double")
@@ -138,7 +138,7 @@ def kruskal(folds: DataFrame, value: str = "pearson_r") -> DataFrame:
     """(dataset, hvg, statistic, d1, n_groups): H with its correction for ties. Ranks come from counts of distinct values, dealt
     by ranges, so neither a value nor a group is one task's."""
     own = _scaled(folds)
-    values = _before(own.groupBy("dataset", "hvg", value).agg(F.count("*").alias("t")), value, {"before": F.col("t")}, "dataset", "hvg")
+    values = sums_before(own.groupBy("dataset", "hvg", value).agg(F.count("*").alias("t")), value, {"before": F.col("t")}, "dataset", "hvg")
     ranks = values.withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     ties = ranks.groupBy("dataset", "hvg").agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"), F.sum("t").alias("n"))
     counts = own.groupBy("dataset", "hvg", "graph_type", value).agg(F.count("*").alias("c"))
@@ -200,7 +200,7 @@ def bootstrap_sums(pairs: DataFrame, draws: int = DRAWS, seed: int = SEED) -> Da
     by = ("dataset", "hvg", "g1", "g2")
     own = pairs.select(*by, F.coalesce(F.col("a") - F.col("b"), F.lit(float("nan"))).alias("d"))
     base = own.groupBy(*by).agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
-    values = _before(own.groupBy(*by, "d").agg(F.count("*").alias("c")), "d", {"place": F.lit(1)}, *by).withColumn("part", F.floor(F.col("place") / VALUES).cast("int"))
+    values = sums_before(own.groupBy(*by, "d").agg(F.count("*").alias("c")), "d", {"place": F.lit(1)}, *by).withColumn("part", F.floor(F.col("place") / VALUES).cast("int"))
     paths = _paths(values.groupBy(*by, "part").agg(F.sum("c").alias("c")), *by)
     centred = values.join(F.broadcast(base), list(by)).select(*by, "part", "place", (F.col("d") - F.col("mean")).alias("d"), "c")
     parts = centred.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("place", "d", "c"))).alias("v"))
@@ -238,7 +238,7 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     d = pairs.select(*by, (F.col("a") - F.col("b")).alias("d"))
     size = F.abs("d")
     steps = d.where("d <> 0").groupBy(*by, size.alias("m")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count("*").alias("t"))
-    ranked = _before(steps, "m", {"before": F.col("t")}, *by).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
+    ranked = sums_before(steps, "m", {"before": F.col("t")}, *by).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum("t").alias("n_nonzero"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
     zeros = d.groupBy(*by).agg(F.count_if(F.col("d") == 0).alias("zeros"))
     n = F.coalesce("n_nonzero", F.lit(0))
@@ -255,7 +255,7 @@ def bonferroni(rows: DataFrame, p: str = "p") -> DataFrame:
 def false_discovery(rows: DataFrame, p: str = "p", step_up: bool = False) -> DataFrame:
     """p_fdr: p * m / average rank, at most 1; with ``step_up`` made monotone. Ranks come from the distinct p-values,
     dealt by ranges."""
-    steps = _before(rows.groupBy(p).agg(F.count("*").alias("_t")), p, {"_up": F.col("_t")})
+    steps = sums_before(rows.groupBy(p).agg(F.count("*").alias("_t")), p, {"_up": F.col("_t")})
     up = F.col("_up") + F.col("_t")
     m = F.broadcast(rows.agg(F.count("*").alias("_m")))
     ranked = steps.crossJoin(m).withColumn("p_fdr", F.least(F.col(p) * F.col("_m") / (up if step_up else up - F.col("_t") + (F.col("_t") + 1) / 2), F.lit(1.0)))
@@ -303,7 +303,7 @@ def medians(rows: DataFrame, value: str, *by: str) -> DataFrame:
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    ranked = _before(own, "_x", {"_before": F.col("_t")}, *by).join(n, same)
+    ranked = sums_before(own, "_x", {"_before": F.col("_t")}, *by).join(n, same)
     holds = lambda rank: F.max(F.when((F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_t")), F.col("_x")))
     low, high = holds(F.floor((F.col("_n") + 1) / 2)), holds(F.floor(F.col("_n") / 2) + 1)
     return ranked.groupBy(*by).agg(((low + high) / 2).alias("median"))
