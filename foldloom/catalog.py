@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import stars
 from .operators import folds as lopo
-from .operators import graphs, inference, metrics, models, prepare, propagation, rollup, sparse, stats
-from .plans import grid
+from .operators import graphs, inference, metrics, models, postings, prepare, propagation, rollup, sparse, stats
+from .plans import grid, runs
 from .session import new_folder, table
 from .sources import annotations, results, store
 
@@ -504,6 +504,23 @@ def agg9_term_genes(spark, d):
     return own.select("term", F.size("g").cast("long").alias("n_genes"), F.array_join(F.transform("g", lambda x: x.cast("string")), ",").alias("genes"))
 
 
+#: Short, so that the tables have terms of several blocks.
+POSTING = 64
+
+
+@query(f"""WITH {ANNOTATIONS}, t AS (SELECT term, count(*) AS total FROM ann GROUP BY 1)
+SELECT term, CASE WHEN total <= {POSTING} THEN 0 ELSE node // {POSTING} END::BIGINT AS block, total::BIGINT AS total, string_agg(node::VARCHAR, ',' ORDER BY node) AS genes FROM ann JOIN t USING (term) GROUP BY 1, 2, 3""")
+def agg9_term_blocks(spark, d):
+    own = postings.blocks(annotated(spark, d), POSTING)
+    return own.select("term", "block", "total", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("genes"))
+
+
+@query(f"WITH {SHARED} SELECT src, dst FROM shared WHERE src < dst")
+def jn2_term_block_pairs(spark, d):
+    """Terms of up to 100 nodes over blocks of 64: some lists are one block, some meet across blocks."""
+    return postings.pairs(postings.blocks(annotated(spark, d), POSTING), graphs.BROADEST_TERM, POSTING)
+
+
 DEDUPED = "SELECT dataset, graph_type, hvg, seed, condition, pearson_r, spearman_rho, mse, jaccard, row_number() OVER (PARTITION BY dataset, graph_type, hvg, seed, condition ORDER BY {} pearson_r, spearman_rho, mse, jaccard) AS rn FROM"
 
 
@@ -854,6 +871,48 @@ def ml4_ml6_ml9_forward(spark, d):
     return rounded(inference.predicted(own, inference.bucketed(ring(spark)), given_model()))
 
 
+def _run_sql(scale: int, graph: str) -> str:
+    """The folds of one (scale, graph), each step in plain SQL over all cells."""
+    edges = {
+        "coexpression": "SELECT a AS src, b AS dst FROM co WHERE abs(r) > 0.02 UNION SELECT b, a FROM co WHERE abs(r) > 0.02 UNION SELECT pos, pos FROM chosen",
+        "combined": "SELECT a.pos AS src, b.pos AS dst FROM chosen a, chosen b WHERE b.gene_idx - a.gene_idx IN (-1, 0, 1)",
+    }
+    steps = f"""w0 AS (SELECT vec_id AS cell_id, CASE WHEN label = 0 THEN 'ctrl' ELSE 'P' || label END AS condition, unnest(range(len(embedding)))::INT AS gene_idx, unnest(embedding)::DOUBLE AS x FROM embeddings),
+chosen AS (SELECT gene_idx, row_number() OVER (ORDER BY gene_idx) - 1 AS pos FROM (SELECT gene_idx FROM w0 GROUP BY 1 ORDER BY var_samp(x) DESC, gene_idx LIMIT {scale})),
+cells AS (SELECT cell_id, condition, pos AS gene_idx, x FROM w0 JOIN chosen USING (gene_idx)), {MOMENTS}, {Z}, {PROFILES}, {DELTAS},
+pairs0 AS (SELECT condition, gene_idx, delta AS t, (sum(delta) OVER w - delta) / (count(*) OVER w - 1) AS p FROM deltas WINDOW w AS (PARTITION BY gene_idx))"""
+    if graph == "no_graph":
+        steps += ", pairs AS (SELECT * FROM pairs0)"
+    else:
+        if graph == "coexpression":
+            steps += ", co AS (SELECT a.gene_idx AS a, b.gene_idx AS b, corr(a.x, b.x) AS r FROM cells a JOIN cells b ON a.cell_id = b.cell_id AND a.gene_idx < b.gene_idx GROUP BY 1, 2)"
+        steps += f""", edges AS ({edges[graph]}), deg AS (SELECT dst, count(*) AS d FROM edges GROUP BY 1),
+sent AS (SELECT condition, edges.dst AS gene_idx, sum(p / sqrt(a.d * b.d)) AS p FROM pairs0 JOIN edges ON src = gene_idx JOIN deg a ON a.dst = edges.dst JOIN deg b ON b.dst = edges.src GROUP BY 1, 2),
+pairs AS (SELECT condition, gene_idx, t, coalesce(sent.p, 0) AS p FROM pairs0 LEFT JOIN sent USING (condition, gene_idx))"""
+    ranked = PREDICTED[PREDICTED.index("ranked AS"):]
+    return f"""(WITH {steps}, {ranked}, held AS (SELECT condition FROM (SELECT 'P' || label AS condition, min(vec_id) AS f FROM embeddings WHERE label <> 0 GROUP BY 1 HAVING count(*) >= 2) ORDER BY f LIMIT 50)
+SELECT '{graph}' AS graph_type, {scale} AS hvg, condition, round(CASE WHEN stddev_pop(t) > 1e-8 AND stddev_pop(p) > 1e-8 THEN covar_pop(t, p) / (stddev_pop(t) * stddev_pop(p)) ELSE 0 END, 5) AS pearson_r,
+round(CASE WHEN stddev_pop(t) > 1e-8 AND stddev_pop(p) > 1e-8 THEN covar_pop(rt, rp) / (stddev_pop(rt) * stddev_pop(rp)) ELSE 0 END, 5) AS spearman_rho, round(avg((t - p) * (t - p)), 5) AS mse,
+round(count(*) FILTER (kt AND kp) / count(*) FILTER (kt OR kp)::DOUBLE, 5) AS jaccard FROM ranked WHERE condition IN (SELECT condition FROM held) GROUP BY 3)"""
+
+
+def neighbours(small, chosen):
+    """Features whose numbers in the whole matrix differ by 1 or less."""
+    at = runs.positions(small.sparkSession, chosen)
+    near = at.select(F.explode(F.array(F.col("node") - 1, "node", F.col("node") + 1)).alias("node"), F.col("position").alias("src"))
+    return near.join(at, "node").select("src", F.col("position").alias("dst"))
+
+
+@query("SELECT 'embeddings' AS dataset, seed::INT AS seed, r.* FROM (" + " UNION ALL ".join(_run_sql(s, g) for s in (24, 48) for g in ("no_graph", "coexpression", "combined")) + ") r, (SELECT unnest([42, 43]) AS seed) s")
+def run_configured(spark, d):
+    """Two scales, two seeds and four graphs of the fixture matrix, run into a store and read back; one graph has no edges and is skipped."""
+    built = {"coexpression": lambda own, g: graphs.coexpression(own, "embedding", len(g), 0.02), "combined": neighbours, "string_ppi": lambda own, g: graphs.with_loops(graphs.empty(spark), len(g))}
+    folder = new_folder(spark, "run")
+    own = runs.Dataset(wide(spark, d), "vec_id", "embedding", "condition", built)
+    runs.run({"embeddings": own}, (24, 48), ("no_graph", "coexpression", "combined", "string_ppi"), (42, 43), folder, choose=prepare.most_variable)
+    return rounded(store.read(spark, folder), 5)
+
+
 def lopo_run(spark, d, estimator, graph="no_graph", edges=None, folds=50):
     """Folds of the fixture matrix, one model a fold, then the metrics."""
     own = prepare.conditions(labels(spark, d), "ctrl").select("condition", "cond_ord")
