@@ -531,6 +531,19 @@ def jn8_jn9_merged(spark, d):
     return rollup.merged(own.where("seed < 45"), own.where("seed > 43"))
 
 
+@query(f"""WITH {FOLDS}, both_ AS (SELECT 0 AS source, * FROM folds WHERE seed < 45 UNION ALL SELECT 1, * FROM folds WHERE seed > 43), r AS ({DEDUPED.format('source,')} both_)
+SELECT * EXCLUDE (rn) FROM r WHERE rn = 1""")
+def jn9_merged_folder(spark, d):
+    """Merged documents and two slices of chunks as files; one slice is written again; then the folder is scanned and merged."""
+    folder, own = new_folder(spark, "chunks"), fold_table(spark, d)
+    start = F.pmod(F.substring("condition", 2, 20).cast("long"), F.lit(2)).cast("int") * 25
+    chunks = own.where("seed > 43").withColumn("fold_start", start).withColumn("fold_end", start + 25)
+    none = F.lit(None).cast("int")
+    results.write_chunks(own.where("seed < 45").withColumn("fold_start", none).withColumn("fold_end", none).unionByName(chunks), folder)
+    results.write_chunks(chunks.where("fold_start = 25"), folder)
+    return results.merged_folder(spark, folder)
+
+
 @query(f"""WITH {FOLDS}, old AS (SELECT * FROM folds WHERE seed < 45), new AS (SELECT * FROM folds WHERE seed > 43)
 SELECT dataset, graph_type, seed, count(*) AS n FROM (SELECT * FROM old UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.dataset = n.dataset AND o.graph_type = n.graph_type AND o.hvg = n.hvg AND o.seed = n.seed AND o.condition = n.condition)) t GROUP BY ALL""")
 def jn8_appended(spark, d):

@@ -86,15 +86,16 @@ def on_all_scales(folds: DataFrame, scales=SCALES) -> DataFrame:
     return own.groupBy("dataset", "graph_type").agg(F.countDistinct("hvg").alias("k")).where(F.col("k") == len(scales)).select("dataset", "graph_type")
 
 
-def documents(folds: DataFrame) -> DataFrame:
-    """Nested result documents, one a (dataset, graph_type): overall, and seeds as a map with their folds."""
+def documents(folds: DataFrame, *more: str) -> DataFrame:
+    """Nested result documents, one a (dataset, graph_type, *more): overall, and seeds as a map with their folds. What is in ``more`` isn't null."""
+    by = ("dataset", "graph_type", *more)
     fold = F.struct("condition", *METRICS)
-    seeds = folds.groupBy("dataset", "graph_type", "seed").agg(
+    seeds = folds.groupBy(*by, "seed").agg(
         F.avg("pearson_r").alias("pearson_mean"), F.stddev_pop("pearson_r").alias("pearson_std"), F.avg("spearman_rho").alias("spearman_mean"),
         F.avg("jaccard").alias("jaccard_mean"), F.avg("mse").alias("mse_mean"), F.count("*").cast("int").alias("n_folds"), F.array_sort(F.collect_list(fold)).alias("folds"),
     )
     entry = F.struct(F.concat(F.lit("seed_"), F.col("seed")), F.struct("pearson_mean", "pearson_std", "spearman_mean", "jaccard_mean", "mse_mean", "n_folds", "folds"))
-    nested = seeds.groupBy("dataset", "graph_type").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("seeds"))
-    top = overall(folds, "dataset", "graph_type")
-    names = [c for c in top.columns if c not in ("dataset", "graph_type")]
-    return top.select("dataset", "graph_type", F.struct(*names).alias("overall")).join(nested, ["dataset", "graph_type"])
+    nested = seeds.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("seeds"))
+    top = overall(folds, *by)
+    names = [c for c in top.columns if c not in by]
+    return top.select(*by, F.struct(*names).alias("overall")).join(nested, list(by))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rollup import METRICS, documents, overall
+from ..operators.rollup import KEY, METRICS, deduplicated, documents, overall
 
 SEED = "struct<pearson_mean:double,pearson_std:double,spearman_mean:double,jaccard_mean:double,mse_mean:double,n_folds:int,folds:array<struct<condition:string,pearson_r:double,spearman_rho:double,mse:double,jaccard:double>>>"
 OVERALL = "struct<pearson_mean:double,pearson_std:double,spearman_mean:double,spearman_std:double,jaccard_mean:double,jaccard_std:double,mse_mean:double,mse_std:double,n_total_folds:int,n_seeds:int>"
@@ -25,10 +25,30 @@ def name_parts(name: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents below ``folder`` with their file's name parts; a NaN that is written bare is read as one."""
-    name = F.col("_metadata.file_name")
+    """Documents below ``folder`` with their file's name parts, and ``scale`` where a folder ``hvg=`` tells it; a NaN that is written bare is read
+    as one. A file in a folder ``name=``, as :func:`write_chunks` leaves it, has that name."""
+    path = F.col("_metadata.file_path")
+    own = F.regexp_extract(path, r"/name=([^/]+)/[^/]+$", 1)
+    name = F.when(own != "", F.concat(own, F.lit(".json"))).otherwise(F.col("_metadata.file_name"))
+    scale = F.nullif(F.regexp_extract(path, r"/hvg=(\d+)/", 1), F.lit("")).cast("int")
     raw = spark.read.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
-    return raw.select("*", name.alias("file"), name_parts(name).alias("part")).where("part.kind <> 'other'")
+    return raw.select("*", name.alias("file"), name_parts(name).alias("part"), scale.alias("scale")).where("part.kind <> 'other'")
+
+
+def write_chunks(folds: DataFrame, folder: str) -> None:
+    """A document for each (hvg, dataset, graph_type) and slice of folds, in a folder of its name: ``dataset__graph__f0-10`` where ``folds`` has
+    fold_start and fold_end, ``dataset__graph`` where fold_start is null. A slice that is run again replaces its own document
+    alone. A document holds its folds in one row, as its format has it; names are of letters, digits, ``_``, ``-`` and dots."""
+    tag = F.coalesce(F.concat(F.lit("__f"), F.col("fold_start").cast("string"), F.lit("-"), F.col("fold_end").cast("string")), F.lit(""))
+    own = folds.withColumn("name", F.concat("dataset", F.lit("__"), "graph_type", tag))
+    writer = documents(own, "hvg", "name").write.partitionBy("hvg", "name").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("ignoreNullFields", "false").json(folder)
+
+
+def merged_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The fold table of a folder's documents, merged: what merged documents hold comes first, chunks add conditions that a seed lacks."""
+    found = fold_table(read_documents(spark, folder), F.col("scale"))
+    return deduplicated(found, "source").select(*KEY, *METRICS)
 
 
 def fold_table(found: DataFrame, hvg: Column) -> DataFrame:

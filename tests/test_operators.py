@@ -140,6 +140,17 @@ def test_bare_nan_and_seed_tagged_chunks_are_read(spark, tmp_path):
     assert sorted((r["seed"], r["source"], math.isnan(r["pearson_r"])) for r in got) == [(42, 0, True), (43, 1, True)]
 
 
+def test_chunks_in_folders_are_scanned_and_merged(spark, tmp_path):
+    at = f"file://{tmp_path}/chunks"
+    sliced = lambda rows, a, b: table(rows, spark).withColumns({"fold_start": F.lit(a).cast("int"), "fold_end": F.lit(b).cast("int")})
+    results.write_chunks(sliced([row(condition="A", x=0.1), row(condition="A", x=0.9, hvg=500)], None, None), at)
+    results.write_chunks(sliced([row(condition=c, x=0.5) for c in "AB"] + [row(seed=43, condition="C", x=0.6)], 0, 10), at)
+    results.write_chunks(sliced([row(condition="D", x=0.7)], 10, 20), at)
+    results.write_chunks(sliced([row(condition="D", x=0.8)], 10, 20), at)  # run again
+    got = sorted((r["hvg"], r["seed"], r["condition"], r["pearson_r"]) for r in results.merged_folder(spark, at).collect())
+    assert got == [(200, 42, "A", 0.1), (200, 42, "B", 0.5), (200, 42, "D", 0.8), (200, 43, "C", 0.6), (500, 42, "A", 0.9)]
+
+
 def test_gaf(spark):
     line = lambda n: "\t".join(["c"] * 2 + ["GENE", "q", "GO:1"] + ["c"] * 3 + ["P"] + ["c"] * (n - 9))
     text = spark.createDataFrame([("!" + line(15),), (line(14),), (line(15),), (line(17) + "  ",)], "value string")
