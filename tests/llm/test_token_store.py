@@ -66,12 +66,13 @@ def test_files_roll_over_and_are_read_in_blocks(spark):
 
 
 def test_a_task_rolls_over(spark):
-    rows = [(i, f"text number {i} " * 50) for i in range(3000)]
+    rows = [(i, f"text number {i} " * 250) for i in range(3000)]  # over 12 MB: a file closes at slices of 4 MB of text
     folder = new_path(spark, "ids-test")
     assert ts.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), folder, PATH, parts=1, file_bytes=20_000) == 3000
     names = sorted(r["name"] for r in ts.file_names(spark, folder, "*.ids").collect())
     got = ts.read(spark, folder).orderBy("start").collect()
-    assert len(names) > 0 and [r["doc_id"] for r in got] == list(range(3000))
+    assert len({n.split("-")[1] for n in names}) == 1 and len(names) > 1  # of one task
+    assert [r["doc_id"] for r in got] == list(range(3000))
 
 
 def test_not_a_file_of_ids():
