@@ -131,3 +131,39 @@ def test_long_runs_take_nothing_from_others(spark):
 
 def test_nothing_above_alpha_passes():
     assert all(math.exp(-b / s.STEPS) <= s.ALPHA for b in s.thresholds({(c, 400): 50 for c in range(4, 20)} | {(4, 0): 1}).values())
+
+
+@pytest.mark.parametrize("name", ["hex", "HEX", "lower", "upper", "base36", "BASE36", "base62", "base64", "base64url"])
+def test_random_characters_of_each_encoding_are_told(name):
+    r = random.Random(name)
+    told = [s.battery("".join(r.choice(s.ENCODINGS[name]) for _ in range(64)))[1] <= s.ALPHA for _ in range(200)]
+    assert sum(told) >= 0.9 * len(told)
+
+
+def test_decimals_need_a_hundred_characters():
+    r = random.Random(3)
+    rate = lambda n: sum(s.battery("".join(r.choice(string.digits) for _ in range(n)))[1] <= s.ALPHA for _ in range(200)) / 200
+    assert rate(128) >= 0.9 and rate(40) < 0.5
+
+
+def test_groups_of_digits_count_without_their_separators():
+    groups = "0f1e2d3c-4b5a-6978-8796-a5b4c3d2e1f0"
+    assert s.battery(groups) == s.battery(groups.replace("-", "")) and s.battery(groups)[0] == "hex"
+    assert s.battery("12-a2024-b7-c100-d12-e2024-f1")[0] == "base64url"  # short groups are versions and numbers
+
+
+@pytest.mark.parametrize("length", [24, 40, 64, 200, 3000])
+def test_structured_text_of_narrow_alphabets_passes_seldom(spark, small, length):
+    r, words = random.Random(length), [w.lower() for w in words_of(spark, small)]
+    hexed = [w for w in words if set(w) <= set("abcdef")] or ["face", "added", "bed"]
+    number = lambda: str(r.choice([1, 2, 10, 2024, r.randrange(1000)]))
+    makes = [lambda: r.choice(words), lambda: r.choice(words).upper(), lambda: r.choice(words) + number(), lambda: r.choice(words).upper() + number(), lambda: r.choice(hexed) + number(), lambda: r.choice(hexed).upper() + number(), number, lambda: f"{1990 + r.randrange(40)}{r.randrange(1, 13):02d}{r.randrange(1, 29):02d}"]
+    hits = runs = 0
+    for make in makes:
+        for _ in range(200 if length < 1000 else 20):
+            run = ""
+            while len(run) < length:
+                run += make()
+            hits += s.battery(run[:length])[1] <= s.ALPHA
+            runs += 1
+    assert hits <= s.ALPHA * runs
