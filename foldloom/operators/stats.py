@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import distributions as dist
 from ..functions.scalar import mean_and_spread
-from ..session import new_folder
+from ..session import kept, new_folder, tasks_for
 from .rollup import CELL, METRICS, on_all_scales
 
 #: Comparisons and graphs, in order; graphs of the scale effect; names of the two group tests.
@@ -24,6 +24,8 @@ ANOVA, KRUSKAL = "one-way ANOVA (graph_type)", "Kruskal-Wallis"
 COHEN_EPSILON, DRAWS, ALPHA, SEED, LEAST_NORMAL, ANOMALOUS_MSE = 1e-10, 10_000, 0.05, 42, 8, 0.5
 #: Ranks, distinct values and draws that one step of a task takes on.
 RANKS, VALUES, DRAW_BLOCK = 10_000, 4_096, 500
+#: What a comparison goes by.
+COMPARED = ("dataset", "hvg", "g1", "g2")
 #: A total order of folds, where they have no number of their own.
 ORDER = ("seed", "condition", *METRICS)
 
@@ -59,21 +61,63 @@ def sums_before(counts: DataFrame, value: str | tuple[str, ...], weights: dict[s
     return own.join(F.broadcast(offsets), same).select(*counts.columns, *[(F.col(f"_in_{k}") + F.col(f"_{k}")).alias(k) for k in weights])
 
 
+def positions(rows: DataFrame, order: tuple[str, ...], by: tuple[str, ...], meet: list[str], *carried: str) -> DataFrame:
+    """(by, carried, rn): rows numbered from 0 in ``order`` within their group (``by``). Rows are dealt by ranges and written in order, without
+    what only orders them; a row's number is its place in its range and what earlier ranges hold, a row a range and group. They are
+    then dealt by ``meet``, in as many tasks as there are rows for."""
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = kept(ranged.select(*by, *carried, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "positions")
+    each = placed.groupBy("_range", *by).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_before")
+    offsets = each.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_by_{c}") for c in by], before)
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    numbered = placed.join(F.broadcast(offsets), same).select(*by, *carried, (F.col("_at") + F.col("_before")).alias("rn"))
+    return numbered.repartition(tasks_for(placed), *meet)
+
+
 def paired(folds: DataFrame, value: str = "pearson_r", by: str = "position", pairs=PAIRS) -> DataFrame:
     """(dataset, hvg, g1, g2, rn, a, b): fold by fold, by position in order (cut at the shorter side) or by ``key`` (seed and
-    condition). The comparisons are a table of six rows."""
+    condition). The comparisons are a table of six rows; a fold is sent once, whatever the number of its comparisons."""
     names = F.explode(F.array(*[F.struct(F.lit(a).alias("g1"), F.lit(b).alias("g2")) for a, b in pairs])).alias("p")
     wanted = F.broadcast(folds.sparkSession.range(1).select(names).select("p.g1", "p.g2"))
+    first, second = (sorted({p[i] for p in pairs}) for i in (0, 1))
+    own = folds.where(F.col("graph_type").isin(*first, *second)).withColumn("_value", F.col(value))
     if by == "position":
-        asked = folds.where(F.col("graph_type").isin(sorted({g for p in pairs for g in p})))
-        numbered = sums_before(asked, ORDER, {"rn": F.lit(1)}, *CELL)
         on = ["dataset", "hvg", "rn"]
+        numbered = positions(own, ORDER, CELL, on, "_value")
     else:
-        numbered = folds.withColumn("rn", F.lit(0))
-        on = ["dataset", "hvg", "seed", "condition"]
-    left = numbered.join(wanted, F.col("graph_type") == F.col("g1")).select(*on, "g1", "g2", F.col(value).alias("a"))
-    right = numbered.select(*on, F.col("graph_type").alias("g2"), F.col(value).alias("b"))
-    return left.join(right, [*on, "g2"])
+        numbered, on = own, ["dataset", "hvg", "seed", "condition"]
+    left = numbered.where(F.col("graph_type").isin(first)).select(*on, F.col("graph_type").alias("g1"), F.col("_value").alias("a"))
+    right = numbered.where(F.col("graph_type").isin(second)).select(*on, F.col("graph_type").alias("g2"), F.col("_value").alias("b"))
+    return left.join(right.hint("merge"), on).join(wanted, ["g1", "g2"]).select(*on, "g1", "g2", "a", "b")
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    """(dataset, hvg, g1, g2, a, b, c): how often each pair of values comes, made once; tests read these counts instead of pairing anew. Counts
+    are given back as they are."""
+    return pairs if "c" in pairs.columns else kept(pairs.groupBy(*COMPARED, "a", "b").agg(F.count("*").alias("c")), "counted")
+
+
+def _differences(counts: DataFrame) -> DataFrame:
+    """(dataset, hvg, g1, g2, d, c): how often each difference comes."""
+    return counts.groupBy(*COMPARED, (F.col("a") - F.col("b")).alias("d")).agg(F.sum("c").alias("c"))
+
+
+def _spread(counts: DataFrame) -> DataFrame:
+    """(dataset, hvg, g1, g2, n_pairs, n, mean, squares) of differences: pairs, those whose difference isn't null, and of these the mean and
+    the sum of squared deviations, exactly 0 where they don't vary."""
+    d = _differences(counts)
+    n = F.sum(F.when(F.col("d").isNotNull(), F.col("c")))
+    mean = F.when(F.min("d") == F.max("d"), F.min("d")).otherwise(F.try_divide(F.sum(F.col("d") * F.col("c")), n))
+    sums = d.groupBy(*COMPARED).agg(F.sum("c").alias("n_pairs"), n.alias("n"), mean.alias("mean"))
+    same = F.lit(True)
+    for c in COMPARED:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    known = F.broadcast(sums.withColumnsRenamed({c: f"_{c}" for c in COMPARED}))
+    return d.join(known, same).groupBy(*COMPARED, "n_pairs", "n", "mean").agg(F.sum(F.col("c") * F.pow(F.col("d") - F.col("mean"), F.lit(2.0))).alias("squares"))
 
 
 def cohen(d: Column) -> Column:
@@ -197,16 +241,17 @@ def bootstrap_sums(pairs: DataFrame, draws: int = DRAWS, seed: int = SEED) -> Da
     the few nodes above it, and its cost grows with distinct values rather than rows. The generators start anew at every call; draws
     are those of the method, not bit for bit those of :func:`bootstrap_interval`.
     """
-    by = ("dataset", "hvg", "g1", "g2")
-    own = pairs.select(*by, F.coalesce(F.col("a") - F.col("b"), F.lit(float("nan"))).alias("d"))
-    base = own.groupBy(*by).agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
-    values = sums_before(own.groupBy(*by, "d").agg(F.count("*").alias("c")), "d", {"place": F.lit(1)}, *by).withColumn("part", F.floor(F.col("place") / VALUES).cast("int"))
+    by = COMPARED
+    own = _differences(counted(pairs)).select(*by, F.coalesce("d", F.lit(float("nan"))).alias("d"), "c")
+    base = own.groupBy(*by).agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
+    values = sums_before(own.groupBy(*by, "d").agg(F.sum("c").alias("c")), "d", {"place": F.lit(1)}, *by).withColumn("part", F.floor(F.col("place") / VALUES).cast("int"))
     paths = _paths(values.groupBy(*by, "part").agg(F.sum("c").alias("c")), *by)
     centred = values.join(F.broadcast(base), list(by)).select(*by, "part", "place", (F.col("d") - F.col("mean")).alias("d"), "c")
     parts = centred.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("place", "d", "c"))).alias("v"))
     cells = parts.join(paths, [*by, "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))))
     cells = cells.select(*by, "part", "block", "n", F.transform("path", lambda x: -x["level"]).alias("level"), F.col("path.left").alias("left"), F.col("path.all").alias("all"), F.col("v.d").alias("d"), F.col("v.c").alias("c"), F.xxhash64(*by).alias("key"))
-    cells = cells.repartition(*by, "part", "block")
+    # by number: a cell is a small row and a long draw, so few bytes don't make few tasks
+    cells = cells.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "part", "block")
 
     def run(batches):
         for batch in batches:
@@ -234,13 +279,12 @@ def bootstrap(pairs: DataFrame, draws: int = DRAWS, alpha: float = ALPHA, seed:
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """(dataset, hvg, g1, g2, w, n_nonzero, ties, zeros) of signed ranks of the differences that aren't zero."""
-    by = ("dataset", "hvg", "g1", "g2")
-    d = pairs.select(*by, (F.col("a") - F.col("b")).alias("d"))
-    size = F.abs("d")
-    steps = d.where("d <> 0").groupBy(*by, size.alias("m")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count("*").alias("t"))
+    by, d = COMPARED, _differences(counted(pairs))
+    many = lambda which: F.sum(F.when(which, F.col("c")).otherwise(0))
+    steps = d.where("d <> 0").groupBy(*by, F.abs("d").alias("m")).agg(many(F.col("d") > 0).alias("up"), F.sum("c").alias("t"))
     ranked = sums_before(steps, "m", {"before": F.col("t")}, *by).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum("t").alias("n_nonzero"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
-    zeros = d.groupBy(*by).agg(F.count_if(F.col("d") == 0).alias("zeros"))
+    zeros = d.groupBy(*by).agg(many(F.col("d") == 0).alias("zeros"))
     n = F.coalesce("n_nonzero", F.lit(0))
     plus = F.coalesce("plus", F.lit(0.0))
     return zeros.join(sums, list(by), "left").select(*by, F.least(plus, n * (n + 1) / 2 - plus).alias("w"), n.alias("n_nonzero"), F.coalesce("ties", F.lit(0.0)).alias("ties"), "zeros")
@@ -265,14 +309,21 @@ def false_discovery(rows: DataFrame, p: str = "p", step_up: bool = False) -> Dat
 
 
 def pairwise(folds: DataFrame, value: str = "pearson_r", by: str = "position") -> DataFrame:
-    """The table of comparisons: dataset, hvg, comparison, mean_diff, cohens_d and its interval ci_lo, ci_hi, t_stat, t_p, wilcoxon_p,
+    """The table of comparisons, :func:`compared`, of folds."""
+    return compared(paired(folds, value, by))
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """Of pairs or their counts: dataset, hvg, comparison, mean_diff, cohens_d and its interval ci_lo, ci_hi, t_stat, t_p, wilcoxon_p,
     n_pairs, and t_p times the number of rows (t_p_bonf) and by its rank (t_p_fdr), both from t_p as rounded. Tests of differences
-    that don't vary are null or NaN, as are their corrections."""
-    pairs = paired(folds, value, by)
-    keys = ["dataset", "hvg", "g1", "g2"]
-    d = F.col("a") - F.col("b")
-    base = pairs.groupBy(*keys).agg(F.avg(d).alias("mean_diff"), F.count("*").alias("n_pairs"), cohen(d).alias("cohens_d"), paired_t(d).alias("t"))
-    both = base.join(wilcoxon(pairs), keys).join(bootstrap(pairs), keys)
+    that don't vary are null or NaN, as are their corrections. Folds are paired once, and tests, a row a comparison, made once before they
+    are ranked."""
+    counts, keys = counted(pairs), list(COMPARED)
+    n, mean, squares = F.col("n"), F.col("mean"), F.col("squares")
+    d = mean / (F.sqrt(F.try_divide(squares, n)) + COHEN_EPSILON)
+    t = F.try_divide(mean, F.sqrt(F.try_divide(squares, n - 1)) / F.sqrt(n))
+    base = _spread(counts).select(*keys, mean.alias("mean_diff"), "n_pairs", d.alias("cohens_d"), t.alias("t"))
+    both = kept(base.join(wilcoxon(counts), keys).join(bootstrap(counts), keys), "compared")
     out = both.select(
         "dataset", "hvg", F.concat("g1", F.lit(" vs "), "g2").alias("comparison"), F.round("mean_diff", 6).alias("mean_diff"), F.round("cohens_d", 4).alias("cohens_d"), F.round("d_ci_low", 4).alias("ci_lo"), F.round("d_ci_high", 4).alias("ci_hi"), F.round("t", 4).alias("t_stat"),
         F.round(_number(dist.t_two_sided, F.col("t"), F.col("n_pairs") - 1), 8).alias("t_p"),

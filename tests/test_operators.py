@@ -172,6 +172,19 @@ def test_pairwise_of_equal_sides(spark):
     assert r["comparison"] == "gene_ontology vs no_graph" and r["cohens_d"] == 0 and r["n_pairs"] == 10 and r["t_p"] is None or math.isnan(r["t_p"])
 
 
+def test_comparisons_are_made_from_one_pairing(spark):
+    """Folds are gone through to draw ranges and to be dealt, not again for each test and correction."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touched(x: float) -> float:
+        seen.add(1)
+        return x
+
+    own = table([row(g, condition=f"c{i}", x=i / 20 if g == "random" else i / 50) for g in ("random", "no_graph") for i in range(10)], spark)
+    got = stats.pairwise(own.withColumn("pearson_r", F.udf(touched, "double").asNondeterministic()("pearson_r"))).collect()
+    assert [r["n_pairs"] for r in got] == [10] and 0 < seen.value <= 2 * 20
+
+
 def test_fixed_names():
     """Comparisons, graphs and labels as result files and reports have them."""
     assert stats.PAIRS == (("string_ppi", "no_graph"), ("gene_ontology", "no_graph"), ("combined", "no_graph"), ("random", "no_graph"), ("string_ppi", "random"), ("combined", "random"))
