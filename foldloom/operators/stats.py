@@ -339,10 +339,17 @@ def mentioning(table: DataFrame, text: str) -> DataFrame:
 
 def scale_effect(folds: DataFrame, value: str = "pearson_r", graphs=SCALE_GRAPHS, against: str = "no_graph") -> DataFrame:
     """dataset, graph, hvg, delta_pearson and cohens_d of the paired folds: both sides are cut to the shorter one; both need rows."""
-    pairs = paired(folds, value, pairs=[(g, against) for g in graphs])
-    delta = (F.avg("a") - F.avg("b")).alias("delta_pearson")
-    each = pairs.groupBy("dataset", F.col("g1").alias("graph"), "hvg").agg(delta, cohen(F.col("a") - F.col("b")).alias("cohens_d"))
-    return each.select("dataset", "graph", "hvg", F.round("delta_pearson", 6).alias("delta_pearson"), F.round("cohens_d", 4).alias("cohens_d"))
+    return scale_effect_of(counted(paired(folds, value, pairs=[(g, against) for g in graphs])))
+
+
+def scale_effect_of(counts: DataFrame, graphs=SCALE_GRAPHS, against: str = "no_graph") -> DataFrame:
+    """:func:`scale_effect` of counted pairs, those of other comparisons left out."""
+    asked = counts.where(F.col("g1").isin(list(graphs)) & (F.col("g2") == against))
+    mean = lambda x: F.try_divide(F.sum(F.col(x) * F.col("c")), F.sum(F.when(F.col(x).isNotNull(), F.col("c"))))
+    delta = asked.groupBy(*COMPARED).agg((mean("a") - mean("b")).alias("delta_pearson"))
+    d = F.col("mean") / (F.sqrt(F.try_divide(F.col("squares"), F.col("n"))) + COHEN_EPSILON)
+    each = delta.join(_spread(asked).select(*COMPARED, d.alias("cohens_d")), list(COMPARED))
+    return each.select("dataset", F.col("g1").alias("graph"), "hvg", F.round("delta_pearson", 6).alias("delta_pearson"), F.round("cohens_d", 4).alias("cohens_d"))
 
 
 def medians(rows: DataFrame, value: str, *by: str) -> DataFrame:
@@ -377,5 +384,8 @@ def paper_table(folds: DataFrame, value: str = "pearson_r", graphs=GRAPHS) -> Da
 
 
 def report_tables(folds: DataFrame) -> dict[str, DataFrame]:
-    """The five tables of a report by their files' names, columns and digits as reports show them."""
-    return {"shapiro_wilk": shapiro(folds).select("dataset", "hvg", "graph_type", "W", "p", "normal", "n"), "anova_results": group_tests(folds), "pairwise_comparisons": pairwise(folds), "hvg_scale_effect": scale_effect(folds), "paper_summary_table": paper_table(folds)}
+    """The five tables of a report by their files' names, columns and digits as reports show them. Folds are written once and paired once, and
+    all tables made from these."""
+    folds = kept(folds, "folds")
+    pairs = counted(paired(folds))
+    return {"shapiro_wilk": shapiro(folds).select("dataset", "hvg", "graph_type", "W", "p", "normal", "n"), "anova_results": group_tests(folds), "pairwise_comparisons": compared(pairs), "hvg_scale_effect": scale_effect_of(pairs), "paper_summary_table": paper_table(folds)}

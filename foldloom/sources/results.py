@@ -38,11 +38,12 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def write_chunks(folds: DataFrame, folder: str) -> None:
     """A document for each (hvg, dataset, graph_type) and slice of folds, in a folder of its name: ``dataset__graph__f0-10`` where ``folds`` has
     fold_start and fold_end, ``dataset__graph`` where fold_start is null. A slice that is run again replaces its own document
-    alone. A document holds its folds in one row, as its format has it; names are of letters, digits, ``_``, ``-`` and dots."""
+    alone. A document is a file; one of very many folds comes in parts, see :func:`documents`, all in its folder. Names are of letters,
+    digits, ``_``, ``-`` and dots."""
     tag = F.coalesce(F.concat(F.lit("__f"), F.col("fold_start").cast("string"), F.lit("-"), F.col("fold_end").cast("string")), F.lit(""))
     own = folds.withColumn("name", F.concat("dataset", F.lit("__"), "graph_type", tag))
     writer = documents(own, "hvg", "name").write.partitionBy("hvg", "name").mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.option("ignoreNullFields", "false").json(folder)
+    writer.option("ignoreNullFields", "false").option("maxRecordsPerFile", 1).json(folder)
 
 
 def merged_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +60,7 @@ def fold_table(found: DataFrame, hvg: Column) -> DataFrame:
 
 
 def write_documents(folds: DataFrame, folder: str) -> None:
-    """One line of JSON for each (dataset, graph_type), to a new folder: Spark can't replace what it reads."""
+    """One line of JSON for each (dataset, graph_type), or part of a large one, to a new folder: Spark can't replace what it reads."""
     documents(folds).write.mode("errorifexists").option("ignoreNullFields", "false").json(folder)
 
 
@@ -71,7 +72,7 @@ def write_table(rows: DataFrame, folder: str) -> None:
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:
     """Each table as CSV in a folder of its name, sorted by its first columns."""
     for name, rows in tables.items():
-        write_table(rows.orderBy(*rows.columns[:3]), f"{folder}/{name}.csv")
+        write_table(rows.repartition(1).sortWithinPartitions(*rows.columns[:3]), f"{folder}/{name}.csv")  # few rows; drawing ranges would make them twice
 
 
 def summary(folds: DataFrame) -> DataFrame:

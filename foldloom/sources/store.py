@@ -77,13 +77,13 @@ def merged(spark: SparkSession, folder: str) -> DataFrame:
 def merge_batch(batch: DataFrame, number: int, folder: str) -> None:
     """Folds of ``batch`` whose key and condition no other batch brought; of those that repeat within it, the first by value. Only folders
     of the batch's keys are read."""
-    spark = batch.sparkSession
+    spark, rows = batch.sparkSession, batch.select(*_COLUMNS)
     others = merged(spark, folder).where(F.col("batch") != number)
-    new = deduplicated(batch.select(*_COLUMNS))
-    near = others.join(new.select(*STORE_KEY).distinct(), list(STORE_KEY), "left_semi")
-    known = near.select(*[F.col(c).alias(f"_{c}") for c in KEY])
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
-    new.join(known, same, "left_anti").hint("rebalance", *STORE_KEY).write.partitionBy(*STORE_KEY).mode("overwrite").parquet(f"{folder}/batch={number}")
+    near = others.join(rows.select(*STORE_KEY).distinct(), list(STORE_KEY), "left_semi")
+    # what is known comes first and is dropped, so that one shuffle finds both what repeats and what others brought
+    known = near.select(*KEY, *[F.lit(None).cast("double").alias(m) for m in METRICS], F.lit(0).alias("_new"))
+    new = deduplicated(rows.withColumn("_new", F.lit(1)).unionByName(known), "_new").where("_new = 1").select(*_COLUMNS)
+    new.hint("rebalance", *STORE_KEY).write.partitionBy(*STORE_KEY).mode("overwrite").parquet(f"{folder}/batch={number}")
 
 
 def merging(stream: DataFrame, folder: str, checkpoint: str, then: Callable[[int], None] | None = None) -> StreamingQuery:

@@ -130,6 +130,19 @@ def test_documents_round_trip_with_chunks_and_names(spark):
     assert (parts[1]["dataset"], parts[1]["graph_type"], parts[2]["seed"], parts[2]["fold_end"]) == ("d_a", "g_b", 42, 10)
 
 
+def test_large_documents_come_in_parts(spark, tmp_path, monkeypatch):
+    """Each fold is in one part, parts have the whole's summaries, and a name's parts are all read."""
+    monkeypatch.setattr(rollup, "FOLDS", 8)
+    rows = [row(seed=42 + i % 2, condition=f"c{i:02d}", x=i / 100) for i in range(60)]
+    parts = rollup.documents(table(rows, spark)).collect()
+    held = [[f["condition"] for s in p["seeds"].values() for f in s["folds"]] for p in parts]
+    assert len(parts) > 4 and max(map(len, held)) < 20 and sorted(c for h in held for c in h) == [f"c{i:02d}" for i in range(60)]
+    assert {p["overall"]["n_total_folds"] for p in parts} == {60} and {s["n_folds"] for p in parts for s in p["seeds"].values()} == {30}
+    at = f"file://{tmp_path}/chunks"
+    results.write_chunks(table(rows, spark).withColumns({"fold_start": F.lit(None).cast("int"), "fold_end": F.lit(None).cast("int")}), at)
+    assert sorted((r["seed"], r["condition"], r["pearson_r"]) for r in results.merged_folder(spark, at).collect()) == sorted((42 + i % 2, f"c{i:02d}", i / 100) for i in range(60))
+
+
 def test_bare_nan_and_seed_tagged_chunks_are_read(spark, tmp_path):
     fold = '{"condition": "A", "pearson_r": NaN, "spearman_rho": 0.1, "mse": 1.0, "jaccard": 0.2}'
     text = '{"dataset": "d", "graph_type": "g", "overall": {}, "seeds": {"seed_%d": {"n_folds": 1, "folds": [%s]}}}'
@@ -185,6 +198,20 @@ def test_comparisons_are_made_from_one_pairing(spark):
     assert [r["n_pairs"] for r in got] == [10] and 0 < seen.value <= 2 * 20
 
 
+def test_a_report_takes_folds_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touched(x: float) -> float:
+        seen.add(1)
+        return x
+
+    rows = [row(g, hvg=h, condition=f"c{i}", x=i / 20 + k) for h in rollup.SCALES for k, g in enumerate(("string_ppi", "no_graph")) for i in range(4)]
+    own = table(rows, spark).withColumn("pearson_r", F.udf(touched, "double").asNondeterministic()("pearson_r"))
+    found = stats.report_tables(own)
+    assert {name: rows.count() for name, rows in found.items() if name != "shapiro_wilk"} == {"anova_results": 6, "pairwise_comparisons": 3, "hvg_scale_effect": 3, "paper_summary_table": 3}
+    assert seen.value == len(rows)
+
+
 def test_fixed_names():
     """Comparisons, graphs and labels as result files and reports have them."""
     assert stats.PAIRS == (("string_ppi", "no_graph"), ("gene_ontology", "no_graph"), ("combined", "no_graph"), ("random", "no_graph"), ("string_ppi", "random"), ("combined", "random"))
