@@ -3,8 +3,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from foldloom import catalog
+from foldloom import catalog, session
 
 PARTS, SUPPLIERS = 1100, 150
 
@@ -47,3 +48,14 @@ def test_terms_masks_and_corrections_of_tables(spark, long_tables):
     masks = {r["condition"]: r["genes"] for r in rows("jn4_perturbation_masks")}
     assert len(masks) == PARTS and masks["P1096+P1097"] == "1095,1096" and masks["P1098"] is None
     assert {r["l_orderkey"]: r["p_bonf"] for r in rows("st12_bonferroni")} == pytest.approx({k: min(1.0, k / 1e6 * PARTS) for k in range(1, PARTS + 1)})
+
+
+def test_tasks_grow_in_number_with_tables(spark, long_tables, monkeypatch):
+    """Edges and ranked lines are dealt into tasks of so many rows at most, whatever the session's number of partitions."""
+    folder, _ = long_tables
+    monkeypatch.setattr(session, "ROWS", 100)
+    tasks = lambda df: [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    lines = [(k, 1, k, 1, k / 7) for k in range(1000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(own := f"{folder}/ranked/lineitem.parquet")
+    assert own and len(tasks(catalog.QUERIES["win2_average_rank"](spark, f"{folder}/ranked"))) == 10
+    assert max(tasks(catalog.QUERIES["gr1_jn1_lookup_graph"](spark, folder))) < 300 and max(tasks(catalog.QUERIES["set2_symmetrised"](spark, folder))) < 300
