@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -54,6 +55,32 @@ def test_files_of_other_kinds_are_tokenized_whole(tmp_path):
     assert own.whole and ids.dtype == np.uint32 and ids.tolist() == [0, 1, 70_000, 7, 70_000, 0] and at.tolist() == [0, 3, 3, 3, 6]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_letters_reach_the_tokenizer_alone(path, monkeypatch):
+    """The tokenizer makes the ids of new words and no marks between them, whatever generations still know."""
+    made, encoded = [], Ids._encoded
+    monkeypatch.setattr(Ids, "_encoded", lambda self, texts, *how: made.append(sum(map(len, got := encoded(self, texts, *how)))) or got)
+    plain, own, draw = Tokenizer.from_file(path), Ids(path, 500), np.random.default_rng(0)
+    for _ in range(6):
+        words = ["".join(map(chr, draw.integers(97, 123, n))) for n in draw.choice([3, 9, 60], 300)] + ["größe", "stöckchen"]
+        texts = [f"the {' '.join(words)}", " ".join(f"the {w}" for w in words)]
+        made.clear()
+        ids, at = own.encode(pa.array(texts))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+        assert sum(made) <= len(want[0]) + 2
+
+
+def test_a_vocabulary_without_edges(tmp_path):
+    """Where tokens don't tell words apart, marks do."""
+    own = json.loads(Tokenizer.from_file(WORDS).to_str())
+    own["model"]["end_of_word_suffix"] = None
+    (tmp_path / "t.json").write_text(json.dumps(own))
+    plain, ids = Tokenizer.from_file(str(tmp_path / "t.json")), Ids(str(tmp_path / "t.json"))
+    texts = ["some words of letters", "and (others), 12 of them"]
+    assert not ids.whole and ids.encode(pa.array(texts))[0].tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_plan_uses_every_piece_once(lengths):
