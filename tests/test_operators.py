@@ -101,6 +101,32 @@ def test_lookup_takes_the_last_of_a_repeated_id_and_drops_unknown_ends(spark):
     assert graphs.available(graphs.empty(spark)).first()["available"] is False
 
 
+def test_all_graphs_are_made_once(spark):
+    """What ``combined`` and the degree take again is read from files; correlations are made in one job."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    draw = np.random.default_rng(0)
+    x = draw.normal(size=(40, 6))
+    x[:, 1] = x[:, 0] + 0.01 * x[:, 1]
+    cells = spark.createDataFrame(spark.sparkContext.parallelize([(r.tolist(),) for r in x], 2).mapPartitions(counted), "v array<double>")
+    own = spark.createDataFrame([(2, "t"), (3, "t"), (4, "u")], "node int, term string")
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "x")], "id_a string, id_b string")
+    names = spark.createDataFrame([("a", 4), ("b", 5)], "id string, node int")
+    got = graphs.build_all(cells, "v", 6, own, links, names, 0.9)
+    both = lambda *edges: {(i, i) for i in range(6)} | {e for a, b in edges for e in ((a, b), (b, a))}
+    want = {"string_ppi": both((4, 5)), "gene_ontology": both((2, 3)), "coexpression": both((0, 1)), "combined": both((4, 5), (2, 3), (0, 1)), "no_graph": set()}
+    for name, edges in want.items():
+        assert sorted(map(tuple, got[name].collect())) == sorted(edges), name
+        assert got[name].inputFiles() or not edges
+    assert got["random"].where("src <> dst").count() == 10  # one link a node, at a degree of 2
+    assert made.value <= 3 * 40  # their width, the shift and the sums, each once
+
+
 def test_preferential_graph(spark):
     got = {tuple(r) for r in graphs.preferential(spark, 40, 7.0).collect()}
     assert got == {tuple(r) for r in graphs.preferential(spark, 40, 7.0).collect()} == {(b, a) for a, b in got}
